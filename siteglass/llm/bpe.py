@@ -8,9 +8,16 @@ the library.
 
 from __future__ import annotations
 
+import bisect
 import json
 import re
-from itertools import accumulate
+import sys
+from array import array
+from itertools import accumulate, chain
+
+import numpy as np
+
+from siteglass.llm.word_table import PIECE, WordTable, pieces
 
 #: Characters whose classes (letter, number, space, other) agree in Python's re and the library.
 _DOUBTFUL = re.compile("[^\t\n\r\x20-\x7e¡-±´-¸º»¿-ɏ‐-‧]")
@@ -49,9 +56,13 @@ class Vocabulary:
         self.width = 2 if self.size <= 1 << 16 else 4
 
     def pack(self, ids: list[int]) -> bytes:
-        import numpy as np
+        out = array("H" if self.width == 2 else "I", ids)
+        if sys.byteorder != "little":
+            out.byteswap()
+        return out.tobytes()
 
-        return np.asarray(ids, dtype=f"<u{self.width}").tobytes()
+    def _plain(self, text: str) -> bool:
+        return self.byte_level and len(text) < PIECE and not _DOUBTFUL.search(text) and not (self.find_added and self.find_added.search(text))
 
     def pretokens(self, text: str) -> list[str]:
         """Of a text without added tokens."""
@@ -60,36 +71,124 @@ class Vocabulary:
         return [text[a:b] for _, (a, b) in self.library.pre_tokenizer.pre_tokenize_str(text)]
 
 
+_LETTER, _NUMBER, _OTHER, _SPACE, _WHITE, _END = range(6)
+
+
+def _classes() -> np.ndarray:
+    """The pre-tokenizer's class of each character below U+2028 that is not doubtful; of U+0000, which
+    stands between texts, _END."""
+    out = np.full(0x2028, _OTHER, np.int8)
+    for c in map(chr, [*range(1, 0x250)]):
+        out[ord(c)] = _LETTER if c.isalpha() else _NUMBER if c.isdigit() else _SPACE if c == " " else _WHITE if c.isspace() else _OTHER
+    out[0] = _END
+    return out
+
+
+def cut_pretokens(points: np.ndarray) -> np.ndarray:
+    """Where pre-tokens start; points are characters, each text ended by 0."""
+    c = _CLASSES[points]
+    white = (c == _SPACE) | (c == _WHITE)
+    kind = np.where(white, _WHITE, c)
+    starts = np.empty(len(c), bool)
+    starts[0] = True
+    np.not_equal(kind[1:], kind[:-1], out=starts[1:])
+    starts |= c == _END
+    # the last white character before a word is apart from those before it; a space joins the word
+    last = np.flatnonzero(white[:-1] & (kind[1:] < _SPACE))
+    starts[last] = True
+    starts[last[c[last] == _SPACE] + 1] = False
+    quote = np.flatnonzero((points[:-2] == 39) & starts[:-2] & (c[1:-1] == _LETTER))
+    if len(quote):
+        one, two = points[quote + 1], points[np.minimum(quote + 2, len(points) - 1)]
+        short = np.isin(one, [ord(x) for x in "stmd"])
+        long = ((one == 114) & (two == 101)) | ((one == 118) & (two == 101)) | ((one == 108) & (two == 108))
+        for chosen, n in ((short, 2), (long & ~short, 3)):
+            q = quote[chosen]
+            starts[q + 1] = False
+            q = q[q + n < len(c)]
+            starts[q + n] |= c[q + n] == _LETTER
+    return np.flatnonzero(starts)
+
+
+_CLASSES = _classes()
+
+
 class WordEncoder(Vocabulary):
-    """encode(text): the ids as little-endian bytes of `width` each."""
+    """encode_many(texts): the ids of each as little-endian bytes of `width` each."""
 
-    def __init__(self, path: str, most_words: int = 400_000) -> None:
+    def __init__(self, path: str, most_words: int = 1_500_000) -> None:
         super().__init__(path)
-        self.most_words = most_words
-        self.cache: dict[str, bytes] = {}
+        self.spaced = np.zeros(self.size, bool)  # ids whose token begins with the space's stand-in
+        space = _byte_alphabet()[32]
+        self.spaced[[i for t, i in self.library.get_vocab().items() if t[0] == space]] = True
+        self.table = WordTable(most_words, cut_pretokens)
+        self.clear()
+
+    def clear(self) -> None:
+        self.table.clear()
+        self.ids = np.zeros(1 << 20, f"<u{self.width}")
+        self.first = np.zeros(1 << 16, np.int64)  # where a word's ids start; its successor's start is their end
+
+    def _encode_words(self, words: list[str]) -> list[list[int]]:
+        """Words that start with a space are cut from each other again, so they go to the library as one
+        text; only a word's first token begins with a space."""
+        out: list[list[int]] = [[]] * len(words)
+        spaced = [k for k, w in enumerate(words) if len(w) > 1 and w[0] == " " and not w[1].isspace()]
+        if spaced:
+            found = self.library.encode_batch_fast(["".join([words[k] for k in spaced])], add_special_tokens=False)[0]
+            ids = found.ids
+            cuts = [*np.flatnonzero(self.spaced[ids])[1:].tolist(), len(ids)]
+            if len(cuts) == len(spaced):
+                a = 0
+                for k, b in zip(spaced, cuts, strict=True):
+                    out[k] = ids[a:b]
+                    a = b
+        rest = [k for k, x in enumerate(out) if not x]
+        for k, e in zip(rest, self.library.encode_batch_fast([words[k] for k in rest], add_special_tokens=False), strict=True):
+            out[k] = e.ids
+        return out
 
-    def _plain(self, text: str) -> bool:
-        return self.byte_level and not _DOUBTFUL.search(text) and not (self.find_added and self.find_added.search(text))
+    def _learn(self, words: list[str]) -> None:
+        if not words:
+            return
+        found = self._encode_words(words)
+        n, flat = self.table.n, np.fromiter(chain.from_iterable(found), self.ids.dtype)
+        low = n - len(words)
+        ends = self.first[low] + np.cumsum([len(x) for x in found])
+        while n + 1 > len(self.first):
+            self.first = np.concatenate((self.first, np.zeros_like(self.first)))
+        while ends[-1] > len(self.ids):
+            self.ids = np.concatenate((self.ids, np.zeros_like(self.ids)))
+        self.first[low + 1 : n + 1] = ends
+        self.ids[self.first[low] : ends[-1]] = flat
 
     def encode_many(self, texts: list[str | None]) -> list[bytes]:
-        """The ids of each text; null is empty. New words of all texts go to the library at once."""
-        parts = [_PRETOKENS.findall(t) if t and self._plain(t) else None for t in texts]
-        words = set().union(*(x for x in parts if x))
-        cache = self.cache
-        new = list(words.difference(cache))
-        if len(cache) + len(new) > self.most_words and cache:
-            cache.clear()
-            new = list(words)
-        got = self.library.encode_batch_fast(new, add_special_tokens=False) if new else []
-        fresh = {w: self.pack(e.ids) for w, e in zip(new, got, strict=True)}
-        cache.update(fresh)
-        out = [
-            b"".join(map(cache.__getitem__, x)) if x is not None else self.pack(self.library.encode(t, add_special_tokens=False).ids) if t else b""
-            for t, x in zip(texts, parts, strict=True)
-        ]
-        for w in new:
-            if len(w) > _LONG_WORD:
-                del cache[w]
+        """The ids of each text; null is empty."""
+        out = [b""] * len(texts)
+        plain = []
+        for k, t in enumerate(texts):
+            if t and self._plain(t):
+                plain.append(k)
+            elif t:
+                out[k] = self.pack(self.library.encode(t, add_special_tokens=False).ids)
+        for group in pieces([texts[k] for k in plain]):
+            joined = "\0".join([texts[plain[g]] for g in group]) + "\0"
+            if self.table.n > self.table.most_words:
+                self.clear()
+            starts, ends, numbers = self.table.find(joined)
+            new = self.table.add(numbers)
+            self._learn([joined[a:b] for a, b in zip(starts[new].tolist(), ends[new].tolist(), strict=True)])
+            ended = numbers == -2
+            numbers[ended] = 0
+            low = self.first[numbers]
+            n = self.first[numbers + 1] - low
+            n[ended] = 0
+            stop = np.cumsum(n)
+            ids = self.ids[np.arange(stop[-1]) + np.repeat(low - (stop - n), n)]
+            at = 0
+            for g, b in zip(group, stop[ended].tolist(), strict=True):
+                out[plain[g]] = ids[at:b].tobytes()
+                at = b
         return out
 
     def encode(self, text: str | None) -> bytes:
@@ -104,11 +203,13 @@ class PrefixCounter(Vocabulary):
     each prefix, its last token and one more than the count of the prefix before that token.
     """
 
-    def __init__(self, path: str, most_words: int = 800_000, most_pairs: int = 1_000_000) -> None:
+    def __init__(self, path: str, most_words: int = 1_500_000, most_pairs: int = 1_000_000) -> None:
         super().__init__(path)
         if not (self.byte_level and self.plain_added):
             raise ValueError("prefix counts need a byte-level BPE whose added tokens match plainly")
-        self.most_words, self.most_pairs = most_words, most_pairs
+        self.most_pairs = most_pairs
+        self.words = WordTable(most_words, cut_pretokens)
+        self.known = np.zeros(1 << 16, np.int64)
         alphabet = _byte_alphabet()
         self.letters = {b: alphabet[b] for b in range(256)}
         model = self.library.model
@@ -162,7 +263,7 @@ class PrefixCounter(Vocabulary):
         if (known := self.totals.get(word)) is None:
             known = self.table(word)[-1]
             if len(word) <= _LONG_WORD:
-                if len(self.totals) > self.most_words:
+                if len(self.totals) > 100_000:
                     self.totals.clear()
                 self.totals[word] = known
         return known
@@ -216,24 +317,54 @@ class PrefixCounter(Vocabulary):
         return out
 
     def fitting(self, text: str | None, limit: int) -> tuple[int, int]:
-        """Tokens of the text, and the length in characters of its longest prefix of at most
+        return self.fitting_many([text], limit)[0]
+
+    def fitting_many(self, texts: list[str | None], limit: int) -> list[tuple[int, int]]:
+        """Of each text its tokens, and the length in characters of its longest prefix of at most
         `limit` tokens; only the pre-tokens around the limit are looked into."""
-        if not text:
-            return 0, 0
-        parts = self.parts(text)
-        sums = list(accumulate(self.counts_of(parts)))
-        if sums[-1] <= limit:
-            return sums[-1], len(text)
-        import bisect
+        out = [(0, 0)] * len(texts)
+        plain = []
+        for k, t in enumerate(texts):
+            if t and self._plain(t):
+                plain.append(k)
+            elif t:
+                parts = self.parts(t)
+                sums = list(accumulate(self.counts_of(parts)))
+                out[k] = self._fit(t, [0, *accumulate(map(len, parts))], sums, limit)
+        for group in pieces([texts[k] for k in plain]):
+            joined = "\0".join([texts[plain[g]] for g in group]) + "\0"
+            if self.words.n > self.words.most_words:
+                self.words.clear()
+            starts, ends, numbers = self.words.find(joined)
+            new = self.words.add(numbers)
+            while self.words.n > len(self.known):
+                self.known = np.concatenate((self.known, np.zeros_like(self.known)))
+            if len(new):
+                self.known[self.words.n - len(new) : self.words.n] = [self.table(joined[a:b])[-1] for a, b in zip(starts[new].tolist(), ends[new].tolist(), strict=True)]
+            ended = np.flatnonzero(numbers == -2)
+            counts = self.known[numbers]
+            counts[ended] = 0
+            sums = np.cumsum(counts)
+            first = base = 0
+            for g, e in zip(group, ended.tolist(), strict=True):
+                k = plain[g]
+                total = int(sums[e]) - base
+                if total <= limit:
+                    out[k] = (total, len(texts[k]))
+                else:
+                    out[k] = self._fit(texts[k], starts[first : e + 1] - starts[first], sums[first:e] - base, limit)
+                first, base = e + 1, int(sums[e])
+        return out
 
+    def _fit(self, text: str, starts, sums, limit: int) -> tuple[int, int]:
+        """starts has each part's and the end; sums the tokens up to and with each part."""
+        total = int(sums[-1])
+        if total <= limit:
+            return total, len(text)
         k = bisect.bisect_right(sums, limit)
-        at = sum(map(len, parts[:k]))
-        low = max(0, k - 2)
-        start = sum(map(len, parts[:low]))
-        stop = at + sum(map(len, parts[k : k + 3]))
-        if any(w in self.added for w in parts[max(0, k - 3) : k + 4]):
-            near = self.prefixes(text)
-            return sums[-1], max(i for i, n in enumerate(near) if n <= limit)
-        base = sums[low - 1] if low else 0
-        near = self.prefixes(text[start:stop])
-        return sums[-1], start + max((i for i, n in enumerate(near) if base + n <= limit), default=0)
+        low, high = max(0, k - 2), min(len(sums), k + 3)
+        if self.find_added and self.find_added.search(text):
+            return total, max(i for i, n in enumerate(self.prefixes(text)) if n <= limit)
+        base, start = int(sums[low - 1]) if low else 0, int(starts[low])
+        near = self.prefixes(text[start : int(starts[high])])
+        return total, start + max((i for i, n in enumerate(near) if base + n <= limit), default=0)

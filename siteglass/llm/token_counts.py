@@ -51,7 +51,7 @@ def token_counts(df: DataFrame, text: str = "text", vocabulary: str | None = Non
         counter = per_worker(lambda: PrefixCounter(path), ("prefix", path))
 
         def work(texts: list[str | None]) -> list[pa.Array]:
-            fits = [counter.fitting(t, limit) for t in texts]
+            fits = counter.fitting_many(texts, limit)
             sizes = [len(t) if t and t.isascii() else len(t.encode("utf-8", "surrogatepass")) if t else 0 for t in texts]
             return [pa.array(sizes, pa.int64()), pa.array([n for n, _ in fits], pa.int64()), pa.array([k for _, k in fits], pa.int64())]
 
