@@ -166,8 +166,10 @@ def learn(df: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "d
     )
     seen = statistics(df.select(key, F.col(text)).join(F.broadcast(sample), doc_id), text)
     values = features()
-    rows = seen.where(~base_failed()).select(key, "__label", *[c.alias(n) for n, c in values.items()]).orderBy(F.xxhash64(key), key).limit(most_rows).collect()
-    return cover([({n: r[n] for n in values}, r["__label"] == 0) for r in rows], list(values))
+    # the base test is a column and not a filter: a filter would be pushed below the statistics and repeat them
+    rows = seen.select(F.xxhash64(key).alias("__order"), key, "__label", base_failed().alias("__failed"), *[c.alias(n) for n, c in values.items()]).collect()
+    rows = sorted(rows, key=lambda r: (r["__order"], str(r[doc_id])))
+    return cover([({n: r[n] for n in values}, r["__label"] == 0) for r in rows if not r["__failed"]], list(values))
 
 
 def verdict(rules: list[Rule]) -> Column:
