@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siteglass.llm import packing, quality, records, token_counts, toxicity, url_filters
+from siteglass.llm import decontamination, jaccard, licenses, packing, quality, quotations, records, token_counts, toxicity, url_filters
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,10 +25,18 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(docs, rules).select("doc_id", *quality.STATISTICS, "base_failed", "rule", "kept")
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), end_id=0, capacity=1024)
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.classes(_table(spark, sf_dir, "documents"), n=3, num=90, den=100)
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     out = toxicity.held_out(F.col("doc_id"))
@@ -36,6 +44,14 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", out.alias("held_out"), "score", "predicted")
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_table(spark, sf_dir, "documents"))
+
+
+def op8_chat_quotations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotations.conversations(_table(spark, sf_dir, "conversations"))
+
+
 def op9_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.token_records(_table(spark, sf_dir, "documents"), end_id=2).select("doc_id", "start", "n_tokens", "ids_crc32")
 
@@ -48,12 +64,16 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_counts": op1_token_counts,
         "op2_quality_rules": op2_quality_rules,
+        "op3_decontamination": op3_decontamination,
         "op4_packing": op4_packing,
+        "op5_jaccard_join": op5_jaccard_join,
         "op6_toxicity": op6_toxicity,
+        "op7_license_scan": op7_license_scan,
+        "op8_chat_quotations": op8_chat_quotations,
         "op9_token_records": op9_token_records,
         "op10_url_filters": op10_url_filters,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_url_filters": url_filters.sql()}
+    return {"op7_license_scan": licenses.sql(), "op10_url_filters": url_filters.sql()}
