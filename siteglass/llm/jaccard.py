@@ -11,12 +11,15 @@ order. Cutting that order into fragments cuts every set into segments.
    up for empty segments, which are no keys; a set with more empty segments than that also has the
    n-grams of its prefix (the first n - tn + 1) as keys. So no link is lost. A passage that many
    documents share is only part of a segment and makes no key common.
-3. Nodes that share a key are first compared with the key's smallest node only. What that links is one
-   component, and no pair within a component is looked at again: copies in large groups cost a row
-   each and not a pair each. A few rounds of this follow with one node for each component and key, then
-   every pair that still shares a key across components.
-4. A pair is compared by fragments: segments of both meet on (node, fragment), the overlaps are
-   counted there, and summed for each pair. The link test is exact arithmetic on integers.
+3. Nodes connected by shared keys are a family, its smallest node their hub. Every node is compared
+   with its hub alone, by fragments: segments of both meet on (hub, fragment), where the overlap is
+   counted and the difference taken; the overlaps are summed for each pair. So a family costs a row for
+   each node and fragment, and no pair of other members.
+4. Distances to the hub decide most links without another look: by the triangle inequality, what is
+   near the hub is linked, and one star holds it together. Links of the other nodes are found by a
+   prefix join on the differences from the hub, which hold a node's own edits and little else: rarest
+   elements first, cut by what overlap the distances ask for. The pairs it yields are compared by
+   fragments of the differences. All tests are exact arithmetic on integers.
 
 Hashes stand for n-grams: a wrong link needs a collision of 64 bits within two compared sets.
 
@@ -34,7 +37,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siteglass.llm.common import joined_small, ship, stored
@@ -45,7 +48,6 @@ FRAGMENTS = 8
 GROWTH = 1.5
 #: Ids that may be broadcast: 16 MB of them.
 MOST_BROADCAST = 2_000_000
-STAR_ROUNDS = 3
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _U32 = np.uint64(32)
 
@@ -152,53 +154,97 @@ def prints(grams: np.ndarray) -> tuple[np.int64, np.int64]:
 
 
 def _segments(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
-    """From (node, one, text) the segments of the node's set, if it is the set of that fingerprint."""
+    """From (node, hub, size, one, text) the segments of the node's set, empty ones too, if the text
+    has the set of that fingerprint."""
     cuts = (np.arange(1, FRAGMENTS, dtype=np.uint64) << np.uint64(61)) * np.uint64(8 // FRAGMENTS)
     for batch in batches:
-        nodes, one, texts = (c.to_pylist() for c in batch.columns)
-        rows: list[tuple[int, int, np.ndarray]] = []
+        nodes, hubs, sizes, one, texts = (c.to_pylist() for c in batch.columns)
+        rows: list[tuple[int, int, int, int]] = []
+        parts: list[np.ndarray] = []
         for k, grams in ngram_sets(texts, n):
             if prints(grams)[0] == one[k]:
-                rows += [(nodes[k], f, x) for f, x in enumerate(np.split(grams, np.searchsorted(grams, cuts))) if len(x)]
+                parts += np.split(grams, np.searchsorted(grams, cuts))
+                rows += [(nodes[k], hubs[k], sizes[k], f) for f in range(FRAGMENTS)]
         if rows:
-            ends = np.concatenate(([0], np.cumsum([len(x) for _, _, x in rows]))).astype(np.int32)
-            segments = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([x for _, _, x in rows]).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in rows], pa.int64()), pa.array([x[1] for x in rows], pa.int32()), segments], names=["node", "fragment", "segment"])
+            ends = np.concatenate(([0], np.cumsum([len(x) for x in parts]))).astype(np.int32)
+            segments = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts).view(np.int64)))
+            longs = [pa.array(x, pa.int64()) for x in list(zip(*rows, strict=True))[:3]]
+            yield pa.RecordBatch.from_arrays([*longs, pa.array([x[3] for x in rows], pa.int32()), segments], names=["node", "hub", "size", "fragment", "segment"])
 
 
-def _similar(num: int, den: int, overlap: Column) -> Column:
-    return overlap * den >= (F.col("size_a") + F.col("size_b") - overlap) * num
+def families(entries: DataFrame) -> DataFrame:
+    """From entries (key, node): (node, hub) of nodes connected by shared keys; hub is the smallest.
 
+    Keys with several nodes are few. Each of their nodes is tied to the key's smallest, so a key of many
+    nodes costs a row for each of them.
+    """
+    live = stored(entries.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("key", "low"), "live-keys")
+    ties = joined_small(entries, live, "key", "inner", live.count(), MOST_BROADCAST).where("node != low").select(F.col("low").alias("a"), F.col("node").alias("b")).distinct()
+    return components(ties).withColumnRenamed("component", "hub")
 
-def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, n: int, num: int, den: int, repeats: bool) -> DataFrame:
-    """Of pairs (a, b, size_a, size_b) those that are linked; repeats: a doc_id may occur twice in docs."""
-    pairs = stored(pairs.where((F.col("size_a") * den >= F.col("size_b") * num) & (F.col("size_b") * den >= F.col("size_a") * num)), "pairs")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "one"), "node")
-    wanted = stored(wanted, "wanted")
-    chosen = joined_small(docs.withColumnRenamed("doc_id", "node"), wanted, "node", "inner", wanted.count(), MOST_BROADCAST)
-    parts = chosen.select("node", "one", "text").mapInArrow(lambda batches: _segments(batches, n), "node long, fragment int, segment array<long>")
-    parts = stored(parts.dropDuplicates(["node", "fragment"]) if repeats else parts, "segments")
-    b = parts.select(F.col("node").alias("b"), "fragment", F.col("segment").alias("of_b"))
-    a = parts.select(F.col("node").alias("a"), "fragment", F.col("segment").alias("of_a"))
-    counted = pairs.join(b, "b").join(a, ["a", "fragment"]).select("a", "b", "size_a", "size_b", F.size(F.array_intersect("of_a", "of_b")).cast("long").alias("partial"))
-    summed = counted.groupBy("a", "b", "size_a", "size_b").agg(F.sum("partial").alias("overlap"))
-    return summed.where(_similar(num, den, F.col("overlap"))).select("a", "b")
-
-
-def _stars(members: DataFrame) -> DataFrame:
-    """Of members (key, node, size, group): pairs of the key's smallest node with one node of each
-    other group."""
-    one = members.groupBy("key", "group").agg(F.min(F.struct("node", "size")).alias("x"))
-    hub = one.groupBy("key").agg(F.min("x").alias("hub"))
-    joined = one.join(hub, "key").where("x.node != hub.node")
-    return joined.select(F.col("hub.node").alias("a"), F.col("x.node").alias("b"), F.col("hub.size").alias("size_a"), F.col("x.size").alias("size_b")).distinct()
 
-
-def _open(members: DataFrame, found: DataFrame) -> DataFrame:
-    """Members with their component as group, of keys that hold several components."""
-    grouped = members.drop("group").join(found.withColumnRenamed("component", "group"), "node", "left").withColumn("group", F.coalesce("group", "node"))
-    several = grouped.groupBy("key").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low < high").select("key")
-    return grouped.join(several, "key").select("key", "node", "size", "group")
+def differences(family: DataFrame, docs: DataFrame, n: int, repeats: bool) -> DataFrame:
+    """Of family (node, hub, size, one): (hub, node, size, fragment, partial, delta), for each fragment
+    the overlap of the node's segment with its hub's, and what only one of the two has."""
+    family = stored(family, "family")
+    chosen = joined_small(docs.withColumnRenamed("doc_id", "node"), family, "node", "inner", family.count(), MOST_BROADCAST)
+    parts = chosen.select("node", "hub", "size", "one", "text").mapInArrow(lambda batches: _segments(batches, n), "node long, hub long, size long, fragment int, segment array<long>")
+    parts = stored(parts.dropDuplicates(["node", "fragment"]) if repeats else parts, "segments")
+    hubs = parts.where("node = hub").select("hub", "fragment", F.col("segment").alias("theirs"))
+    met = parts.join(hubs, ["hub", "fragment"])
+    delta = F.concat(F.array_except("segment", "theirs"), F.array_except("theirs", "segment"))
+    return stored(met.select("hub", "node", "size", "fragment", F.size(F.array_intersect("segment", "theirs")).cast("long").alias("partial"), delta.alias("delta")), "differences")
+
+
+def near_links(sums: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """From sums (hub, node, size, apart): links that follow from distances to the hub alone, and sums
+    with near, whether a node is in one.
+
+    Sets at distances e and f from the hub are at most e + f apart. Where that is near enough for two
+    nodes, it is so for each of them and the node of least (num + den) e - (den - num) size.
+    """
+    scored = sums.withColumn("score", F.col("apart") * (num + den) - F.col("size") * (den - num))
+    best = scored.groupBy("hub").agg(F.min(F.struct("score", "node")).alias("best"), F.min("hub").alias("__h")).drop("__h")
+    both = stored(scored.join(best, "hub").withColumn("near", F.col("score") + F.col("best.score") <= 0), "scored")
+    links = both.where(F.col("near") & (F.col("node") != F.col("best.node"))).select(F.col("best.node").alias("a"), F.col("node").alias("b"))
+    return links, both.withColumn("near", F.col("near") | (F.col("node") == F.col("best.node"))).select("hub", "node", "size", "apart", "near")
+
+
+def far_links(sums: DataFrame, deltas: DataFrame, num: int, den: int) -> DataFrame:
+    """Links in which a node takes part that is not near.
+
+    x and y are e + f - 2o apart, if their differences from the hub share o elements. So a link asks for
+    an o that grows with e and f, and prefixes of the differences, the rarest elements first, meet in
+    at least one element. Prefixes are cut for each band of the other's distance.
+    """
+    opened = sums.where(~F.col("near")).select("hub").distinct()
+    members = stored(sums.join(opened, "hub", "left_semi"), "members")
+    elements = stored(deltas.select("hub", "node", F.explode("delta").alias("element")).join(members.drop("hub"), "node"), "elements")
+    often = elements.groupBy("hub", "element").agg(F.count(F.lit(1)).alias("df"), F.max(~F.col("near")).alias("asked"))
+    ranked = elements.join(often, ["hub", "element"]).withColumn("rank", F.row_number().over(Window.partitionBy("node").orderBy("df", "element")))
+
+    def band(e: Column) -> Column:
+        return F.floor(F.log(F.greatest(e, F.lit(1)).cast("double")) / math.log(1.25)).cast("int")
+
+    reach = F.floor(F.col("size") * (den - num) / F.lit(num)).cast("long")  # no link is wider apart
+    ranked = ranked.where("df > 1 and asked").withColumn("reach", reach).withColumn("band", band(F.col("apart")))
+    others = F.explode(F.sequence(band(F.col("apart") - F.col("reach")), band(F.col("apart") + F.col("reach")))).alias("other")
+    spread = ranked.select("hub", "node", "size", "apart", "near", "element", "rank", "reach", "band", others)
+    low = F.floor(F.pow(F.lit(1.25), F.col("other")) - 1e-6).cast("long")
+    need = F.greatest(F.lit(1).cast("long"), F.ceil((F.col("apart") + F.greatest(low, F.lit(1)) - F.col("reach")) / 2.0))
+    cut = spread.where(F.col("rank") <= F.col("apart") - need + 1).select("hub", "node", "size", "apart", "near", "element", "band", "other")
+    cut = stored(cut, "prefixes")
+    x = cut.where(~F.col("near")).select("hub", "element", F.col("band").alias("bx"), F.col("other").alias("by"), F.col("node").alias("x"), F.col("size").alias("sx"), F.col("apart").alias("ex"))
+    y = cut.select("hub", "element", F.col("other").alias("bx"), F.col("band").alias("by"), F.col("node").alias("y"), F.col("size").alias("sy"), F.col("apart").alias("ey"), F.col("near").alias("ny"))
+    met = x.join(y, ["hub", "element", "bx", "by"]).where("x != y and (ny or x < y)")
+    met = met.where((F.col("sx") * den >= F.col("sy") * num) & (F.col("sy") * den >= F.col("sx") * num))
+    pairs = stored(met.select("x", "y", "sx", "sy", "ex", "ey").distinct(), "pairs")
+    of_x = deltas.select(F.col("node").alias("x"), "fragment", F.col("delta").alias("dx"))
+    of_y = deltas.select(F.col("node").alias("y"), "fragment", F.col("delta").alias("dy"))
+    counted = pairs.join(of_x, "x").join(of_y, ["y", "fragment"]).select("x", "y", "sx", "sy", "ex", "ey", F.size(F.array_intersect("dx", "dy")).cast("long").alias("partial"))
+    shared = counted.groupBy("x", "y", "sx", "sy", "ex", "ey").agg(F.sum("partial").alias("o"))
+    apart = F.col("ex") + F.col("ey") - 2 * F.col("o")
+    return shared.where(apart * (num + den) <= (F.col("sx") + F.col("sy")) * (den - num)).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
 def classes(df: DataFrame, n: int = 5, num: int = 80, den: int = 100, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -212,44 +258,20 @@ def classes(df: DataFrame, n: int = 5, num: int = 80, den: int = 100, doc_id: st
     same = slim.where("size > 0 and doc_id is not null").groupBy("one", "two", "size").agg(F.min("doc_id").alias("node"))
     nodes = stored(same.groupBy("node").agg(F.min(F.struct("one", "two", "size")).alias("s")).select("node", "s.one", "s.two", "s.size"), "nodes")
     chosen = joined_small(signed.where("size > 0").withColumnRenamed("doc_id", "node"), nodes, ["node", "one", "two", "size"], "inner", nodes.count(), MOST_BROADCAST)
-    entries = chosen.select("node", "size", F.explode("keys").alias("key")).select("key", "node", "size")
-    live = entries.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("key")
-    members = stored(entries.join(live, "key").distinct().withColumn("group", F.col("node")), "members")
-
+    family = families(chosen.select(F.explode("keys").alias("key"), "node")).join(nodes, "node")
     repeats = not slim.groupBy("doc_id").count().where("count > 1").isEmpty()
-    known = links = None
-    found = None
-    for k in range(STAR_ROUNDS + 1):
-        pairs = _stars(members) if k < STAR_ROUNDS else _across(members)
-        if known is not None:
-            pairs = pairs.join(known, ["a", "b"], "left_anti")
-        pairs = stored(pairs, "candidates")
-        if pairs.isEmpty():
-            if k < STAR_ROUNDS:
-                continue
-            break
-        known = pairs.select("a", "b") if known is None else known.unionByName(pairs.select("a", "b"))
-        new = stored(verified(pairs, docs, nodes, n, num, den, repeats), "verified")
-        links = new if links is None else links.unionByName(new)
-        found = stored(components(links), "components")
-        members = stored(_open(members, found), "members")
-    out = slim.join(same, ["one", "two", "size"], "left").withColumn("node", F.when(F.col("size") > 0, F.coalesce("node", "doc_id")).otherwise(F.col("doc_id")))
-    if found is None:
-        return out.select("doc_id", F.col("size").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.col("node")).alias("component_id"), F.lit(0).cast("long").alias("n_links"))
+    deltas = differences(family.select("node", "hub", "size", "one"), docs, n, repeats)
+    # the partial overlaps of each pair of node and hub, summed
+    sums = deltas.groupBy("hub", "node", "size").agg(F.sum("partial").alias("overlap"), F.sum(F.size("delta")).cast("long").alias("apart"))
+    links, sums = near_links(sums.drop("overlap"), num, den)
+    links = stored(links.unionByName(far_links(sums, deltas, num, den)).distinct(), "links")
+    found = components(links)
     ends = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
-    labelled = found.join(ends, "node", "left")
-    out = out.join(labelled, "node", "left")
+    out = slim.join(same, ["one", "two", "size"], "left").withColumn("node", F.when(F.col("size") > 0, F.coalesce("node", "doc_id")).otherwise(F.col("doc_id")))
+    out = out.join(stored(found.join(ends, "node", "left"), "labelled"), "node", "left")
     return out.select("doc_id", F.col("size").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "node")).alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
-def _across(members: DataFrame) -> DataFrame:
-    """All pairs that share a key across components."""
-    x = members.select("key", F.col("node").alias("a"), F.col("size").alias("size_a"), F.col("group").alias("group_a"))
-    y = members.select("key", F.col("node").alias("b"), F.col("size").alias("size_b"), F.col("group").alias("group_b"))
-    pairs = x.join(y, "key").where("group_a != group_b and a < b")
-    return pairs.select("a", "b", "size_a", "size_b").distinct()
-
-
 def representatives(df: DataFrame, **options) -> DataFrame:
     """The rows of df that stand for their component: those whose doc_id is its smallest; rows without
     a doc_id stay."""
