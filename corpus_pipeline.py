@@ -1,23 +1,60 @@
-"""A training corpus from raw documents: quality, toxicity, near duplicates, leaks, packing."""
+"""A training corpus from raw documents: quality, toxicity, near duplicates, leaks, packing.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; docs are all rows that the stage before
+it kept, and every stage but the last returns the columns of documents. Labels and benchmark come from
+sf_dir; models are learned from the labelled rows that are left in docs.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from siteglass.llm import packing
+from siteglass.llm import decontamination, jaccard, packing, quality, toxicity
 from siteglass.llm.common import stored
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the base test and the learned rules keep."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return quality.keep(docs, quality.learn(docs, labels))
+
+
+def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents not predicted to be toxic; learned without the rows that op6 holds out."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
+    model = toxicity.learn(docs, labels, usable=~toxicity.held_out(F.col("doc_id")))
+    columns = docs.columns
+    row = docs.select(F.struct(*columns).alias("row"), "text")
+    return toxicity.score(row, model).where("predicted = 0").select("row.*")
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group linked by a similarity of 0.8 over 5-word shingles: its smallest id."""
+    return jaccard.representatives(docs, n=5, num=80, den=100)
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that leak no benchmark item."""
+    return decontamination.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents that are left, in sequences of 1024 tokens."""
     return packing.pack(docs, end_id=0, capacity=1024)
 
 
-STAGES: list[tuple[str, Stage]] = [("packing", pack)]
+STAGES: list[tuple[str, Stage]] = [
+    ("quality rules", quality_rules),
+    ("toxicity", toxicity_filter),
+    ("n-gram Jaccard join", near_duplicates),
+    ("benchmark decontamination", decontaminated),
+    ("packing", pack),
+]
 
 #: SQL has no tokenizer, no learned rules and no decoder; tests compare with a brute-force version.
 ORACLE_SQL: str | None = None
@@ -29,5 +66,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            docs = stored(docs, f"stage-{name}")
+            docs = stored(docs, f"stage-{name.replace(' ', '-')}")
     return docs

@@ -193,8 +193,9 @@ def judge(df: DataFrame, rules: list[Rule], text: str = "text") -> DataFrame:
 def keep(df: DataFrame, rules: list[Rule], text: str = "text") -> DataFrame:
     """The rows of df that the rules keep, with df's columns only.
 
-    The row number stays in the condition so that the optimizer evaluates the statistics once, below
-    the filter, and not inside it.
+    The row number above the statistics stays in the condition, so that the optimizer cannot push the
+    filter into their expressions, where they would be worked out again for each element.
     """
-    marked = df.select(F.struct(*df.columns).alias("__row"), F.col(text).alias("__text"), F.monotonically_increasing_id().alias("__n"))
-    return judge(marked, rules, "__text").where(F.col("kept") & (F.col("__n") >= 0)).select("__row.*")
+    row = df.select(F.struct(*df.columns).alias("__row"), F.col(text).alias("__text"))
+    judged = judge(row, rules, "__text").withColumn("__n", F.monotonically_increasing_id())
+    return judged.where(F.col("kept") & (F.col("__n") >= 0)).select("__row.*")
