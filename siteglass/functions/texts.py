@@ -28,7 +28,7 @@ def is_weak_token(token: Column) -> Column:
 
 
 def title_segments(title: Column) -> Column:
-    return F.filter(F.transform(F.split(title, TITLE_SEPARATORS), F.trim), lambda s: s != "")
+    return F.filter(F.transform(F.split(title, TITLE_SEPARATORS), lambda s: F.trim(s)), lambda s: s != "")
 
 
 def ngrams(tokens: Column, most: int) -> Column:
