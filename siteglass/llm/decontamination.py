@@ -1,7 +1,7 @@
 """Benchmark decontamination by template canonicalisation, with built-in functions only.
 
 A text is cut into words, numbers and signs. Its template replaces numbers, units after a number and
-names (capitalised words inside a sentence) by typed placeholders; a second template keeps the names
+names (capitalised words after a word of the same sentence) by typed placeholders; a second template keeps the names
 as lower-case words, so that a copy in another case is found too. Windows of WINDOW template tokens,
 hashed, are joined with those of the benchmark's items. What a window's placeholders stand for in the
 document and in the item are its slots: at one alignment, each value of the item must stand for one
@@ -25,6 +25,8 @@ and are not read otherwise.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,9 +39,13 @@ UNITS = (
     "pound", "pounds", "ounce", "ounces", "ml", "l", "liter", "liters", "litre", "litres", "second", "seconds", "minute", "minutes", "hour", "hours", "day", "days", "week",
     "weeks", "month", "months", "year", "years", "cent", "cents", "dollar", "dollars", "euro", "euros", "percent", "degree", "degrees", "meter", "meters", "metre", "metres",
 )
-_TOKENS = "[\\p{L}\\p{M}]+|[0-9]+(?:[.,][0-9]+)*|[%$€£°]|[.!?:;\n]"
-_STOPS = (".", "!", "?", ":", ";", "\n")
-_NUMBER, _UNIT, _NAME = "<num>", "<unit>", "<name>"
+#: Placeholders inside a template: characters that no text is expected to hold; those of a text are blanked.
+_NAME, _NUMBER, _UNIT = "\x01", "\x02", "\x03"
+_NUMERAL = "[0-9]+(?:[.,][0-9]+)*"
+_NAMES = "\\p{Lu}(?<=[\\p{L}\\p{M}\\p{N},;] {1,3}\\p{Lu})\\p{Ll}+(?![\\p{L}\\p{M}])"
+_MEASURES = _NUMERAL + " {0,3}(?i:" + "|".join(re.escape(u) for u in sorted(UNITS, key=lambda u: (-len(u), u))) + ")(?![\\p{L}\\p{M}])"
+_TOKENS = "[\\p{L}\\p{M}]+|[\\x01-\\x03%$€£°]"
+_RAW_TOKENS = "[\\p{L}\\p{M}]+|" + _NUMERAL + "|[%$€£°]"
 
 
 def text_key(text: Column) -> list[Column]:
@@ -47,51 +53,49 @@ def text_key(text: Column) -> list[Column]:
     return [F.xxhash64(t).alias("k1"), F.xxhash64(F.lit("second"), t).alias("k2")]
 
 
-def _cut(df: DataFrame, text: str) -> DataFrame:
-    """df with __t, the tokens of a text, stops among them."""
-    return df.withColumn("__t", F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(_TOKENS), F.lit(0)))
-
+def _template(text: Column) -> Column:
+    """The tokens of a text, lower-cased, numbers and units replaced."""
+    measured = F.regexp_replace(text, _MEASURES, f" {_NUMBER} {_UNIT} ")
+    return F.regexp_extract_all(F.lower(F.regexp_replace(measured, _NUMERAL, f" {_NUMBER} ")), F.lit(_TOKENS), F.lit(0))
 
-def _is_number(t: Column) -> Column:
-    return (t >= "0") & (t < ":")
 
+def _templates(df: DataFrame, text: str) -> DataFrame:
+    """df with __a, the template, and __b, the one that keeps names, null where there are none."""
+    plain = F.translate(F.coalesce(F.col(text), F.lit("")), _NAME + _NUMBER + _UNIT, "   ")
+    out = df.withColumn("__plain", plain).withColumn("__named", F.regexp_replace("__plain", _NAMES, _NAME))
+    return out.withColumn("__a", _template(F.col("__named"))).withColumn("__b", F.when(F.contains("__named", F.lit(_NAME)), _template(F.col("__plain"))))
 
-def _placed(t: Column, i: Column, names: bool) -> Column:
-    low, before = F.lower(t), F.get("__t", i - 1)
-    out = F.when(_is_number(t), F.lit(_NUMBER)).when(_is_number(before) & low.isin(*UNITS), F.lit(_UNIT))
-    if names:
-        inside = (i > 0) & ~before.isin(*_STOPS)
-        out = out.when((t != low) & inside & (F.length(t) > 1) & (F.substring(t, 2, 1_000) == F.substring(low, 2, 1_000)), F.lit(_NAME))
-    return out.otherwise(low)
 
-
-def _templates(df: DataFrame, text: str) -> DataFrame:
-    """df with __a, the template without stops, and __b, the one that keeps names, null where equal."""
-    out = _cut(df, text)
-    cased = F.exists("__t", lambda t: (F.substring(t, 1, 1) != F.lower(F.substring(t, 1, 1))) & (F.length(t) > 1))
-    out = out.withColumn("__a0", F.transform("__t", lambda t, i: _placed(t, i, True)))
-    has_names = F.array_contains("__a0", _NAME)
-    out = out.withColumn("__b0", F.when(cased & has_names, F.transform("__t", lambda t, i: _placed(t, i, False))))
-    return out.withColumn("__a", F.filter("__a0", lambda t: ~t.isin(*_STOPS))).withColumn("__b", F.filter("__b0", lambda t: ~t.isin(*_STOPS)))
+def _hash(column: str, i: Column, size: int) -> Column:
+    return F.xxhash64(*[F.get(column, i + k) for k in range(size)])
 
 
 def _hashes(column: str, size: int) -> Column:
     """Hashes of all windows of that many tokens; null if there are fewer tokens or no template."""
-    return F.when(F.size(column) >= size, F.transform(F.sequence(F.lit(0), F.size(column) - size), lambda i: F.xxhash64(*[F.get(column, i + k) for k in range(size)])))
+    return F.when(F.size(column) >= size, F.transform(F.sequence(F.lit(0), F.size(column) - size), lambda i: _hash(column, i, size)))
+
 
+def _windows(df: DataFrame, sizes: list[int], kept: list[str], literals: bool = False) -> DataFrame:
+    """A row for each window of df's templates: kept columns, pos, size, hash, slots (offset, kind and
+    value of each placeholder; null if there is none), and literals, the number of words, if asked for."""
+    df = df.withColumn("__raw", F.transform(F.regexp_extract_all("__plain", F.lit(_RAW_TOKENS), F.lit(0)), F.lower))
+    places = F.filter(
+        F.transform("__a", lambda t, i: F.when(t.isin(_NAME, _NUMBER, _UNIT), F.struct(i.alias("at"), t.alias("kind"), F.get("__raw", i).alias("value")))),
+        lambda x: x.isNotNull(),
+    )
+    df = df.withColumn("__places", places)
 
-def _windows(df: DataFrame, sizes: list[int], kept: list[str]) -> DataFrame:
-    """A row for each window of df's templates: kept columns, pos, size, hash, template, raw."""
-    raw = F.filter(F.arrays_zip("__t", "__a0"), lambda z: ~z["__a0"].isin(*_STOPS))
-    df = df.withColumn("__raw", F.transform(raw, lambda z: F.lower(z["__t"])))
     def window(column: str, size: int):
-        return lambda i: F.struct(
-            i.alias("pos"),
-            F.lit(size).alias("size"),
-            F.xxhash64(*[F.get(column, i + k) for k in range(size)]).alias("hash"),
-            F.slice(column, i + 1, size).alias("template"),
-            F.slice("__raw", i + 1, size).alias("raw"),
-        )
+        def one(i: Column) -> Column:
+            inside = F.filter("__places", lambda x: (x["at"] >= i) & (x["at"] < i + size))
+            kinds = (_NAME, _NUMBER, _UNIT) if column == "__a" else (_NUMBER, _UNIT)
+            slots = F.transform(F.filter(inside, lambda x: x["kind"].isin(*kinds)), lambda x: F.struct((x["at"] - i).alias("offset"), x["kind"].alias("kind"), x["value"].alias("value")))
+            fields = [i.alias("pos"), F.lit(size).alias("size"), _hash(column, i, size).alias("hash"), F.when(F.size("__places") > 0, slots).alias("slots")]
+            if literals:
+                fields.append(F.size(F.filter(F.slice(column, i + 1, size), lambda t: ~t.isin(_NUMBER, _UNIT, _NAME, "%", "$", "€", "£", "°"))).alias("literals"))
+            return F.struct(*fields)
+
+        return one
 
     out = None
     for column in ("__a", "__b"):
@@ -103,16 +107,15 @@ def _windows(df: DataFrame, sizes: list[int], kept: list[str]) -> DataFrame:
 
 
 def benchmark_windows(benchmark: DataFrame, item: str = "item_id", text: str = "text") -> DataFrame:
-    """item, pos, size, hash, template and raw of each usable window, and windows, how many positions
-    of the item have one."""
+    """item, pos, size, hash and slots of each usable window, and windows, how many positions of the
+    item have one."""
     # stored, so that no filter on sizes is pushed into the templates' expressions
     cut = stored(_templates(benchmark.select(F.col(item).alias("item"), F.col(text).alias("__text")), "__text").withColumn("__n", F.size("__a")), "benchmark-templates")
     short = [r[0] for r in cut.where((F.col("__n") >= LEAST_LITERALS) & (F.col("__n") < WINDOW)).select("__n").distinct().collect()]
-    long = _windows(cut.where(F.col("__n") >= WINDOW), [WINDOW], ["item"])
+    long = _windows(cut.where(F.col("__n") >= WINDOW), [WINDOW], ["item"], True)
     for size in sorted(short):
-        long = long.unionByName(_windows(cut.where(F.col("__n") == size), [size], ["item"]))
-    literal = F.size(F.filter("template", lambda t: ~t.isin(_NUMBER, _UNIT, _NAME, "%", "$", "€", "£", "°")))
-    usable = long.where(literal >= LEAST_LITERALS).dropDuplicates(["item", "pos", "hash"])
+        long = long.unionByName(_windows(cut.where(F.col("__n") == size), [size], ["item"], True))
+    usable = long.where(F.col("literals") >= LEAST_LITERALS).dropDuplicates(["item", "pos", "hash"]).drop("literals")
     counted = usable.groupBy("item").agg(F.countDistinct("pos").alias("windows"))
     return usable.join(counted, "item")
 
@@ -131,13 +134,14 @@ def leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", share: floa
     keyed = docs.select(F.col(text).alias("__text"), *text_key(F.col(text)))
     again = joined_small(keyed, hit, ["k1", "k2"], "left_semi", hit.count(), most_broadcast).dropDuplicates(["k1", "k2"])
     spans = _windows(_templates(again, "__text"), sizes, ["k1", "k2"])
-    items = wanted.select("hash", "size", "item", "windows", F.col("pos").alias("item_pos"), F.col("raw").alias("item_raw"), F.col("template").alias("item_template"))
-    met = joined_small(spans, items, ["hash", "size"], "inner", rows, most_broadcast).where(F.col("template") == F.col("item_template"))
-    met = met.withColumn("shift", F.col("pos") - F.col("item_pos"))
-    slots = F.filter(F.arrays_zip(F.col("template").alias("kind"), F.col("item_raw").alias("ours"), F.col("raw").alias("theirs")), lambda z: z["kind"].isin(_NUMBER, _UNIT, _NAME))
-    met = stored(met.select("k1", "k2", "item", "windows", "shift", "item_pos", slots.alias("slots")), "met-windows")
+    items = wanted.select("hash", "size", "item", "windows", F.col("pos").alias("item_pos"), F.col("slots").alias("item_slots"))
+    met = joined_small(spans, items, ["hash", "size"], "inner", rows, most_broadcast)
+    none = F.array().cast("array<struct<offset:int,kind:string,value:string>>")
+    # equal hashes have equal templates, so their slots are at the same offsets
+    slots = F.zip_with(F.coalesce("item_slots", none), F.coalesce("slots", none), lambda o, t: F.struct(o["kind"].alias("kind"), o["value"].alias("ours"), t["value"].alias("theirs")))
+    met = stored(met.select("k1", "k2", "item", "windows", (F.col("pos") - F.col("item_pos")).alias("shift"), "item_pos", slots.alias("slots")), "met-windows")
     at = ["k1", "k2", "item", "shift"]
-    values = met.select(*at, F.explode("slots").alias("s")).select(*at, "s.kind", "s.ours", "s.theirs")
+    values = met.where(F.size("slots") > 0).select(*at, F.explode("slots").alias("s")).select(*at, "s.kind", "s.ours", "s.theirs")
     torn = values.groupBy(*at, "kind", "ours").agg(F.min("theirs").alias("low"), F.max("theirs").alias("high")).where("low != high").select(*at).distinct()
     changed = F.exists("slots", lambda s: s["ours"] != s["theirs"])
     good = met.join(torn, at, "left_anti").groupBy("k1", "k2", "item", "windows", "item_pos").agg(F.max(changed).alias("changed"))
