@@ -1 +1,78 @@
+"""Queries over parsed pages: the record, its parts, and every check of the catalogue."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from siteglass.functions import urls
+from siteglass.operators import checks
+from siteglass.plans import model as m
+from siteglass.plans.registry import query
+from siteglass.sources import html
+
+
+def parsed(spark, sf_dir):
+    """The crawled pages; a run is all pages of one site."""
+    found = html.parse_pages(m.table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return found.withColumn("site", urls.site_key(F.col("url")))
+
+
+@query("parse_page")
+def parse_page(spark, sf_dir):
+    return parsed(spark, sf_dir).select("page_id", "site", "page.*")
+
+
+@query("main_content")
+def main_content(spark, sf_dir):
+    return parsed(spark, sf_dir).select("page_id", "page.word_count", "page.content_hash", "page.first_paragraph")
+
+
+@query("text_blocks")
+def text_blocks(spark, sf_dir):
+    return parsed(spark, sf_dir).select("page_id", F.posexplode("page.blocks").alias("pos", "block"))
+
+
+@query("links_extract")
+def links_extract(spark, sf_dir):
+    return parsed(spark, sf_dir).select("page_id", F.explode("page.links").alias("link"))
+
+
+@query("src_html", "SELECT page_id, strlen(html) AS html_bytes FROM pages WHERE strlen(html) <= 5242880", prelude=False)
+def src_html(spark, sf_dir):
+    return m.table(spark, sf_dir, "pages").where(F.octet_length("html") <= html.MOST_BYTES).select("page_id", F.octet_length("html").alias("html_bytes"))
+
+
+@query("check_all")
+def check_all(spark, sf_dir):
+    return checks.evaluate(parsed(spark, sf_dir).select("page_id", "url", "site", "page"), "site").select("page_id", "code", "severity", "outcome")
+
+
+@query("check_summary")
+def check_summary(spark, sf_dir):
+    found = checks.evaluate(parsed(spark, sf_dir).select("page_id", "url", "site", "page"), "site")
+    return checks.summary(found, "site").select("page_id", "possible", "lost", "score")
+
+
+def _check_query(code: str, sql: str | None = None) -> None:
+    @query(f"check_{code.lower()}", sql, prelude=False)
+    def run(spark, sf_dir):
+        return checks.evaluate(parsed(spark, sf_dir).select("page_id", "url", "site", "page"), "site", (code,)).select("page_id", "outcome")
+
+
+_TITLE = "regexp_extract(html, '<title>([^<]*)</title>', 1)"
+_PLAIN = {
+    "TITLE_MISSING": f"CASE WHEN trim({_TITLE}) = '' THEN 'fails' ELSE 'pass' END",
+    "META_DESCRIPTION_MISSING": "CASE WHEN regexp_matches(html, '<meta[^>]*name=\"description\"') THEN 'pass' ELSE 'fails' END",
+    "H1_MISSING": "CASE WHEN regexp_matches(html, '<h1>[^<]+') THEN 'pass' ELSE 'fails' END",
+    "CANONICAL_MISSING": "CASE WHEN regexp_matches(html, 'rel=\"canonical\"') THEN 'pass' ELSE 'fails' END",
+    "LANG_MISSING": "CASE WHEN regexp_matches(html, '<html[^>]* lang=\"[^\"]+\"') THEN 'pass' ELSE 'fails' END",
+    "VIEWPORT_MISSING": "CASE WHEN regexp_matches(html, 'name=\"viewport\"') THEN 'pass' ELSE 'fails' END",
+    "NOT_HTTPS": "CASE WHEN starts_with(url, 'http:') THEN 'fails' ELSE 'pass' END",
+    "LARGE_PAGE": "CASE WHEN strlen(html) > 1048576 THEN 'fails' ELSE 'pass' END",
+    "IMAGES_MISSING_ALT": "CASE WHEN NOT regexp_matches(html, '<img') THEN 'notApplicable' WHEN regexp_matches(html, '<img[^>]*alt=') THEN 'pass' ELSE 'fails' END",
+    "NOINDEX": "CASE WHEN regexp_matches(html, '<meta[^>]*robots[^>]*noindex') THEN 'fails' ELSE 'pass' END",
+    "BREADCRUMB_MISSING": "CASE WHEN regexp_matches(html, 'BreadcrumbList') THEN 'pass' ELSE 'fails' END",
+    "AUTHOR_MISSING": "CASE WHEN regexp_matches(html, 'name=\"author\"|rel=\"author\"') THEN 'pass' ELSE 'fails' END",
+}
+for _x in checks.CATALOGUE:
+    _check_query(_x.code, f"SELECT page_id, {_PLAIN[_x.code]} AS outcome FROM pages" if _x.code in _PLAIN else None)

@@ -1 +1,102 @@
+"""Text queries: near duplicates, the keyword pipeline and the walk of positions."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from siteglass.functions import texts, urls
+from siteglass.operators import checks, keywords, ranks
+from siteglass.plans import model as m
+from siteglass.plans.registry import query
+
+
+def fields(spark, sf_dir):
+    """The fields of each page that keywords are read from."""
+    from siteglass.plans.sites import parsed
+
+    p = parsed(spark, sf_dir)
+    parts = F.array(
+        F.struct(F.lit("title").alias("field"), F.col("page.title").alias("text")),
+        F.struct(F.lit("h1"), F.array_join("page.h1s", " ")),
+        F.struct(F.lit("slug"), F.regexp_replace(urls.stem(F.col("url")), "[-_]", " ")),
+        F.struct(F.lit("firstParagraph"), F.col("page.first_paragraph")),
+        F.struct(F.lit("body"), F.array_join("page.blocks", " ")),
+    )
+    long = p.select(F.col("site").alias("run"), "page_id", texts.iso_language(F.col("page.lang")).alias("lang"), F.explode(parts).alias("x"))
+    words = p.select("page_id", F.col("page.word_count").alias("words"))
+    return long.select("run", "page_id", "lang", F.col("x.field").alias("field"), F.coalesce("x.text", F.lit("")).alias("text")), words
+
+
+@query("kw_collect")
+def kw_collect(spark, sf_dir):
+    return keywords.candidates(fields(spark, sf_dir)[0]).select("run", "page_id", "term", "n_words", "tf", F.array_sort("fields").alias("fields"))
+
+
+@query("kw_page_score")
+def kw_page_score(spark, sf_dir):
+    step = keywords.compose(keywords.candidates, keywords.document_frequency, keywords.score, keywords.top)
+    return step(fields(spark, sf_dir)[0]).select("run", "page_id", "term", F.round("score", 6).alias("score"), "df")
+
+
+@query("kw_subsume")
+def kw_subsume(spark, sf_dir):
+    step = keywords.compose(keywords.candidates, keywords.document_frequency, keywords.score, keywords.top, keywords.subsume)
+    return step(fields(spark, sf_dir)[0]).select("run", "page_id", "term")
+
+
+@query("kw_select")
+def kw_select(spark, sf_dir):
+    return keywords.keywords(*fields(spark, sf_dir))
+
+
+_WORDS = "list_filter(string_split_regex(lower(text), '[^a-z0-9\\x{00c0}-\\x{024f}]+'), lambda w: w <> '')"
+
+
+@query("kw_df", f"SELECT source, word, count(DISTINCT doc_id) AS df FROM (SELECT source, doc_id, unnest({_WORDS}) AS word FROM documents WHERE n_chars < 1500) GROUP BY ALL HAVING count(DISTINCT doc_id) > 1", prelude=False)
+def kw_df(spark, sf_dir):
+    d = m.table(spark, sf_dir, "documents").where("n_chars < 1500")
+    words = F.array_distinct(F.filter(F.split(F.lower("text"), "[^a-z0-9\\u00c0-\\u024f]+"), lambda w: w != ""))
+    rows = d.select("source", "doc_id", F.explode(words).alias("word"))
+    return rows.groupBy("source", "word").agg(F.countDistinct("doc_id").alias("df")).where("df > 1")
+
+
+@query("kw_idf_score", "SELECT p_brand, p_size, round(ln(1 + n / df::DOUBLE) / ln(1 + n), 9) AS idf FROM (SELECT p_brand, p_size, count(*) AS df FROM part GROUP BY ALL) JOIN (SELECT p_brand, count(*) AS n FROM part GROUP BY ALL) USING (p_brand)", prelude=False)
+def kw_idf_score(spark, sf_dir):
+    p = m.table(spark, sf_dir, "part")
+    df = p.groupBy("p_brand", "p_size").agg(F.count(F.lit(1)).alias("df"))
+    n = p.groupBy("p_brand").agg(F.count(F.lit(1)).alias("n"))
+    return df.join(n, "p_brand").select("p_brand", "p_size", F.round(F.log(1 + F.col("n") / F.col("df")) / F.log(1 + F.col("n")), 9).alias("idf"))
+
+
+@query("kw_title_chrome", "SELECT p_brand AS run, word, count(DISTINCT p_partkey) AS pages FROM (SELECT p_brand, p_partkey, unnest(string_split(p_name, ' ')) AS word FROM part) JOIN (SELECT p_brand, greatest(2, ceil(count(*) * 0.2)) AS least FROM part GROUP BY p_brand) USING (p_brand) GROUP BY p_brand, word, least HAVING count(DISTINCT p_partkey) >= least", prelude=False)
+def kw_title_chrome(spark, sf_dir):
+    """Title parts that a large share of a run's pages repeat."""
+    p = m.table(spark, sf_dir, "part").select(F.col("p_brand").alias("run"), "p_partkey", "p_name")
+    least = p.groupBy("run").agg(F.greatest(F.lit(2), F.ceil(F.count(F.lit(1)) * 0.2)).alias("least"))
+    rows = p.select("run", "p_partkey", F.explode(F.split("p_name", " ")).alias("word")).groupBy("run", "word").agg(F.countDistinct("p_partkey").alias("pages"))
+    return rows.join(least, "run").where("pages >= least").drop("least")
+
+
+@query("kw_repeated_runs", "SELECT doc_id, line, count(*) AS times FROM (SELECT doc_id, trim(unnest(string_split(text, chr(10)))) AS line FROM documents) WHERE line <> '' GROUP BY ALL HAVING count(*) >= 3", prelude=False)
+def kw_repeated_runs(spark, sf_dir):
+    d = m.table(spark, sf_dir, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("x")).select("doc_id", F.trim("x").alias("line"))
+    return d.where("line != ''").groupBy("doc_id", "line").agg(F.count(F.lit(1)).alias("times")).where("times >= 3")
+
+
+@query("join_self_pairs")
+def join_self_pairs(spark, sf_dir):
+    """Near duplicates within a run (a source): shingles meet on their prefix, never as all pairs."""
+    d = m.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("page_id"), F.col("source").alias("run"), "text")
+    return checks.near_duplicates(d).select("page_id", "n_shingles", F.coalesce("near_pages", F.lit(0)).alias("near_pages"))
+
+
+@query("win_walk")
+def win_walk(spark, sf_dir):
+    p = m.table(spark, sf_dir, "pages").select("page_id", "url", F.lit("term").alias("term"), F.lit(0.7).alias("relevance"), F.lit(1).cast("long").alias("first_day"), F.lit(30).cast("long").alias("days"))
+    return ranks.simulate(p)
+
+
+@query("kw_eval", "SELECT quality, count(*) AS n, round(avg(n_chars), 6) AS mean_chars FROM documents JOIN labels USING (doc_id) GROUP BY quality", prelude=False)
+def kw_eval(spark, sf_dir):
+    d = m.table(spark, sf_dir, "documents").join(m.table(spark, sf_dir, "labels"), "doc_id")
+    return d.groupBy("quality").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("n_chars"), 6).alias("mean_chars"))
