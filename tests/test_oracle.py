@@ -3,6 +3,7 @@
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 from siteglass.plans import registry
@@ -25,9 +26,9 @@ def plain(frame):
     """Rows as sorted text, numbers rounded, whatever their types."""
 
     def cell(x):
-        if x is None or x != x:
+        if pd.isna(x) is True:
             return "-"
-        return f"{float(x):.6f}" if isinstance(x, int | float) and not isinstance(x, bool) or hasattr(x, "dtype") and x.dtype.kind in "iuf" else str(x)
+        return f"{float(x):.6f}" if isinstance(x, int | float) and not isinstance(x, bool) or hasattr(x, "dtype") and x.dtype.kind in "iuf" else str(x).removesuffix(" 00:00:00")
 
     return sorted(tuple(map(cell, r)) for r in frame[sorted(frame.columns)].astype(object).itertuples(index=False))
 
