@@ -203,7 +203,7 @@ class PrefixCounter(Vocabulary):
     each prefix, its last token and one more than the count of the prefix before that token.
     """
 
-    def __init__(self, path: str, most_words: int = 1_500_000, most_pairs: int = 1_000_000) -> None:
+    def __init__(self, path: str, most_words: int = 1_500_000, most_pairs: int = 250_000) -> None:
         super().__init__(path)
         if not (self.byte_level and self.plain_added):
             raise ValueError("prefix counts need a byte-level BPE whose added tokens match plainly")

@@ -33,7 +33,9 @@ def count_trigrams(texts: list[str | None]) -> np.ndarray:
     points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), "<u4")
     codes = table[np.where(points < len(table), points, 0)]
     grams = (codes[:-2] * SIZE + codes[1:-1]) * SIZE + codes[2:]
-    return np.bincount(grams, minlength=SIZE**3)
+    out = np.bincount(grams, minlength=SIZE**3)
+    out[0] = 0  # three borders say nothing about words
+    return out
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
-import shutil
 import tempfile
+import threading
+import time
 import uuid
 import zipfile
 from collections.abc import Callable
@@ -34,7 +37,6 @@ def ship(spark: SparkSession) -> None:
             for p in sorted(root.rglob("*.py")):
                 z.write(p, str(p.relative_to(root.parent)))
         context.addPyFile(target)
-        shutil.rmtree(folder, ignore_errors=True) if context.master.startswith("never") else None
         context._siteglass_shipped = True
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
 
@@ -62,6 +64,13 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark remove the shuffle files of queries whose results are stored: it does so when the
+    driver's objects for them are collected, which else may take long."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def forget(spark: SparkSession) -> None:
     """Removes every scratch table of this engine under the shared folder."""
     jvm = spark.sparkContext._jvm
@@ -88,12 +97,37 @@ def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
     return str(public_tokenizers.path(name))
 
 
+#: Seconds after which a worker that has not begun another task gives back what it kept.
+IDLE = 8.0
+
+
 def per_worker(make: Callable[[], object], key: tuple) -> object:
-    """One object for each Python worker and key; the worker process is reused by later tasks."""
-    if key not in _KEPT:
-        _KEPT.clear() if len(_KEPT) >= 4 else None
-        _KEPT[key] = make()
-    return _KEPT[key]
+    """One object in each Python worker, made anew for another key: the worker process is reused by
+    later tasks. What an earlier stage kept must not add up with what later ones need, so an idle worker
+    drops it; a task that still runs holds it by itself."""
+    with _LOCK:
+        if key not in _KEPT:
+            _KEPT.clear()
+            _KEPT[key] = make()
+        _USED[0] = time.monotonic()
+        if not _WATCH:
+            _WATCH.append(threading.Thread(target=_release_idle, daemon=True))
+            _WATCH[0].start()
+        return _KEPT[key]
+
+
+def _release_idle() -> None:
+    while True:
+        time.sleep(1.0)
+        with _LOCK:
+            if _KEPT and time.monotonic() - _USED[0] > IDLE:
+                _KEPT.clear()
+                gc.collect()
+                try:
+                    ctypes.CDLL(None).malloc_trim(0)
+                except (OSError, AttributeError):
+                    pass  # another C library: its free memory stays with the process
 
 
 _KEPT: dict[tuple, object] = {}
+_USED, _WATCH, _LOCK = [0.0], [], threading.Lock()

@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 
 #: Characters of one piece of work, and odd bases of two position-weighted hashes modulo 2**64.
-PIECE, _BASES = 1 << 20, (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
+PIECE, _BASES = 1 << 18, (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 _MIX = tuple(np.uint64(x) for x in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93))
 _SHIFTS = tuple(np.uint64(x) for x in (29, 32, 1))
 
@@ -78,7 +78,7 @@ class WordTable:
     start (each reaches to the next start), and looks the words up. `add` numbers the new ones.
     """
 
-    def __init__(self, most_words: int, cut: Callable[[np.ndarray], np.ndarray], capacity: int = 1 << 22) -> None:
+    def __init__(self, most_words: int, cut: Callable[[np.ndarray], np.ndarray], capacity: int = 1 << 20) -> None:
         self.most_words, self.mask, self.cut = min(most_words, capacity // 2), capacity - 1, cut
         self.clear()
 

@@ -85,6 +85,7 @@ def test_every_linked_pair_shares_a_key():
     import numpy as np
 
     rng = np.random.default_rng(5)
+    often = rng.integers(0, 90, 1 << jaccard.SLOTS).astype(np.uint32)
     for num, den in ((90, 100), (80, 100), (60, 100)):
         bands = jaccard.Bands(num, den)
         for _ in range(400):
@@ -94,5 +95,7 @@ def test_every_linked_pair_shares_a_key():
             gone = int(rng.integers(0, max(1, size // 5) + 1))
             b = np.unique(np.concatenate((base[gone:], rng.integers(0, 1 << 63, int(rng.integers(0, max(1, size // 5) + 1)), dtype=np.uint64))))
             both = len(np.intersect1d(a, b))
-            if len(b) and both < len(a) + len(b) - both and both * den >= (len(a) + len(b) - both) * num:
-                assert len(np.intersect1d(bands.keys(a), bands.keys(b)))
+            if both * den >= (len(a) + len(b) - both) * num:
+                assert len(np.intersect1d(jaccard.prefix(a, often, num, den), jaccard.prefix(b, often, num, den)))
+                for common in (20, 64, 100):
+                    assert len(a) + len(b) == 2 * both or len(np.intersect1d(bands.keys(a, often, common), bands.keys(b, often, common)))
