@@ -15,13 +15,11 @@ def fields(spark, sf_dir):
     from siteglass.plans.sites import parsed
 
     p = parsed(spark, sf_dir)
-    parts = F.array(
-        F.struct(F.lit("title").alias("field"), F.col("page.title").alias("text")),
-        F.struct(F.lit("h1"), F.array_join("page.h1s", " ")),
-        F.struct(F.lit("slug"), F.regexp_replace(urls.stem(F.col("url")), "[-_]", " ")),
-        F.struct(F.lit("firstParagraph"), F.col("page.first_paragraph")),
-        F.struct(F.lit("body"), F.array_join("page.blocks", " ")),
-    )
+    texts_of = {
+        "title": F.col("page.title"), "h1": F.array_join("page.h1s", " "), "slug": F.regexp_replace(urls.stem(F.col("url")), "[-_]", " "),
+        "firstParagraph": F.col("page.first_paragraph"), "body": F.array_join("page.blocks", " "),
+    }
+    parts = F.array(*[F.struct(F.lit(k).alias("field"), v.alias("text")) for k, v in texts_of.items()])
     long = p.select(F.col("site").alias("run"), "page_id", texts.iso_language(F.col("page.lang")).alias("lang"), F.explode(parts).alias("x"))
     words = p.select("page_id", F.col("page.word_count").alias("words"))
     return long.select("run", "page_id", "lang", F.col("x.field").alias("field"), F.coalesce("x.text", F.lit("")).alias("text")), words
