@@ -1,16 +1,19 @@
 """N-gram Jaccard join by vertical partitioning, and the components of its links.
 
-A document's set is its distinct word n-grams, as 64-bit hashes; their order is the global n-gram
-order. Cutting that order into fragments cuts every set into segments.
+A document's set is its distinct word n-grams, as 64-bit hashes. The global n-gram order is by frequency,
+rare ones first, and then by hash; frequencies are counted over all sets in a table of fixed size, whose
+slots n-grams share by hash (the order stays one order for all sets, which is what exactness needs).
 
 1. Documents with equal sets (two further 64-bit hashes of the whole set, and its size) are one node,
    the smallest doc_id; so copies never meet in pairs.
 2. Candidates. Sets of similarity t and at most r n-grams differ in at most d = 2r(1-t)/(1+t) of them.
-   In bands of such sizes the order is cut into more than d fragments, so two linked sets agree on a
-   whole segment, and a node's keys are hashes of its segments. The fragments in excess of d + 1 make
-   up for empty segments, which are no keys; a set with more empty segments than that also has the
-   n-grams of its prefix (the first n - tn + 1) as keys. So no link is lost. A passage that many
-   documents share is only part of a segment and makes no key common.
+   In bands of such sizes the hash order is cut into more than d fragments, so two linked sets agree on
+   a whole segment, and a node's keys are hashes of its segments. Where a low similarity makes segments
+   short, n-grams of frequent slots are left out of all of them: a passage that many documents share
+   makes no keys. The fragments in excess of
+   d + 1 make up for empty segments, which are no keys; a set with more empty ones than that has the
+   n-grams of its prefix as keys instead, the first n - tn + 1 in the global order, of which linked sets
+   share one. So no link is lost.
 3. Nodes connected by shared keys are a family, its smallest node their hub. Every node is compared
    with its hub alone, by fragments: segments of both meet on (hub, fragment), where the overlap is
    counted and the difference taken; the overlaps are summed for each pair. So a family costs a row for
@@ -40,12 +43,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siteglass.llm.common import joined_small, ship, stored
+from siteglass.llm.common import joined_small, release, ship, stored
 from siteglass.llm.components import components
 from siteglass.llm.word_table import hash_spans, mixed, pieces, points_of, word_spans
 
 FRAGMENTS = 8
 GROWTH = 1.5
+#: Binary logarithm of the slots of the frequency table, whatever the input, and its pieces.
+SLOTS, PARTS = 22, 64
 #: Ids that may be broadcast: 16 MB of them.
 MOST_BROADCAST = 2_000_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -77,6 +82,56 @@ def ngram_sets(texts: list[str | None], n: int) -> Iterator[tuple[int, np.ndarra
                 yield has[g], mixed(np.array([one], np.uint64) ^ _ODD)
 
 
+def place(grams: np.ndarray) -> np.ndarray:
+    """The slot of the frequency table that an n-gram counts in."""
+    return (grams >> np.uint64(64 - SLOTS)).astype(np.int64)
+
+
+def prefix(grams: np.ndarray, often: np.ndarray, num: int, den: int) -> np.ndarray:
+    """The n-grams of a set that any set of enough similarity shares one of: the first n - tn + 1 in the
+    global order, which is by the table's frequencies and then by hash."""
+    size = len(grams)
+    order = np.argsort(often[place(grams)], kind="stable")
+    return grams[order[: size - -(-num * size // den) + 1]]
+
+
+def _frequencies(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
+    """From (node, one, text) the task's frequency table, in PARTS pieces."""
+    table = np.zeros(1 << SLOTS, np.int64)
+    held: list[np.ndarray] = []
+    waiting = 0
+    for batch in batches:
+        for _, grams in ngram_sets(batch.column(2).to_pylist(), n):
+            held.append(place(grams))
+            waiting += len(grams)
+        if waiting > 1 << 20:
+            table += np.bincount(np.concatenate(held), minlength=1 << SLOTS)
+            held.clear()
+            waiting = 0
+    if held:
+        table += np.bincount(np.concatenate(held), minlength=1 << SLOTS)
+    if table.any():
+        yield pa.RecordBatch.from_arrays([pa.array(range(PARTS), pa.int32()), pa.array([_planes(x) for x in np.split(table, PARTS)], pa.binary())], names=["part", "counts"])
+
+
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    totals: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for part, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            totals[part] = totals.get(part, 0) + _whole(counts)
+    for part, total in totals.items():
+        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([_planes(total)], pa.binary())], names=["part", "counts"])
+
+
+def frequencies(texts: DataFrame, n: int) -> np.ndarray:
+    """How many sets of all texts have the n-grams of each slot; a table of fixed size."""
+    pieces_ = texts.mapInArrow(lambda batches: _frequencies(batches, n), "part int, counts binary")
+    out = np.zeros((PARTS, (1 << SLOTS) // PARTS), np.uint64)
+    for r in pieces_.repartition(PARTS, "part").mapInArrow(_summed, "part int, counts binary").collect():
+        out[r["part"]] = _whole(bytes(r["counts"]))
+    return np.minimum(out.ravel(), np.uint64(0xFFFFFFFF)).astype(np.uint32)
+
+
 class Bands:
     """Sizes of sets in bands, and the fragments of each: (largest size, fragments, spare fragments)."""
 
@@ -107,9 +162,14 @@ class Bands:
 
         return bisect.bisect_left([b[0] for b in self.bands], size)
 
-    def keys(self, grams: np.ndarray) -> np.ndarray:
-        """The keys of a set: in its own band, and in the next if it may be linked with a set there."""
+    def keys(self, grams: np.ndarray, often: np.ndarray, common: int) -> np.ndarray:
+        """The keys of a set: in its own band, and in the next if it may be linked with a set there.
+
+        Segments are of the n-grams whose slots count up to `common`: leaving the same n-grams out of all
+        sets leaves them no further apart. A set with too few of them has the keys of its prefix.
+        """
         size = len(grams)
+        few = grams[often[place(grams)] <= common]
         own = self.of(size)
         chosen = [own]
         last = self.bands[own][0]
@@ -117,35 +177,29 @@ class Bands:
             self.of(last + 1)
             chosen.append(own + 1)
         out = []
-        total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mixed(grams ^ _ODD), dtype=np.uint64)))
+        total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mixed(few ^ _ODD), dtype=np.uint64)))
         for k in chosen:
             _, m, spare = self.bands[k]
             if m == 1:
                 continue
-            of = ((grams >> _U32) * np.uint64(m)) >> _U32
+            of = ((few >> _U32) * np.uint64(m)) >> _U32
             cuts = np.searchsorted(of, np.arange(m + 1, dtype=np.uint64))
             full = np.flatnonzero(np.diff(cuts))
             tags = mixed(full.astype(np.uint64) + np.uint64((k + 1) << 32))
             out.append(mixed((total[cuts[full + 1]] - total[cuts[full]]) ^ tags))
             if m - len(full) > spare:
-                prefix = grams[: size - -(-self.num * size // self.den) + 1]
-                out.append(mixed(prefix ^ mixed(np.array([(k + 1) << 48], np.uint64))))
+                out.append(mixed(prefix(grams, often, self.num, self.den) ^ mixed(np.array([(k + 1) << 48], np.uint64))))
         return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
-def _signatures(batches: Iterator[pa.RecordBatch], n: int, num: int, den: int) -> Iterator[pa.RecordBatch]:
-    bands = Bands(num, den)
+def _signatures(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = batch.column(1).to_pylist()
         sizes, one, two = (np.zeros(len(texts), np.int64) for _ in range(3))
-        keys: list[np.ndarray] = [np.zeros(0, np.uint64)] * len(texts)
         for k, grams in ngram_sets(texts, n):
             sizes[k] = len(grams)
             one[k], two[k] = prints(grams)
-            keys[k] = bands.keys(grams)
-        ends = np.concatenate(([0], np.cumsum([len(x) for x in keys]))).astype(np.int32)
-        flat = pa.array(np.concatenate(keys).view(np.int64) if keys else np.zeros(0, np.int64))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes), pa.array(one), pa.array(two), pa.ListArray.from_arrays(pa.array(ends), flat)], names=["doc_id", "size", "one", "two", "keys"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes), pa.array(one), pa.array(two)], names=["doc_id", "size", "one", "two"])
 
 
 def prints(grams: np.ndarray) -> tuple[np.int64, np.int64]:
@@ -172,21 +226,118 @@ def _segments(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBa
             yield pa.RecordBatch.from_arrays([*longs, pa.array([x[3] for x in rows], pa.int32()), segments], names=["node", "hub", "size", "fragment", "segment"])
 
 
-def families(entries: DataFrame) -> DataFrame:
-    """From entries (key, node): (node, hub) of nodes connected by shared keys; hub is the smallest.
+#: Entries of one sorted run in a task.
+RUN = 1_000_000
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """Numbers byte by byte, the lowest byte of all first: what sorted or small numbers share compresses."""
+    return x.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def _whole(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view("<u8").ravel()
+
+
+def _stars(keys: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct keys with the smallest node of each, and distinct ties (smallest node, other node)."""
+    order = np.lexsort((nodes, keys))
+    keys, nodes = keys[order], nodes[order]
+    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
+    low = np.repeat(nodes[first], np.diff(np.append(first, len(keys))))
+    tied = np.unique(np.stack((low, nodes), 1)[low != nodes], axis=0)
+    return keys[first], nodes[first], tied[:, 0], tied[:, 1]
+
+
+def _packed(range_: list[int], keys: list[bytes], nodes: list[bytes]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(range_, pa.int32()), pa.array(keys, pa.binary()), pa.array(nodes, pa.binary())], names=["range", "keys", "nodes"])
+
+
+def _entries(batches: Iterator[pa.RecordBatch], n: int, num: int, den: int, bits: int, often) -> Iterator[pa.RecordBatch]:
+    """From (node, one, text) runs of entries by key range: of each key of a run the smallest node. What
+    that ties together is sent along as ties, under range -1 - r."""
+    table = often.value
+    common = 1 << 32 if den + num >= 2 * LEAST_SEGMENT * (den - num) else 64 + 8 * int(table.mean())
+    bands = Bands(num, den)
+    keys: list[np.ndarray] = []
+    nodes: list[np.ndarray] = []
+    held = 0
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        nonlocal held
+        if not held:
+            return
+        k, v, a, b = _stars(np.concatenate(keys), np.concatenate(nodes))
+        keys.clear()
+        nodes.clear()
+        held = 0
+        cuts = np.searchsorted(k >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64)) if bits else [0, len(k)]
+        parts = [(r, k[x:y], v[x:y]) for r, (x, y) in enumerate(zip(cuts, cuts[1:], strict=False)) if y > x]
+        parts += [(-1 - int(r), x, y) for r, x, y in zip(range(1 << bits), np.array_split(a, 1 << bits), np.array_split(b, 1 << bits), strict=True) if len(x)]
+        for at in range(0, len(parts), 64):
+            some = parts[at : at + 64]
+            yield _packed([r for r, _, _ in some], [_planes(x) for _, x, _ in some], [_planes(y.view(np.uint64)) for _, _, y in some])
+
+    for batch in batches:
+        ids, one, texts = (c.to_pylist() for c in batch.columns)
+        for k, grams in ngram_sets(texts, n):
+            if prints(grams)[0] == one[k]:
+                found = bands.keys(grams, table, common)
+                keys.append(found)
+                nodes.append(np.full(len(found), ids[k], np.int64))
+                held += len(found)
+        if held >= RUN:
+            yield from flush()
+    yield from flush()
+
+
+def _ties(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From runs sorted by range the distinct ties of each range."""
+    at, keys, nodes = None, [], []
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        if keys:
+            _, _, a, b = _stars(np.concatenate(keys), np.concatenate(nodes).view(np.int64))
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+        keys.clear()
+        nodes.clear()
+
+    for batch in batches:
+        for r, k, v in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if r < 0:
+                yield pa.RecordBatch.from_arrays([pa.array(_whole(k).view(np.int64)), pa.array(_whole(v).view(np.int64))], names=["a", "b"])
+                continue
+            if r != at:
+                yield from flush()
+                at = r
+            keys.append(_whole(k))
+            nodes.append(_whole(v))
+    yield from flush()
+
+
+def families(docs: DataFrame, nodes: DataFrame, n: int, num: int, den: int, known: int, grams: int) -> DataFrame:
+    """(node, hub) of nodes connected by shared keys; hub is the smallest.
 
-    Keys with several nodes are few. Each of their nodes is tied to the key's smallest, so a key of many
-    nodes costs a row for each of them.
+    Each task sorts its entries in runs and sends on only the smallest node of a key and run; the others
+    are tied to it there and then. So a key that a third of all nodes have arrives once for each run.
+    Entries travel packed, by ranges of keys sized for one task. known and grams: how many nodes there
+    are and n-grams in them.
     """
-    live = stored(entries.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("key", "low"), "live-keys")
-    ties = joined_small(entries, live, "key", "inner", live.count(), MOST_BROADCAST).where("node != low").select(F.col("low").alias("a"), F.col("node").alias("b")).distinct()
+    spark = docs.sparkSession
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    bits = max(0, math.ceil(math.log2(max(partitions, grams / RUN, 1))))
+    texts = joined_small(docs.withColumnRenamed("doc_id", "node"), nodes.select("node", "one"), "node", "inner", known, MOST_BROADCAST).select("node", "one", "text")
+    often = spark.sparkContext.broadcast(frequencies(texts, n))
+    runs = texts.mapInArrow(lambda batches: _entries(batches, n, num, den, bits, often), "range int, keys binary, nodes binary")
+    dealt = runs.repartition(1 << bits, "range").sortWithinPartitions("range")
+    ties = dealt.mapInArrow(_ties, "a long, b long").distinct()
     return components(ties).withColumnRenamed("component", "hub")
 
 
 def differences(family: DataFrame, docs: DataFrame, n: int, repeats: bool) -> DataFrame:
     """Of family (node, hub, size, one): (hub, node, size, fragment, partial, delta), for each fragment
     the overlap of the node's segment with its hub's, and what only one of the two has."""
-    family = stored(family, "family")
     chosen = joined_small(docs.withColumnRenamed("doc_id", "node"), family, "node", "inner", family.count(), MOST_BROADCAST)
     parts = chosen.select("node", "hub", "size", "one", "text").mapInArrow(lambda batches: _segments(batches, n), "node long, hub long, size long, fragment int, segment array<long>")
     parts = stored(parts.dropDuplicates(["node", "fragment"]) if repeats else parts, "segments")
@@ -210,13 +361,14 @@ def near_links(sums: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFram
     return links, both.withColumn("near", F.col("near") | (F.col("node") == F.col("best.node"))).select("hub", "node", "size", "apart", "near")
 
 
-def far_links(sums: DataFrame, deltas: DataFrame, num: int, den: int) -> DataFrame:
+def far_links(sums: DataFrame, deltas: DataFrame, known: DataFrame, num: int, den: int) -> DataFrame | None:
     """Links in which a node takes part that is not near.
 
     x and y are e + f - 2o apart, if their differences from the hub share o elements. So a link asks for
     an o that grows with e and f, and prefixes of the differences, the rarest elements first, meet in
     at least one element. Prefixes are cut for each band of the other's distance.
     """
+    spark = sums.sparkSession
     opened = sums.where(~F.col("near")).select("hub").distinct()
     members = stored(sums.join(opened, "hub", "left_semi"), "members")
     elements = stored(deltas.select("hub", "node", F.explode("delta").alias("element")).join(members.drop("hub"), "node"), "elements")
@@ -232,13 +384,58 @@ def far_links(sums: DataFrame, deltas: DataFrame, num: int, den: int) -> DataFra
     spread = ranked.select("hub", "node", "size", "apart", "near", "element", "rank", "reach", "band", others)
     low = F.floor(F.pow(F.lit(1.25), F.col("other")) - 1e-6).cast("long")
     need = F.greatest(F.lit(1).cast("long"), F.ceil((F.col("apart") + F.greatest(low, F.lit(1)) - F.col("reach")) / 2.0))
-    cut = spread.where(F.col("rank") <= F.col("apart") - need + 1).select("hub", "node", "size", "apart", "near", "element", "band", "other")
-    cut = stored(cut, "prefixes")
-    x = cut.where(~F.col("near")).select("hub", "element", F.col("band").alias("bx"), F.col("other").alias("by"), F.col("node").alias("x"), F.col("size").alias("sx"), F.col("apart").alias("ex"))
-    y = cut.select("hub", "element", F.col("other").alias("bx"), F.col("band").alias("by"), F.col("node").alias("y"), F.col("size").alias("sy"), F.col("apart").alias("ey"), F.col("near").alias("ny"))
-    met = x.join(y, ["hub", "element", "bx", "by"]).where("x != y and (ny or x < y)")
-    met = met.where((F.col("sx") * den >= F.col("sy") * num) & (F.col("sy") * den >= F.col("sx") * num))
-    pairs = stored(met.select("x", "y", "sx", "sy", "ex", "ey").distinct(), "pairs")
+    cut = spread.where(F.col("rank") <= F.col("apart") - need + 1)
+    # one key for an element and a pair of bands, whichever of the two the node is in
+    key = F.xxhash64("hub", "element", F.least("band", "other"), F.greatest("band", "other")).alias("key")
+    rows = cut.select(key, "node", "size", "apart").distinct()
+    groups = known.withColumnRenamed("component", "group")
+    members = stored(_open(rows, groups), "prefixes")
+    links = asked = None
+    for k in range(ROUNDS + 1):
+        pairs = _star_pairs(members) if k < ROUNDS else _pairs_across(members)
+        pairs = pairs.where((F.col("sx") * den >= F.col("sy") * num) & (F.col("sy") * den >= F.col("sx") * num))
+        pairs = stored(pairs if asked is None else pairs.join(asked, ["x", "y"], "left_anti"), "pairs")
+        if pairs.isEmpty():
+            continue
+        asked = pairs.select("x", "y") if asked is None else asked.unionByName(pairs.select("x", "y"))
+        new = stored(_verified(pairs, deltas, num, den), "verified")
+        links = new if links is None else links.unionByName(new)
+        if k < ROUNDS:
+            chain = groups.select(F.col("group").alias("a"), F.col("node").alias("b")).unionByName(links)
+            members = stored(_open(members.drop("group"), components(chain).withColumnRenamed("component", "group")), "prefixes")
+        release(spark)
+    return links
+
+
+#: Rounds in which a key's groups are compared with its smallest node only, before all pairs across groups.
+ROUNDS = 2
+#: Frequent n-grams are left out of segments where the similarity makes segments shorter than this.
+LEAST_SEGMENT = 6
+
+
+def _open(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    """rows (key, node, size, apart) with the node's group, of keys that hold several groups."""
+    grouped = rows.join(groups.select("node", "group"), "node", "left").withColumn("group", F.coalesce("group", "node"))
+    several = grouped.groupBy("key").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low < high").select("key")
+    return grouped.join(several, "key").select("key", "node", "size", "apart", "group")
+
+
+def _star_pairs(members: DataFrame) -> DataFrame:
+    """The key's smallest node with one node of each other group."""
+    one = members.groupBy("key", "group").agg(F.min(F.struct("node", "size", "apart")).alias("v"))
+    first = one.groupBy("key").agg(F.min("v").alias("u"))
+    both = one.join(first, "key").where("u.node != v.node")
+    return both.select(F.col("u.node").alias("x"), F.col("v.node").alias("y"), F.col("u.size").alias("sx"), F.col("v.size").alias("sy"), F.col("u.apart").alias("ex"), F.col("v.apart").alias("ey")).distinct()
+
+
+def _pairs_across(members: DataFrame) -> DataFrame:
+    x = members.select("key", F.col("node").alias("x"), F.col("size").alias("sx"), F.col("apart").alias("ex"), F.col("group").alias("gx"))
+    y = members.select("key", F.col("node").alias("y"), F.col("size").alias("sy"), F.col("apart").alias("ey"), F.col("group").alias("gy"))
+    return x.join(y, "key").where("gx != gy and x < y").select("x", "y", "sx", "sy", "ex", "ey").distinct()
+
+
+def _verified(pairs: DataFrame, deltas: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs that are linked: overlaps of their differences, counted by fragment and summed."""
     of_x = deltas.select(F.col("node").alias("x"), "fragment", F.col("delta").alias("dx"))
     of_y = deltas.select(F.col("node").alias("y"), "fragment", F.col("delta").alias("dy"))
     counted = pairs.join(of_x, "x").join(of_y, ["y", "fragment"]).select("x", "y", "sx", "sy", "ex", "ey", F.size(F.array_intersect("dx", "dy")).cast("long").alias("partial"))
@@ -253,18 +450,21 @@ def classes(df: DataFrame, n: int = 5, num: int = 80, den: int = 100, doc_id: st
     had to establish for its node."""
     ship(df.sparkSession)
     docs = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    signed = stored(docs.mapInArrow(lambda batches: _signatures(batches, n, num, den), "doc_id long, size long, one long, two long, keys array<long>"), "signatures")
-    slim = signed.select("doc_id", "size", "one", "two")
+    slim = stored(docs.mapInArrow(lambda batches: _signatures(batches, n), "doc_id long, size long, one long, two long"), "signatures")
     same = slim.where("size > 0 and doc_id is not null").groupBy("one", "two", "size").agg(F.min("doc_id").alias("node"))
     nodes = stored(same.groupBy("node").agg(F.min(F.struct("one", "two", "size")).alias("s")).select("node", "s.one", "s.two", "s.size"), "nodes")
-    chosen = joined_small(signed.where("size > 0").withColumnRenamed("doc_id", "node"), nodes, ["node", "one", "two", "size"], "inner", nodes.count(), MOST_BROADCAST)
-    family = families(chosen.select(F.explode("keys").alias("key"), "node")).join(nodes, "node")
+    known = nodes.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("grams")).first()
+    family = stored(families(docs, nodes, n, num, den, known["n"], known["grams"]).join(nodes, "node"), "families")
+    release(df.sparkSession)
     repeats = not slim.groupBy("doc_id").count().where("count > 1").isEmpty()
     deltas = differences(family.select("node", "hub", "size", "one"), docs, n, repeats)
     # the partial overlaps of each pair of node and hub, summed
     sums = deltas.groupBy("hub", "node", "size").agg(F.sum("partial").alias("overlap"), F.sum(F.size("delta")).cast("long").alias("apart"))
     links, sums = near_links(sums.drop("overlap"), num, den)
-    links = stored(links.unionByName(far_links(sums, deltas, num, den)).distinct(), "links")
+    release(df.sparkSession)
+    links = stored(links, "near-links")
+    far = far_links(stored(sums, "sums"), deltas, components(links), num, den)
+    links = stored((links if far is None else links.unionByName(far)).distinct(), "links")
     found = components(links)
     ends = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
     out = slim.join(same, ["one", "two", "size"], "left").withColumn("node", F.when(F.col("size") > 0, F.coalesce("node", "doc_id")).otherwise(F.col("doc_id")))
