@@ -251,8 +251,9 @@ def near_duplicates(texts_: DataFrame, threshold: float = NEAR) -> DataFrame:
     cut = texts_.select("page_id", "run", tokens.alias("tokens"))
     hashed = F.when(F.size("tokens") >= 5, F.array_sort(F.array_distinct(F.transform(F.sequence(F.lit(0), F.size("tokens") - 5), lambda i: F.xxhash64(*[F.get("tokens", i + k) for k in range(5)])))))
     sets = cut.select("page_id", "run", F.coalesce(hashed, F.array().cast("array<bigint>")).alias("s"))
-    sized = sets.withColumn("n_shingles", F.size("s"))
-    big = sized.where(F.col("n_shingles") >= LEAST_SHINGLES)
+    # the row number keeps the filter above the sets: pushed below, it would cut the text again for each token
+    sized = sets.withColumns({"n_shingles": F.size("s"), "__n": F.monotonically_increasing_id()})
+    big = sized.where((F.col("n_shingles") >= LEAST_SHINGLES) & (F.col("__n") >= 0)).drop("__n")
     prefix = F.slice("s", 1, (F.col("n_shingles") - F.ceil(F.col("n_shingles") * threshold) + 1).cast("int"))
     keys = big.select("run", "page_id", "n_shingles", F.explode(prefix).alias("key"))
     a = keys.select("run", "key", F.col("page_id").alias("a"), F.col("n_shingles").alias("na"))
@@ -273,7 +274,10 @@ def outcome(check: Check) -> Column:
 def evaluate(pages: DataFrame, run: str, codes: tuple[str, ...] | None = None) -> DataFrame:
     """A row for each page and check: page_id, run, code, severity, outcome."""
     chosen = [x for x in CATALOGUE if codes is None or x.code in codes]
+    # persisted for a whole catalogue: the optimizer then plans the rules apart from the windows and joins
+    # below them, which together take it minutes
     facts = with_facts(pages, run)
+    facts = facts.persist() if len(chosen) > 8 else facts
     rows = [F.struct(F.lit(x.code).alias("code"), F.lit(x.severity).alias("severity"), outcome(x).alias("outcome")) for x in chosen]
     return facts.select("page_id", run, F.explode(F.array(*rows)).alias("x")).select("page_id", run, "x.code", "x.severity", "x.outcome")
 

@@ -42,17 +42,6 @@ def src_html(spark, sf_dir):
     return m.table(spark, sf_dir, "pages").where(F.octet_length("html") <= html.MOST_BYTES).select("page_id", F.octet_length("html").alias("html_bytes"))
 
 
-@query("check_all")
-def check_all(spark, sf_dir):
-    return checks.evaluate(parsed(spark, sf_dir).select("page_id", "url", "site", "page"), "site").select("page_id", "code", "severity", "outcome")
-
-
-@query("check_summary")
-def check_summary(spark, sf_dir):
-    found = checks.evaluate(parsed(spark, sf_dir).select("page_id", "url", "site", "page"), "site")
-    return checks.summary(found, "site").select("page_id", "possible", "lost", "score")
-
-
 def _check_query(code: str, sql: str | None = None) -> None:
     @query(f"check_{code.lower()}", sql, prelude=False)
     def run(spark, sf_dir):
