@@ -5,8 +5,9 @@ names (capitalised words after a word of the same sentence) by typed placeholder
 as lower-case words, so that a copy in another case is found too. Windows of WINDOW template tokens,
 hashed, are joined with those of the benchmark's items. What a window's placeholders stand for in the
 document and in the item are its slots: at one alignment, each value of the item must stand for one
-value in the document, or the windows of that alignment do not count. So a re-parameterised question
-(other numbers and names throughout) is caught, and text that only shares a template's shape is not.
+value in the document, or the windows of that alignment whose slots differ from the item's do not count;
+windows equal to the item's, slots and all, always do. So a re-parameterised question (other numbers and
+names throughout) is caught, a copy edited in places too, and text that only shares a template's shape is not.
 
 A text leaks an item if consistent windows cover at least `share` of the item's windows. Windows of
 fewer than LEAST_LITERALS words besides placeholders are not used. An item of fewer than WINDOW
@@ -144,7 +145,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", share: floa
     values = met.where(F.size("slots") > 0).select(*at, F.explode("slots").alias("s")).select(*at, "s.kind", "s.ours", "s.theirs")
     torn = values.groupBy(*at, "kind", "ours").agg(F.min("theirs").alias("low"), F.max("theirs").alias("high")).where("low != high").select(*at).distinct()
     changed = F.exists("slots", lambda s: s["ours"] != s["theirs"])
-    good = met.join(torn, at, "left_anti").groupBy("k1", "k2", "item", "windows", "item_pos").agg(F.max(changed).alias("changed"))
+    flagged = met.withColumn("changed", changed).join(torn.withColumn("torn", F.lit(True)), at, "left")
+    good = flagged.where(~F.col("changed") | F.col("torn").isNull()).groupBy("k1", "k2", "item", "windows", "item_pos").agg(F.max("changed").alias("changed"))
     found = good.groupBy("k1", "k2", "item", "windows").agg(F.count(F.lit(1)).alias("found"), F.max("changed").alias("reparameterised"))
     return found.where(F.col("found") >= F.col("windows") * share)
 

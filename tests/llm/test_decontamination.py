@@ -58,3 +58,12 @@ def test_windows_against_brute_force(spark):
     got, kept = run(spark, docs, items)
     assert set(got) == want
     assert kept == sorted(d for d, _ in docs if d not in {k for k, _ in want})
+
+
+def test_one_edited_slot_leaves_the_verbatim_windows(spark):
+    edited = ITEM.replace("named Maria", "named Anna")
+    scattered = "A farmer named Anna has 12 apples and gives 5 apples to nobody. Some other text with Maria the dog."
+    got, kept = run(spark, [(1, edited), (2, scattered), (3, ITEM)], [(100, ITEM)])
+    # of 19 windows those at 0 to 3 hold the edited name, which is torn: they alone do not count
+    assert set(got) == {(1, 100), (3, 100)} and kept == [2]
+    assert got[1, 100].found == 15 and got[1, 100].windows == got[3, 100].found == 19 and not got[1, 100].reparameterised
