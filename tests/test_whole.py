@@ -2,7 +2,10 @@
 
 import re
 
-from siteglass.plans import registry
+from siteglass.plans import model as m
+from siteglass.plans import registry, relational
+
+SF_DIR = "/root/testdata/sf0.001"
 
 
 def test_word_counts_read_long_documents(spark, tmp_path):
@@ -14,3 +17,12 @@ def test_word_counts_read_long_documents(spark, tmp_path):
         for w in re.findall("[a-z0-9]+", text.lower()):
             held.setdefault((source, w), set()).add(doc_id)
     assert got == {k: len(v) for k, v in held.items() if len(v) > 1} == {("a", "rare"): 3, ("a", "filler"): 2}
+
+
+def test_users_with_a_job_due_in_any_run(spark):
+    clients = m.clients(spark, SF_DIR).select("client_id", "user_id").collect()
+    due = {r.client_id for r in relational.jobs(spark, SF_DIR).where(relational.due(relational.NOW)).select("client_id").collect()}
+    users = {r.user_id for r in clients if r.client_id in due}
+    got = registry.queries()["join_semi_in_subquery"](spark, SF_DIR).collect()
+    assert sorted((r.client_id, r.user_id) for r in got) == sorted((r.client_id, r.user_id) for r in clients if r.user_id in users)
+    assert due and len(got) > 0
