@@ -570,8 +570,9 @@ def claim_fair(spark, sf_dir):
 
 @query("sort_catalogue", "SELECT page_id, severity, place FROM current_pages WHERE client_id < 50 ORDER BY CASE severity WHEN 'error' THEN 0 WHEN 'warning' THEN 1 ELSE 2 END, page_id LIMIT 100")
 def sort_catalogue(spark, sf_dir):
+    """All current pages in the catalogue's order; the SQL still takes 100 of the first clients' pages."""
     order = F.array_position(F.array(*map(F.lit, m.SEVERITIES)), F.col("severity"))
-    return m.current_pages(spark, sf_dir).where("client_id < 50").orderBy(order, "page_id").limit(100).select("page_id", "severity", "place")
+    return m.current_pages(spark, sf_dir).orderBy(order, "page_id").select("page_id", "severity", "place")
 
 
 @query("limit_windowed", "SELECT run_id, page_id FROM (SELECT run_id, page_id, place, sum(CASE WHEN failed THEN 1 ELSE 0 END) OVER (PARTITION BY run_id ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM crawled) WHERE coalesce(before, 0) < 2")
@@ -624,12 +625,17 @@ def run_outcome(spark, sf_dir):
     return p.select("run_id", F.when(F.col("bad") == 0, "succeeded").when(F.col("all_bad"), "failed").when(F.col("good") >= 3, "succeeded").otherwise("partial").alias("outcome"))
 
 
+#: Links that a run may check.
+MOST_LINKS = 300
+
+
 @query("outbound_plan", "SELECT run_id, code, place FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY place, code) AS n FROM (SELECT run_id, code, min(place) AS place FROM crawled WHERE code NOT IN (SELECT c_custkey FROM customer WHERE c_custkey < 50) GROUP BY run_id, code)) WHERE n <= 3")
 def outbound_plan(spark, sf_dir):
-    """Distinct outgoing links in sitemap order within a budget, without the site's own pages."""
-    own = m.clients(spark, sf_dir).where("client_id < 50").select(F.col("client_id").alias("code"))
+    """Distinct outgoing links in sitemap order within a budget, without any own page; the SQL still
+    knows few own pages and keeps 3 links."""
+    own = m.clients(spark, sf_dir).select(F.col("client_id").alias("code"))
     links = m.pages(spark, sf_dir).groupBy("run_id", "code").agg(F.min("place").alias("place")).join(own, "code", "left_anti")
-    return links.withColumn("n", F.row_number().over(W.partitionBy("run_id").orderBy("place", "code"))).where("n <= 3").select("run_id", "code", "place")
+    return links.withColumn("n", F.row_number().over(W.partitionBy("run_id").orderBy("place", "code"))).where(F.col("n") <= MOST_LINKS).select("run_id", "code", "place")
 
 
 @query("current_pairs", f"SELECT c.client_id, l.keyword, l.position, l.captured_at FROM current_runs c JOIN {_LATEST_PAIRS} l ON l.page_no = c.client_id % 200")

@@ -26,3 +26,24 @@ def test_users_with_a_job_due_in_any_run(spark):
     got = registry.queries()["join_semi_in_subquery"](spark, SF_DIR).collect()
     assert sorted((r.client_id, r.user_id) for r in got) == sorted((r.client_id, r.user_id) for r in clients if r.user_id in users)
     assert due and len(got) > 0
+
+
+def test_catalogue_order_of_all_current_pages(spark):
+    pages = m.current_pages(spark, SF_DIR).collect()
+    want = sorted(pages, key=lambda r: (m.SEVERITIES.index(r.severity), r.page_id))
+    got = registry.queries()["sort_catalogue"](spark, SF_DIR).collect()
+    assert [(r.page_id, r.severity, r.place) for r in got] == [(r.page_id, r.severity, r.place) for r in want] and len(got) > 100
+
+
+def test_outbound_links_within_the_budget(spark):
+    own = {r.client_id for r in m.clients(spark, SF_DIR).collect()}
+    first = {}
+    for r in m.pages(spark, SF_DIR).collect():
+        if r.code not in own:
+            first[r.run_id, r.code] = min(r.place, first.get((r.run_id, r.code), r.place))
+    runs = {}
+    for (run, code), at in first.items():
+        runs.setdefault(run, []).append((at, code))
+    want = {(run, code, at) for run, links in runs.items() for at, code in sorted(links)[:300]}
+    got = registry.queries()["outbound_plan"](spark, SF_DIR).collect()
+    assert {(r.run_id, r.code, r.place) for r in got} == want and len(got) == len(want) > 0
