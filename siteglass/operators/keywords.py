@@ -1,8 +1,8 @@
 """The keyword pipeline: a list of DataFrame steps over the candidates of a run's pages.
 
 collect -> document frequency -> score -> subsume -> select. Every step but the last is columns and
-aggregates; the last is an ordered choice with running state, made page by page in Python from a
-bounded number of top candidates.
+aggregates; the last is an ordered choice with running state, made page by page in Python from all of
+the page's terms that are left.
 """
 
 from __future__ import annotations
@@ -11,8 +11,7 @@ from collections.abc import Callable
 
 import pandas as pd
 from pyspark.ml.feature import StopWordsRemover
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siteglass.functions import bands, texts
@@ -21,9 +20,14 @@ Step = Callable[[DataFrame], DataFrame]
 #: What a field adds to a term's score, and the factor of its number of words.
 FIELD_WEIGHTS = {"title": 5.0, "titleTail": 2.0, "h1": 4.0, "slug": 3.0, "meta": 2.0, "subheading": 2.0, "firstParagraph": 1.5}
 WORD_FACTORS = {1: 0.6, 2: 1.15, 3: 1.15, 4: 1.0, 5: 0.85}
+#: What separates the clauses of a title.
+TITLE_CLAUSE = "[:?!+]+|\\s[-–—|·•]\\s"
 LANGUAGES = {"en": "english", "fr": "french", "de": "german", "es": "spanish"}
-#: How many candidates a page may bring to the last step.
-MOST_CANDIDATES = 200
+#: Fields that name a subject, and those an author writes on purpose.
+ANCHOR_FIELDS = ("title", "h1", "slug")
+STRONG_FIELDS = ("title", "titleTail", "h1", "slug", "meta", "subheading")
+#: The most words of a term, and of one in a language without a list of stop words.
+MOST_WORDS, MOST_WORDS_UNKNOWN = 5, 2
 
 
 def compose(*steps: Step) -> Step:
@@ -57,12 +61,29 @@ def stop_words(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "lang string, word string").distinct()
 
 
-def candidates(fields: DataFrame, most: int = 3) -> DataFrame:
+def clauses(title: Column, slug: Column) -> Column:
+    """The clauses of a title: first the one that names the page, whose words the slug repeats most (the
+    earliest of equals), then the others in order."""
+    named = F.filter(F.split(texts.normalised(slug), " "), lambda t: t != "")
+    parts = F.filter(F.transform(F.split(F.coalesce(title, F.lit("")), TITLE_CLAUSE), lambda c: F.trim(c)), lambda c: c != "")
+
+    def share(clause: Column) -> Column:
+        tokens = F.filter(F.split(texts.normalised(clause), " "), lambda t: t != "")
+        return F.when(F.size(tokens) > 0, F.size(F.filter(tokens, lambda t: F.array_contains(named, t))) / F.size(tokens)).otherwise(0.0)
+
+    ranked = F.transform(parts, lambda c, i: F.struct(share(c).alias("share"), (-i).alias("at"), c.alias("clause")))
+    best = F.array_max(ranked)
+    rest = F.transform(F.filter(ranked, lambda r: r["at"] != best["at"]), lambda r: r["clause"])
+    return F.when(F.size(parts) > 0, F.concat(F.array(best["clause"]), rest)).otherwise(parts)
+
+
+def candidates(fields: DataFrame, most: int = MOST_WORDS) -> DataFrame:
     """From (run, page_id, lang, field, text) the terms of each page: run, page_id, lang, term, n_words,
     fields (set), tf (in the body). A term neither begins nor ends in a stop word or weak token."""
     tokens = F.filter(F.split(texts.normalised(F.col("text")), " "), lambda t: t != "")
     cut = fields.select("run", "page_id", "lang", "field", tokens.alias("tokens"))
-    rows = cut.select("run", "page_id", "lang", "field", F.explode(texts.ngrams(F.col("tokens"), most)).alias("term"))
+    grams = F.when(F.col("lang").isin(*LANGUAGES), texts.ngrams(F.col("tokens"), most)).otherwise(texts.ngrams(F.col("tokens"), min(most, MOST_WORDS_UNKNOWN)))
+    rows = cut.select("run", "page_id", "lang", "field", F.explode(grams).alias("term"))
     rows = rows.where(F.length("term") <= 200).withColumn("first", F.substring_index("term", " ", 1)).withColumn("last", F.substring_index("term", " ", -1))
     rows = rows.where(~texts.is_weak_token(F.col("first")) & ~texts.is_weak_token(F.col("last")))
     stops = F.broadcast(stop_words(fields.sparkSession))
@@ -82,27 +103,30 @@ def document_frequency(terms: DataFrame) -> DataFrame:
 def score(terms: DataFrame) -> DataFrame:
     """terms with score: field weights and repetition, by the number of words, times rarity in the run.
     A passing mention (once, in no field that names the page) scores 0 and goes."""
-    anchored = F.size(F.array_except("fields", F.array(F.lit("body")))) > 0
+    anchored = F.arrays_overlap("fields", F.array(*map(F.lit, ANCHOR_FIELDS)))
     weights = F.create_map(*[x for k, v in FIELD_WEIGHTS.items() for x in (F.lit(k), F.lit(v))])
     total = F.aggregate("fields", F.lit(0.0), lambda a, f: a + F.coalesce(weights[f], F.lit(0.0)))
-    strong = F.size(F.array_intersect("fields", F.array(*map(F.lit, ("title", "h1", "slug", "meta")))))
+    strong = F.size(F.array_intersect("fields", F.array(*map(F.lit, STRONG_FIELDS))))
     factor = F.create_map(*[x for k, v in WORD_FACTORS.items() for x in (F.lit(k), F.lit(v))])
     raw = (total + 2.5 * F.log1p(F.col("tf"))) * (1 + 0.25 * F.greatest(F.lit(0), strong - 1)) * F.coalesce(factor[F.col("n_words")], F.lit(0.85))
     kept = F.when((F.col("tf") < 2) & ~anchored, 0.0).otherwise(raw * F.when(F.col("tf") == 0, 0.5).otherwise(1.0))
     return terms.withColumn("score", kept * bands.idf(F.col("pages"), F.col("df"), anchored)).where("score > 0")
 
 
-def top(terms: DataFrame) -> DataFrame:
-    order = W.partitionBy("run", "page_id").orderBy(F.desc("score"), "term")
-    return terms.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= MOST_CANDIDATES)
+def subsume(terms: DataFrame) -> DataFrame:
+    """terms without those inside a longer one of the page that scores half as much or more.
 
+    Each term is cut into the runs that are one or two words shorter, so no pair of a page's terms meets."""
+    words = F.split("term", " ")
 
-def subsume(terms: DataFrame) -> DataFrame:
-    """terms without those inside a longer one of the page that scores half as much or more."""
-    longer = terms.select("run", "page_id", F.col("term").alias("l"), F.col("score").alias("ls"), F.col("n_words").alias("ln"))
-    inside = F.contains(F.concat(F.lit(" "), F.col("l"), F.lit(" ")), F.concat(F.lit(" "), F.col("term"), F.lit(" ")))
-    near = (F.col("ln") > F.col("n_words")) & (F.col("ln") <= F.col("n_words") + 2) & (F.col("ls") >= 0.5 * F.col("score"))
-    gone = terms.join(longer, ["run", "page_id"]).where(near & inside).select("run", "page_id", "term").distinct()
+    def shorter(by: int) -> Column:
+        n = F.size(words) - by
+        runs = F.transform(F.sequence(F.lit(1), F.lit(by + 1)), lambda i: F.array_join(F.slice(words, i, n), " "))
+        return F.when(n >= 1, runs).otherwise(F.array().cast("array<string>"))
+
+    inside = terms.select("run", "page_id", F.col("score").alias("ls"), F.explode(F.array_distinct(F.concat(shorter(1), shorter(2)))).alias("term"))
+    best = inside.groupBy("run", "page_id", "term").agg(F.max("ls").alias("ls"))
+    gone = terms.join(best, ["run", "page_id", "term"]).where(F.col("ls") >= 0.5 * F.col("score")).select("run", "page_id", "term")
     return terms.join(gone, ["run", "page_id", "term"], "left_anti")
 
 
@@ -132,7 +156,7 @@ def select(terms: DataFrame) -> DataFrame:
 
 def keywords(fields: DataFrame, words: DataFrame) -> DataFrame:
     """The whole pipeline; words has page_id and words."""
-    ranked = compose(candidates, document_frequency, score, top, subsume)(fields)
+    ranked = compose(candidates, document_frequency, score, subsume)(fields)
     return select(ranked.join(words, "page_id"))
 
 

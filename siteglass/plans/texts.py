@@ -14,12 +14,20 @@ def fields(spark, sf_dir):
     """The fields of each page that keywords are read from."""
     from siteglass.plans.sites import parsed
 
-    p = parsed(spark, sf_dir)
+    p = parsed(spark, sf_dir).withColumn("slug", F.regexp_replace(urls.stem(F.col("url")), "[-_]", " "))
+    main = F.get(F.transform(F.filter("page.headings", lambda h: h["level"] == 1), lambda h: h["text"]), F.lit(0))
+    p = p.withColumn("title", keywords.clauses(F.col("page.title"), F.col("slug"))).withColumn("h1", keywords.clauses(F.coalesce(main, F.get("page.h1s", F.lit(0))), F.col("slug")))
+    headings = F.transform(F.filter("page.headings", lambda h: h["level"].isin(2, 3)), lambda h: h["text"])
     texts_of = {
-        "title": F.col("page.title"), "h1": F.array_join("page.h1s", " "), "slug": F.regexp_replace(urls.stem(F.col("url")), "[-_]", " "),
-        "firstParagraph": F.col("page.first_paragraph"), "body": F.array_join("page.blocks", " "),
+        "title": F.slice("title", 1, 1), "titleTail": F.concat(F.slice("title", 2, 1 << 20), F.slice("h1", 2, 1 << 20)), "h1": F.slice("h1", 1, 1), "slug": F.array("slug"),
+        "meta": F.array("page.meta_description"), "subheading": headings, "firstParagraph": F.array("page.first_paragraph"), "body": F.col("page.blocks"),
     }
-    parts = F.array(*[F.struct(F.lit(k).alias("field"), v.alias("text")) for k, v in texts_of.items()])
+
+    # texts stay apart, so that no term runs from one into the next
+    def of(field, found):
+        return F.transform(F.coalesce(found, F.array().cast("array<string>")), lambda t: F.struct(F.lit(field).alias("field"), t.alias("text")))
+
+    parts = F.flatten(F.array(*[of(k, v) for k, v in texts_of.items()]))
     long = p.select(F.col("site").alias("run"), "page_id", texts.iso_language(F.col("page.lang")).alias("lang"), F.explode(parts).alias("x"))
     words = p.select("page_id", F.col("page.word_count").alias("words"))
     return long.select("run", "page_id", "lang", F.col("x.field").alias("field"), F.coalesce("x.text", F.lit("")).alias("text")), words
@@ -32,13 +40,13 @@ def kw_collect(spark, sf_dir):
 
 @query("kw_page_score")
 def kw_page_score(spark, sf_dir):
-    step = keywords.compose(keywords.candidates, keywords.document_frequency, keywords.score, keywords.top)
+    step = keywords.compose(keywords.candidates, keywords.document_frequency, keywords.score)
     return step(fields(spark, sf_dir)[0]).select("run", "page_id", "term", F.round("score", 6).alias("score"), "df")
 
 
 @query("kw_subsume")
 def kw_subsume(spark, sf_dir):
-    step = keywords.compose(keywords.candidates, keywords.document_frequency, keywords.score, keywords.top, keywords.subsume)
+    step = keywords.compose(keywords.candidates, keywords.document_frequency, keywords.score, keywords.subsume)
     return step(fields(spark, sf_dir)[0]).select("run", "page_id", "term")
 
 

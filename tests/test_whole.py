@@ -2,8 +2,9 @@
 
 import re
 
+from siteglass.operators import keywords
 from siteglass.plans import model as m
-from siteglass.plans import registry, relational
+from siteglass.plans import registry, relational, texts
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -47,3 +48,23 @@ def test_outbound_links_within_the_budget(spark):
     want = {(run, code, at) for run, links in runs.items() for at, code in sorted(links)[:300]}
     got = registry.queries()["outbound_plan"](spark, SF_DIR).collect()
     assert {(r.run_id, r.code, r.place) for r in got} == want and len(got) == len(want) > 0
+
+
+def test_keywords_of_all_fields_and_lengths(spark, tmp_path):
+    many = " ".join(f"alpha{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(150))
+    html = f"""<html lang="en"><head><title>Complete guide: Red kite</title><meta name="description" content="Gliding bird"></head>
+    <body><main><h1>Red kite</h1><h2>Fork tail</h2><p>{many}</p><p>{many}</p></main></body></html>"""
+    other = html.replace('lang="en"', 'lang="xx"')
+    rows = [(1, "https://a.example/red-kite", html), (2, "https://b.example/red-kite", other)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    fields = texts.fields(spark, str(tmp_path))[0]
+    held = {(r.field, r.text) for r in fields.where("page_id = 1").collect()}
+    assert {("title", "Red kite"), ("titleTail", "Complete guide"), ("meta", "Gliding bird"), ("subheading", "Fork tail"), ("h1", "Red kite")} <= held
+    found = registry.queries()["kw_collect"](spark, str(tmp_path)).groupBy("page_id").agg({"n_words": "max"}).collect()
+    assert {r[0]: r[1] for r in found} == {1: 5, 2: 2}
+    scored = registry.queries()["kw_page_score"](spark, str(tmp_path)).where("page_id = 1").collect()
+    assert len(scored) > 600
+    terms = spark.createDataFrame([(r.run, r.page_id, r.term, r.score) for r in scored], "run string, page_id long, term string, score double")
+    value = {r.term: r.score for r in scored}
+    lost = {s for s in value for t in value if 0 < len(t.split()) - len(s.split()) <= 2 and f" {s} " in f" {t} " and value[t] >= 0.5 * value[s]}
+    assert {r.term for r in keywords.subsume(terms).collect()} == set(value) - lost
