@@ -361,19 +361,11 @@ def near_links(sums: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFram
     return links, both.withColumn("near", F.col("near") | (F.col("node") == F.col("best.node"))).select("hub", "node", "size", "apart", "near")
 
 
-def far_links(sums: DataFrame, deltas: DataFrame, known: DataFrame, num: int, den: int) -> DataFrame | None:
-    """Links in which a node takes part that is not near.
-
-    x and y are e + f - 2o apart, if their differences from the hub share o elements. So a link asks for
-    an o that grows with e and f, and prefixes of the differences, the rarest elements first, meet in
-    at least one element. Prefixes are cut for each band of the other's distance.
-    """
-    spark = sums.sparkSession
-    opened = sums.where(~F.col("near")).select("hub").distinct()
-    members = stored(sums.join(opened, "hub", "left_semi"), "members")
-    elements = stored(deltas.select("hub", "node", F.explode("delta").alias("element")).join(members.drop("hub"), "node"), "elements")
-    often = elements.groupBy("hub", "element").agg(F.count(F.lit(1)).alias("df"), F.max(~F.col("near")).alias("asked"))
-    ranked = elements.join(often, ["hub", "element"]).withColumn("rank", F.row_number().over(Window.partitionBy("node").orderBy("df", "element")))
+def _prefixes(elements: DataFrame, num: int, den: int) -> DataFrame:
+    """From elements (hub, node, size, apart, asked, element) the keys of each node's prefixes: key, node,
+    size, apart. Elements that no asked node has are no keys."""
+    often = elements.groupBy("hub", "element").agg(F.count(F.lit(1)).alias("df"), F.max("asked").alias("asked"))
+    ranked = elements.drop("asked").join(often, ["hub", "element"]).withColumn("rank", F.row_number().over(Window.partitionBy("node").orderBy("df", "element")))
 
     def band(e: Column) -> Column:
         return F.floor(F.log(F.greatest(e, F.lit(1)).cast("double")) / math.log(1.25)).cast("int")
@@ -381,13 +373,27 @@ def far_links(sums: DataFrame, deltas: DataFrame, known: DataFrame, num: int, de
     reach = F.floor(F.col("size") * (den - num) / F.lit(num)).cast("long")  # no link is wider apart
     ranked = ranked.where("df > 1 and asked").withColumn("reach", reach).withColumn("band", band(F.col("apart")))
     others = F.explode(F.sequence(band(F.col("apart") - F.col("reach")), band(F.col("apart") + F.col("reach")))).alias("other")
-    spread = ranked.select("hub", "node", "size", "apart", "near", "element", "rank", "reach", "band", others)
+    spread = ranked.select("hub", "node", "size", "apart", "element", "rank", "reach", "band", others)
     low = F.floor(F.pow(F.lit(1.25), F.col("other")) - 1e-6).cast("long")
     need = F.greatest(F.lit(1).cast("long"), F.ceil((F.col("apart") + F.greatest(low, F.lit(1)) - F.col("reach")) / 2.0))
     cut = spread.where(F.col("rank") <= F.col("apart") - need + 1)
     # one key for an element and a pair of bands, whichever of the two the node is in
     key = F.xxhash64("hub", "element", F.least("band", "other"), F.greatest("band", "other")).alias("key")
-    rows = cut.select(key, "node", "size", "apart").distinct()
+    return cut.select(key, "node", "size", "apart").distinct()
+
+
+def far_links(sums: DataFrame, deltas: DataFrame, known: DataFrame, num: int, den: int) -> DataFrame | None:
+    """Links in which a node takes part that is not near.
+
+    x and y are e + f - 2o apart, if their differences from the hub share o elements. So a link asks for
+    an o that grows with e and f, and prefixes of the differences, the rarest elements first, meet in
+    at least one element. Prefixes are cut for each band of the other's distance.
+    """
+    spark = sums.sparkSession
+    opened = sums.where(~F.col("near")).select("hub").distinct()
+    members = stored(sums.join(opened, "hub", "left_semi"), "members")
+    elements = stored(deltas.select("hub", "node", F.explode("delta").alias("element")).join(members.drop("hub").withColumn("asked", ~F.col("near")), "node"), "elements")
+    rows = _prefixes(elements, num, den)
     groups = known.withColumnRenamed("component", "group")
     members = stored(_open(rows, groups), "prefixes")
     links = asked = None
@@ -444,10 +450,53 @@ def _verified(pairs: DataFrame, deltas: DataFrame, num: int, den: int) -> DataFr
     return shared.where(apart * (num + den) <= (F.col("sx") + F.col("sy")) * (den - num)).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
-def classes(df: DataFrame, n: int = 5, num: int = 80, den: int = 100, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def link_counts(sums: DataFrame, deltas: DataFrame, num: int, den: int) -> DataFrame:
+    """(node, n_links): how many other nodes each node is linked with, exactly.
+
+    Where any two distances of a family are near enough, all its nodes are linked. Other families are
+    measured from their middle instead of the hub: what more than half of the nodes differ from the hub
+    in is changed in all differences. Then pairs whose distances to the middle are near enough are
+    counted by distance, without a row for a pair; any other link asks for a shared element of the
+    differences, and such pairs meet on prefixes and are compared.
+    """
+
+    def scored(df: DataFrame) -> DataFrame:
+        return df.withColumn("score", F.col("apart") * (num + den) - F.col("size") * (den - num))
+
+    first = scored(sums).select("hub", "node", "size", "apart", "score")
+    top = first.groupBy("hub").agg(F.count(F.lit(1)).alias("k"), F.max("score").alias("most"))
+    # two times the largest is at least the sum of the two largest
+    closed = first.join(top.where("most <= 0"), "hub").select("node", (F.col("k") - 1).alias("n_links"))
+    opened = stored(first.join(top.where("most > 0").select("hub", "k"), "hub"), "opened")
+    if opened.isEmpty():
+        return closed
+    sizes = opened.select("hub", "k").distinct()
+    own = stored(deltas.select("hub", "node", "fragment", F.explode("delta").alias("element")).join(sizes.select("hub"), "hub", "left_semi"), "own-elements")
+    major = own.groupBy("hub", "fragment", "element").agg(F.count(F.lit(1)).alias("df")).join(sizes, "hub").where(2 * F.col("df") > F.col("k")).select("hub", "fragment", "element")
+    major = stored(major, "major")
+    kept = own.join(major, ["hub", "fragment", "element"], "left_anti").select("hub", "node", "fragment", "element")
+    added = opened.select("hub", "node").join(major, "hub").join(own, ["hub", "node", "fragment", "element"], "left_anti").select("hub", "node", "fragment", "element")
+    moved = stored(kept.unionByName(added), "moved-elements")
+    apart = moved.groupBy("node").agg(F.count(F.lit(1)).alias("apart"))
+    members = stored(scored(opened.select("hub", "node", "size").join(apart, "node", "left").fillna(0, ["apart"])), "moved")
+    held = members.groupBy("hub", "score").agg(F.count(F.lit(1)).alias("c"))
+    marks = held.select("hub", F.col("score").alias("v"), F.lit(0).alias("ask"), "c", "score").unionByName(held.select("hub", (-F.col("score")).alias("v"), F.lit(1).alias("ask"), F.lit(0).cast("long").alias("c"), "score"))
+    below = F.sum("c").over(Window.partitionBy("hub").orderBy("v", "ask").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    counted = marks.withColumn("below", below).where("ask = 1").select("hub", "score", "below")
+    near = members.join(counted, ["hub", "score"]).select("node", (F.col("below") - F.when(F.col("score") <= 0, 1).otherwise(0)).alias("n_links"))
+    elements = stored(moved.drop("fragment").join(members.select("node", "size", "apart", (F.col("score") > 0).alias("asked")), "node"), "elements")
+    pairs = _pairs_across(stored(_prefixes(elements, num, den), "prefixes").withColumn("group", F.col("node")))
+    wide = (F.col("ex") + F.col("ey")) * (num + den) > (F.col("sx") + F.col("sy")) * (den - num)
+    pairs = stored(pairs.where(wide & (F.col("sx") * den >= F.col("sy") * num) & (F.col("sy") * den >= F.col("sx") * num)), "pairs")
+    found = _verified(pairs, moved.groupBy("node", "fragment").agg(F.collect_list("element").alias("delta")), num, den)
+    far = found.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
+    return closed.unionByName(near.unionByName(far).groupBy("node").agg(F.sum("n_links").alias("n_links")))
+
+
+def classes(df: DataFrame, n: int = 5, num: int = 80, den: int = 100, doc_id: str = "doc_id", text: str = "text", counted: bool = True) -> DataFrame:
     """A row for each row of df: doc_id, n_shingles, component_id (the smallest doc_id reachable by
-    links of similarity num / den or more) and n_links, how many links between different sets the join
-    had to establish for its node."""
+    links of similarity num / den or more) and, if counted, n_links, how many different sets its own is
+    linked with."""
     ship(df.sparkSession)
     docs = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     slim = stored(docs.mapInArrow(lambda batches: _signatures(batches, n), "doc_id long, size long, one long, two long"), "signatures")
@@ -463,19 +512,21 @@ def classes(df: DataFrame, n: int = 5, num: int = 80, den: int = 100, doc_id: st
     links, sums = near_links(sums.drop("overlap"), num, den)
     release(df.sparkSession)
     links = stored(links, "near-links")
-    far = far_links(stored(sums, "sums"), deltas, components(links), num, den)
+    sums = stored(sums, "sums")
+    far = far_links(sums, deltas, components(links), num, den)
     links = stored((links if far is None else links.unionByName(far)).distinct(), "links")
     found = components(links)
-    ends = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
     out = slim.join(same, ["one", "two", "size"], "left").withColumn("node", F.when(F.col("size") > 0, F.coalesce("node", "doc_id")).otherwise(F.col("doc_id")))
-    out = out.join(stored(found.join(ends, "node", "left"), "labelled"), "node", "left")
-    return out.select("doc_id", F.col("size").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "node")).alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    labelled = found.join(link_counts(sums.drop("near"), deltas, num, den), "node", "left") if counted else found
+    out = out.join(stored(labelled, "labelled"), "node", "left")
+    columns = ["doc_id", F.col("size").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "node")).alias("component_id")]
+    return out.select(*columns, *([F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")] if counted else []))
 
 
 def representatives(df: DataFrame, **options) -> DataFrame:
     """The rows of df that stand for their component: those whose doc_id is its smallest; rows without
     a doc_id stay."""
-    found = classes(df, **options)
+    found = classes(df, counted=False, **options)
     gone = stored(found.where("component_id is not null and doc_id != component_id").select("doc_id").distinct(), "copies")
     rows = gone.count()
     return joined_small(df, gone, "doc_id", "left_anti", rows, MOST_BROADCAST)

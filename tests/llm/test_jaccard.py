@@ -99,3 +99,23 @@ def test_every_linked_pair_shares_a_key():
                 assert len(np.intersect1d(jaccard.prefix(a, often, num, den), jaccard.prefix(b, often, num, den)))
                 for common in (20, 64, 100):
                     assert len(a) + len(b) == 2 * both or len(np.intersect1d(bands.keys(a, often, common), bands.keys(b, often, common)))
+
+
+@pytest.mark.parametrize(("n", "num", "den", "seed"), [(3, 90, 100, 11), (5, 80, 100, 12)])
+def test_links_of_each_document_against_all_pairs(spark, n, num, den, seed):
+    rng = random.Random(seed)
+    rows = families(rng, [rng.choice([4, 9, 20, 60, 150, 400]) for _ in range(30)], 6)
+    base = [f"w{rng.randrange(900)}" for _ in range(200)]
+    for k in range(40):  # a family whose hub is far from the others
+        words = ["hub", "of", "it", *base[12:]] if k == 0 else list(base)
+        for _ in range(rng.randrange(4)):
+            words[rng.randrange(len(words))] = f"v{rng.randrange(5)}"
+        rows.append((5000 + k, " ".join(words)))
+    sets = {}
+    for i, t in rows:
+        w = WORD.findall((t or "").lower())
+        sets[i] = frozenset(tuple(w[k : k + n]) for k in range(len(w) - n + 1)) if len(w) >= n else frozenset([tuple(w)] if w else [])
+    kinds = set(sets.values())
+    want = {i: sum(s != o and len(s & o) * den >= len(s | o) * num for o in kinds if s and o) for i, s in sets.items()}
+    got = jaccard.classes(spark.createDataFrame(rows, "doc_id long, text string"), n=n, num=num, den=den).collect()
+    assert {r.doc_id: r.n_links for r in got} == want and max(want.values()) > 10
