@@ -10,7 +10,8 @@ import threading
 import time
 import uuid
 import zipfile
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -42,11 +43,12 @@ def ship(spark: SparkSession) -> None:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; a local one only where none is named (tests)."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        named = spark.sparkContext.getCheckpointDir()
+    """The shared folder that the cluster names. Where none is named, a local one will do if driver and
+    executors are one machine; on a cluster it would lose rows, so that is an error."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="siteglass-checkpoint-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
@@ -61,7 +63,48 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     executor costs a read and not a recomputation."""
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    if _SCOPES:
+        _SCOPES[-1].append(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Removes the files of tables that `stored` made and nothing reads any more."""
+    for table in tables:
+        if table is not None and getattr(table, "_scratch", None):
+            _delete(table.sparkSession, table._scratch)
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Removes at its end every table stored within it, but for those passed to the function it gives."""
+    _SCOPES.append([])
+    kept: set[str] = set()
+
+    def keep(table: DataFrame) -> DataFrame:
+        kept.add(table._scratch)
+        return table
+
+    try:
+        yield keep
+    finally:
+        own = _SCOPES.pop()
+        for path in own:
+            if path not in kept:
+                _delete(spark, path)
+        if _SCOPES:
+            _SCOPES[-1] += kept
+        release(spark)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+_SCOPES: list[list[str]] = []
 
 
 def release(spark: SparkSession) -> None:
@@ -73,9 +116,7 @@ def release(spark: SparkSession) -> None:
 
 def forget(spark: SparkSession) -> None:
     """Removes every scratch table of this engine under the shared folder."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{scratch_root(spark)}/siteglass")
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, f"{scratch_root(spark)}/siteglass")
 
 
 def joined_small(
@@ -86,6 +127,33 @@ def joined_small(
     return left.join(F.broadcast(small) if rows <= bound else small, on, how)
 
 
+#: Rows of one key that a task takes without being split, and keys that may be split: fewer rows than
+#: LEAST_HOT never are, and the bound rises with the rows, so that at most MOST_HOT keys lie above it.
+LEAST_HOT, MOST_HOT = 4096, 500_000
+
+
+def hot_keys(counted: DataFrame, on: list[str], rows: int) -> DataFrame | None:
+    """From counted (on, n), n rows of each key and `rows` in all: (on, parts) of the keys to be split;
+    None if no key can be that large."""
+    if rows <= LEAST_HOT:
+        return None
+    most = max(LEAST_HOT, -(-rows // MOST_HOT))
+    return counted.where(F.col("n") > most).select(*on, F.ceil(F.col("n") / most).cast("int").alias("__parts"))
+
+
+def salted_join(left: DataFrame, right: DataFrame, on: list[str], hot: DataFrame | None, by: Column | str, how: str = "inner") -> DataFrame:
+    """Joins left with right, where keys of `hot` are dealt over several tasks: left's rows by the hash
+    of `by`, right's rows in a copy for each part. hot has some of the columns `on`; by its making it
+    has at most MOST_HOT rows."""
+    if hot is None:
+        return left.join(right, on, how)
+    keys = [c for c in hot.columns if c != "__parts"]
+    parts = F.coalesce("__parts", F.lit(1))
+    one = left.join(F.broadcast(hot), keys, "left").withColumn("__salt", F.pmod(F.xxhash64(by), parts).cast("int")).drop("__parts")
+    other = right.join(F.broadcast(hot), keys, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), parts - 1))).drop("__parts")
+    return one.join(other, [*on, "__salt"], how).drop("__salt")
+
+
 def words_of(text: Column) -> Column:
     """The words of a text, natively; null has none."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), f"[{WORD_SPACE}]+"), lambda w: w != "")

@@ -2,7 +2,8 @@
 
 Each round points every node of a neighbourhood at its smallest member, first those above the node,
 then those below it; the links shrink to stars around each component's smallest node in a number of
-rounds that grows with the logarithm of the longest path. The driver sees two numbers a round.
+rounds that grows with the logarithm of the longest path. A star's centre may have any share of all
+links: its rows are dealt over several tasks. The driver sees two numbers a round.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siteglass.llm.common import stored
+from siteglass.llm.common import discard, hot_keys, salted_join, stored
 
 MOST_ROUNDS = 40
 
@@ -20,16 +21,18 @@ def _state(edges: DataFrame) -> tuple:
     return row["n"], row["h"]
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, rows: int) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
+    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("n"))
+    met = salted_join(both.where("v > u"), least.drop("n"), ["u"], hot_keys(least, ["u"], 2 * rows), "v")
+    return met.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, rows: int) -> DataFrame:
     # edges point down: u > v
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    moved = edges.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
+    least = edges.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+    met = salted_join(edges, least.drop("n"), ["u"], hot_keys(least, ["u"], rows), "v")
+    moved = met.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 
@@ -40,7 +43,10 @@ def components(links: DataFrame) -> DataFrame:
     for _ in range(MOST_ROUNDS):
         if not state[0]:
             break
-        edges = stored(_small_star(_large_star(edges)), "stars")
+        large = _large_star(edges, state[0])
+        new = stored(_small_star(large, state[0]), "stars")
+        discard(edges)
+        edges = new
         before, state = state, _state(edges)
         if state == before:
             break

@@ -1,36 +1,37 @@
 """N-gram Jaccard join by vertical partitioning, and the components of its links.
 
-A document's set is its distinct word n-grams, as 64-bit hashes. The global n-gram order is by frequency,
-rare ones first, and then by hash; frequencies are counted over all sets in a table of fixed size, whose
-slots n-grams share by hash (the order stays one order for all sets, which is what exactness needs).
+A document's set is its distinct word n-grams, as 64-bit hashes.
 
 1. Documents with equal sets (two further 64-bit hashes of the whole set, and its size) are one node,
    the smallest doc_id; so copies never meet in pairs.
-2. Candidates. Sets of similarity t and at most r n-grams differ in at most d = 2r(1-t)/(1+t) of them.
-   In bands of such sizes the hash order is cut into more than d fragments, so two linked sets agree on
-   a whole segment, and a node's keys are hashes of its segments. Where a low similarity makes segments
-   short, n-grams of frequent slots are left out of all of them: a passage that many documents share
-   makes no keys. The fragments in excess of
-   d + 1 make up for empty segments, which are no keys; a set with more empty ones than that has the
-   n-grams of its prefix as keys instead, the first n - tn + 1 in the global order, of which linked sets
-   share one. So no link is lost.
-3. Nodes connected by shared keys are a family, its smallest node their hub. Every node is compared
-   with its hub alone, by fragments: segments of both meet on (hub, fragment), where the overlap is
-   counted and the difference taken; the overlaps are summed for each pair. So a family costs a row for
-   each node and fragment, and no pair of other members.
-4. Distances to the hub decide most links without another look: by the triangle inequality, what is
-   near the hub is linked, and one star holds it together. Links of the other nodes are found by a
-   prefix join on the differences from the hub, which hold a node's own edits and little else: rarest
-   elements first, cut by what overlap the distances ask for. The pairs it yields are compared by
-   fragments of the differences. All tests are exact arithmetic on integers.
+2. Sets that stand alone. A set of similarity t or more with another has at most size - ceil(t size)
+   n-grams that no other set has. A fixed share of the hash space is enough to prove most sets alone:
+   n-grams of that share travel packed, by ranges of hashes, and each set learns how many of them are
+   shared. A set with too many of its own is linked with nothing and goes no further. The share and the
+   shortened hashes that travel only ever let more sets pass, never fewer.
+3. The global n-gram order is by the number of remaining sets that have the n-gram (exact up to
+   EXACT_CLASSES, in steps of an eighth of a doubling beyond), rare ones first, and then by hash. N-grams
+   of one set alone come first in it and need not be kept. Linked sets share one of the first
+   size - ceil(t size) + 1 n-grams of each: its prefix, whose n-grams are its keys.
+4. Nodes connected by shared keys are a family, its smallest node their hub. The global order is cut
+   into FRAGMENTS fragments of about equal weight, each set into the segments that fall into them.
+   Segments of a node and of its hub meet on (hub, fragment), where the partial overlap is counted; the
+   sums over fragments are the overlap of the pair. So a family costs a row for each node and
+   fragment, and no pair of other members. Hubs of large families are dealt over several tasks.
+5. The overlaps say how far a node is from its hub. By the triangle inequality, what is near the hub is
+   linked, and one star holds it together. Links of the other nodes are found by a prefix join on the
+   differences from the hub, which hold a node's own edits and little else: rarest elements first, cut
+   by what overlap the distances ask for, and by what can still follow. The pairs it yields are
+   compared by fragments, partial overlaps summed. All tests are exact arithmetic on integers.
 
 Hashes stand for n-grams: a wrong link needs a collision of 64 bits within two compared sets.
 
 Words are runs of other characters than ASCII white space, A-Z lower-cased; fewer words than n make
 one n-gram of all. Null, empty and wordless texts have an empty set and are linked with nothing. Rows
 of null doc_id have a null component. Repeated rows are returned each; if one doc_id has several
-texts, the set of smallest fingerprint takes part in links. An empty table gives no rows. Other
-columns are not read.
+texts, the set of smallest fingerprint takes part in links. Very long texts are read whole, in one task
+each. Ties have no part: the smallest doc_id is unique. An empty table gives no rows. Other columns are
+not read.
 """
 
 from __future__ import annotations
@@ -43,18 +44,22 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siteglass.llm.common import joined_small, release, ship, stored
+from siteglass.llm.common import discard, hot_keys, joined_small, release, salted_join, scratch_scope, ship, stored
 from siteglass.llm.components import components
 from siteglass.llm.word_table import hash_spans, mixed, pieces, points_of, word_spans
 
 FRAGMENTS = 8
-GROWTH = 1.5
-#: Binary logarithm of the slots of the frequency table, whatever the input, and its pieces.
-SLOTS, PARTS = 22, 64
+#: Frequencies up to this are told apart exactly in the global order.
+EXACT_CLASSES = 64
 #: Ids that may be broadcast: 16 MB of them.
 MOST_BROADCAST = 2_000_000
+#: Entries of one sorted run in a task, and about as many in a range of hashes.
+RUN = 1_000_000
+#: Bits of a hash that travel to find shared n-grams.
+CARRIED = 48
+#: Rounds in which a key's groups are compared with its smallest node only, before pairs across groups.
+ROUNDS = 2
 _ODD = np.uint64(0x9E3779B97F4A7C15)
-_U32 = np.uint64(32)
 
 
 def ngram_sets(texts: list[str | None], n: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -82,152 +87,32 @@ def ngram_sets(texts: list[str | None], n: int) -> Iterator[tuple[int, np.ndarra
                 yield has[g], mixed(np.array([one], np.uint64) ^ _ODD)
 
 
-def place(grams: np.ndarray) -> np.ndarray:
-    """The slot of the frequency table that an n-gram counts in."""
-    return (grams >> np.uint64(64 - SLOTS)).astype(np.int64)
-
-
-def prefix(grams: np.ndarray, often: np.ndarray, num: int, den: int) -> np.ndarray:
-    """The n-grams of a set that any set of enough similarity shares one of: the first n - tn + 1 in the
-    global order, which is by the table's frequencies and then by hash."""
-    size = len(grams)
-    order = np.argsort(often[place(grams)], kind="stable")
-    return grams[order[: size - -(-num * size // den) + 1]]
+def prints(grams: np.ndarray) -> tuple[np.int64, np.int64]:
+    """Two hashes of a whole set."""
+    return mixed(grams).sum(dtype=np.uint64).view(np.int64), mixed(grams ^ np.uint64(0xD6E8FEB86659FD93)).sum(dtype=np.uint64).view(np.int64)
 
 
-def _frequencies(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
-    """From (node, one, text) the task's frequency table, in PARTS pieces."""
-    table = np.zeros(1 << SLOTS, np.int64)
-    held: list[np.ndarray] = []
-    waiting = 0
-    for batch in batches:
-        for _, grams in ngram_sets(batch.column(2).to_pylist(), n):
-            held.append(place(grams))
-            waiting += len(grams)
-        if waiting > 1 << 20:
-            table += np.bincount(np.concatenate(held), minlength=1 << SLOTS)
-            held.clear()
-            waiting = 0
-    if held:
-        table += np.bincount(np.concatenate(held), minlength=1 << SLOTS)
-    if table.any():
-        yield pa.RecordBatch.from_arrays([pa.array(range(PARTS), pa.int32()), pa.array([_planes(x) for x in np.split(table, PARTS)], pa.binary())], names=["part", "counts"])
+def share_of(num: int, den: int) -> int:
+    """The end of the share of the hash space (of 2**CARRIED) that is looked at to prove sets alone: twice
+    what may differ, so that an average set without company has twice as many n-grams there as it may."""
+    return min(1 << CARRIED, -(-2 * (den - num) * (1 << CARRIED) // den))
 
 
-def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    totals: dict[int, np.ndarray] = {}
-    for batch in batches:
-        for part, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            totals[part] = totals.get(part, 0) + _whole(counts)
-    for part, total in totals.items():
-        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([_planes(total)], pa.binary())], names=["part", "counts"])
-
-
-def frequencies(texts: DataFrame, n: int) -> np.ndarray:
-    """How many sets of all texts have the n-grams of each slot; a table of fixed size."""
-    pieces_ = texts.mapInArrow(lambda batches: _frequencies(batches, n), "part int, counts binary")
-    out = np.zeros((PARTS, (1 << SLOTS) // PARTS), np.uint64)
-    for r in pieces_.repartition(PARTS, "part").mapInArrow(_summed, "part int, counts binary").collect():
-        out[r["part"]] = _whole(bytes(r["counts"]))
-    return np.minimum(out.ravel(), np.uint64(0xFFFFFFFF)).astype(np.uint32)
-
-
-class Bands:
-    """Sizes of sets in bands, and the fragments of each: (largest size, fragments, spare fragments)."""
-
-    def __init__(self, num: int, den: int) -> None:
-        self.num, self.den = num, den
-        self.growth = max(GROWTH, den / num * 1.05)
-        r = 1
-        while self.apart(r + 1) < 1:
-            r += 1
-        self.bands = [(r, 1, 0)]
-
-    def apart(self, r: int) -> int:
-        return 2 * r * (self.den - self.num) // (self.den + self.num)
-
-    def of(self, size: int) -> int:
-        while self.bands[-1][0] < size:
-            low = self.bands[-1][0] + 1
-            r = max(low, int(low * self.growth))
-            d, spare = self.apart(r), 1
-            for _ in range(6):
-                empty = (d + 1 + spare) * math.exp(-low / (d + 1 + spare))
-                spare = min(d + 1, math.ceil(empty + 3 * math.sqrt(empty)))
-            self.bands.append((r, d + 1 + spare, spare))
-        return next(k for k, b in enumerate(self.bands) if b[0] >= size) if size <= self.bands[0][0] else self._find(size)
-
-    def _find(self, size: int) -> int:
-        import bisect
-
-        return bisect.bisect_left([b[0] for b in self.bands], size)
-
-    def keys(self, grams: np.ndarray, often: np.ndarray, common: int) -> np.ndarray:
-        """The keys of a set: in its own band, and in the next if it may be linked with a set there.
-
-        Segments are of the n-grams whose slots count up to `common`: leaving the same n-grams out of all
-        sets leaves them no further apart. A set with too few of them has the keys of its prefix.
-        """
-        size = len(grams)
-        few = grams[often[place(grams)] <= common]
-        own = self.of(size)
-        chosen = [own]
-        last = self.bands[own][0]
-        if size * self.den >= self.num * (last + 1):
-            self.of(last + 1)
-            chosen.append(own + 1)
-        out = []
-        total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mixed(few ^ _ODD), dtype=np.uint64)))
-        for k in chosen:
-            _, m, spare = self.bands[k]
-            if m == 1:
-                continue
-            of = ((few >> _U32) * np.uint64(m)) >> _U32
-            cuts = np.searchsorted(of, np.arange(m + 1, dtype=np.uint64))
-            full = np.flatnonzero(np.diff(cuts))
-            tags = mixed(full.astype(np.uint64) + np.uint64((k + 1) << 32))
-            out.append(mixed((total[cuts[full + 1]] - total[cuts[full]]) ^ tags))
-            if m - len(full) > spare:
-                out.append(mixed(prefix(grams, often, self.num, self.den) ^ mixed(np.array([(k + 1) << 48], np.uint64))))
-        return np.concatenate(out) if out else np.zeros(0, np.uint64)
+def _carried(grams: np.ndarray, end: int) -> np.ndarray:
+    """The n-grams of an ascending set that lie in the share, shortened."""
+    short = grams >> np.uint64(64 - CARRIED)
+    return short[: np.searchsorted(short, np.uint64(end))] if end < 1 << CARRIED else short
 
 
-def _signatures(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
+def _signatures(batches: Iterator[pa.RecordBatch], n: int, end: int) -> Iterator[pa.RecordBatch]:
+    names = ["doc_id", "size", "few", "one", "two"]
     for batch in batches:
         texts = batch.column(1).to_pylist()
-        sizes, one, two = (np.zeros(len(texts), np.int64) for _ in range(3))
+        sizes, few, one, two = (np.zeros(len(texts), np.int64) for _ in range(4))
         for k, grams in ngram_sets(texts, n):
-            sizes[k] = len(grams)
+            sizes[k], few[k] = len(grams), len(_carried(grams, end))
             one[k], two[k] = prints(grams)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes), pa.array(one), pa.array(two)], names=["doc_id", "size", "one", "two"])
-
-
-def prints(grams: np.ndarray) -> tuple[np.int64, np.int64]:
-    """Two hashes of a whole set."""
-    return mixed(grams).sum(dtype=np.uint64).view(np.int64), mixed(grams ^ np.uint64(0xD6E8FEB86659FD93)).sum(dtype=np.uint64).view(np.int64)
-
-
-def _segments(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
-    """From (node, hub, size, one, text) the segments of the node's set, empty ones too, if the text
-    has the set of that fingerprint."""
-    cuts = (np.arange(1, FRAGMENTS, dtype=np.uint64) << np.uint64(61)) * np.uint64(8 // FRAGMENTS)
-    for batch in batches:
-        nodes, hubs, sizes, one, texts = (c.to_pylist() for c in batch.columns)
-        rows: list[tuple[int, int, int, int]] = []
-        parts: list[np.ndarray] = []
-        for k, grams in ngram_sets(texts, n):
-            if prints(grams)[0] == one[k]:
-                parts += np.split(grams, np.searchsorted(grams, cuts))
-                rows += [(nodes[k], hubs[k], sizes[k], f) for f in range(FRAGMENTS)]
-        if rows:
-            ends = np.concatenate(([0], np.cumsum([len(x) for x in parts]))).astype(np.int32)
-            segments = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts).view(np.int64)))
-            longs = [pa.array(x, pa.int64()) for x in list(zip(*rows, strict=True))[:3]]
-            yield pa.RecordBatch.from_arrays([*longs, pa.array([x[3] for x in rows], pa.int32()), segments], names=["node", "hub", "size", "fragment", "segment"])
-
-
-#: Entries of one sorted run in a task.
-RUN = 1_000_000
+        yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, (sizes, few, one, two))], names=names)
 
 
 def _planes(x: np.ndarray) -> bytes:
@@ -239,150 +124,217 @@ def _whole(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view("<u8").ravel()
 
 
-def _stars(keys: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The distinct keys with the smallest node of each, and distinct ties (smallest node, other node)."""
-    order = np.lexsort((nodes, keys))
-    keys, nodes = keys[order], nodes[order]
-    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
-    low = np.repeat(nodes[first], np.diff(np.append(first, len(keys))))
-    tied = np.unique(np.stack((low, nodes), 1)[low != nodes], axis=0)
-    return keys[first], nodes[first], tied[:, 0], tied[:, 1]
-
-
-def _packed(range_: list[int], keys: list[bytes], nodes: list[bytes]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(range_, pa.int32()), pa.array(keys, pa.binary()), pa.array(nodes, pa.binary())], names=["range", "keys", "nodes"])
-
-
-def _entries(batches: Iterator[pa.RecordBatch], n: int, num: int, den: int, bits: int, often) -> Iterator[pa.RecordBatch]:
-    """From (node, one, text) runs of entries by key range: of each key of a run the smallest node. What
-    that ties together is sent along as ties, under range -1 - r."""
-    table = often.value
-    common = 1 << 32 if den + num >= 2 * LEAST_SEGMENT * (den - num) else 64 + 8 * int(table.mean())
-    bands = Bands(num, den)
-    keys: list[np.ndarray] = []
-    nodes: list[np.ndarray] = []
+def _runs(batches: Iterator[pa.RecordBatch], n: int, end: int, ranges: int) -> Iterator[pa.RecordBatch]:
+    """From (node, one, text) sorted runs of entries (2 * shortened n-gram + whether several nodes of the
+    run have it, node), cut into ranges. An n-gram goes once for each run; nodes that share one within
+    the run are counted there, and the counts sent along under range -1 - r."""
+    cuts = np.array([end * r // ranges for r in range(1, ranges)], np.uint64)
+    grams_, nodes_ = [], []
     held = 0
 
     def flush() -> Iterator[pa.RecordBatch]:
         nonlocal held
-        if not held:
-            return
-        k, v, a, b = _stars(np.concatenate(keys), np.concatenate(nodes))
-        keys.clear()
-        nodes.clear()
+        g, v = np.concatenate(grams_), np.concatenate(nodes_)
+        grams_.clear()
+        nodes_.clear()
         held = 0
-        cuts = np.searchsorted(k >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64)) if bits else [0, len(k)]
-        parts = [(r, k[x:y], v[x:y]) for r, (x, y) in enumerate(zip(cuts, cuts[1:], strict=False)) if y > x]
-        parts += [(-1 - int(r), x, y) for r, x, y in zip(range(1 << bits), np.array_split(a, 1 << bits), np.array_split(b, 1 << bits), strict=True) if len(x)]
-        for at in range(0, len(parts), 64):
-            some = parts[at : at + 64]
-            yield _packed([r for r, _, _ in some], [_planes(x) for _, x, _ in some], [_planes(y.view(np.uint64)) for _, _, y in some])
+        order = np.argsort(g, kind="stable")
+        g, v = g[order], v[order]
+        first = np.flatnonzero(np.concatenate(([True], g[1:] != g[:-1])))
+        times = np.diff(np.append(first, len(g)))
+        shared, counts = np.unique(v[np.repeat(times, times) > 1], return_counts=True)
+        rows = [(-1 - r, a.view(np.uint64), b) for r, (a, b) in enumerate(zip(np.array_split(shared, ranges), np.array_split(counts, ranges), strict=True)) if len(a)]
+        g, v = g[first], v[first]
+        at = [0, *np.searchsorted(g, cuts).tolist(), len(g)]
+        g = (g << np.uint64(1)) | (times > 1).astype(np.uint64)
+        rows += [(r, g[a:b], v[a:b].view(np.uint64)) for r, (a, b) in enumerate(zip(at, at[1:], strict=False)) if b > a]
+        for k in range(0, len(rows), 64):
+            some = rows[k : k + 64]
+            yield pa.RecordBatch.from_arrays([pa.array([r for r, _, _ in some], pa.int32()), pa.array([_planes(x) for _, x, _ in some], pa.binary()), pa.array([_planes(x) for _, _, x in some], pa.binary())], names=["range", "a", "b"])
 
     for batch in batches:
         ids, one, texts = (c.to_pylist() for c in batch.columns)
         for k, grams in ngram_sets(texts, n):
             if prints(grams)[0] == one[k]:
-                found = bands.keys(grams, table, common)
-                keys.append(found)
-                nodes.append(np.full(len(found), ids[k], np.int64))
+                found = np.unique(_carried(grams, end))
+                grams_.append(found)
+                nodes_.append(np.full(len(found), ids[k], np.int64))
                 held += len(found)
         if held >= RUN:
             yield from flush()
-    yield from flush()
+    if held:
+        yield from flush()
+
 
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From runs sorted by range: (node, n), n-grams that the node shares with others."""
+    at, grams_, nodes_ = None, [], []
 
-def _ties(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From runs sorted by range the distinct ties of each range."""
-    at, keys, nodes = None, [], []
+    def counted(nodes: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(nodes.view(np.int64)), pa.array(counts.view(np.int64))], names=["node", "n"])
 
     def flush() -> Iterator[pa.RecordBatch]:
-        if keys:
-            _, _, a, b = _stars(np.concatenate(keys), np.concatenate(nodes).view(np.int64))
-            if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
-        keys.clear()
-        nodes.clear()
+        if not grams_:
+            return
+        g, v = np.concatenate(grams_), np.concatenate(nodes_)
+        grams_.clear()
+        nodes_.clear()
+        order = np.argsort(g, kind="stable")
+        g, v = g[order], v[order]
+        key = g >> np.uint64(1)
+        first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        times = np.diff(np.append(first, len(key)))
+        nodes, counts = np.unique(v[(np.repeat(times, times) > 1) & (g & np.uint64(1) == 0)], return_counts=True)
+        if len(nodes):
+            yield counted(nodes, counts)
 
     for batch in batches:
-        for r, k, v in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for r, a, b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if r < 0:
-                yield pa.RecordBatch.from_arrays([pa.array(_whole(k).view(np.int64)), pa.array(_whole(v).view(np.int64))], names=["a", "b"])
+                yield counted(_whole(a), _whole(b))
                 continue
             if r != at:
                 yield from flush()
                 at = r
-            keys.append(_whole(k))
-            nodes.append(_whole(v))
+            grams_.append(_whole(a))
+            nodes_.append(_whole(b))
     yield from flush()
 
 
-def families(docs: DataFrame, nodes: DataFrame, n: int, num: int, den: int, known: int, grams: int) -> DataFrame:
-    """(node, hub) of nodes connected by shared keys; hub is the smallest.
-
-    Each task sorts its entries in runs and sends on only the smallest node of a key and run; the others
-    are tied to it there and then. So a key that a third of all nodes have arrives once for each run.
-    Entries travel packed, by ranges of keys sized for one task. known and grams: how many nodes there
-    are and n-grams in them.
-    """
-    spark = docs.sparkSession
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    bits = max(0, math.ceil(math.log2(max(partitions, grams / RUN, 1))))
+def company(docs: DataFrame, nodes: DataFrame, n: int, num: int, den: int, known: int, few: int) -> DataFrame:
+    """Those of nodes (node, one, size, few) that aren't proven alone; known and few: how many nodes there
+    are, and n-grams of theirs in the share."""
+    end = share_of(num, den)
+    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranges = max(partitions, few // RUN + 1)
     texts = joined_small(docs.withColumnRenamed("doc_id", "node"), nodes.select("node", "one"), "node", "inner", known, MOST_BROADCAST).select("node", "one", "text")
-    often = spark.sparkContext.broadcast(frequencies(texts, n))
-    runs = texts.mapInArrow(lambda batches: _entries(batches, n, num, den, bits, often), "range int, keys binary, nodes binary")
-    dealt = runs.repartition(1 << bits, "range").sortWithinPartitions("range")
-    ties = dealt.mapInArrow(_ties, "a long, b long").distinct()
-    return components(ties).withColumnRenamed("component", "hub")
-
-
-def differences(family: DataFrame, docs: DataFrame, n: int, repeats: bool) -> DataFrame:
-    """Of family (node, hub, size, one): (hub, node, size, fragment, partial, delta), for each fragment
-    the overlap of the node's segment with its hub's, and what only one of the two has."""
-    chosen = joined_small(docs.withColumnRenamed("doc_id", "node"), family, "node", "inner", family.count(), MOST_BROADCAST)
-    parts = chosen.select("node", "hub", "size", "one", "text").mapInArrow(lambda batches: _segments(batches, n), "node long, hub long, size long, fragment int, segment array<long>")
-    parts = stored(parts.dropDuplicates(["node", "fragment"]) if repeats else parts, "segments")
-    hubs = parts.where("node = hub").select("hub", "fragment", F.col("segment").alias("theirs"))
-    met = parts.join(hubs, ["hub", "fragment"])
-    delta = F.concat(F.array_except("segment", "theirs"), F.array_except("theirs", "segment"))
-    return stored(met.select("hub", "node", "size", "fragment", F.size(F.array_intersect("segment", "theirs")).cast("long").alias("partial"), delta.alias("delta")), "differences")
-
-
-def near_links(sums: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame]:
-    """From sums (hub, node, size, apart): links that follow from distances to the hub alone, and sums
-    with near, whether a node is in one.
-
-    Sets at distances e and f from the hub are at most e + f apart. Where that is near enough for two
+    runs = texts.mapInArrow(lambda batches: _runs(batches, n, end, ranges), "range int, a binary, b binary")
+    dealt = runs.repartition(ranges, "range").sortWithinPartitions("range")
+    shared = dealt.mapInArrow(_shared, "node long, n long").groupBy("node").agg(F.sum("n").alias("n"))
+    own = F.col("few") - F.coalesce("n", F.lit(0))
+    return nodes.join(shared, "node", "left").where(own <= F.col("size") - F.expr(f"(size * {num} + {den - 1}) div {den}")).select("node", "one", "size")
+
+
+def _sets(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
+    """From (node, one, text) the node's set, if the text has the set of that fingerprint."""
+    for batch in batches:
+        nodes, one, texts = (c.to_pylist() for c in batch.columns)
+        found = [(nodes[k], grams) for k, grams in ngram_sets(texts, n) if prints(grams)[0] == one[k]]
+        if found:
+            ends = np.concatenate(([0], np.cumsum([len(g) for _, g in found]))).astype(np.int32)
+            grams = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([g for _, g in found]).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([pa.array([v for v, _ in found], pa.int64()), grams], names=["node", "grams"])
+
+
+def ordered_sets(docs: DataFrame, alive: DataFrame, n: int, rows: int, grams: int, repeats: bool) -> DataFrame:
+    """Of alive (node, one, size), `rows` of them with `grams` n-grams: (node, size, grams), the n-grams that
+    several of them have as (class, gram) in the global order."""
+    texts = joined_small(docs.withColumnRenamed("doc_id", "node"), alive.select("node", "one"), "node", "inner", rows, MOST_BROADCAST).select("node", "one", "text")
+    sets = texts.mapInArrow(lambda batches: _sets(batches, n), "node long, grams array<long>")
+    sets = stored(sets.dropDuplicates(["node"]) if repeats else sets, "sets")
+    elements = sets.select("node", F.explode("grams").alias("gram"))
+    often = stored(elements.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "often")
+    class_ = F.when(F.col("n") <= EXACT_CLASSES, F.col("n")).otherwise(EXACT_CLASSES + F.floor(8 * F.log2(F.col("n") / EXACT_CLASSES))).cast("int")
+    placed = salted_join(elements, often.select("gram", class_.alias("class")), ["gram"], hot_keys(often, ["gram"], grams), "node")
+    out = placed.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("class", "gram"))).alias("grams"))
+    out = stored(out.join(alive.select("node", "size"), "node").select("node", "size", "grams"), "ordered")
+    discard(sets, often)
+    return out
+
+
+def pivots(ordered: DataFrame) -> list[tuple[int, int]]:
+    """FRAGMENTS - 1 places (class, gram) that cut the global order into parts of about equal weight, from
+    the n-grams counted by class: a few hundred rows, whatever the input."""
+    rows = sorted(tuple(r) for r in ordered.select(F.explode("grams.class").alias("class")).groupBy("class").count().collect())
+    total, before, out = sum(n for _, n in rows), 0, []
+    for c, n in rows:
+        while len(out) < FRAGMENTS - 1 and before + n >= (want := total * (len(out) + 1) // FRAGMENTS):
+            out.append((c, min((1 << 63) - 1, (want - before) * (1 << 64) // n - (1 << 63))))
+        before += n
+    return out
+
+
+def families(ordered: DataFrame, num: int, den: int, grams: int) -> DataFrame:
+    """(node, hub) of nodes connected by shared keys; hub is the smallest."""
+    first = F.greatest(F.lit(0), F.size("grams") - F.expr(f"int((size * {num} + {den - 1}) div {den})") + 1)
+    keys = ordered.select("node", F.explode(F.slice("grams.gram", F.lit(1), first)).alias("key"))
+    least = keys.groupBy("key").agg(F.min("node").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    met = salted_join(keys, least.select("key", "a"), ["key"], hot_keys(least, ["key"], grams), "node")
+    return components(met.where("node != a").select("a", F.col("node").alias("b")).distinct()).withColumnRenamed("component", "hub")
+
+
+def differences(ordered: DataFrame, family: DataFrame, hot: DataFrame | None) -> DataFrame:
+    """(hub, node, size, fragment, own, theirs, partial, delta): for each fragment the lengths of the node's
+    segment and of its hub's, their overlap, and what only one of the two has."""
+    places = pivots(ordered)
+    struct = "named_struct('class', {}, 'gram', {}L)"
+    marks = [struct.format(c, g if g > -(1 << 63) else "-9223372036854775807") for c, g in places]
+    lows, highs = [None, *marks], [*marks, None]
+    cut = []
+    for low, high in zip(lows, highs, strict=True):
+        tests = [f"x >= {low}"] * (low is not None) + [f"x < {high}"] * (high is not None)
+        cut.append(f"transform(filter(grams, x -> {' and '.join(tests)}), x -> x.gram)" if tests else "grams.gram")
+    parts = ordered.join(family, "node").select("node", "hub", "size", F.posexplode(F.expr(f"array({', '.join(cut)})")).alias("fragment", "segment"))
+    parts = stored(parts, "segments")
+    hubs = parts.where("node = hub").select("hub", "fragment", F.col("segment").alias("hubs"))
+    met = salted_join(parts, hubs, ["hub", "fragment"], hot, "node")
+    delta = F.concat(F.array_except("segment", "hubs"), F.array_except("hubs", "segment"))
+    lengths = [F.size(x).cast("long").alias(y) for x, y in (("segment", "own"), ("hubs", "theirs"), (F.array_intersect("segment", "hubs"), "partial"))]
+    out = stored(met.select("hub", "node", "size", "fragment", *lengths, delta.alias("delta")), "differences")
+    discard(parts)
+    return out
+
+
+def near_links(sums: DataFrame, num: int, den: int, hot: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """From sums (hub, node, size, alone, apart): links that follow from distances to the hub alone, and
+    sums with near, whether a node is in one.
+
+    Sets at distances e and f from one place are at most e + f apart. Where that is near enough for two
     nodes, it is so for each of them and the node of least (num + den) e - (den - num) size.
     """
     scored = sums.withColumn("score", F.col("apart") * (num + den) - F.col("size") * (den - num))
-    best = scored.groupBy("hub").agg(F.min(F.struct("score", "node")).alias("best"), F.min("hub").alias("__h")).drop("__h")
-    both = stored(scored.join(best, "hub").withColumn("near", F.col("score") + F.col("best.score") <= 0), "scored")
+    best = scored.groupBy("hub").agg(F.min(F.struct("score", "node")).alias("best"))
+    both = salted_join(scored, best, ["hub"], hot, "node").withColumn("near", F.col("score") + F.col("best.score") <= 0)
+    both = stored(both, "scored")
     links = both.where(F.col("near") & (F.col("node") != F.col("best.node"))).select(F.col("best.node").alias("a"), F.col("node").alias("b"))
-    return links, both.withColumn("near", F.col("near") | (F.col("node") == F.col("best.node"))).select("hub", "node", "size", "apart", "near")
+    return links, both.withColumn("near", F.col("near") | (F.col("node") == F.col("best.node"))).select("hub", "node", "size", "alone", "apart", "near")
 
 
-def _prefixes(elements: DataFrame, num: int, den: int) -> DataFrame:
-    """From elements (hub, node, size, apart, asked, element) the keys of each node's prefixes: key, node,
-    size, apart. Elements that no asked node has are no keys."""
-    often = elements.groupBy("hub", "element").agg(F.count(F.lit(1)).alias("df"), F.max("asked").alias("asked"))
-    ranked = elements.drop("asked").join(often, ["hub", "element"]).withColumn("rank", F.row_number().over(Window.partitionBy("node").orderBy("df", "element")))
+def _prefixes(elements: DataFrame, num: int, den: int, rows: int) -> DataFrame:
+    """From elements (hub, node, size, alone, apart, asked, element), `rows` of them, the keys of each node's
+    prefixes: key, node, size, apart, rest (how many of its elements follow). What a node has alone comes
+    first in the order; elements that no asked node has are no keys."""
+    often = elements.groupBy("hub", "element").agg(F.count(F.lit(1)).alias("n"), F.max("asked").alias("wanted"))
+    often = often.select("hub", "element", "n", "wanted")
+    met = salted_join(elements.drop("asked"), often, ["hub", "element"], hot_keys(often, ["hub", "element"], rows), "node")
+    own = Window.partitionBy("node")
+    ranked = met.withColumn("rank", F.row_number().over(own.orderBy("n", "element")))
+    ranked = ranked.withColumn("rest", F.col("apart") - F.col("alone") - F.col("rank")).withColumn("rank", F.col("rank") + F.col("alone"))
 
     def band(e: Column) -> Column:
         return F.floor(F.log(F.greatest(e, F.lit(1)).cast("double")) / math.log(1.25)).cast("int")
 
-    reach = F.floor(F.col("size") * (den - num) / F.lit(num)).cast("long")  # no link is wider apart
-    ranked = ranked.where("df > 1 and asked").withColumn("reach", reach).withColumn("band", band(F.col("apart")))
+    reach = F.expr(f"size * {den - num} div {num}")  # no link is wider apart
+    ranked = ranked.where("n > 1 and wanted").withColumn("reach", reach).withColumn("band", band(F.col("apart")))
     others = F.explode(F.sequence(band(F.col("apart") - F.col("reach")), band(F.col("apart") + F.col("reach")))).alias("other")
-    spread = ranked.select("hub", "node", "size", "apart", "element", "rank", "reach", "band", others)
+    spread = ranked.select("hub", "node", "size", "apart", "element", "rank", "rest", "reach", "band", others)
     low = F.floor(F.pow(F.lit(1.25), F.col("other")) - 1e-6).cast("long")
     need = F.greatest(F.lit(1).cast("long"), F.ceil((F.col("apart") + F.greatest(low, F.lit(1)) - F.col("reach")) / 2.0))
     cut = spread.where(F.col("rank") <= F.col("apart") - need + 1)
     # one key for an element and a pair of bands, whichever of the two the node is in
     key = F.xxhash64("hub", "element", F.least("band", "other"), F.greatest("band", "other")).alias("key")
-    return cut.select(key, "node", "size", "apart").distinct()
+    return cut.select(key, "node", "size", "apart", "rest").distinct()
+
+
+def _possible(pairs: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (x, y, sx, sy, ex, ey, rx, ry) whose sizes allow a link, and which can share elements enough if
+    the key is the first that they share: every linked pair stays under that key."""
+    fit = (F.col("sx") * den >= F.col("sy") * num) & (F.col("sy") * den >= F.col("sx") * num)
+    most = (F.col("ex") + F.col("ey") - 2 * (1 + F.least("rx", "ry"))) * (num + den)
+    return pairs.where(fit & (most <= (F.col("sx") + F.col("sy")) * (den - num))).select("x", "y", "sx", "sy", "ex", "ey").distinct()
 
 
-def far_links(sums: DataFrame, deltas: DataFrame, known: DataFrame, num: int, den: int) -> DataFrame | None:
+def far_links(sums: DataFrame, deltas: DataFrame, known: DataFrame, num: int, den: int, hot: DataFrame | None) -> DataFrame | None:
     """Links in which a node takes part that is not near.
 
     x and y are e + f - 2o apart, if their differences from the hub share o elements. So a link asks for
@@ -391,15 +343,14 @@ def far_links(sums: DataFrame, deltas: DataFrame, known: DataFrame, num: int, de
     """
     spark = sums.sparkSession
     opened = sums.where(~F.col("near")).select("hub").distinct()
-    members = stored(sums.join(opened, "hub", "left_semi"), "members")
-    elements = stored(deltas.select("hub", "node", F.explode("delta").alias("element")).join(members.drop("hub").withColumn("asked", ~F.col("near")), "node"), "elements")
-    rows = _prefixes(elements, num, den)
+    members = stored(salted_join(sums, opened, ["hub"], hot, "node", "left_semi"), "members")
+    elements = stored(deltas.select("node", F.explode("delta").alias("element")).join(members.withColumn("asked", ~F.col("near")).drop("near"), "node"), "elements")
+    rows = stored(_prefixes(elements, num, den, elements.count()), "prefixes")
     groups = known.withColumnRenamed("component", "group")
-    members = stored(_open(rows, groups), "prefixes")
+    parts = _open(rows, groups)
     links = asked = None
     for k in range(ROUNDS + 1):
-        pairs = _star_pairs(members) if k < ROUNDS else _pairs_across(members)
-        pairs = pairs.where((F.col("sx") * den >= F.col("sy") * num) & (F.col("sy") * den >= F.col("sx") * num))
+        pairs = _possible(_star_pairs(parts) if k < ROUNDS else _pairs_across(parts), num, den)
         pairs = stored(pairs if asked is None else pairs.join(asked, ["x", "y"], "left_anti"), "pairs")
         if pairs.isEmpty():
             continue
@@ -408,36 +359,32 @@ def far_links(sums: DataFrame, deltas: DataFrame, known: DataFrame, num: int, de
         links = new if links is None else links.unionByName(new)
         if k < ROUNDS:
             chain = groups.select(F.col("group").alias("a"), F.col("node").alias("b")).unionByName(links)
-            members = stored(_open(members.drop("group"), components(chain).withColumnRenamed("component", "group")), "prefixes")
+            old, parts = parts, _open(rows, components(chain).withColumnRenamed("component", "group"))
+            discard(old)
         release(spark)
+    discard(members, elements, rows, parts)
     return links
 
 
-#: Rounds in which a key's groups are compared with its smallest node only, before all pairs across groups.
-ROUNDS = 2
-#: Frequent n-grams are left out of segments where the similarity makes segments shorter than this.
-LEAST_SEGMENT = 6
-
-
 def _open(rows: DataFrame, groups: DataFrame) -> DataFrame:
-    """rows (key, node, size, apart) with the node's group, of keys that hold several groups."""
+    """rows (key, node, size, apart, rest) with the node's group, of keys that hold several groups."""
     grouped = rows.join(groups.select("node", "group"), "node", "left").withColumn("group", F.coalesce("group", "node"))
-    several = grouped.groupBy("key").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low < high").select("key")
-    return grouped.join(several, "key").select("key", "node", "size", "apart", "group")
+    several = grouped.groupBy("key").agg(F.min("group").alias("low"), F.max("group").alias("high"), F.count(F.lit(1)).alias("n")).where("low < high").select("key", "n")
+    met = salted_join(grouped, several.select("key"), ["key"], hot_keys(several, ["key"], rows.count()), "node", "left_semi")
+    return stored(met.select("key", "node", "size", "apart", "rest", "group"), "open-prefixes")
 
 
 def _star_pairs(members: DataFrame) -> DataFrame:
     """The key's smallest node with one node of each other group."""
-    one = members.groupBy("key", "group").agg(F.min(F.struct("node", "size", "apart")).alias("v"))
+    one = members.groupBy("key", "group").agg(F.min(F.struct("node", "size", "apart", "rest")).alias("v"))
     first = one.groupBy("key").agg(F.min("v").alias("u"))
     both = one.join(first, "key").where("u.node != v.node")
-    return both.select(F.col("u.node").alias("x"), F.col("v.node").alias("y"), F.col("u.size").alias("sx"), F.col("v.size").alias("sy"), F.col("u.apart").alias("ex"), F.col("v.apart").alias("ey")).distinct()
+    return both.select(*(F.col(f"{side}.{name}").alias(f"{to}{at}") for side, at in (("u", "x"), ("v", "y")) for name, to in (("node", ""), ("size", "s"), ("apart", "e"), ("rest", "r"))))
 
 
 def _pairs_across(members: DataFrame) -> DataFrame:
-    x = members.select("key", F.col("node").alias("x"), F.col("size").alias("sx"), F.col("apart").alias("ex"), F.col("group").alias("gx"))
-    y = members.select("key", F.col("node").alias("y"), F.col("size").alias("sy"), F.col("apart").alias("ey"), F.col("group").alias("gy"))
-    return x.join(y, "key").where("gx != gy and x < y").select("x", "y", "sx", "sy", "ex", "ey").distinct()
+    x, y = (members.select("key", F.col("node").alias(at), *(F.col(name).alias(f"{to}{at}") for name, to in (("size", "s"), ("apart", "e"), ("rest", "r"), ("group", "g")))) for at in "xy")
+    return x.join(y, "key").where("gx != gy and x < y")
 
 
 def _verified(pairs: DataFrame, deltas: DataFrame, num: int, den: int) -> DataFrame:
@@ -450,7 +397,7 @@ def _verified(pairs: DataFrame, deltas: DataFrame, num: int, den: int) -> DataFr
     return shared.where(apart * (num + den) <= (F.col("sx") + F.col("sy")) * (den - num)).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
-def link_counts(sums: DataFrame, deltas: DataFrame, num: int, den: int) -> DataFrame:
+def link_counts(sums: DataFrame, deltas: DataFrame, num: int, den: int, hot: DataFrame | None) -> DataFrame:
     """(node, n_links): how many other nodes each node is linked with, exactly.
 
     Where any two distances of a family are near enough, all its nodes are linked. Other families are
@@ -463,31 +410,41 @@ def link_counts(sums: DataFrame, deltas: DataFrame, num: int, den: int) -> DataF
     def scored(df: DataFrame) -> DataFrame:
         return df.withColumn("score", F.col("apart") * (num + den) - F.col("size") * (den - num))
 
-    first = scored(sums).select("hub", "node", "size", "apart", "score")
+    first = scored(sums).select("hub", "node", "size", "alone", "apart", "score")
     top = first.groupBy("hub").agg(F.count(F.lit(1)).alias("k"), F.max("score").alias("most"))
     # two times the largest is at least the sum of the two largest
-    closed = first.join(top.where("most <= 0"), "hub").select("node", (F.col("k") - 1).alias("n_links"))
-    opened = stored(first.join(top.where("most > 0").select("hub", "k"), "hub"), "opened")
+    both = stored(salted_join(first, top, ["hub"], hot, "node"), "with-most")
+    closed = both.where("most <= 0").select("node", (F.col("k") - 1).alias("n_links"))
+    opened = both.where("most > 0").drop("most")
     if opened.isEmpty():
         return closed
     sizes = opened.select("hub", "k").distinct()
-    own = stored(deltas.select("hub", "node", "fragment", F.explode("delta").alias("element")).join(sizes.select("hub"), "hub", "left_semi"), "own-elements")
-    major = own.groupBy("hub", "fragment", "element").agg(F.count(F.lit(1)).alias("df")).join(sizes, "hub").where(2 * F.col("df") > F.col("k")).select("hub", "fragment", "element")
-    major = stored(major, "major")
-    kept = own.join(major, ["hub", "fragment", "element"], "left_anti").select("hub", "node", "fragment", "element")
-    added = opened.select("hub", "node").join(major, "hub").join(own, ["hub", "node", "fragment", "element"], "left_anti").select("hub", "node", "fragment", "element")
+    own = salted_join(deltas.select("hub", "node", "fragment", F.explode("delta").alias("element")), sizes.select("hub"), ["hub"], hot, "node", "left_semi")
+    own = stored(own, "own-elements")
+    often = own.groupBy("hub", "fragment", "element").agg(F.count(F.lit(1)).alias("n")).join(sizes, "hub").where(2 * F.col("n") > F.col("k"))
+    major = stored(often.select("hub", "fragment", "element", "n"), "major")
+    place = ["hub", "fragment", "element"]
+    split = hot_keys(major, place, own.count())
+    kept = salted_join(own, major.select(*place), place, split, "node", "left_anti").select("hub", "node", "fragment", "element")
+    added = salted_join(opened.select("hub", "node"), major.drop("n"), ["hub"], hot, "node").select("hub", "node", "fragment", "element")
+    added = added.join(own, ["hub", "node", "fragment", "element"], "left_anti")
     moved = stored(kept.unionByName(added), "moved-elements")
-    apart = moved.groupBy("node").agg(F.count(F.lit(1)).alias("apart"))
-    members = stored(scored(opened.select("hub", "node", "size").join(apart, "node", "left").fillna(0, ["apart"])), "moved")
+    apart = moved.groupBy("node").agg(F.count(F.lit(1)).alias("moved"))
+    members = opened.select("hub", "node", "size", "alone").join(apart, "node", "left").withColumn("apart", F.col("alone") + F.coalesce("moved", F.lit(0))).drop("moved")
+    members = stored(scored(members), "moved")
     held = members.groupBy("hub", "score").agg(F.count(F.lit(1)).alias("c"))
     marks = held.select("hub", F.col("score").alias("v"), F.lit(0).alias("ask"), "c", "score").unionByName(held.select("hub", (-F.col("score")).alias("v"), F.lit(1).alias("ask"), F.lit(0).cast("long").alias("c"), "score"))
     below = F.sum("c").over(Window.partitionBy("hub").orderBy("v", "ask").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     counted = marks.withColumn("below", below).where("ask = 1").select("hub", "score", "below")
-    near = members.join(counted, ["hub", "score"]).select("node", (F.col("below") - F.when(F.col("score") <= 0, 1).otherwise(0)).alias("n_links"))
-    elements = stored(moved.drop("fragment").join(members.select("node", "size", "apart", (F.col("score") > 0).alias("asked")), "node"), "elements")
-    pairs = _pairs_across(stored(_prefixes(elements, num, den), "prefixes").withColumn("group", F.col("node")))
+    scores = held.select("hub", "score", F.col("c").alias("n"))
+    near = salted_join(members, counted, ["hub", "score"], hot_keys(scores, ["hub", "score"], members.count()), "node")
+    near = near.select("node", (F.col("below") - F.when(F.col("score") <= 0, 1).otherwise(0)).alias("n_links"))
+    elements = moved.select("node", "element").join(members.select("hub", "node", "size", "alone", "apart", (F.col("score") > 0).alias("asked")), "node")
+    elements = stored(elements, "elements")
+    keyed = stored(_prefixes(elements, num, den, elements.count()), "prefixes")
+    pairs = _possible(_pairs_across(keyed.withColumn("group", F.col("node"))), num, den)
     wide = (F.col("ex") + F.col("ey")) * (num + den) > (F.col("sx") + F.col("sy")) * (den - num)
-    pairs = stored(pairs.where(wide & (F.col("sx") * den >= F.col("sy") * num) & (F.col("sy") * den >= F.col("sx") * num)), "pairs")
+    pairs = stored(pairs.where(wide), "pairs")
     found = _verified(pairs, moved.groupBy("node", "fragment").agg(F.collect_list("element").alias("delta")), num, den)
     far = found.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
     return closed.unionByName(near.unionByName(far).groupBy("node").agg(F.sum("n_links").alias("n_links")))
@@ -497,36 +454,53 @@ def classes(df: DataFrame, n: int = 5, num: int = 80, den: int = 100, doc_id: st
     """A row for each row of df: doc_id, n_shingles, component_id (the smallest doc_id reachable by
     links of similarity num / den or more) and, if counted, n_links, how many different sets its own is
     linked with."""
-    ship(df.sparkSession)
+    with scratch_scope(df.sparkSession) as keep:
+        return _classes(df, n, num, den, doc_id, text, counted, keep)
+
+
+def _classes(df: DataFrame, n: int, num: int, den: int, doc_id: str, text: str, counted: bool, keep) -> DataFrame:
+    spark = df.sparkSession
+    ship(spark)
     docs = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    slim = stored(docs.mapInArrow(lambda batches: _signatures(batches, n), "doc_id long, size long, one long, two long"), "signatures")
-    same = slim.where("size > 0 and doc_id is not null").groupBy("one", "two", "size").agg(F.min("doc_id").alias("node"))
-    nodes = stored(same.groupBy("node").agg(F.min(F.struct("one", "two", "size")).alias("s")).select("node", "s.one", "s.two", "s.size"), "nodes")
-    known = nodes.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("grams")).first()
-    family = stored(families(docs, nodes, n, num, den, known["n"], known["grams"]).join(nodes, "node"), "families")
-    release(df.sparkSession)
+    end = share_of(num, den)
+    slim = keep(stored(docs.mapInArrow(lambda batches: _signatures(batches, n, end), "doc_id long, size long, few long, one long, two long"), "signatures"))
+    same = slim.where("size > 0 and doc_id is not null").groupBy("one", "two", "size").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("n"), F.max("few").alias("few"))
+    same = stored(same, "same")
+    nodes = stored(same.groupBy("node").agg(F.min(F.struct("one", "two", "size", "few")).alias("s")).select("node", "s.one", "s.size", "s.few"), "nodes")
+    known = nodes.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("few"), F.lit(0)).alias("few")).first()
+    alive = stored(company(docs, nodes, n, num, den, known["n"], known["few"]), "alive")
+    release(spark)
+    left = alive.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("grams")).first()
     repeats = not slim.groupBy("doc_id").count().where("count > 1").isEmpty()
-    deltas = differences(family.select("node", "hub", "size", "one"), docs, n, repeats)
-    # the partial overlaps of each pair of node and hub, summed
-    sums = deltas.groupBy("hub", "node", "size").agg(F.sum("partial").alias("overlap"), F.sum(F.size("delta")).cast("long").alias("apart"))
-    links, sums = near_links(sums.drop("overlap"), num, den)
-    release(df.sparkSession)
-    links = stored(links, "near-links")
-    sums = stored(sums, "sums")
-    far = far_links(sums, deltas, components(links), num, den)
-    links = stored((links if far is None else links.unionByName(far)).distinct(), "links")
-    found = components(links)
-    out = slim.join(same, ["one", "two", "size"], "left").withColumn("node", F.when(F.col("size") > 0, F.coalesce("node", "doc_id")).otherwise(F.col("doc_id")))
-    labelled = found.join(link_counts(sums.drop("near"), deltas, num, den), "node", "left") if counted else found
-    out = out.join(stored(labelled, "labelled"), "node", "left")
-    columns = ["doc_id", F.col("size").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "node")).alias("component_id")]
-    return out.select(*columns, *([F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")] if counted else []))
+    ordered = ordered_sets(docs, alive, n, left["n"], left["grams"], repeats)
+    family = stored(families(ordered, num, den, left["grams"]), "families")
+    release(spark)
+    hot = hot_keys(family.groupBy("hub").agg(F.count(F.lit(1)).alias("n")), ["hub"], left["n"])
+    hot = stored(hot, "hot") if hot is not None else None
+    deltas = differences(ordered, family, hot)
+    discard(ordered)
+    # the partial overlaps of each pair of node and hub, summed, are what its distance is made of
+    sums = deltas.groupBy("hub", "node", "size").agg(F.sum("own").alias("own"), F.sum("theirs").alias("theirs"), F.sum("partial").alias("overlap"))
+    sums = sums.select("hub", "node", "size", (F.col("size") - F.col("own")).alias("alone"), (F.col("size") + F.col("theirs") - 2 * F.col("overlap")).alias("apart"))
+    links, sums = near_links(stored(sums, "sums"), num, den, hot)
+    release(spark)
+    far = far_links(sums, deltas, components(links), num, den, hot)
+    found = components(links if far is None else links.unionByName(far))
+    if counted:
+        found = found.join(link_counts(sums.drop("near"), deltas, num, den, hot), "node", "full")
+    info = keep(stored(same.join(found, "node", "left"), "labelled"))
+    columns = [F.col("doc_id"), "size", "one", "two"]
+    out = salted_join(slim.select(*columns), info, ["one", "two", "size"], hot_keys(info, ["one", "two", "size"], slim.count()), "doc_id", "left")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "node", "doc_id"))
+    links = [F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")] if counted else []
+    return out.select("doc_id", F.col("size").alias("n_shingles"), component.alias("component_id"), *links)
 
 
 def representatives(df: DataFrame, **options) -> DataFrame:
     """The rows of df that stand for their component: those whose doc_id is its smallest; rows without
     a doc_id stay."""
-    found = classes(df, counted=False, **options)
-    gone = stored(found.where("component_id is not null and doc_id != component_id").select("doc_id").distinct(), "copies")
+    with scratch_scope(df.sparkSession) as keep:
+        found = classes(df, counted=False, **options)
+        gone = keep(stored(found.where("component_id is not null and doc_id != component_id").select("doc_id").distinct(), "copies"))
     rows = gone.count()
     return joined_small(df, gone, "doc_id", "left_anti", rows, MOST_BROADCAST)

@@ -5,7 +5,7 @@ import re
 
 import pytest
 
-from siteglass.llm import jaccard
+from siteglass.llm import common, jaccard
 from siteglass.llm.components import components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -81,26 +81,6 @@ def test_components_of_paths_and_stars(spark):
     assert got == {**{k: 0 for k in range(61)}, **{k: 100 for k in [*range(100, 140), 200]}, 300: 300, 301: 300}
 
 
-def test_every_linked_pair_shares_a_key():
-    import numpy as np
-
-    rng = np.random.default_rng(5)
-    often = rng.integers(0, 90, 1 << jaccard.SLOTS).astype(np.uint32)
-    for num, den in ((90, 100), (80, 100), (60, 100)):
-        bands = jaccard.Bands(num, den)
-        for _ in range(400):
-            size = int(rng.choice([1, 3, 5, 8, 10, 13, 20, 40, 90, 300]))
-            base = rng.integers(0, 1 << 63, size, dtype=np.uint64)
-            a = np.unique(base)
-            gone = int(rng.integers(0, max(1, size // 5) + 1))
-            b = np.unique(np.concatenate((base[gone:], rng.integers(0, 1 << 63, int(rng.integers(0, max(1, size // 5) + 1)), dtype=np.uint64))))
-            both = len(np.intersect1d(a, b))
-            if both * den >= (len(a) + len(b) - both) * num:
-                assert len(np.intersect1d(jaccard.prefix(a, often, num, den), jaccard.prefix(b, often, num, den)))
-                for common in (20, 64, 100):
-                    assert len(a) + len(b) == 2 * both or len(np.intersect1d(bands.keys(a, often, common), bands.keys(b, often, common)))
-
-
 @pytest.mark.parametrize(("n", "num", "den", "seed"), [(3, 90, 100, 11), (5, 80, 100, 12)])
 def test_links_of_each_document_against_all_pairs(spark, n, num, den, seed):
     rng = random.Random(seed)
@@ -119,3 +99,13 @@ def test_links_of_each_document_against_all_pairs(spark, n, num, den, seed):
     want = {i: sum(s != o and len(s & o) * den >= len(s | o) * num for o in kinds if s and o) for i, s in sets.items()}
     got = jaccard.classes(spark.createDataFrame(rows, "doc_id long, text string"), n=n, num=num, den=den).collect()
     assert {r.doc_id: r.n_links for r in got} == want and max(want.values()) > 10
+
+
+def test_split_keys(spark, monkeypatch):
+    """Every key of more than two rows is dealt over several tasks."""
+    monkeypatch.setattr(common, "LEAST_HOT", 2)
+    rng = random.Random(8)
+    rows = families(rng, [9, 30, 90, 90, 200], 5)
+    rows += [(1000 + k, rows[0][1]) for k in range(30)]
+    got = jaccard.classes(spark.createDataFrame(rows, "doc_id long, text string"), n=3, num=80, den=100).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == truth(rows, 3, 80, 100)
