@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siteglass.llm import decontamination, jaccard, packing, quality, toxicity
-from siteglass.llm.common import stored
+from siteglass.llm.common import scratch_scope, stored
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -63,8 +63,7 @@ ORACLE_SQL: str | None = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages in order, each written to the shared folder and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = stored(docs, f"stage-{name.replace(' ', '-')}")
-    return docs
+    for name, stage in STAGES[:-1]:
+        with scratch_scope(spark) as keep:
+            docs = keep(stored(stage(spark, docs, sf_dir), f"stage-{name.replace(' ', '-')}"))
+    return STAGES[-1][1](spark, docs, sf_dir)
