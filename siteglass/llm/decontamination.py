@@ -9,10 +9,12 @@ value in the document, or the windows of that alignment whose slots differ from
 windows equal to the item's, slots and all, always do. So a re-parameterised question (other numbers and
 names throughout) is caught, a copy edited in places too, and text that only shares a template's shape is not.
 
-A text leaks an item if consistent windows cover at least `share` of the item's windows. Windows of
-fewer than LEAST_LITERALS words besides placeholders are not used. An item of fewer than WINDOW
-tokens is one window of all its tokens, if it has LEAST_LITERALS words; other items of that kind
-cannot be found.
+A text leaks an item if consistent windows cover at least `share` of the item's windows. An item of fewer
+than WINDOW tokens is one window of all its tokens. Windows of fewer than LEAST_LITERALS words besides
+placeholders say too little as templates and are not used, but where an item has no others: then they
+count where they are equal to the item's, slots and all. Items of fewer than LEAST_LITERALS tokens are not
+looked for, as any text may hold them; `unchecked` lists them. Two values of an item may stand for one value
+in the document (3 apples and 5 pears asked as 4 apples and 4 pears), one never for two.
 
 All documents are scanned once by hashes alone; only texts with a hit are cut again with their slots.
 The verdict depends on the text alone, so equal texts are judged once, by two 64-bit hashes of the
@@ -34,6 +36,8 @@ from pyspark.sql import functions as F
 from siteglass.llm.common import joined_small, stored
 
 WINDOW, LEAST_LITERALS = 8, 5
+#: Texts with a hit that one task cuts into windows.
+TEXTS_A_TASK = 500
 #: What may follow a number as its unit.
 UNITS = (
     "%", "$", "€", "£", "°", "mm", "cm", "m", "km", "inch", "inches", "foot", "feet", "yard", "yards", "mile", "miles", "mg", "g", "kg", "gram", "grams", "ton", "tons",
@@ -108,19 +112,29 @@ def _windows(df: DataFrame, sizes: list[int], kept: list[str], literals: bool =
 
 
 def benchmark_windows(benchmark: DataFrame, item: str = "item_id", text: str = "text") -> DataFrame:
-    """item, pos, size, hash and slots of each usable window, and windows, how many positions of the
-    item have one."""
+    """item, pos, size, hash, slots and verbatim (the slots must be equal) of each usable window, and windows,
+    how many positions of the item have one."""
     # stored, so that no filter on sizes is pushed into the templates' expressions
     cut = stored(_templates(benchmark.select(F.col(item).alias("item"), F.col(text).alias("__text")), "__text").withColumn("__n", F.size("__a")), "benchmark-templates")
     short = [r[0] for r in cut.where((F.col("__n") >= LEAST_LITERALS) & (F.col("__n") < WINDOW)).select("__n").distinct().collect()]
     long = _windows(cut.where(F.col("__n") >= WINDOW), [WINDOW], ["item"], True)
     for size in sorted(short):
         long = long.unionByName(_windows(cut.where(F.col("__n") == size), [size], ["item"], True))
-    usable = long.where(F.col("literals") >= LEAST_LITERALS).dropDuplicates(["item", "pos", "hash"]).drop("literals")
+    long = stored(long, "benchmark-cut")
+    strong = long.where(F.col("literals") >= LEAST_LITERALS)
+    # items without a strong window have their others, of the plain template, which must be equal in all slots
+    weak = long.where(F.col("literals") < LEAST_LITERALS).join(strong.select("item").distinct(), "item", "left_anti")
+    usable = strong.withColumn("verbatim", F.lit(False)).unionByName(weak.withColumn("verbatim", F.lit(True))).dropDuplicates(["item", "pos", "hash"]).drop("literals")
     counted = usable.groupBy("item").agg(F.countDistinct("pos").alias("windows"))
     return usable.join(counted, "item")
 
 
+def unchecked(benchmark: DataFrame, item: str = "item_id", text: str = "text") -> DataFrame:
+    """The items (item, tokens) that are not looked for: they have fewer than LEAST_LITERALS tokens."""
+    cut = _templates(benchmark.select(F.col(item).alias("item"), F.col(text).alias("__text")), "__text")
+    return cut.select("item", F.size("__a").alias("tokens")).where(F.col("tokens") < LEAST_LITERALS)
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", share: float = 0.3, most_broadcast: int = 500_000) -> DataFrame:
     """k1, k2 (see text_key), item, found (distinct consistent windows), windows, and reparameterised
     (a slot differs from the item's) of each text and item that it leaks."""
@@ -133,19 +147,23 @@ def leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", share: floa
     hit = joined_small(hashes, wanted.select("hash").distinct(), "hash", "left_semi", rows, most_broadcast).select("k1", "k2").distinct()
     hit = stored(hit, "hit-texts")
     keyed = docs.select(F.col(text).alias("__text"), *text_key(F.col(text)))
-    again = joined_small(keyed, hit, ["k1", "k2"], "left_semi", hit.count(), most_broadcast).dropDuplicates(["k1", "k2"])
+    found = hit.count()
+    # equal texts once; then dealt by number and not by bytes, as cutting their windows is what takes time
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-found // TEXTS_A_TASK))
+    again = joined_small(keyed, hit, ["k1", "k2"], "left_semi", found, most_broadcast).dropDuplicates(["k1", "k2"]).repartition(parts, "k1", "k2")
     spans = _windows(_templates(again, "__text"), sizes, ["k1", "k2"])
-    items = wanted.select("hash", "size", "item", "windows", F.col("pos").alias("item_pos"), F.col("slots").alias("item_slots"))
+    items = wanted.select("hash", "size", "item", "windows", "verbatim", F.col("pos").alias("item_pos"), F.col("slots").alias("item_slots"))
     met = joined_small(spans, items, ["hash", "size"], "inner", rows, most_broadcast)
     none = F.array().cast("array<struct<offset:int,kind:string,value:string>>")
     # equal hashes have equal templates, so their slots are at the same offsets
     slots = F.zip_with(F.coalesce("item_slots", none), F.coalesce("slots", none), lambda o, t: F.struct(o["kind"].alias("kind"), o["value"].alias("ours"), t["value"].alias("theirs")))
-    met = stored(met.select("k1", "k2", "item", "windows", (F.col("pos") - F.col("item_pos")).alias("shift"), "item_pos", slots.alias("slots")), "met-windows")
+    met = stored(met.select("k1", "k2", "item", "windows", "verbatim", (F.col("pos") - F.col("item_pos")).alias("shift"), "item_pos", slots.alias("slots")), "met-windows")
     at = ["k1", "k2", "item", "shift"]
     values = met.where(F.size("slots") > 0).select(*at, F.explode("slots").alias("s")).select(*at, "s.kind", "s.ours", "s.theirs")
     torn = values.groupBy(*at, "kind", "ours").agg(F.min("theirs").alias("low"), F.max("theirs").alias("high")).where("low != high").select(*at).distinct()
     changed = F.exists("slots", lambda s: s["ours"] != s["theirs"])
-    flagged = met.withColumn("changed", changed).join(torn.withColumn("torn", F.lit(True)), at, "left")
+    met = met.withColumn("changed", changed).where(~F.col("verbatim") | ~F.col("changed"))
+    flagged = met.join(torn.withColumn("torn", F.lit(True)), at, "left")
     good = flagged.where(~F.col("changed") | F.col("torn").isNull()).groupBy("k1", "k2", "item", "windows", "item_pos").agg(F.max("changed").alias("changed"))
     found = good.groupBy("k1", "k2", "item", "windows").agg(F.count(F.lit(1)).alias("found"), F.max("changed").alias("reparameterised"))
     return found.where(F.col("found") >= F.col("windows") * share)
