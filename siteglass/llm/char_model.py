@@ -75,7 +75,10 @@ SUBSTITUTE, DROP_MARK, REPEAT, DOUBLE, MASK = 1.0, 0.7, 0.6, 3.0, 2.5
 #: Characters that stand for letters.
 LEET = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "€": "e", "£": "l"}
 MARKS = "._-,~'`^/\\:;*"
-BEAM = 48
+#: Longer runs of characters are no words and stay as they are.
+LONGEST = 256
+#: From this many states on, a masked letter is worked out for all pairs of letters at once.
+_DENSE = 40
 
 
 class Decoder:
@@ -83,16 +86,22 @@ class Decoder:
 
     A letter stands for itself; a leet character for its letters; `*` for any one letter or for
     nothing; a mark for nothing; a letter equal to the one before may be a repetition and stand for
-    nothing, readily in runs of three or more. States are the last two letters, at most BEAM of them after each character.
+    nothing, readily in runs of three or more. States are the last two letters, all of them (at most
+    SIZE * SIZE): the search is exact. Ties go to the reading found first.
     """
 
     def __init__(self, model: np.ndarray) -> None:
-        self.p = model.tolist()
+        self.cube = model.astype(np.float64).reshape(SIZE, SIZE, SIZE)
+        self.p = self.cube.ravel().tolist()
 
     def decode(self, token: str) -> str | None:
-        """The most likely letters of the token, or None if it has a character outside the lattice."""
+        """The most likely letters of the token, or None if it has a character outside the lattice or
+        more than LONGEST of them."""
+        if len(token) > LONGEST:
+            return None
         p = self.p
-        states: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+        # by the codes of the last two letters: score, and the reading as (reading before, letter)
+        states: dict[int, tuple[float, tuple | None]] = {0: (0.0, None)}
         before = ""
         for at, c in enumerate(token):
             if c in CODE:
@@ -102,27 +111,49 @@ class Decoder:
             elif c == "*":
                 options = [(x, MASK) for x in LETTERS[:26]]
             elif c in MARKS:
-                options = []
+                before = c
+                continue  # all readings drop it at the same cost
             else:
                 return None
-            drop = DROP_MARK if c in MARKS else None
+            drop = DROP_MARK if c == "*" else None
             if drop is None and c == before:
                 drop = REPEAT if token[at - 2 : at] == c + c or token[at : at + 2] == c + c else DOUBLE
-            new: dict[tuple[int, int], tuple[float, str]] = {}
-            for (a, b), (score, out) in states.items():
-                if drop is not None and ((a, b) not in new or new[a, b][0] < score - drop):
-                    new[a, b] = (score - drop, out)
-                for x, cost in options:
-                    k = CODE[x]
-                    s = score - cost + p[(a * SIZE + b) * SIZE + k]
-                    if (b, k) not in new or new[b, k][0] < s:
-                        new[b, k] = (s, out + x)
-            if len(new) > BEAM:
-                new = dict(sorted(new.items(), key=lambda z: (-z[1][0], z[1][1]))[:BEAM])
+            new: dict[int, tuple[float, tuple | None]] = {}
+            if c == "*" and len(states) > _DENSE:
+                new = self._masked(states)
+            else:
+                for ab, (score, path) in states.items():
+                    for x, cost in options:
+                        k = CODE[x]
+                        s, to = score - cost + p[ab * SIZE + k], ab % SIZE * SIZE + k
+                        if to not in new or new[to][0] < s:
+                            new[to] = (s, (path, x))
+            if drop is not None:
+                for ab, (score, path) in states.items():
+                    if ab not in new or new[ab][0] < score - drop:
+                        new[ab] = (score - drop, path)
             states = new
             before = c
-        best = max(((s + p[(a * SIZE + b) * SIZE], out) for (a, b), (s, out) in states.items()), key=lambda z: (z[0], z[1]))
-        return best[1]
+        path = max(((s + p[ab * SIZE], path) for ab, (s, path) in states.items()), key=lambda z: z[0])[1]
+        out = []
+        while path is not None:
+            path, x = path
+            out.append(x)
+        return "".join(reversed(out))
+
+    def _masked(self, states: dict[int, tuple[float, tuple | None]]) -> dict[int, tuple[float, tuple | None]]:
+        """The states after one letter that may be any."""
+        scores = np.full(SIZE * SIZE, -np.inf)
+        scores[list(states)] = [s for s, _ in states.values()]
+        ends = sorted({ab % SIZE for ab in states})
+        found = scores.reshape(SIZE, SIZE)[:, ends, None] + self.cube[:, ends, 1:27]
+        first = found.argmax(0)
+        best = np.take_along_axis(found, first[None], 0)[0] - MASK
+        new = {}
+        for j, b in enumerate(ends):
+            for k, (s, a) in enumerate(zip(best[j].tolist(), first[j].tolist(), strict=True), 1):
+                new[b * SIZE + k] = (s, (states[a * SIZE + b][1], LETTERS[k - 1]))
+        return new
 
 
 _EDGE = re.compile(r"^[^\w@$€£]+|[^\w@$€£]+$")

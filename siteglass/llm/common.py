@@ -184,6 +184,11 @@ def per_worker(make: Callable[[], object], key: tuple) -> object:
         return _KEPT[key]
 
 
+def in_use() -> None:
+    """Says that the task still works with what its worker keeps: called for each batch."""
+    _USED[0] = time.monotonic()
+
+
 def _release_idle() -> None:
     while True:
         time.sleep(1.0)

@@ -11,7 +11,9 @@
    lexicon's own rows too far.
 
 Scoring is one narrow pass. Scores use the text alone. Null and empty texts have no hits and get the
-score of that. Labelled rows of one class only give a lexicon without entries and one score for all.
+score of that; very long texts are read whole, but a run of more than char_model.LONGEST characters without
+white space (or of letters spaced out) is no word and not decoded. Rows with a null doc_id are scored as
+others; whether they are held out is null. Labelled rows of one class only give a lexicon without entries and one score for all.
 Repeated rows get equal results; an empty table gives an empty table; columns named like a result are
 replaced, others pass through.
 """
@@ -32,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from siteglass.llm import char_model
-from siteglass.llm.common import per_worker, ship, stored
+from siteglass.llm.common import in_use, per_worker, ship, stored
 from siteglass.llm.word_table import WordTable, pieces, points_of, word_spans
 
 BITS = 20
@@ -253,6 +255,7 @@ def _score(batches: Iterator[pa.RecordBatch], model, names: list[str]) -> Iterat
     m = model.value
     scorer = per_worker(lambda: Scorer(m.letters, m.weights), ("toxicity", m.token))
     for batch in batches:
+        in_use()
         scores = probabilities(batch.column(batch.num_columns - 1).to_pylist(), scorer, m)
         yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(scores, pa.float64())], names=[*names, "score"])
 

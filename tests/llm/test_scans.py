@@ -73,6 +73,46 @@ def test_decoding(letters):
     assert char_model.respace("you i d i o t and s t u p i d", d) == "you idiot and stupid"
 
 
+def every_reading(token):
+    """All readings of a token with their costs, without any search."""
+    readings = [("", 0.0)]
+    for at, c in enumerate(token):
+        if c in char_model.CODE:
+            options = [(c, 0.0)]
+        elif c in char_model.LEET:
+            options = [(x, 1.0) for x in char_model.LEET[c]]
+        elif c == "*":
+            options = [(x, 2.5) for x in "abcdefghijklmnopqrstuvwxyz"] + [("", 0.7)]
+        else:
+            options = [("", 0.7)]
+        if c not in char_model.MARKS and at and token[at - 1] == c:
+            run = len(re.match(re.escape(c) + "*", token[at:])[0]) + len(re.search(re.escape(c) + "*$", token[:at])[0])
+            options.append(("", 0.6 if run > 2 else 3.0))
+        readings = [(r + x, cost + more) for r, cost in readings for x, more in options]
+    return readings
+
+
+def test_decoding_equals_all_readings():
+    rng = random.Random(9)
+    texts = [" ".join(rng.choice("idiot entre extra enuxtre water fork funk stab stub scum ou et".split()) for _ in range(60)) for _ in range(20)]
+    model = char_model.log_probabilities(char_model.count_trigrams(texts).astype(float)).astype(float)
+
+    def score(reading, cost):
+        codes = [0, 0, *(char_model.CODE[x] for x in reading), 0]
+        return sum(model[(a * 64 + b) * 64 + c] for a, b, c in zip(codes, codes[1:], codes[2:], strict=False)) - cost
+
+    d = char_model.Decoder(char_model.log_probabilities(char_model.count_trigrams(texts).astype(float)))
+    tokens = ["*en**xtre", "f**k", "s**b", "***m", "1d*0*", "wa**r", "f***", "aa**a", "s-c.u_m", "iddiiot", "$7*b", "!!!d**t"]
+    tokens += ["".join(rng.choice("abeiotu013*-") for _ in range(6)) for _ in range(60)]
+    for t in tokens:
+        if t.count("*") > 3:
+            continue
+        best = max(score(r, c) for r, c in every_reading(t))
+        found = d.decode(t)
+        assert max(score(r, c) for r, c in every_reading(t) if r == found) >= best - 1e-6, t
+    assert d.decode("x" * 257) is None and d.decode("**a" * 80) is not None
+
+
 def test_toxicity(spark):
     rng = random.Random(4)
     plain = [f"{a}{b}" for a in ("gre", "hou", "wat", "pap", "mor") for b in ("en", "se", "er", "ning", "la")]
