@@ -26,6 +26,8 @@ _PRETOKENS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]
 #: Contractions that a prefix cuts into two pre-tokens: tokens of their prefixes.
 _CUT_CONTRACTIONS = {"'re": 2, "'ve": 2, "'ll": 2}
 _LONG_WORD = 96
+#: White space as the pre-tokenizer takes it.
+_WHITE_RUN = re.compile(r"[^\S\x1c-\x1f]+")
 
 
 def _byte_alphabet() -> list[str]:
@@ -215,6 +217,13 @@ class PrefixCounter(Vocabulary):
         model = self.library.model
         self.ids = {t: i for t, i in self.library.get_vocab(with_added_tokens=False).items()}
         self.longest = max(map(len, self.ids))
+        # lengths of the tokens that end in a letter, longest first: few, whatever the longest token is
+        lengths: dict[str, set[int]] = {}
+        for t in self.ids:
+            lengths.setdefault(t[-1], set()).add(len(t))
+        self.lengths = {c: sorted(x, reverse=True) for c, x in lengths.items()}
+        # no token covers more characters than this
+        self.widest = max([self.longest, *map(len, self.added)])
         self.tokenize = model.tokenize
         self.whole = {}
         self.apart: dict[tuple[str, str], bool] = {}
@@ -237,10 +246,13 @@ class PrefixCounter(Vocabulary):
         plain = word.isascii()
         letters = self.letters
         s = "".join([letters[b] for b in word.encode("utf-8", "surrogatepass")])
-        n, ids, apart = len(s), self.ids, self.apart
+        n, ids, apart, lengths = len(s), self.ids, self.apart, self.lengths
         counts, last = [0] * (n + 1), [""] * (n + 1)
         for end in range(1, n + 1):
-            for start in range(max(0, end - self.longest), end):
+            for length in lengths.get(s[end - 1], ()):
+                start = end - length
+                if start < 0:
+                    continue
                 token = s[start:end]
                 if token in ids and (start == 0 or last[start]):
                     if start == 0:
@@ -260,12 +272,15 @@ class PrefixCounter(Vocabulary):
         return [0, *(counts[e] for e in ends)]
 
     def total(self, word: str) -> int:
+        """The tokens of a whole pre-token; of a very long one the library's count, in time nearly in
+        proportion to its length and without a table."""
         if (known := self.totals.get(word)) is None:
+            if len(word) > _LONG_WORD:
+                return len(self.library.encode(word, add_special_tokens=False).ids)
             known = self.table(word)[-1]
-            if len(word) <= _LONG_WORD:
-                if len(self.totals) > 100_000:
-                    self.totals.clear()
-                self.totals[word] = known
+            if len(self.totals) > 100_000:
+                self.totals.clear()
+            self.totals[word] = known
         return known
 
     def parts(self, text: str) -> list[str]:
@@ -287,34 +302,39 @@ class PrefixCounter(Vocabulary):
     def count(self, text: str | None) -> int:
         return sum(self.counts_of(self.parts(text))) if text else 0
 
+    def _segment(self, text: str) -> tuple[list[int], int, str]:
+        """Token counts of all prefixes of a text without added tokens; the tokens before its last two
+        pre-tokens, and these: only they change with what follows. A prefix that ends in white space has
+        the whole run of it as one pre-token: one table for each run answers for all of them."""
+        out, parts = [0] * (len(text) + 1), self.pretokens(text)
+        sums, at, run_end = [0], 0, 0
+        for w in parts:
+            table, base = self.table(w), sums[-1]
+            for k in range(max(1, run_end - at + 1), len(w) + 1):
+                if at + k <= run_end:
+                    continue
+                if found := _WHITE_RUN.match(text, at + k - 1):
+                    run_end = found.end()
+                    out[at + k : run_end + 1] = [base + table[k - 1] + n for n in self.table(found[0])[1:]]
+                else:
+                    out[at + k] = base + table[k]
+            at += len(w)
+            sums.append(base + table[-1])
+        return out, sums[max(0, len(parts) - 2)], "".join(parts[-2:])
+
     def prefixes(self, text: str | None) -> list[int]:
         """Token counts of text[:0], text[:1], ... text."""
-        out = [0]
-        if not text:
-            return out
-        parts = self.parts(text)
-        base, run, run_at = 0, "", 0
-        for w, n in zip(parts, self.counts_of(parts), strict=True):
-            if w in self.added:
-                # a cut added token is ordinary text of the segment before it: encode those few prefixes
-                out += [len(self.library.encode(text[: len(out) + k], add_special_tokens=False).ids) for k in range(len(w) - 1)] + [base + 1]
-                base, run = base + 1, ""
-                continue
-            table = self.table(w)
-            for k in range(1, len(w) + 1):
-                c = w[k - 1]
-                if c.isspace() and c not in "\x1c\x1d\x1e\x1f":
-                    if not run:
-                        run_at = base + table[k - 1]
-                    run += c
-                    # a prefix that ends in white space has that whole run as one pre-token
-                    out.append(run_at + (self.total(run) if len(run) > 1 else table[k] - table[k - 1] if k > 1 else self.total(run)))
-                else:
-                    run = ""
-                    out.append(base + table[k])
-            base += n
-        out[len(text)] = base
-        return out
+        out, at = [0], 0
+        for m in self.find_added.finditer(text) if text and self.find_added else ():
+            base = out[-1]
+            counts, before, tail = self._segment(text[at : m.start()])
+            out += [base + n for n in counts[1:]]
+            # a cut added token is ordinary text that goes on after the segment
+            out += [base + before + len(self.library.encode(tail + m[0][:k], add_special_tokens=False).ids) for k in range(1, len(m[0]))]
+            out.append(base + counts[-1] + 1)
+            at = m.end()
+        base = out[-1]
+        return out + [base + n for n in self._segment((text or "")[at:])[0][1:]]
 
     def fitting(self, text: str | None, limit: int) -> tuple[int, int]:
         return self.fitting_many([text], limit)[0]
@@ -340,7 +360,7 @@ class PrefixCounter(Vocabulary):
             while self.words.n > len(self.known):
                 self.known = np.concatenate((self.known, np.zeros_like(self.known)))
             if len(new):
-                self.known[self.words.n - len(new) : self.words.n] = [self.table(joined[a:b])[-1] for a, b in zip(starts[new].tolist(), ends[new].tolist(), strict=True)]
+                self.known[self.words.n - len(new) : self.words.n] = [self.total(joined[a:b]) for a, b in zip(starts[new].tolist(), ends[new].tolist(), strict=True)]
             ended = np.flatnonzero(numbers == -2)
             counts = self.known[numbers]
             counts[ended] = 0
@@ -357,14 +377,13 @@ class PrefixCounter(Vocabulary):
         return out
 
     def _fit(self, text: str, starts, sums, limit: int) -> tuple[int, int]:
-        """starts has each part's and the end; sums the tokens up to and with each part."""
+        """starts has each part's and the end; sums the tokens up to and with each part. A prefix of more than
+        `limit` times the widest token's characters has too many tokens for sure."""
         total = int(sums[-1])
         if total <= limit:
             return total, len(text)
         k = bisect.bisect_right(sums, limit)
         low, high = max(0, k - 2), min(len(sums), k + 3)
-        if self.find_added and self.find_added.search(text):
-            return total, max(i for i, n in enumerate(self.prefixes(text)) if n <= limit)
         base, start = int(sums[low - 1]) if low else 0, int(starts[low])
-        near = self.prefixes(text[start : int(starts[high])])
+        near = self.prefixes(text[start : min(int(starts[high]), start + (limit - base + 1) * self.widest)])
         return total, start + max((i for i, n in enumerate(near) if base + n <= limit), default=0)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from siteglass.llm.bpe import WordEncoder
-from siteglass.llm.common import per_worker, ship, vocabulary_path
+from siteglass.llm.common import in_use, per_worker, ship, vocabulary_path
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, cost double"
 #: A window of this many tokens: its ids take four bytes each.
@@ -118,6 +118,7 @@ def pack(df: DataFrame, doc_id: str = "doc_id", text: str = "text", vocabulary:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.float64() if j == 7 else pa.int64()) for j, c in enumerate(part)], names=NAMES)
 
         for batch in batches:
+            in_use()
             for d, x in zip(batch.column(0).to_pylist(), encoder.encode_many(batch.column(1).to_pylist()), strict=True):
                 ids.append(x + end)
                 docs.append(d)

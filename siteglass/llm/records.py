@@ -33,10 +33,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siteglass.llm.bpe import WordEncoder
-from siteglass.llm.common import per_worker, scratch, ship, vocabulary_path
+from siteglass.llm.common import in_use, per_worker, scratch, ship, vocabulary_path
 
 MAGIC, VERSION = b"SGTR", 1
 MASK = 0xA282EAD8
+#: Bytes of text that go into one shard at most, about: its index stays in one task's memory.
+SHARD_BYTES = 256 << 20
 _LENGTH, _CRC, _KEY, _ENTRY = struct.Struct("<Q"), struct.Struct("<I"), struct.Struct("<qB"), struct.Struct("<QQ")
 
 
@@ -81,6 +83,7 @@ def _write_shard(batches: Iterator[pa.RecordBatch], uri: str, path: str, end_id:
     mine = f"{base}/.tmp-{shard:06d}-{context.taskAttemptId() if context else 0}"
     end, n_docs, n_ids, at, out, entries = encoder.pack([end_id]), 0, 0, 8, None, []
     for batch in batches:
+        in_use()
         if out is None:
             store.create_dir(base, recursive=True)
             out = store.open_output_stream(f"{mine}.rec")
@@ -126,13 +129,21 @@ def _read_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     yield _rows(rows)
 
 
+def _text_bytes(df: DataFrame, text: str) -> int:
+    """The bytes of all texts as the scan's statistics have them, or counted where there are none."""
+    known = int(str(df.select(text)._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if known < 1 << 60:
+        return known
+    return df.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0)).alias("n")).first()["n"]
+
+
 def write_records(df: DataFrame, uri: str, doc_id: str = "doc_id", text: str = "text", vocabulary: str | None = None, end_id: int = 2, shards: int | None = None) -> DataFrame:
     """Writes the shards and their indexes below `uri`; returns a row for each shard: shard, path,
     n_documents, n_tokens."""
     spark = df.sparkSession
     ship(spark)
     path = vocabulary or vocabulary_path()
-    count = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    count = shards or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-_text_bytes(df, text) // SHARD_BYTES))
     ordered = (
         df.selectExpr(f"cast(`{doc_id}` as long) doc_id", f"`{text}` text")
         .repartitionByRange(count, F.col("doc_id"))
@@ -176,11 +187,20 @@ def read_at(path: str, numbers: list[int]) -> list[tuple[int | None, list[int]]]
     return out
 
 
+def _remove_leftovers(spark: SparkSession, uri: str) -> None:
+    """Temporary files of attempts that failed: once all shards are written, none is in use."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    store = path(uri).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for found in store.globStatus(path(f"{uri}/.tmp-*")) or ():
+        store.delete(found.getPath(), False)
+
+
 def token_records(df: DataFrame, uri: str | None = None, **options) -> DataFrame:
     """Writes df's records and reads the files back, each shard's first start being the ids of all
     shards before it (the driver holds one row for each shard)."""
     spark = df.sparkSession
     uri = uri or scratch(spark, "records")
     shards = sorted((r.shard, r.path, r.n_tokens) for r in write_records(df, uri, **options).collect())
+    _remove_leftovers(spark, uri)
     starts = [0, *accumulate(n for _, _, n in shards)]
     return read_records(spark, [(p, s) for (_, p, _), s in zip(shards, starts, strict=False)])

@@ -4,6 +4,9 @@
 needs; `prefix_counts` appends the whole table of a text (tokens of every prefix), so that any later
 truncation or budget question is an array lookup. Both are narrow: one pass, no shuffle.
 
+Time is in proportion to a text's length, also where it is one long run of white space or of one letter,
+or full of special strings: only the pre-tokens around a budget have their tables looked into.
+
 Null and empty texts have 0 tokens; a repeated row is answered once for each repeat; an empty table
 gives an empty table; other columns pass through untouched, whatever their names, unless they bear
 the name of a result column, which then replaces them.
@@ -33,8 +36,8 @@ def _with(df: DataFrame, new: T.StructType, text: str, make) -> DataFrame:
     names = [f.name for f in kept]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        work = make()
         for batch in batches:
+            work = make()  # the worker's own counter, in use for as long as batches come
             texts = batch.column(batch.schema.get_field_index(source)).to_pylist()
             columns = work(texts)
             yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(n)) for n in names] + columns, names=[*names, *new.names])

@@ -33,6 +33,23 @@ def test_prefixes_and_ids_equal_the_library(path):
         assert np.frombuffer(encoder.encode(t), "<u2").tolist() == counter.library.encode(t, add_special_tokens=False).ids
 
 
+def test_worst_cases_take_linear_time(path):
+    """A megabyte each of what made prefix counts slow: special strings, white space, one letter, no spaces."""
+    import time
+
+    counter = PrefixCounter(path)
+    texts = [
+        ("some words here and there " * 10 + "<|endoftext|>") * 3800, "word " * 1000 + " \n\t" * 330_000 + " end" * 200, " " * 1_000_000, "a" * 1_000_000,
+        "\n" * 1_000_000, "x <|endoftext|>" * 70_000, "<|endoftext|>" * 77_000,
+    ]
+    for t in texts:
+        began = time.process_time()
+        n, fit = counter.fitting(t, 1024)
+        assert time.process_time() - began < 4
+        encode = lambda x: len(counter.library.encode(x, add_special_tokens=False).ids)
+        assert n == encode(t) and encode(t[:fit]) <= 1024 < min(encode(t[: fit + k]) for k in range(1, 20))
+
+
 def docs(spark):
     rows = [(i, t, "clash") for i, t in enumerate(ODD)] + [(3, ODD[3], "clash"), (None, "no id", None)]
     return spark.createDataFrame(rows, "doc_id long, text string, n_tokens string")
