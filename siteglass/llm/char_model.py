@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siteglass.llm.common import ship
+from siteglass.llm.common import lean, ship
 
 #: Letters of the model, in the order of their codes; code 0 is everything else, a word's border.
 LETTERS = "abcdefghijklmnopqrstuvwxyzàâäáãåæçéèêëíìîïñóòôöõøœßúùûüýÿ"
@@ -52,7 +52,7 @@ def fit(df: DataFrame, text: str = "text") -> np.ndarray:
     Tasks send one row for each trigram they saw, so what reaches the driver is at most SIZE**3 rows.
     """
     ship(df.sparkSession)
-    rows = df.select(F.col(text)).mapInArrow(_count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect()
+    rows = df.select(F.col(text)).mapInArrow(lean(_count), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect()
     counts = np.zeros(SIZE**3, np.float64)
     for r in rows:
         counts[r["gram"]] = r["n"]

@@ -189,6 +189,38 @@ def in_use() -> None:
     _USED[0] = time.monotonic()
 
 
+def lean(work: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """work for mapInArrow, whose worker gives its free memory back when the task ends: the process waits
+    for other tasks, and an executor's memory holds all of them."""
+
+    def run(batches: Iterator) -> Iterator:
+        _allocate_apart()
+        try:
+            yield from work(batches)
+        finally:
+            _trim()
+
+    return run
+
+
+def _allocate_apart() -> None:
+    """Large blocks are mapped one by one, so that freeing one returns it at once."""
+    try:
+        ctypes.CDLL(None).mallopt(-3, 1 << 18)  # M_MMAP_THRESHOLD; a fixed one doesn't grow
+    except (OSError, AttributeError):
+        pass  # another C library
+
+
+def _trim() -> None:
+    import pyarrow
+
+    pyarrow.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library: its free memory stays with the process
+
+
 def _release_idle() -> None:
     while True:
         time.sleep(1.0)
@@ -196,10 +228,7 @@ def _release_idle() -> None:
             if _KEPT and time.monotonic() - _USED[0] > IDLE:
                 _KEPT.clear()
                 gc.collect()
-                try:
-                    ctypes.CDLL(None).malloc_trim(0)
-                except (OSError, AttributeError):
-                    pass  # another C library: its free memory stays with the process
+                _trim()
 
 
 _KEPT: dict[tuple, object] = {}

@@ -44,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siteglass.llm.common import discard, hot_keys, joined_small, release, salted_join, scratch_scope, ship, stored
+from siteglass.llm.common import discard, hot_keys, joined_small, lean, release, salted_join, scratch_scope, ship, stored
 from siteglass.llm.components import components
 from siteglass.llm.word_table import hash_spans, mixed, pieces, points_of, word_spans
 
@@ -54,7 +54,7 @@ EXACT_CLASSES = 64
 #: Ids that may be broadcast: 16 MB of them.
 MOST_BROADCAST = 2_000_000
 #: Entries of one sorted run in a task, and about as many in a range of hashes.
-RUN = 1_000_000
+RUN = 250_000
 #: Bits of a hash that travel to find shared n-grams.
 CARRIED = 48
 #: Rounds in which a key's groups are compared with its smallest node only, before pairs across groups.
@@ -208,9 +208,9 @@ def company(docs: DataFrame, nodes: DataFrame, n: int, num: int, den: int, known
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranges = max(partitions, few // RUN + 1)
     texts = joined_small(docs.withColumnRenamed("doc_id", "node"), nodes.select("node", "one"), "node", "inner", known, MOST_BROADCAST).select("node", "one", "text")
-    runs = texts.mapInArrow(lambda batches: _runs(batches, n, end, ranges), "range int, a binary, b binary")
+    runs = texts.mapInArrow(lean(lambda batches: _runs(batches, n, end, ranges)), "range int, a binary, b binary")
     dealt = runs.repartition(ranges, "range").sortWithinPartitions("range")
-    shared = dealt.mapInArrow(_shared, "node long, n long").groupBy("node").agg(F.sum("n").alias("n"))
+    shared = dealt.mapInArrow(lean(_shared), "node long, n long").groupBy("node").agg(F.sum("n").alias("n"))
     own = F.col("few") - F.coalesce("n", F.lit(0))
     return nodes.join(shared, "node", "left").where(own <= F.col("size") - F.expr(f"(size * {num} + {den - 1}) div {den}")).select("node", "one", "size")
 
@@ -230,7 +230,7 @@ def ordered_sets(docs: DataFrame, alive: DataFrame, n: int, rows: int, grams: in
     """Of alive (node, one, size), `rows` of them with `grams` n-grams: (node, size, grams), the n-grams that
     several of them have as (class, gram) in the global order."""
     texts = joined_small(docs.withColumnRenamed("doc_id", "node"), alive.select("node", "one"), "node", "inner", rows, MOST_BROADCAST).select("node", "one", "text")
-    sets = texts.mapInArrow(lambda batches: _sets(batches, n), "node long, grams array<long>")
+    sets = texts.mapInArrow(lean(lambda batches: _sets(batches, n)), "node long, grams array<long>")
     sets = stored(sets.dropDuplicates(["node"]) if repeats else sets, "sets")
     elements = sets.select("node", F.explode("grams").alias("gram"))
     often = stored(elements.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "often")
@@ -463,7 +463,7 @@ def _classes(df: DataFrame, n: int, num: int, den: int, doc_id: str, text: str,
     ship(spark)
     docs = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     end = share_of(num, den)
-    slim = keep(stored(docs.mapInArrow(lambda batches: _signatures(batches, n, end), "doc_id long, size long, few long, one long, two long"), "signatures"))
+    slim = keep(stored(docs.mapInArrow(lean(lambda batches: _signatures(batches, n, end)), "doc_id long, size long, few long, one long, two long"), "signatures"))
     same = slim.where("size > 0 and doc_id is not null").groupBy("one", "two", "size").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("n"), F.max("few").alias("few"))
     same = stored(same, "same")
     nodes = stored(same.groupBy("node").agg(F.min(F.struct("one", "two", "size", "few")).alias("s")).select("node", "s.one", "s.size", "s.few"), "nodes")

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from siteglass.llm.bpe import WordEncoder
-from siteglass.llm.common import in_use, per_worker, ship, vocabulary_path
+from siteglass.llm.common import in_use, lean, per_worker, ship, vocabulary_path
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, cost double"
 #: A window of this many tokens: its ids take four bytes each.
@@ -127,7 +127,7 @@ def pack(df: DataFrame, doc_id: str = "doc_id", text: str = "text", vocabulary:
                     yield from window()
         yield from window()
 
-    return df.selectExpr(f"cast(`{doc_id}` as long) doc_id", f"`{text}` text").mapInArrow(run, SCHEMA)
+    return df.selectExpr(f"cast(`{doc_id}` as long) doc_id", f"`{text}` text").mapInArrow(lean(run), SCHEMA)
 
 
 NAMES = [x.split()[0] for x in SCHEMA.split(", ")]

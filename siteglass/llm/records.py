@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siteglass.llm.bpe import WordEncoder
-from siteglass.llm.common import in_use, per_worker, scratch, ship, vocabulary_path
+from siteglass.llm.common import in_use, lean, per_worker, scratch, ship, vocabulary_path
 
 MAGIC, VERSION = b"SGTR", 1
 MASK = 0xA282EAD8
@@ -150,7 +150,7 @@ def write_records(df: DataFrame, uri: str, doc_id: str = "doc_id", text: str = "
         .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
     )
 
-    return ordered.mapInArrow(lambda batches: _write_shard(batches, uri, path, end_id), "shard long, path string, n_documents long, n_tokens long")
+    return ordered.mapInArrow(lean(lambda batches: _write_shard(batches, uri, path, end_id)), "shard long, path string, n_documents long, n_tokens long")
 
 
 def read_records(spark: SparkSession, shards: list[tuple[str, int]]) -> DataFrame:
@@ -162,7 +162,7 @@ def read_records(spark: SparkSession, shards: list[tuple[str, int]]) -> DataFram
         return spark.createDataFrame([], schema)
 
     listed = spark.createDataFrame([(k, p, s) for k, (p, s) in enumerate(shards)], "k long, path string, start long")
-    return listed.repartitionByRange(len(shards), "k").select("path", "start").mapInArrow(_read_shards, schema)
+    return listed.repartitionByRange(len(shards), "k").select("path", "start").mapInArrow(lean(_read_shards), schema)
 
 
 def _rows(rows: list[tuple]) -> pa.RecordBatch:

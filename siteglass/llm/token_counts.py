@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from siteglass.llm.bpe import PrefixCounter
-from siteglass.llm.common import per_worker, ship, vocabulary_path
+from siteglass.llm.common import lean, per_worker, ship, vocabulary_path
 
 _COUNTS = T.StructType([T.StructField(n, T.LongType()) for n in ("n_bytes", "n_tokens", "fit_chars")])
 
@@ -42,7 +42,7 @@ def _with(df: DataFrame, new: T.StructType, text: str, make) -> DataFrame:
             columns = work(texts)
             yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(n)) for n in names] + columns, names=[*names, *new.names])
 
-    return base.select(*dict.fromkeys([*names, source])).mapInArrow(run, T.StructType([*kept, *new.fields]))
+    return base.select(*dict.fromkeys([*names, source])).mapInArrow(lean(run), T.StructType([*kept, *new.fields]))
 
 
 def token_counts(df: DataFrame, text: str = "text", vocabulary: str | None = None, limit: int = 1024) -> DataFrame:

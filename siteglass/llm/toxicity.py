@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from siteglass.llm import char_model
-from siteglass.llm.common import in_use, per_worker, ship, stored
+from siteglass.llm.common import in_use, lean, per_worker, ship, stored
 from siteglass.llm.word_table import WordTable, pieces, points_of, word_spans
 
 BITS = 20
@@ -221,7 +221,7 @@ def learn(df: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "d
     schema = "feature int, label int, half int, n long"
 
     def summed(rows: DataFrame, wanted) -> DataFrame:
-        found = rows.mapInArrow(lambda batches: _frequencies(batches, shared, wanted), schema)
+        found = rows.mapInArrow(lean(lambda batches: _frequencies(batches, shared, wanted)), schema)
         return found.groupBy("feature", "label", "half").agg(F.sum("n").alias("n"))
 
     toxic = summed(chosen.where("label = 1"), None)
@@ -235,7 +235,7 @@ def learn(df: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "d
     rows = [c.pop(-1, [0, 0]) for c in counts]
     lexica = [lexicon(c, n) for c, n in zip(counts, rows, strict=True)]
     halves = spark.sparkContext.broadcast(lexica[:2])
-    found = chosen.mapInArrow(lambda batches: _inputs(batches, shared, halves), "label int, x array<double>").collect()
+    found = chosen.mapInArrow(lean(lambda batches: _inputs(batches, shared, halves)), "label int, x array<double>").collect()
     found = sorted((r["label"], r["x"]) for r in found)
     y, x = np.array([y for y, _ in found], float), np.array([x for _, x in found]).reshape(len(found), 6)
     if len(y) and 0 < y.sum() < len(y):
@@ -267,5 +267,5 @@ def score(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
     kept = [f for f in df.schema.fields if f.name not in ("score", "predicted")]
     names = [f.name for f in kept]
     shared = spark.sparkContext.broadcast(model)  # bounded: 64**3 floats and at most 2**BITS weights
-    out = df.select(*names, F.col(text).alias("__text")).mapInArrow(lambda batches: _score(batches, shared, names), T.StructType([*kept, T.StructField("score", T.DoubleType())]))
+    out = df.select(*names, F.col(text).alias("__text")).mapInArrow(lean(lambda batches: _score(batches, shared, names)), T.StructType([*kept, T.StructField("score", T.DoubleType())]))
     return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
