@@ -10,26 +10,32 @@ that comes before the quoting message in (conv_id, turn) order; so links have no
 
 A message replies to the message of its shallowest linked passage, of several the latest one. Replies
 are followed to the top of their thread by pointer doubling, whose rounds grow with the logarithm of
-the deepest reply. The result is one row for each message, without quotes, with thread_conv, root_turn
-and depth: sorted by (thread_conv, root_turn, depth, conv_id, turn) each message follows what it
-replies to. `formatted` is the message as a chat turn; a conversation is their concatenation in that
-order. No conversation is gathered in one task, so one that holds a third of all rows is no hot spot;
-originals are reduced to the first message of each hash before any join.
-
-Null and empty texts are empty messages. Rows equal in conv_id and turn are one position: each row is
-returned, and replies to it are replies to that position. Rows with a null conv_id or turn cannot be
-replied to and start their own thread. An empty table gives no rows. Other columns are not read.
+the deepest reply. The result is one row for each message, without quotes, with thread_conv, root_turn,
+depth and position, its place (from 0) in the thread's order by (depth, conv_id, turn): each message follows
+what it replies to. `formatted` is the message as a chat turn; `transcripts` concatenates them in that order,
+in parts of a bounded number of messages. No conversation is gathered in one task, so one that holds a
+third of all rows is no hot spot: threads are sorted over all tasks by range, and positions are counted from
+where each task's rows begin. Lines that very many messages quote, and messages that very many answer, are
+dealt over several tasks.
+
+Null and empty texts are empty messages. Rows equal in conv_id and turn are one place: each row is returned,
+with a position of its own, and replies to it are replies to that place. Rows with a null conv_id or turn
+cannot be replied to and start their own thread; those of equal nulls share one. A very long text is parsed
+whole, in one task. Ties of position go by role and text. An empty table gives no rows. Other columns are
+not read.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siteglass.llm.common import stored
+from siteglass.llm.common import discard, hot_keys, salted_join, scratch_scope, stored
 
 #: Lines of fewer words than this are not looked up by themselves.
 LEAST_WORDS = 3
+#: Hashes that may be broadcast: 16 MB of them.
+MOST_BROADCAST = 2_000_000
 MOST_ROUNDS = 64
 _MARKS = "^[ \\t]*(?:>[ \\t]*)+"
 _WROTE = "(?i)^\\s*(?:on\\s.*\\swrote|am\\s.*\\sschrieb.*|le\\s.*\\sa écrit|el\\s.*\\sescribió)\\s*:\\s*$"
@@ -111,11 +117,18 @@ def link(messages: DataFrame) -> DataFrame:
             F.transform(_lines(F.col("own")), _hash),
         )
     )
-    wanted = asked.select("hash").distinct()
-    origins = messages.where("own != ''").dropna(subset=here).select(*here, F.explode(filed).alias("hash")).join(wanted, "hash", "left_semi")
+    wanted = stored(asked.select("hash").distinct(), "wanted")
+    origins = messages.where("own != ''").dropna(subset=here).select(*here, F.explode(filed).alias("hash"))
+    if wanted.count() <= MOST_BROADCAST:
+        origins = origins.join(F.broadcast(wanted), "hash", "left_semi")
+    else:
+        often = origins.groupBy("hash").agg(F.count(F.lit(1)).alias("n"))
+        origins = salted_join(origins, wanted, ["hash"], hot_keys(often, ["hash"], origins.count()), "turn", "left_semi")
     local = stored(origins.groupBy("hash", "conv_id").agg(F.min("turn").alias("own_turn")), "originals")
     first = local.groupBy("hash").agg(F.min(F.struct("conv_id", "own_turn")).alias("first"))
-    met = asked.join(local, ["hash", "conv_id"], "left").join(first, "hash", "left")
+    hot = hot_keys(asked.groupBy("hash").agg(F.count(F.lit(1)).alias("n")), ["hash"], asked.count())
+    by = F.struct("conv_id", "turn", "place")
+    met = salted_join(salted_join(asked, local, ["hash", "conv_id"], hot, by, "left"), first, ["hash"], hot, by, "left")
     near = F.col("own_turn") < F.col("turn")
     far = (F.col("first.conv_id") < F.col("conv_id"))
     source = F.when(near, F.struct(F.col("conv_id"), F.col("own_turn").alias("turn"))).when(far, F.struct(F.col("first.conv_id").alias("conv_id"), F.col("first.own_turn").alias("turn")))
@@ -133,28 +146,57 @@ def tops(links: DataFrame) -> DataFrame:
     at = stored(links.select("conv_id", "turn", F.col("parent_conv").alias("top_conv"), F.col("parent_turn").alias("top_turn"), F.lit(1).cast("long").alias("depth")), "replies")
     for _ in range(MOST_ROUNDS):
         up = at.select(F.col("conv_id").alias("top_conv"), F.col("turn").alias("top_turn"), F.col("top_conv").alias("c"), F.col("top_turn").alias("t"), F.col("depth").alias("more"))
-        moved = at.join(up, ["top_conv", "top_turn"], "left")
+        answers = at.groupBy("top_conv", "top_turn").agg(F.count(F.lit(1)).alias("n"))
+        hot = hot_keys(answers, ["top_conv", "top_turn"], at.count())
+        moved = salted_join(at, up, ["top_conv", "top_turn"], hot, F.struct("conv_id", "turn"), "left")
         if moved.where("more is not null").isEmpty():
             return at
-        at = stored(
+        new = stored(
             moved.select("conv_id", "turn", F.coalesce("c", "top_conv").alias("top_conv"), F.coalesce("t", "top_turn").alias("top_turn"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth")),
             "replies",
         )
+        discard(at)
+        at = new
     raise RuntimeError("replies did not settle")
 
 
+def positioned(rows: DataFrame, group: list[str], order: list[str]) -> DataFrame:
+    """rows with position, a row's place in its group by `order`, whatever a group's size: rows are sorted over
+    all tasks by range, and a group's rows in each task counted."""
+    keys = [F.col(c).asc_nulls_first() for c in (*group, *order)]
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sorted_ = rows.repartitionByRange(parts, *keys).sortWithinPartitions(*keys).withColumn("__id", F.monotonically_increasing_id())
+    sorted_ = stored(sorted_.withColumn("__part", F.shiftright("__id", 33)), "sorted")
+    own = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in group]
+    spans = sorted_.groupBy(*group, "__part").agg(F.min("__id").alias("__low"), F.count(F.lit(1)).alias("__n"))
+    before = F.sum("__n").over(Window.partitionBy(*group).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
+    spans = spans.select(*(F.col(c).alias(f"__{c}") for c in group), F.col("__part").alias("__at"), (F.coalesce(before, F.lit(0)) - F.col("__low")).alias("__shift"))
+    met = sorted_.join(spans, [*own, F.col("__part") == F.col("__at")])
+    return met.select(*rows.columns, (F.col("__id") + F.col("__shift")).alias("position"))
+
+
 def conversations(df: DataFrame) -> DataFrame:
     """A row for each message of df (conv_id, turn, role, text): conv_id, turn, role, own, max_level,
-    n_quotes, n_linked, parent_conv, parent_turn, thread_conv, root_turn, depth, formatted."""
-    messages = parsed(df.select("conv_id", "turn", "role", "text"))
-    links = stored(link(messages), "links")
-    at = tops(links.where("parent_conv is not null"))
-    out = messages.select("conv_id", "turn", "role", "own", "max_level").join(links.join(at, ["conv_id", "turn"], "left"), ["conv_id", "turn"], "left")
-    return out.select(
-        "conv_id", "turn", "role", "own", F.col("max_level").cast("long").alias("max_level"),
-        F.coalesce("n_quotes", F.lit(0)).alias("n_quotes"), F.coalesce("n_linked", F.lit(0)).alias("n_linked"),
-        "parent_conv", "parent_turn",
-        F.coalesce("top_conv", "conv_id").alias("thread_conv"), F.coalesce("top_turn", "turn").alias("root_turn"),
-        F.coalesce("depth", F.lit(0)).alias("depth"),
-        F.concat(F.lit("<|"), F.coalesce("role", F.lit("user")), F.lit("|>\n"), "own", F.lit("\n")).alias("formatted"),
-    )
+    n_quotes, n_linked, parent_conv, parent_turn, thread_conv, root_turn, depth, position, formatted."""
+    with scratch_scope(df.sparkSession) as keep:
+        messages = parsed(df.select("conv_id", "turn", "role", "text"))
+        links = stored(link(messages), "links")
+        at = tops(links.where("parent_conv is not null"))
+        out = messages.select("conv_id", "turn", "role", "own", "max_level").join(links.join(at, ["conv_id", "turn"], "left"), ["conv_id", "turn"], "left")
+        out = out.select(
+            "conv_id", "turn", "role", "own", F.col("max_level").cast("long").alias("max_level"),
+            F.coalesce("n_quotes", F.lit(0)).alias("n_quotes"), F.coalesce("n_linked", F.lit(0)).alias("n_linked"),
+            "parent_conv", "parent_turn",
+            F.coalesce("top_conv", "conv_id").alias("thread_conv"), F.coalesce("top_turn", "turn").alias("root_turn"),
+            F.coalesce("depth", F.lit(0)).alias("depth"),
+            F.concat(F.lit("<|"), F.coalesce("role", F.lit("user")), F.lit("|>\n"), "own", F.lit("\n")).alias("formatted"),
+        )
+        return keep(stored(positioned(out, ["thread_conv", "root_turn"], ["depth", "conv_id", "turn", "role", "own"]), "conversations"))
+
+
+def transcripts(messages: DataFrame, most: int = 256) -> DataFrame:
+    """From the rows of `conversations` the threads as chat texts: thread_conv, root_turn, part, n_messages,
+    text; a part holds `most` messages, so a row's size does not grow with the thread's."""
+    part = F.floor(F.col("position") / most).cast("long")
+    gathered = messages.groupBy("thread_conv", "root_turn", part.alias("part")).agg(F.count(F.lit(1)).alias("n_messages"), F.sort_array(F.collect_list(F.struct("position", "formatted"))).alias("turns"))
+    return gathered.select("thread_conv", "root_turn", "part", "n_messages", F.array_join(F.col("turns")["formatted"], "").alias("text"))
