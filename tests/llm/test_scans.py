@@ -144,30 +144,56 @@ def test_trigrams_count_all_texts(spark):
 
 def plain_licenses(text):
     best = Counter()
-    units = [("notice", u) for u in re.split(r"[.!?]*[ \t\r]*\n\s*|[.!?]+\s+", text or "")] + [("whole", text or "")]
-    for kind, unit in units:
-        ours = licenses.bigrams(unit)
+
+    def dice(words, theirs):
+        ours = {f"{a} {b}" for a, b in zip(words, words[1:], strict=False)}
+        return 2 * len(ours & theirs) / (len(ours) + len(theirs)) if ours else 0
+
+    def normal(x):
+        return re.sub("[^a-z0-9]+", " ", x.lower()).replace("licence", "license").split()
+
+    for unit in re.split(r"[.!?]*[ \t\r]*\n\s*|[.!?]+\s+", text or ""):
         fits = {}
-        for spdx, k, theirs in licenses.templates():
-            if k == kind and ours:
-                dice = 2 * len(ours & theirs) / (len(ours) + len(theirs))
-                if dice >= licenses.THRESHOLD:
-                    fits[spdx] = max(fits.get(spdx, 0), dice)
-        for spdx, dice in fits.items():
-            if dice == max(fits.values()):
-                best[spdx] += 1
-    return dict(best)
+        for spdx, kind, theirs in licenses.templates():
+            if kind == "notice" and (d := dice(normal(unit), theirs)) >= licenses.THRESHOLD:
+                fits[spdx] = max(fits.get(spdx, 0), d)
+        best.update(spdx for spdx, d in fits.items() if d == max(fits.values()))
+    words, anchors, hits = normal(text or ""), licenses.anchors("whole"), set()
+    for spdx, notice in licenses.notices().items():
+        whole = normal(notice)
+        theirs = {f"{a} {b}" for a, b in zip(whole, whole[1:], strict=False)}
+        for start in {k - j for k, w in enumerate(words) if w in anchors for j, x in enumerate(whole) if x == w}:
+            if (d := dice(words[max(0, start) : start + len(whole)], theirs)) >= licenses.THRESHOLD:
+                hits.add((spdx, start, start + len(whole), d))
+    for spdx, start, end, d in hits:
+        others = [h for h in hits if h[1] < end and start < h[2]]
+        best[spdx] += not any(h[3] > d or (h[3] == d and h[0] == spdx and h[1] < start) for h in others)
+    return {spdx: n for spdx, n in best.items() if n}
+
+
+def test_every_licence_has_a_whole_notice():
+    assert set(licenses.notices()) == set(licenses.NAMES)
+    for spdx, text in licenses.notices().items():
+        assert plain_licenses(text).get(spdx), spdx
 
 
 def test_licenses(spark):
     mit = licenses.WHOLE["MIT"]
-    texts = [*ODD, "Some text. Released under the MIT License.\nMore of it", "Licenced under the Apache Licence, Version 2.0!", "THIS WORK IS LICENSED UNDER CC BY-NC 4.0", mit, mit[:900], "prose " * 500 + "\nLicensed under the GNU General Public License, version 3.", "A licence is a document under which one may fish.", "Released under the MIT License.\nReleased under the MIT License."]
+    notices = licenses.notices()
+    rng = random.Random(12)
+    prose = lambda n: " ".join(rng.choice("the of some software code file people terms any license conditions use write read".split()) for _ in range(n))
+    embedded = [prose(300) + ".\n" + "\n".join(re.findall(r".{1,70}(?:\s|$)", notices[x])) + "\n" + prose(200) for x in notices]
+    edited = [prose(40) + " " + " ".join(w for w in notices[x].split() if rng.random() > 0.04) + " " + prose(40) for x in ("MIT", "Apache-2.0", "BSD-3-Clause")]
+    texts = [*ODD, *embedded, *edited, mit + "\n\n" + notices["ISC"] + " " + prose(30) + " " + mit, "Some text. Released under the MIT License.\nMore of it", "Licenced under the Apache Licence, Version 2.0!", "THIS WORK IS LICENSED UNDER CC BY-NC 4.0", mit, mit[:900], "prose " * 500 + "\nLicensed under the GNU General Public License, version 3.", "A licence is a document under which one may fish.", "Released under the MIT License.\nReleased under the MIT License."]
     df = spark.createDataFrame([(k, t, "x") for k, t in enumerate(texts)], "doc_id long, text string, license string")
     got = {}
     for r in licenses.scan(df).collect():
         got.setdefault(r.doc_id, {})[r.license] = r.n_matches
     assert got == {k: x for k, t in enumerate(texts) if (x := plain_licenses(t))}
-    assert len(got) == 7 and licenses.scan(df.limit(0)).count() == 0
+    assert all(spdx in got[len(ODD) + k] for k, spdx in enumerate(notices))
+    both = got[len(ODD) + len(embedded) + len(edited)]
+    assert both["MIT"] == 2 and both["ISC"] == 1
+    assert licenses.scan(df.limit(0)).count() == 0
 
 
 def test_urls(spark):
