@@ -254,7 +254,7 @@ def sql(table: str = "documents", threshold: float = THRESHOLD) -> str:
         return f"list_filter(string_split(replace(regexp_replace(lower({x}), '[^a-z0-9]+', ' ', 'g'), 'licence', 'license'), ' '), lambda w: w <> '')"
 
     def grams(ws: str) -> str:
-        return f"(SELECT list_distinct(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) FROM (SELECT {ws} AS ws))"
+        return f"(SELECT list_distinct(list_transform(range(1, len(gs)), lambda i: gs[i] || ' ' || gs[i + 1])) FROM (SELECT {ws} AS gs))"
 
     dice = "2.0 * len(list_intersect(ours, theirs)) / (len(ours) + len(theirs))"
     values = ",\n".join("('{}', '{}', [{}])".format(spdx, kind, ", ".join(f"'{g}'" for g in sorted(g))) for spdx, kind, g in templates())
