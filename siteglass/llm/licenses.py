@@ -248,7 +248,8 @@ def scan(df: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: f
 
 
 def sql(table: str = "documents", threshold: float = THRESHOLD) -> str:
-    """The same scan in SQL: every sentence and window against its templates, without size bounds."""
+    """The same scan in SQL: every sentence and window against its templates, without size bounds; texts without
+    enough words of a notice have no windows for it."""
 
     def words(x: str) -> str:
         return f"list_filter(string_split(replace(regexp_replace(lower({x}), '[^a-z0-9]+', ' ', 'g'), 'licence', 'license'), ' '), lambda w: w <> '')"
@@ -258,17 +259,20 @@ def sql(table: str = "documents", threshold: float = THRESHOLD) -> str:
 
     dice = "2.0 * len(list_intersect(ours, theirs)) / (len(ours) + len(theirs))"
     values = ",\n".join("('{}', '{}', [{}])".format(spdx, kind, ", ".join(f"'{g}'" for g in sorted(g))) for spdx, kind, g in templates())
+    words_ = ", ".join(f"('{w}', '{spdx}', {n})" for spdx, ws, n in vocabularies(threshold) for w in ws)
     placed = ", ".join(f"('{w}', '{spdx}', {k}, {n})" for w, spdx, k, n in marks())
     return f"""
 WITH k(license, kind, theirs) AS (VALUES {values}),
 m(word, license, place, length) AS (VALUES {placed}),
+v(word, license, least_words) AS (VALUES {words_}),
 t AS (SELECT doc_id, text, row_number() OVER () AS row_no, {words('text')} AS ws FROM {table} WHERE text IS NOT NULL),
 s AS (SELECT doc_id, unnest(regexp_split_to_array(text, '[.!?]*[ \\t\\r]*\\n\\s*|[.!?]+\\s+')) AS unit FROM t),
 g AS (SELECT doc_id, row_number() OVER () AS unit_no, {grams(words('unit'))} AS ours FROM s),
 d AS (SELECT doc_id, unit_no, license, max({dice}) AS dice FROM g, k WHERE kind = 'notice' AND len(ours) > 0 GROUP BY ALL),
 b AS (SELECT *, rank() OVER (PARTITION BY doc_id, unit_no ORDER BY dice DESC) AS place FROM d WHERE dice >= {threshold}),
 p AS (SELECT row_no, unnest(ws) AS word, unnest(range(len(ws))) AS pos FROM t),
-w AS (SELECT DISTINCT row_no, license, pos - place AS start, length FROM p JOIN m USING (word)),
+e AS (SELECT row_no, license FROM (SELECT DISTINCT row_no, word FROM p) JOIN v USING (word) GROUP BY row_no, license HAVING count(*) >= max(least_words)),
+w AS (SELECT DISTINCT row_no, license, pos - place AS start, length FROM p JOIN m USING (word) SEMI JOIN e USING (row_no, license)),
 h AS (SELECT doc_id, row_no, license, start, length, {grams("ws[greatest(start, 0) + 1 : start + length]")} AS ours FROM w JOIN t USING (row_no)),
 f AS (SELECT doc_id, row_no, license, start, length, {dice} AS dice FROM h JOIN k USING (license) WHERE kind = 'whole' AND len(ours) > 0),
 c AS (SELECT * FROM f WHERE dice >= {threshold}),

@@ -10,8 +10,12 @@ Domain rules (`net/`, `example.net/en/`) fit a host and all its subdomains whose
 the rule's; the longest that fits decides. Where none fits, the pattern rules do: a fitting one
 blocks (or allows) by its verdict, the first in order; else the URL is allowed.
 
+The pattern rules are a parameter; those at hand are a list of single hosts' words and all pairs of a word
+that offers and a word for what spam sells, some hundreds. Rules are compiled when first run.
+
 A null URL and one without `://` have an empty host and path and are allowed without a rule. Hosts
-are lower-cased (A-Z), paths are not. Repeated rows are judged each; other columns pass through
+are lower-cased (A-Z), paths are not. A URL of any length is judged whole; an empty table gives no rows, with
+the same columns. Repeated rows are judged each; other columns pass through
 unless they bear a result's name, which replaces them. Judging is narrow: no shuffle but for the
 token counts, which are pre-aggregated and number at most the rules' tokens.
 """
@@ -19,8 +23,9 @@ token counts, which are pre-aggregated and number at most the rules' tokens.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -70,6 +75,11 @@ DOMAIN_RULES = (
     domain_rule("org/fr/", "allow"),
 )
 #: Hosts that sell or advertise rather than say something.
+OFFERS = ("buy", "cheap", "cheapest", "discount", "discounted", "free", "get", "instant", "order", "quick", "top", "win", "easy", "fast", "online", "best")
+GOODS = (
+    "backlinks", "bets", "bitcoins", "bonus", "botox", "casino", "casinos", "cialis", "coupons", "credits", "diploma", "diplomas", "essays", "fakes", "followers", "gambling", "gems", "giveaway", "hookups",
+    "jackpot", "jackpots", "likes", "loans", "lottery", "meds", "pills", "poker", "porn", "rolex", "roulette", "slots", "spins", "steroids", "tramadol", "viagra", "watches", "weightloss", "xanax",
+)
 PATTERN_RULES = (
     word_rule("spam", "farm"),
     word_rule("link", "farm"),
@@ -81,6 +91,7 @@ PATTERN_RULES = (
     word_rule("adserver"),
     word_rule("doubleclick"),
     word_rule("clickbait"),
+    *(word_rule(offer, goods) for offer in OFFERS for goods in GOODS),
 )
 
 
@@ -121,7 +132,7 @@ def index(rules: list[Rule], counts: dict[str, int]) -> dict[str, list[int]]:
     return out
 
 
-def judge_url(url: str | None, rules: list[Rule], by_token: dict[str, list[int]], compiled: list[re.Pattern]) -> tuple[str, str, str | None, str | None, str]:
+def judge_url(url: str | None, rules: list[Rule], by_token: dict[str, list[int]], compiled: Callable[[str], re.Pattern]) -> tuple[str, str, str | None, str | None, str]:
     host, path = host_and_path(url)
     whole = host + path
     found = _TOKEN.findall(whole)
@@ -131,7 +142,7 @@ def judge_url(url: str | None, rules: list[Rule], by_token: dict[str, list[int]]
     best = pattern = None
     for k in sorted(candidates):
         r = rules[k]
-        if whole and compiled[k].match(whole):
+        if whole and compiled(r.regex).match(whole):
             if r.literal is None:
                 pattern = pattern or r
             elif best is None or len(r.literal) > len(best.literal):
@@ -152,7 +163,7 @@ def judge(df: DataFrame, rules: tuple[Rule, ...] = DOMAIN_RULES + PATTERN_RULES,
     schema = T.StructType([*kept, *(T.StructField(n, T.StringType()) for n in RESULT)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        compiled = [re.compile(r.regex, re.S) for r in rules]
+        compiled = cache(lambda regex: re.compile(regex, re.S))
         for batch in batches:
             urls = batch.column(batch.num_columns - 1).to_pylist()
             rows = [judge_url(u, rules, by_token, compiled) for u in urls]

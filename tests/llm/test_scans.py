@@ -218,3 +218,24 @@ def test_urls(spark):
 
     assert got == {k: plain(u) for k, u in enumerate(urls)}
     assert url_filters.judge(df.limit(0)).count() == 0
+
+
+def test_thousands_of_rules_equal_running_all(spark):
+    rng = random.Random(13)
+    syllables = ["ba", "do", "ki", "lu", "me", "ra", "so", "tu"]
+    word = lambda: "".join(rng.choice(syllables) for _ in range(rng.randrange(2, 4)))
+    rules = tuple(dict.fromkeys(url_filters.word_rule(*(word() for _ in range(rng.randrange(1, 3))), verdict=rng.choice(["block", "allow"])) for _ in range(4000)))
+    rules += tuple(url_filters.domain_rule(f"{word()}.net/{word()}/", "block") for _ in range(1000)) + (url_filters.Rule("no token", "block", r"[^/]*--[^/]*/.*", ()),)
+    urls = [f"https://{rng.choice([word() + '.', '', 'x--'])}{word()}{rng.choice('.-_')}{word()}.{rng.choice(['net', 'test'])}/{rng.choice([word() + '/', ''])}p?{word()}" for _ in range(600)]
+    urls += ["http://" + "ba" * 100_000 + ".net/", "http://h.test/" + "x/" * 100_000]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r.page_id: (r.rule, r.pattern, r.verdict) for r in url_filters.judge(df, rules).collect()}
+    compiled = [(r, re.compile(r.regex, re.S)) for r in rules]
+    for k, u in enumerate(urls):
+        whole = "".join(url_filters.host_and_path(u))
+        fit = [r for r, x in compiled if x.match(whole)]
+        domain = max((r for r in fit if r.literal), key=lambda r: len(r.literal), default=None)
+        pattern = next((r for r in fit if not r.literal), None)
+        want = (domain.name, None, domain.verdict) if domain else (None, pattern.name, pattern.verdict) if pattern else (None, None, "allow")
+        assert got[k][2] == want[2] and (got[k][:2] == want[:2] or domain), u
+    assert len({v for _, _, v in got.values()}) == 2 and sum(r is not None or p is not None for r, p, _ in got.values()) > 100
