@@ -127,7 +127,7 @@ def _whole(data: bytes) -> np.ndarray:
 def _runs(batches: Iterator[pa.RecordBatch], n: int, end: int, ranges: int) -> Iterator[pa.RecordBatch]:
     """From (node, one, text) sorted runs of entries (2 * shortened n-gram + whether several nodes of the
     run have it, node), cut into ranges. An n-gram goes once for each run; nodes that share one within
-    the run are counted there, and the counts sent along under range -1 - r."""
+    the run are counted there, and the counts sent along under a range below 0."""
     cuts = np.array([end * r // ranges for r in range(1, ranges)], np.uint64)
     grams_, nodes_ = [], []
     held = 0
@@ -143,7 +143,7 @@ def _runs(batches: Iterator[pa.RecordBatch], n: int, end: int, ranges: int) -> I
         first = np.flatnonzero(np.concatenate(([True], g[1:] != g[:-1])))
         times = np.diff(np.append(first, len(g)))
         shared, counts = np.unique(v[np.repeat(times, times) > 1], return_counts=True)
-        rows = [(-1 - r, a.view(np.uint64), b) for r, (a, b) in enumerate(zip(np.array_split(shared, ranges), np.array_split(counts, ranges), strict=True)) if len(a)]
+        rows = [(-1 - int(shared[0] % ranges), shared.view(np.uint64), counts)] if len(shared) else []
         g, v = g[first], v[first]
         at = [0, *np.searchsorted(g, cuts).tolist(), len(g)]
         g = (g << np.uint64(1)) | (times > 1).astype(np.uint64)
@@ -167,11 +167,27 @@ def _runs(batches: Iterator[pa.RecordBatch], n: int, end: int, ranges: int) -> I
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From runs sorted by range: (node, n), n-grams that the node shares with others."""
+    """From runs sorted by range: (node, n), n-grams that the node shares with others, added up over the
+    task's ranges as far as RUN nodes go."""
     at, grams_, nodes_ = None, [], []
-
-    def counted(nodes: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(nodes.view(np.int64)), pa.array(counts.view(np.int64))], names=["node", "n"])
+    counts_: list[tuple[np.ndarray, np.ndarray]] = []
+    waiting = 0
+
+    def counted(nodes: np.ndarray, counts: np.ndarray, last: bool = False) -> Iterator[pa.RecordBatch]:
+        nonlocal waiting
+        counts_.append((nodes.view(np.int64), counts.view(np.int64)))
+        waiting += len(nodes)
+        if waiting > 2 * RUN or last:
+            own, back = np.unique(np.concatenate([a for a, _ in counts_]), return_inverse=True)
+            total = np.bincount(back, weights=np.concatenate([b for _, b in counts_])).astype(np.int64)
+            counts_.clear()
+            if last or len(own) > RUN:
+                if len(own):
+                    yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(total)], names=["node", "n"])
+                waiting = 0
+            else:
+                counts_.append((own, total))
+                waiting = len(own)
 
     def flush() -> Iterator[pa.RecordBatch]:
         if not grams_:
@@ -185,13 +201,12 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
         times = np.diff(np.append(first, len(key)))
         nodes, counts = np.unique(v[(np.repeat(times, times) > 1) & (g & np.uint64(1) == 0)], return_counts=True)
-        if len(nodes):
-            yield counted(nodes, counts)
+        yield from counted(nodes, counts)
 
     for batch in batches:
         for r, a, b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if r < 0:
-                yield counted(_whole(a), _whole(b))
+                yield from counted(_whole(a), _whole(b))
                 continue
             if r != at:
                 yield from flush()
@@ -199,6 +214,7 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             grams_.append(_whole(a))
             nodes_.append(_whole(b))
     yield from flush()
+    yield from counted(np.zeros(0, np.int64), np.zeros(0, np.int64), True)
 
 
 def company(docs: DataFrame, nodes: DataFrame, n: int, num: int, den: int, known: int, few: int) -> DataFrame:
@@ -209,7 +225,7 @@ def company(docs: DataFrame, nodes: DataFrame, n: int, num: int, den: int, known
     ranges = max(partitions, few // RUN + 1)
     texts = joined_small(docs.withColumnRenamed("doc_id", "node"), nodes.select("node", "one"), "node", "inner", known, MOST_BROADCAST).select("node", "one", "text")
     runs = texts.mapInArrow(lean(lambda batches: _runs(batches, n, end, ranges)), "range int, a binary, b binary")
-    dealt = runs.repartition(ranges, "range").sortWithinPartitions("range")
+    dealt = runs.repartition(partitions, "range").sortWithinPartitions("range")
     shared = dealt.mapInArrow(lean(_shared), "node long, n long").groupBy("node").agg(F.sum("n").alias("n"))
     own = F.col("few") - F.coalesce("n", F.lit(0))
     return nodes.join(shared, "node", "left").where(own <= F.col("size") - F.expr(f"(size * {num} + {den - 1}) div {den}")).select("node", "one", "size")
