@@ -1,8 +1,9 @@
 """The check catalogue: three-valued rules over parsed pages, weighed by severity.
 
 A rule gives `fails` (boolean) and `applies` (boolean); the outcome is notApplicable where `applies` is
-false or unknown, else fail or pass. Page rules are columns over one row. Run rules need the other pages
-of a run and are columns over windows by run, added before. Facts from outside the HTML (robots
+false or unknown or the page has no record, else fail or pass. Page rules are columns over one row. Run
+rules need counts over the other pages of a run, which are aggregated from narrow columns and joined, and
+only where a chosen rule asks for them. Facts from outside the HTML (robots
 verdicts, link answers, headers, the crawl before) are nullable columns: a null fact makes the rule that
 asks for it not applicable.
 """
@@ -17,6 +18,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from siteglass.functions import texts, urls
+from siteglass.sources.scratch import written
 
 #: Facts that a crawl adds to a page, by type.
 FACTS = {
@@ -216,68 +218,118 @@ CATALOGUE: tuple[Check, ...] = (
 BY_CODE = {x.code: x for x in CATALOGUE}
 
 
-def with_facts(pages: DataFrame, run: str) -> DataFrame:
+#: What the run rules ask for.
+RUN_FACTS = {
+    "KEYWORD_CANNIBALISATION": ("run_pages", "keyword_pages"),
+    "TITLE_DUPLICATE": ("run_pages", "title_pages"),
+    "META_DESCRIPTION_DUPLICATE": ("run_pages", "description_pages"),
+    "NEAR_DUPLICATE_CONTENT": ("run_pages", "near_pages"),
+}
+VALUES = {
+    "title_pages": lambda: texts.normalised(p("title")),
+    "description_pages": lambda: texts.normalised(p("meta_description")),
+    "keyword_pages": lambda: c("top_keyword"),
+}
+
+
+def _comparable(url: Column) -> Column:
+    """Host and path without trailing slashes; what cannot be read stays as it is."""
+    return F.when(urls.host(url) != "", F.concat(urls.host(url), F.regexp_replace(urls.path(url), "/+$", ""))).otherwise(url)
+
+
+def same_value_pages(slim: DataFrame, name: str) -> DataFrame:
+    """From slim (page_id, run, url, value, lang, at, alternates) the page_id and, as `name`, one and how many
+    other URLs of the run have the same value and are no language versions of the page: neither names the
+    other as an alternate, and their languages don't both exist and differ.
+
+    Counts are aggregates; only alternates are followed one by one.
+    """
+    own = slim.where(F.coalesce("value", F.lit("")) != "").withColumn("lang", F.nullif(F.lower(F.trim("lang")), F.lit("")))
+    places = own.select("run", "value", "url", "lang", "at").distinct()
+    by_lang = places.groupBy("run", "value", "lang").agg(F.countDistinct("url").alias("n"))
+    of_lang = F.map_from_entries(F.collect_list(F.when(F.col("lang").isNotNull(), F.struct("lang", "n"))))  # as many as languages
+    totals = by_lang.groupBy("run", "value").agg(F.sum("n").alias("total"), F.sum(F.when(F.col("lang").isNull(), F.col("n")).otherwise(0)).alias("unknown"), of_lang.alias("known"))
+    named = own.select("run", "value", "url", "lang", F.explode(F.array_distinct(F.transform("alternates", _comparable))).alias("at"))
+    met = named.join(places.select("run", "value", "at", F.col("url").alias("other"), F.col("lang").alias("other_lang")), ["run", "value", "at"]).where("url != other")
+    met = met.where(F.coalesce(F.col("lang") == F.col("other_lang"), F.lit(True))).select("run", "value", "url", "other")
+    both = met.unionByName(met.select("run", "value", F.col("other").alias("url"), F.col("url").alias("other")))
+    versions = both.groupBy("run", "value", "url").agg(F.countDistinct("other").alias("versions"))
+    alike = F.when(F.col("lang").isNull(), F.col("total")).otherwise(F.col("unknown") + F.coalesce(F.col("known")[F.col("lang")], F.lit(0)))
+    out = own.join(totals, ["run", "value"]).join(versions, ["run", "value", "url"], "left")
+    return out.select("page_id", (alike - F.coalesce("versions", F.lit(0))).alias(name))
+
+
+def with_facts(pages: DataFrame, run: str, chosen: list[Check] | None = None) -> DataFrame:
     """pages (page_id, run column, url, page) with every fact, null where it was not gathered, and the
-    counts that run rules ask for."""
+    counts that the chosen run rules ask for (all rules, if none are given)."""
     missing = {f: F.lit(None).cast(t) for f, t in FACTS.items() if f not in pages.columns}
     if "final_url" in missing:
         missing["final_url"] = F.col("url")
     out = pages.withColumns(missing)
-    every = W.partitionBy(run)
-
-    def pages_with(value: Column) -> Column:
-        """Pages of the run with the same value in the same language; other language versions don't count."""
-        return F.count(F.lit(1)).over(W.partitionBy(run, value, F.coalesce(texts.iso_language(p("lang")), F.lit(""))))
-
-    out = out.withColumns(
-        {
-            "run_pages": F.count(F.lit(1)).over(every),
-            "title_pages": pages_with(texts.normalised(p("title"))),
-            "description_pages": pages_with(texts.normalised(p("meta_description"))),
-            "keyword_pages": pages_with(c("top_keyword")),
-        }
-    )
-    near = near_duplicates(out.select("page_id", F.col(run).alias("run"), F.array_join(p("blocks"), " ").alias("text")))
-    return out.join(near, "page_id", "left")
+    wanted = {f for x in (CATALOGUE if chosen is None else chosen) for f in RUN_FACTS.get(x.code, ())}
+    if not wanted:
+        return out
+    # parsed once, whatever follows
+    out = written(out, "pages")
+    own = F.col(run).alias("run")
+    counts = out.groupBy(run).agg(F.count(F.lit(1)).alias("run_pages"))
+    result = out.join(counts, run, "left")
+    for name, value in VALUES.items():
+        if name in wanted:
+            slim = out.select("page_id", own, "url", value().alias("value"), p("lang").alias("lang"), _comparable(c("final_url")).alias("at"), F.transform(p("alternates"), lambda a: a["href"]).alias("alternates"))
+            result = result.join(same_value_pages(slim, name), "page_id", "left")
+    if "near_pages" in wanted:
+        result = result.join(near_duplicates(out.select("page_id", own, F.array_join(p("blocks"), " ").alias("text"))), "page_id", "left")
+    return result
 
 
 def near_duplicates(texts_: DataFrame, threshold: float = NEAR) -> DataFrame:
     """Of (page_id, run, text): page_id, n_shingles and near_pages, how many other pages of the run have a
     5-word-shingle similarity of the threshold or more, both with enough shingles.
 
-    Pages meet on a shared shingle of their prefix (the rarest by hash), never as all pairs of a run.
+    Pages of equal sets are one node, counted by its pages. What only one node of a run holds it can share
+    with none, so it is counted and dropped; of the rest the rarest are a node's prefix, of which any two
+    similar nodes share one, so common passages make no pairs.
     """
     tokens = F.split(texts.normalised(c("text")), " ")
     cut = texts_.select("page_id", "run", tokens.alias("tokens"))
     hashed = F.when(F.size("tokens") >= 5, F.array_sort(F.array_distinct(F.transform(F.sequence(F.lit(0), F.size("tokens") - 5), lambda i: F.xxhash64(*[F.get("tokens", i + k) for k in range(5)])))))
-    sets = cut.select("page_id", "run", F.coalesce(hashed, F.array().cast("array<bigint>")).alias("s"))
-    # the row number keeps the filter above the sets: pushed below, it would cut the text again for each token
-    sized = sets.withColumns({"n_shingles": F.size("s"), "__n": F.monotonically_increasing_id()})
-    big = sized.where((F.col("n_shingles") >= LEAST_SHINGLES) & (F.col("__n") >= 0)).drop("__n")
-    prefix = F.slice("s", 1, (F.col("n_shingles") - F.ceil(F.col("n_shingles") * threshold) + 1).cast("int"))
-    keys = big.select("run", "page_id", "n_shingles", F.explode(prefix).alias("key"))
-    a = keys.select("run", "key", F.col("page_id").alias("a"), F.col("n_shingles").alias("na"))
-    b = keys.select("run", "key", F.col("page_id").alias("b"), F.col("n_shingles").alias("nb"))
-    fits = (F.col("na") >= F.col("nb") * threshold) & (F.col("nb") >= F.col("na") * threshold)
-    pairs = a.join(b, ["run", "key"]).where((F.col("a") < F.col("b")) & fits).select("a", "b").distinct()
-    left = big.select(F.col("page_id").alias("a"), F.col("s").alias("sa"))
-    right = big.select(F.col("page_id").alias("b"), F.col("s").alias("sb"))
-    similar = pairs.join(left, "a").join(right, "b").where(texts.jaccard(F.col("sa"), F.col("sb")) >= threshold)
-    counted = similar.select(F.explode(F.array("a", "b")).alias("page_id")).groupBy("page_id").agg(F.count(F.lit(1)).alias("near_pages"))
-    return sized.select("page_id", "n_shingles").join(counted, "page_id", "left")
+    sets = written(cut.select("page_id", "run", F.coalesce(hashed, F.array().cast("array<bigint>")).alias("s")), "shingles")
+    sized = sets.select("page_id", "run", "s", F.size("s").alias("n_shingles"), F.xxhash64("s").alias("one"), F.hash("s").alias("two"))
+    same = ["run", "one", "two", "n_shingles"]
+    classes = sized.where(F.col("n_shingles") >= LEAST_SHINGLES).groupBy(*same).agg(F.min("page_id").alias("node"), F.count(F.lit(1)).alias("pages"))
+    nodes = written(classes, "shingle-classes")
+    own = sized.select("page_id", "run", "s", "n_shingles").join(nodes.select(F.col("node").alias("page_id"), "node"), "page_id")
+    elements = own.select("run", "node", F.col("n_shingles").alias("n"), F.explode("s").alias("key"))
+    often = elements.groupBy("run", "key").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    shared = elements.join(often, ["run", "key"])
+    by_node = W.partitionBy("run", "node")
+    ranked = shared.withColumns({"rank": F.row_number().over(by_node.orderBy("df", "key")), "held": F.count(F.lit(1)).over(by_node)})
+    # the n-grams that a node has alone come first in the order and take their places in the prefix
+    keys = ranked.where(F.col("rank") <= F.col("held") - F.ceil(F.col("n") * threshold) + 1).select("run", "node", "n", "key", (F.col("held") - F.col("rank")).alias("rest"))
+    a, b = (keys.select("run", "key", F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("rest").alias(f"r{x}")) for x in "ab")
+    need = F.ceil((F.col("na") + F.col("nb")) * threshold / (1 + threshold) - 1e-9)
+    fits = (F.col("na") >= F.col("nb") * threshold) & (F.col("nb") >= F.col("na") * threshold) & (1 + F.least("ra", "rb") >= need)
+    pairs = a.join(b, ["run", "key"]).where((F.col("a") < F.col("b")) & fits).select("run", "a", "b", "na", "nb").distinct()
+    left, right = (own.select(F.col("node").alias(x), F.col("s").alias(f"s{x}")) for x in "ab")
+    similar = pairs.join(left, "a").join(right, "b").where(texts.jaccard(F.col("sa"), F.col("sb")) >= threshold).select("a", "b")
+    links = similar.unionByName(similar.select(F.col("b").alias("a"), F.col("a").alias("b"))).join(nodes.select(F.col("node").alias("b"), "pages"), "b")
+    linked = links.groupBy(F.col("a").alias("node")).agg(F.sum("pages").alias("others"))
+    counted = nodes.join(linked, "node", "left").select(*same, F.nullif(F.col("pages") - 1 + F.coalesce("others", F.lit(0)), F.lit(0)).alias("near_pages"))
+    return sized.select("page_id", *same).join(counted, same, "left").select("page_id", "n_shingles", "near_pages")
 
 
 def outcome(check: Check) -> Column:
-    return F.when(~F.coalesce(check.applies(), F.lit(False)), "notApplicable").when(F.coalesce(check.fails(), F.lit(False)), "fails").otherwise("pass")
+    return F.when(F.col("page").isNull() | ~F.coalesce(check.applies(), F.lit(False)), "notApplicable").when(F.coalesce(check.fails(), F.lit(False)), "fails").otherwise("pass")
 
 
 def evaluate(pages: DataFrame, run: str, codes: tuple[str, ...] | None = None) -> DataFrame:
     """A row for each page and check: page_id, run, code, severity, outcome."""
     chosen = [x for x in CATALOGUE if codes is None or x.code in codes]
-    # persisted for a whole catalogue: the optimizer then plans the rules apart from the windows and joins
-    # below them, which together take it minutes
-    facts = with_facts(pages, run)
-    facts = facts.persist() if len(chosen) > 8 else facts
+    facts = with_facts(pages, run, chosen)
+    if len(chosen) > 8:
+        # the optimizer then plans the rules apart from the joins below them, which together take it minutes
+        facts = written(facts, "facts")
     rows = [F.struct(F.lit(x.code).alias("code"), F.lit(x.severity).alias("severity"), outcome(x).alias("outcome")) for x in chosen]
     return facts.select("page_id", run, F.explode(F.array(*rows)).alias("x")).select("page_id", run, "x.code", "x.severity", "x.outcome")
 

@@ -271,9 +271,9 @@ def join_semi_exists(spark, sf_dir):
     return m.clients(spark, sf_dir).select("client_id").join(m.runs(spark, sf_dir).where("status = 'partial'"), "client_id", "left_semi")
 
 
-@query("join_semi_in_subquery", f"SELECT client_id, user_id FROM clients WHERE user_id IN (SELECT c.user_id FROM {_JOBS} j JOIN clients c USING (client_id) WHERE {_DUE} AND priority_of = '1')".replace(" AND priority_of = '1'", " AND run_id % 500 = 1"))
+@query("join_semi_in_subquery", f"SELECT client_id, user_id FROM clients WHERE user_id IN (SELECT c.user_id FROM {_JOBS} j JOIN clients c USING (client_id) WHERE {_DUE})")
 def join_semi_in_subquery(spark, sf_dir):
-    """Clients of users with a due job, whatever its run; the SQL still asks one run in 500."""
+    """Clients of users with a due job, whatever its run."""
     c = m.clients(spark, sf_dir)
     users = jobs(spark, sf_dir).where(due(NOW)).join(c, "client_id").select("user_id")
     return c.select("client_id", "user_id").join(users, "user_id", "left_semi").select("client_id", "user_id")
@@ -453,11 +453,11 @@ def agg_group_by_issue(spark, sf_dir):
 
 @query(
     "agg_group_by_page",
-    "SELECT client_id, page_id, CAST(sum(CASE WHEN severity = 'error' THEN 1 ELSE 0 END) AS BIGINT) AS error, CAST(sum(CASE WHEN severity = 'warning' THEN 1 ELSE 0 END) AS BIGINT) AS warning, CAST(sum(CASE WHEN severity = 'notice' THEN 1 ELSE 0 END) AS BIGINT) AS notice FROM current_pages WHERE failed GROUP BY ALL ORDER BY error DESC, warning DESC, notice DESC, page_id LIMIT 50",
+    "SELECT client_id, page_id, CAST(sum(CASE WHEN severity = 'error' THEN 1 ELSE 0 END) AS BIGINT) AS error, CAST(sum(CASE WHEN severity = 'warning' THEN 1 ELSE 0 END) AS BIGINT) AS warning, CAST(sum(CASE WHEN severity = 'notice' THEN 1 ELSE 0 END) AS BIGINT) AS notice FROM current_pages WHERE failed GROUP BY ALL",
 )
 def agg_group_by_page(spark, sf_dir):
     p = m.current_pages(spark, sf_dir).where("failed").groupBy("client_id", "page_id").agg(*[F.count_if(F.col("severity") == s).alias(s) for s in m.SEVERITIES])
-    return p.orderBy(F.desc("error"), F.desc("warning"), F.desc("notice"), "page_id").limit(50)
+    return p.orderBy(F.desc("error"), F.desc("warning"), F.desc("notice"), "page_id")
 
 
 @query("agg_collapse_origin", "SELECT * EXCLUDE (n) FROM (SELECT keyword, page_no, position, captured_at, count(*) OVER (PARTITION BY keyword) AS grouped, row_number() OVER (PARTITION BY keyword ORDER BY captured_at DESC, page_no DESC) AS n FROM snaps WHERE position > 50) WHERE n = 1")
@@ -568,9 +568,9 @@ def claim_fair(spark, sf_dir):
     return j.orderBy(F.asc_nulls_first("us"), F.asc_nulls_first("cs"), "next_at", "run_id").limit(10).select("run_id", "user_id", "client_id")
 
 
-@query("sort_catalogue", "SELECT page_id, severity, place FROM current_pages WHERE client_id < 50 ORDER BY CASE severity WHEN 'error' THEN 0 WHEN 'warning' THEN 1 ELSE 2 END, page_id LIMIT 100")
+@query("sort_catalogue", "SELECT page_id, severity, place FROM current_pages ORDER BY CASE severity WHEN 'error' THEN 0 WHEN 'warning' THEN 1 ELSE 2 END, page_id")
 def sort_catalogue(spark, sf_dir):
-    """All current pages in the catalogue's order; the SQL still takes 100 of the first clients' pages."""
+    """All current pages in the catalogue's order."""
     order = F.array_position(F.array(*map(F.lit, m.SEVERITIES)), F.col("severity"))
     return m.current_pages(spark, sf_dir).orderBy(order, "page_id").select("page_id", "severity", "place")
 
@@ -629,10 +629,9 @@ def run_outcome(spark, sf_dir):
 MOST_LINKS = 300
 
 
-@query("outbound_plan", "SELECT run_id, code, place FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY place, code) AS n FROM (SELECT run_id, code, min(place) AS place FROM crawled WHERE code NOT IN (SELECT c_custkey FROM customer WHERE c_custkey < 50) GROUP BY run_id, code)) WHERE n <= 3")
+@query("outbound_plan", "SELECT run_id, code, place FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY place, code) AS n FROM (SELECT run_id, code, min(place) AS place FROM crawled WHERE code NOT IN (SELECT client_id FROM clients) GROUP BY run_id, code)) WHERE n <= 300")
 def outbound_plan(spark, sf_dir):
-    """Distinct outgoing links in sitemap order within a budget, without any own page; the SQL still
-    knows few own pages and keeps 3 links."""
+    """Distinct outgoing links in sitemap order within a budget, without any own page."""
     own = m.clients(spark, sf_dir).select(F.col("client_id").alias("code"))
     links = m.pages(spark, sf_dir).groupBy("run_id", "code").agg(F.min("place").alias("place")).join(own, "code", "left_anti")
     return links.withColumn("n", F.row_number().over(W.partitionBy("run_id").orderBy("place", "code"))).where(F.col("n") <= MOST_LINKS).select("run_id", "code", "place")

@@ -52,7 +52,15 @@ _register("fn_iso_language", "documents", "doc_id", lambda: texts.iso_language(F
 _register("fn_is_weak_token", "part", "p_partkey", lambda: texts.is_weak_token(F.get(F.split("p_name", " "), 0)), "length(string_split(p_name, ' ')[1]) < 2 OR regexp_matches(string_split(p_name, ' ')[1], '^[0-9]+$')")
 _register("fn_title_segments", "part", "p_partkey", lambda: F.array_join(texts.title_segments(F.concat("p_name", F.lit(" - "), "p_brand", F.lit(" | "), "p_type")), "/"), "array_to_string([trim(p_name), trim(p_brand), trim(p_type)], '/')")
 _register("fn_ngrams", "part", "p_partkey", lambda: F.size(texts.ngrams(F.split("p_type", " "), 2)), "2 * len(string_split(p_type, ' ')) - 1")
-_register("fn_shingles", "documents", "doc_id", lambda: F.size(texts.shingles(F.split(texts.collapse(c("text")), " "))), f"len(list_distinct(list_transform(range(1, greatest(1, len({_TOKENS}) - 3)), lambda i: array_to_string(list_slice({_TOKENS}, i, i + 4), ' '))))", "n_chars < 600")
+
+
+@query("fn_shingles", f"SELECT doc_id AS key, len(list_distinct(list_transform(range(1, greatest(1, len(ws) - 3)), lambda i: array_to_string(list_slice(ws, i, i + 4), ' ')))) AS value FROM (SELECT doc_id, {_TOKENS} AS ws FROM documents)", prelude=False)
+def fn_shingles(spark, sf_dir):
+    """The tokens are a column of their own, so that they are cut once and not for each shingle."""
+    cut = m.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), F.split(texts.collapse(c("text")), " ").alias("tokens"))
+    return cut.select("key", F.size(texts.shingles(F.col("tokens"))).alias("value"))
+
+
 _register("fn_jaccard", "part", "p_partkey", lambda: F.round(texts.jaccard(F.array_distinct(F.split("p_name", " ")), F.array_distinct(F.split("p_type", " "))), 9), "round(len(list_intersect(string_split(p_name, ' '), string_split(p_type, ' '))) / len(list_distinct(list_concat(string_split(p_name, ' '), string_split(p_type, ' '))))::DOUBLE, 9)")
 _register("fn_normalize_text", "part", "p_partkey", lambda: texts.normalised(c("p_name")), "trim(regexp_replace(lower(p_name), '[^a-z0-9]+', ' ', 'g'))")
 _register("fn_clause_shaped", "part", "p_partkey", lambda: (F.size(F.split("p_name", " ")) >= 2) & F.element_at(F.split("p_name", " "), -1).isin("is", "are", "was", "has"), "len(string_split(p_name, ' ')) >= 2 AND string_split(p_name, ' ')[-1] IN ('is', 'are', 'was', 'has')")

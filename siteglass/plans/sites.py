@@ -64,4 +64,4 @@ _PLAIN = {
     "AUTHOR_MISSING": "CASE WHEN regexp_matches(html, 'name=\"author\"|rel=\"author\"') THEN 'pass' ELSE 'fails' END",
 }
 for _x in checks.CATALOGUE:
-    _check_query(_x.code, f"SELECT page_id, {_PLAIN[_x.code]} AS outcome FROM pages" if _x.code in _PLAIN else None)
+    _check_query(_x.code, f"SELECT page_id, CASE WHEN strlen(html) > {html.MOST_BYTES} THEN 'notApplicable' ELSE {_PLAIN[_x.code]} END AS outcome FROM pages" if _x.code in _PLAIN else None)

@@ -58,9 +58,9 @@ def kw_select(spark, sf_dir):
 _WORDS = "list_filter(string_split_regex(lower(text), '[^a-z0-9\\x{00c0}-\\x{024f}]+'), lambda w: w <> '')"
 
 
-@query("kw_df", f"SELECT source, word, count(DISTINCT doc_id) AS df FROM (SELECT source, doc_id, unnest({_WORDS}) AS word FROM documents WHERE n_chars < 1500) GROUP BY ALL HAVING count(DISTINCT doc_id) > 1", prelude=False)
+@query("kw_df", f"SELECT source, word, count(DISTINCT doc_id) AS df FROM (SELECT source, doc_id, unnest({_WORDS}) AS word FROM documents) GROUP BY ALL HAVING count(DISTINCT doc_id) > 1", prelude=False)
 def kw_df(spark, sf_dir):
-    """All documents of a source count, whatever their length; the SQL still leaves out long ones."""
+    """All documents of a source count, whatever their length."""
     d = m.table(spark, sf_dir, "documents")
     words = F.array_distinct(F.filter(F.split(F.lower("text"), "[^a-z0-9\\u00c0-\\u024f]+"), lambda w: w != ""))
     rows = d.select("source", "doc_id", F.explode(words).alias("word"))

@@ -22,8 +22,13 @@ _VOID = frozenset("area base br col embed hr img input link meta source track wb
 _BLOCK = frozenset("address article aside blockquote dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header li main nav ol p pre section table td th tr ul body".split())
 _SILENT = frozenset("script style noscript svg iframe template".split())
 _HEADINGS = tuple(f"h{k}" for k in range(1, 7))
+#: Elements deeper than this become siblings, as in browsers.
+MOST_DEPTH = 512
+#: Ancestors that a node is asked for.
+_REGIONS = {"head": 1, "body": 2, "svg": 4}
+_NOSNIPPET = 8
 #: What an opening tag closes, besides a paragraph that a block ends.
-_CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+_CLOSES = {"a": {"a"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 #: Parts of a page that are not its content.
 _FURNITURE_TAGS = frozenset(("nav", "aside", "footer", "form", "header"))
 _FURNITURE = re.compile(r"(?:^|[\s_-])(?:nav|menu|sidebar|comments?|share|social|related|cookie|breadcrumbs?|ad|ads|advert|promo|newsletter|popup|toc)(?:$|[\s_-])", re.I)
@@ -44,10 +49,13 @@ nosnippet_share double, csp_upgrades boolean, html_bytes int, featured_loading s
 
 
 class Node:
-    __slots__ = ("attributes", "children", "parent", "tag")
+    __slots__ = ("attributes", "children", "depth", "parent", "region", "tag")
 
     def __init__(self, tag: str, attributes: dict[str, str | None], parent: Node | None) -> None:
         self.tag, self.attributes, self.parent, self.children = tag, attributes, parent, []
+        self.depth = parent.depth + 1 if parent else 0
+        # which ancestors it has, as bits, so that no question walks up again
+        self.region = parent.region | _REGIONS.get(parent.tag, 0) | (_NOSNIPPET if "data-nosnippet" in parent.attributes else 0) if parent else 0
 
     def get(self, name: str) -> str | None:
         return self.attributes.get(name)
@@ -59,13 +67,8 @@ class Node:
             yield node
             stack += [x for x in reversed(node.children) if isinstance(x, Node)]
 
-    def inside(self, *tags: str) -> bool:
-        node = self.parent
-        while node is not None:
-            if node.tag in tags:
-                return True
-            node = node.parent
-        return False
+    def inside(self, tag: str) -> bool:
+        return bool(self.region & _REGIONS[tag])
 
     def text(self, skip=lambda node: node.tag in _SILENT) -> str:
         out: list[str] = []
@@ -87,6 +90,7 @@ class _Builder(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.root = Node("#root", {}, None)
         self.at = self.root
+        self.beyond: list[str] = []  # open elements that are too deep to be entered
 
     def _close(self, tags: set[str], limits: frozenset[str] = frozenset()) -> None:
         node = self.at
@@ -108,15 +112,23 @@ class _Builder(HTMLParser):
             first.setdefault(k, v)
         node = Node(tag, first, self.at)
         self.at.children.append(node)
-        if tag not in _VOID:
+        if tag in _VOID:
+            return
+        if node.depth < MOST_DEPTH:
             self.at = node
+        else:
+            self.beyond.append(tag)
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
-        if tag not in _VOID and self.at.tag == tag and tag in ("svg", "path"):
-            self.at = self.at.parent
+        if tag in ("svg", "path"):
+            self.handle_endtag(tag)
 
     def handle_endtag(self, tag: str) -> None:
+        if self.beyond:
+            if tag == self.beyond[-1]:
+                self.beyond.pop()
+            return
         node = self.at
         while node.parent is not None and node.tag != tag:
             node = node.parent
@@ -167,30 +179,42 @@ def main_content(root: Node) -> Node:
 
 def text_blocks(content: Node) -> list[str]:
     """Texts of the innermost blocks in order, without headings; loose text counts from eight words."""
+    order = list(content.walk())
+    holding: set[int] = set()  # nodes with a block below them: children come after parents, so from the end
+    for node in reversed(order):
+        if node is not content and (node.tag in _BLOCK or id(node) in holding):
+            holding.add(id(node.parent))
     out: list[str] = []
+    stack: list[tuple[Iterator[Node | str], list[str]]] = []
 
-    def visit(node: Node) -> None:
+    def enter(node: Node) -> None:
         if node is not content and (is_furniture(node) or node.tag in _HEADINGS):
             return
-        if any(isinstance(x, Node) and (x.tag in _BLOCK or any(y.tag in _BLOCK for y in x.walk())) for x in node.children):
-            loose: list[str] = []
-            for x in [*node.children, None]:
-                inner = x if isinstance(x, Node) and (x.tag in _BLOCK or any(y.tag in _BLOCK for y in x.walk())) else None
-                if inner is None and x is not None:
-                    loose.append(x if isinstance(x, str) else " " if x.tag == "br" else x.text(is_hidden) if not is_hidden(x) else "")
-                    continue
-                text = _SPACE.sub(" ", " ".join(loose)).strip()
-                if count_words(text) >= 8:
-                    out.append(text)
-                loose = []
-                if inner is not None:
-                    visit(inner)
+        if id(node) in holding:
+            stack.append((iter(node.children), []))
+        elif count_words(text := node.text(is_hidden)):
+            out.append(text)
+
+    def end_of(loose: list[str]) -> None:
+        text = _SPACE.sub(" ", " ".join(loose)).strip()
+        if count_words(text) >= 8:
+            out.append(text)
+        loose.clear()
+
+    enter(content)
+    while stack:
+        children, loose = stack[-1]
+        x = next(children, None)
+        if x is None:
+            stack.pop()
+            end_of(loose)
+        elif isinstance(x, str):
+            loose.append(x)
+        elif x.tag in _BLOCK or id(x) in holding:
+            end_of(loose)
+            enter(x)
         else:
-            text = node.text(is_hidden)
-            if count_words(text):
-                out.append(text)
-
-    visit(content)
+            loose.append(" " if x.tag == "br" else "" if is_hidden(x) else x.text(is_hidden))
     return out
 
 
@@ -208,7 +232,7 @@ def read_json_ld(text: str) -> object | None:
     """JSON that may hold raw control characters in strings; None if it is beyond that."""
     try:
         return json.loads(text, strict=False)
-    except ValueError:
+    except (ValueError, RecursionError):  # nested deeper than any record of a page
         return None
 
 
@@ -226,14 +250,14 @@ def ld_nodes(data: object) -> Iterator[dict]:
 
 def _types(node: dict) -> list[str]:
     t = node.get("@type")
-    return [str(x).rpartition("/")[2] for x in (t if isinstance(t, list) else [t]) if x]
+    return [x.rpartition("/")[2] for x in (t if isinstance(t, list) else [t]) if isinstance(x, str) and x]
 
 
 def _names(value: object, by_id: dict) -> list[str]:
     out = []
     for v in value if isinstance(value, list) else [value]:
         if isinstance(v, dict):
-            v = by_id.get(v.get("@id"), v) if "name" not in v else v
+            v = by_id.get(v["@id"], v) if "name" not in v and isinstance(v.get("@id"), str) else v
             v = v.get("name")
         if isinstance(v, str) and v.strip():
             out.append(v.strip())
@@ -242,7 +266,16 @@ def _names(value: object, by_id: dict) -> list[str]:
 
 def _url_of(value: object) -> str | None:
     v = value[0] if isinstance(value, list) and value else value
-    return v if isinstance(v, str) else v.get("url") or v.get("@id") if isinstance(v, dict) else None
+    if isinstance(v, dict):
+        v = next((x for x in (v.get("url"), v.get("@id")) if isinstance(x, str) and x), None)
+    return v if isinstance(v, str) else None
+
+
+def _position(value: object) -> int | None:
+    """A whole number that fits the record's type."""
+    if isinstance(value, str) and re.fullmatch("[0-9]{1,9}", value.strip()):
+        value = int(value)
+    return value if isinstance(value, int) and not isinstance(value, bool) and abs(value) < 1 << 31 else None
 
 
 def srcset_urls(srcset: str | None) -> list[str]:
@@ -327,12 +360,12 @@ def parse(html: str | None, url: str | None) -> dict:
     mounts = [n for n in nodes if n.tag == "div" and n.get("id") in ("root", "app", "__next", "__nuxt")]
     asks = any(n.tag == "noscript" and re.search("enable javascript|javascript to run|requires javascript", n.text(lambda x: False), re.I) for n in nodes)
     charset = re.search(rb"<meta[^>]{0,200}charset[^>]{0,200}>", html.encode("utf-8", "replace"), re.I)
-    silent = sum(count_words(n.text(is_hidden)) for n in nodes if "data-nosnippet" in n.attributes and not any("data-nosnippet" in p.attributes for p in _ancestors(n)))
+    silent = sum(count_words(n.text(is_hidden)) for n in nodes if "data-nosnippet" in n.attributes and not n.region & _NOSNIPPET)
     first = next((n.text(is_hidden) for n in content.walk() if n.tag == "p" and not is_furniture(n) and count_words(n.text(is_hidden)) >= 3), None)
     authors = _names(article.get("author"), by_id) if article else []
     authors += [clean(x) for x in named("author") if clean(x)]
     authors += [t for n in nodes if ("author" in rel(n) or n.get("itemprop") == "author" or re.search(r"(?:^|[\s_-])(?:byline|author)(?:$|[\s_-])", n.get("class") or "")) and (t := n.text(is_hidden)) and len(t) < 100]
-    featured = next((n for n in images if any(p is content for p in _ancestors(n)) or content is body), None)
+    featured = next((n for n in content.walk() if n.tag == "img"), None)
     return {
         "title": next((t for n in nodes if n.tag == "title" and not n.inside("svg") and (t := clean(n.text(lambda x: False)))), None),
         "meta_description": next((d for d in descriptions if d), None),
@@ -349,7 +382,7 @@ def parse(html: str | None, url: str | None) -> dict:
         "headline": article.get("headline") if isinstance(article.get("headline"), str) else props["headline"].text() if "headline" in props else None,
         "date_published": _date(article, "datePublished", props, og), "date_modified": _date(article, "dateModified", props, og),
         "authors": list(dict.fromkeys(authors)),
-        "breadcrumbs": [{"position": x.get("position") if isinstance(x.get("position"), int) else None, "name": next(iter(_names(x.get("name") or x.get("item"), by_id)), None), "item": _url_of(x.get("item"))} for x in (items if isinstance(items, list) else [items]) if isinstance(x, dict)] if crumbs else None,
+        "breadcrumbs": [{"position": _position(x.get("position")), "name": next(iter(_names(x.get("name") or x.get("item"), by_id)), None), "item": _url_of(x.get("item"))} for x in (items if isinstance(items, list) else [items]) if isinstance(x, dict)] if crumbs else None,
         "website_names": [n for x in ld if "WebSite" in _types(x) for n in _names(x.get("name"), by_id)],
         "logos": [u for x in ld if {"Organization", "Person"} & set(_types(x)) and (u := _url_of(x.get("logo")))],
         "icons": [u for n in links if "icon" in rel(n) and (u := absolute(n.get("href"), base))],
@@ -384,31 +417,53 @@ def _date(article: dict, field: str, props: dict[str, Node], og: dict[str, str])
     return og.get({"datePublished": "article:published_time", "dateModified": "article:modified_time"}[field])
 
 
-def _ancestors(node: Node) -> Iterator[Node]:
-    while (node := node.parent) is not None:
-        yield node
+#: HTML of more bytes is not parsed: the fetcher would not have stored it.
+MOST_BYTES = 5 << 20
+TOO_LARGE = "too large"
 
 
-#: HTML beyond this size is not parsed: the fetcher would not have stored it.
-MOST_BYTES = 5 << 20
+def _sound(value: object) -> object:
+    """The record without halves of surrogate pairs, which JSON may hold and no table can."""
+    if isinstance(value, str):
+        return value if value.isascii() else value.encode("utf-16", "surrogatepass").decode("utf-16", "replace")
+    if isinstance(value, list):
+        return [_sound(x) for x in value]
+    if isinstance(value, dict):
+        return {_sound(k): _sound(x) for k, x in value.items()}
+    return value
 
 
 def parse_pages(df: DataFrame, html: str = "html", url: str = "url") -> DataFrame:
-    """df without its HTML, with `page`, the record. One narrow pass."""
-    kept = [f for f in df.schema.fields if f.name not in (html, "page")]
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), f"page struct<{_struct()}>"])
+    """df without its HTML, with `page`, the record, and `page_error`. One narrow pass.
+
+    Null HTML is an empty page. HTML of more than MOST_BYTES has a null record and the error TOO_LARGE; HTML
+    that the parser cannot read has a null record and the name of its error.
+    """
+    kept = [f for f in df.schema.fields if f.name not in (html, "page", "page_error")]
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), f"page struct<{_struct()}>", "page_error string"])
     names = [f.name for f in kept]
 
+    def read(text: str | None, at: str | None, large: bool) -> tuple[dict | None, str | None]:
+        if large:
+            return None, TOO_LARGE
+        try:
+            return _sound(parse(text, at)), None
+        except (AssertionError, ValueError, RecursionError) as e:  # what the standard library's parsers raise
+            return None, type(e).__name__
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = batch[names].copy()
-            out["page"] = [parse(h if h is None or len(h) <= MOST_BYTES else h[:0], u) for h, u in zip(batch["__html"], batch[url], strict=True)]
+            found = [read(*row) for row in zip(batch["__html"], batch["__url"], batch["__large"], strict=True)]
+            out["page"], out["page_error"] = [x for x, _ in found], [x for _, x in found]
             yield out
 
     from siteglass.sources.shipping import ship
 
     ship(df.sparkSession)
-    return df.select(*names, F.col(html).alias("__html")).mapInPandas(run, schema)
+    large = F.coalesce(F.octet_length(html) > MOST_BYTES, F.lit(False))
+    asked = df.select(*names, F.when(~large, F.col(html)).alias("__html"), F.col(url).alias("__url"), large.alias("__large"))
+    return asked.mapInPandas(run, schema)
 
 
 def _struct() -> str:
