@@ -436,16 +436,14 @@ def link_counts(sums: DataFrame, deltas: DataFrame, num: int, den: int, hot: Dat
         return closed
     sizes = opened.select("hub", "k").distinct()
     own = salted_join(deltas.select("hub", "node", "fragment", F.explode("delta").alias("element")), sizes.select("hub"), ["hub"], hot, "node", "left_semi")
-    own = stored(own, "own-elements")
     often = own.groupBy("hub", "fragment", "element").agg(F.count(F.lit(1)).alias("n")).join(sizes, "hub").where(2 * F.col("n") > F.col("k"))
-    major = stored(often.select("hub", "fragment", "element", "n"), "major")
-    place = ["hub", "fragment", "element"]
-    split = hot_keys(major, place, own.count())
-    kept = salted_join(own, major.select(*place), place, split, "node", "left_anti").select("hub", "node", "fragment", "element")
-    added = salted_join(opened.select("hub", "node"), major.drop("n"), ["hub"], hot, "node").select("hub", "node", "fragment", "element")
-    added = added.join(own, ["hub", "node", "fragment", "element"], "left_anti")
-    moved = stored(kept.unionByName(added), "moved-elements")
-    apart = moved.groupBy("node").agg(F.count(F.lit(1)).alias("moved"))
+    major = stored(often.groupBy("hub", "fragment").agg(F.collect_list("element").alias("major")), "major")
+    # whole segments are changed at once: a row for each node and fragment, none for a changed element
+    flipped = salted_join(deltas.select("hub", "node", "fragment", "delta"), sizes.select("hub"), ["hub"], hot, "node", "left_semi")
+    flipped = salted_join(flipped, major, ["hub", "fragment"], hot, "node", "left").withColumn("major", F.coalesce("major", F.array().cast("array<bigint>")))
+    moved = F.concat(F.array_except("delta", "major"), F.array_except("major", "delta"))
+    moved = stored(flipped.select("hub", "node", "fragment", moved.alias("delta")), "moved-segments")
+    apart = moved.groupBy("node").agg(F.sum(F.size("delta")).alias("moved"))
     members = opened.select("hub", "node", "size", "alone").join(apart, "node", "left").withColumn("apart", F.col("alone") + F.coalesce("moved", F.lit(0))).drop("moved")
     members = stored(scored(members), "moved")
     held = members.groupBy("hub", "score").agg(F.count(F.lit(1)).alias("c"))
@@ -455,13 +453,13 @@ def link_counts(sums: DataFrame, deltas: DataFrame, num: int, den: int, hot: Dat
     scores = held.select("hub", "score", F.col("c").alias("n"))
     near = salted_join(members, counted, ["hub", "score"], hot_keys(scores, ["hub", "score"], members.count()), "node")
     near = near.select("node", (F.col("below") - F.when(F.col("score") <= 0, 1).otherwise(0)).alias("n_links"))
-    elements = moved.select("node", "element").join(members.select("hub", "node", "size", "alone", "apart", (F.col("score") > 0).alias("asked")), "node")
+    elements = moved.select("node", F.explode("delta").alias("element")).join(members.select("hub", "node", "size", "alone", "apart", (F.col("score") > 0).alias("asked")), "node")
     elements = stored(elements, "elements")
     keyed = stored(_prefixes(elements, num, den, elements.count()), "prefixes")
     pairs = _possible(_pairs_across(keyed.withColumn("group", F.col("node"))), num, den)
     wide = (F.col("ex") + F.col("ey")) * (num + den) > (F.col("sx") + F.col("sy")) * (den - num)
     pairs = stored(pairs.where(wide), "pairs")
-    found = _verified(pairs, moved.groupBy("node", "fragment").agg(F.collect_list("element").alias("delta")), num, den)
+    found = _verified(pairs, moved, num, den)
     far = found.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
     return closed.unionByName(near.unionByName(far).groupBy("node").agg(F.sum("n_links").alias("n_links")))
 
