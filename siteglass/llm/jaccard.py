@@ -150,7 +150,7 @@ def _runs(batches: Iterator[pa.RecordBatch], n: int, end: int, ranges: int) -> I
         rows += [(r, g[a:b], v[a:b].view(np.uint64)) for r, (a, b) in enumerate(zip(at, at[1:], strict=False)) if b > a]
         for k in range(0, len(rows), 64):
             some = rows[k : k + 64]
-            yield pa.RecordBatch.from_arrays([pa.array([r for r, _, _ in some], pa.int32()), pa.array([_planes(x) for _, x, _ in some], pa.binary()), pa.array([_planes(x) for _, _, x in some], pa.binary())], names=["range", "a", "b"])
+            yield _packed([r for r, _, _ in some], [x for _, x, _ in some], [x for _, _, x in some])
 
     for batch in batches:
         ids, one, texts = (c.to_pylist() for c in batch.columns)
@@ -166,30 +166,50 @@ def _runs(batches: Iterator[pa.RecordBatch], n: int, end: int, ranges: int) -> I
         yield from flush()
 
 
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From runs sorted by range: (node, n), n-grams that the node shares with others, added up over the
-    task's ranges as far as RUN nodes go."""
-    at, grams_, nodes_ = None, [], []
-    counts_: list[tuple[np.ndarray, np.ndarray]] = []
-    waiting = 0
-
-    def counted(nodes: np.ndarray, counts: np.ndarray, last: bool = False) -> Iterator[pa.RecordBatch]:
-        nonlocal waiting
-        counts_.append((nodes.view(np.int64), counts.view(np.int64)))
-        waiting += len(nodes)
-        if waiting > 2 * RUN or last:
-            own, back = np.unique(np.concatenate([a for a, _ in counts_]), return_inverse=True)
-            total = np.bincount(back, weights=np.concatenate([b for _, b in counts_])).astype(np.int64)
-            counts_.clear()
-            if last or len(own) > RUN:
-                if len(own):
-                    yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(total)], names=["node", "n"])
-                waiting = 0
-            else:
-                counts_.append((own, total))
-                waiting = len(own)
+class _Sums:
+    """Counts by node, added up in sorted arrays."""
 
-    def flush() -> Iterator[pa.RecordBatch]:
+    def __init__(self) -> None:
+        self.parts: list[tuple[np.ndarray, np.ndarray]] = []
+        self.waiting, self.distinct = 0, 0
+
+    def add(self, nodes: np.ndarray, counts: np.ndarray) -> None:
+        self.parts.append((nodes.view(np.int64), counts.view(np.int64)))
+        self.waiting += len(nodes)
+        if self.waiting > 2 * max(RUN, self.distinct):
+            self.parts = [self.take()]
+            self.waiting = self.distinct = len(self.parts[0][0])
+
+    def take(self) -> tuple[np.ndarray, np.ndarray]:
+        none = np.zeros(0, np.int64)
+        own, back = np.unique(np.concatenate([none, *(a for a, _ in self.parts)]), return_inverse=True)
+        total = np.bincount(back, weights=np.concatenate([none, *(b for _, b in self.parts)]), minlength=len(own)).astype(np.int64)
+        self.parts, self.waiting, self.distinct = [], 0, 0
+        return own, total
+
+
+def _packed(numbers: list[int], a: list[np.ndarray], b: list[np.ndarray]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(numbers, pa.int32()), pa.array([_planes(x) for x in a], pa.binary()), pa.array([_planes(x) for x in b], pa.binary())], names=["range", "a", "b"])
+
+
+def _shared(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
+    """From runs sorted by range: how many n-grams each node shares with others, added up over the task's ranges
+    as far as RUN nodes go, packed by the node's part (range, nodes, counts)."""
+    at, grams_, nodes_ = None, [], []
+    sums = _Sums()
+
+    def sent() -> Iterator[pa.RecordBatch]:
+        own, total = sums.take()
+        part = (mixed(own.view(np.uint64)) % np.uint64(parts)).astype(np.int64)
+        order = np.argsort(part, kind="stable")
+        own, total = own[order], total[order]
+        cuts = np.searchsorted(part[order], np.arange(parts + 1))
+        full = [(r, a, b) for r, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)) if b > a]
+        for k in range(0, len(full), 64):
+            some = full[k : k + 64]
+            yield _packed([r for r, _, _ in some], [own[a:b] for _, a, b in some], [total[a:b] for _, a, b in some])
+
+    def flush() -> None:
         if not grams_:
             return
         g, v = np.concatenate(grams_), np.concatenate(nodes_)
@@ -200,21 +220,33 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key = g >> np.uint64(1)
         first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
         times = np.diff(np.append(first, len(key)))
-        nodes, counts = np.unique(v[(np.repeat(times, times) > 1) & (g & np.uint64(1) == 0)], return_counts=True)
-        yield from counted(nodes, counts)
+        sums.add(*np.unique(v[(np.repeat(times, times) > 1) & (g & np.uint64(1) == 0)], return_counts=True))
 
     for batch in batches:
         for r, a, b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if r < 0:
-                yield from counted(_whole(a), _whole(b))
+                sums.add(_whole(a), _whole(b))
                 continue
             if r != at:
-                yield from flush()
+                flush()
                 at = r
+                if sums.distinct > RUN:
+                    yield from sent()
             grams_.append(_whole(a))
             nodes_.append(_whole(b))
-    yield from flush()
-    yield from counted(np.zeros(0, np.int64), np.zeros(0, np.int64), True)
+    flush()
+    yield from sent()
+
+
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From packed counts of the task's nodes: (node, n), a row for each node."""
+    sums = _Sums()
+    for batch in batches:
+        for a, b in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            sums.add(_whole(a), _whole(b))
+    own, total = sums.take()
+    for k in range(0, len(own), RUN):
+        yield pa.RecordBatch.from_arrays([pa.array(own[k : k + RUN]), pa.array(total[k : k + RUN])], names=["node", "n"])
 
 
 def company(docs: DataFrame, nodes: DataFrame, n: int, num: int, den: int, known: int, few: int) -> DataFrame:
@@ -226,7 +258,8 @@ def company(docs: DataFrame, nodes: DataFrame, n: int, num: int, den: int, known
     texts = joined_small(docs.withColumnRenamed("doc_id", "node"), nodes.select("node", "one"), "node", "inner", known, MOST_BROADCAST).select("node", "one", "text")
     runs = texts.mapInArrow(lean(lambda batches: _runs(batches, n, end, ranges)), "range int, a binary, b binary")
     dealt = runs.repartition(partitions, "range").sortWithinPartitions("range")
-    shared = dealt.mapInArrow(lean(_shared), "node long, n long").groupBy("node").agg(F.sum("n").alias("n"))
+    found = dealt.mapInArrow(lean(lambda batches: _shared(batches, partitions)), "range int, a binary, b binary")
+    shared = found.repartition(partitions, "range").mapInArrow(lean(_added), "node long, n long")
     own = F.col("few") - F.coalesce("n", F.lit(0))
     return nodes.join(shared, "node", "left").where(own <= F.col("size") - F.expr(f"(size * {num} + {den - 1}) div {den}")).select("node", "one", "size")
 

@@ -93,3 +93,43 @@ def test_packing(stages):
             at += n
         assert at == tokens[d]
     assert corpus_pipeline.ORACLE_SQL is None
+
+
+WORDS = " ".join(f"word{k}" for k in range(40))
+LONG = " ".join(f"w{k % 9973}x{k // 9973}" for k in range(60_000))
+#: Nulls in any column, empty and very long texts, repeated rows, equal texts, and columns that bear a stage's own names.
+ROWS = [
+    (1, None, "en", "a", 1), (2, "", None, "a", 1), (3, " \n\t", "en", None, 1), (4, LONG, "en", "a", None), (5, WORDS, "en", "a", 1), (6, WORDS, "de", "b", 1),
+    (None, WORDS + " more", "en", "a", 1), (7, WORDS.replace("word3 ", "other "), "en", "a", 1), (7, WORDS.replace("word3 ", "other "), "en", "a", 1), (8, "short one", "en", "a", 1),
+]
+SCHEMA = "doc_id long, text string, lang string, predicted string, node int"
+
+
+@pytest.fixture(scope="module")
+def odd(spark, tmp_path_factory):
+    folder = str(tmp_path_factory.mktemp("odd"))
+    spark.createDataFrame([(5, 1, 0), (7, None, None), (None, 0, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame([(1, "a question that no document holds in any form at all, not even in part"), (2, None), (None, "")], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    return spark.createDataFrame(ROWS, SCHEMA), folder
+
+
+def rows_of(df):
+    return sorted((tuple(r) for r in df.collect()), key=repr)
+
+
+@pytest.mark.parametrize(("k", "gone"), [(0, {1, 2, 3, 8}), (1, set()), (2, {6, 7}), (3, set())])
+def test_defined_cases_of_each_filter(spark, odd, k, gone):
+    docs, folder = odd
+    out = corpus_pipeline.STAGES[k][1](spark, docs, folder)
+    assert out.columns == docs.columns
+    assert rows_of(out) == sorted((r for r in ROWS if r[0] not in gone), key=repr)
+    assert corpus_pipeline.STAGES[k][1](spark, docs.limit(0), folder).count() == 0
+
+
+def test_defined_cases_of_packing(spark, odd):
+    docs, folder = odd
+    pieces = corpus_pipeline.STAGES[4][1](spark, docs, folder).collect()
+    assert {r.doc_id for r in pieces} == {r[0] for r in ROWS}
+    assert [r.length for r in pieces if r.doc_id in (1, 2)] == [1, 1] and sum(r.start == 0 for r in pieces if r.doc_id == 7) == 2
+    assert sum(r.length for r in pieces if r.doc_id == 4) == next(r.doc_tokens for r in pieces if r.doc_id == 4)
+    assert corpus_pipeline.STAGES[4][1](spark, docs.limit(0), folder).count() == 0

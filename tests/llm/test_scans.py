@@ -239,3 +239,60 @@ def test_thousands_of_rules_equal_running_all(spark):
         want = (domain.name, None, domain.verdict) if domain else (None, pattern.name, pattern.verdict) if pattern else (None, None, "allow")
         assert got[k][2] == want[2] and (got[k][:2] == want[:2] or domain), u
     assert len({v for _, _, v in got.values()}) == 2 and sum(r is not None or p is not None for r, p, _ in got.values()) > 100
+
+
+def test_scores_equal_a_plain_version(spark):
+    """Lexicon, inputs and regression worked out again, word by word and by gradient steps."""
+    import math
+    import zlib
+
+    rng = random.Random(21)
+    plain = [f"{a}{b}" for a in ("gre", "hou", "wat", "pap", "mor", "tre") for b in ("en", "se", "er", "ning", "la")]
+    bad = ["scumbag", "m0r0n", "idiot", "stuuupid", "trash", "w*rthless"]
+    rows, labels = [], []
+    for k in range(400):
+        words = [rng.choice(plain) for _ in range(rng.randrange(5, 60))]
+        toxic = rng.random() < 0.3
+        for _ in range(rng.randrange(1, 4) if toxic else rng.random() < 0.1):
+            words.insert(rng.randrange(len(words)), rng.choice(bad))
+        rows.append((k, " ".join(words)))
+        labels.append((k, int(toxic)))
+    df = spark.createDataFrame([*rows, (999, None), (998, "")], "doc_id long, text string")
+    model = toxicity.learn(df, spark.createDataFrame(labels, "doc_id long, toxic int"), usable=~toxicity.held_out(F.col("doc_id")))
+    got = {r.doc_id: r.score for r in toxicity.score(df, model).collect()}
+
+    sample = [k for k, _ in rows if zlib.crc32(str(k).encode()) % 5]
+    half = {r.doc_id: r.h for r in df.selectExpr("doc_id", "cast(pmod(xxhash64('half', doc_id), 2) as int) h").collect()}
+    decoder = char_model.Decoder(model.letters)
+    texts, y = dict(rows), dict(labels)
+
+    def features(word):
+        x = char_model.restore_word(word, decoder)
+        found = [f"^{x}$", *(f"^{x[:n]}" for n in range(4, 9) if n < len(x))] if any(map(str.isalpha, x)) else []
+        return {zlib.crc32(f.encode()) % (1 << 20) for f in found}
+
+    def weights(ids):
+        n, held = Counter(y[k] for k in ids), Counter((f, y[k]) for k in ids for f in set().union(*map(features, texts[k].split())))
+        ratio = {f: math.log((held[f, 1] + 0.1) / (n[1] + 1)) - math.log((held[f, 0] + 1) / (n[0] + 1)) for f, label in held if label == 1}
+        return {f: r for f, r in ratio.items() if held[f, 1] >= 3 and r >= math.log(4)}
+
+    def inputs(text, lexicon):
+        words = (text or "").split()
+        hits = [w for w in (max((lexicon.get(f, 0.0) for f in features(x)), default=0.0) for x in words) if w]
+        total = sum(hits)
+        return [1.0, math.log1p(len(hits)), max(hits, default=0.0), math.log1p(max(total, 0)), total / math.sqrt(max(1, len(words))), math.log1p(len(words))]
+
+    sides = [weights([k for k in sample if half[k] == h]) for h in (0, 1)]
+    x = np.array([inputs(texts[k], sides[1 - half[k]]) for k in sample])
+    labels_ = np.array([y[k] for k in sample], float)
+    mean, scale = x.mean(0), x.std(0) + 1e-9
+    mean[0], scale[0] = 0, 1
+    z, beta = (x - mean) / scale, np.zeros(6)
+    step = 1 / (0.25 * np.linalg.eigvalsh(z.T @ z)[-1] + 0.1)
+    for _ in range(60_000):
+        beta += step * (z.T @ (labels_ - 1 / (1 + np.exp(-z @ beta))) - 0.1 * beta)
+    whole = weights(sample)
+    assert whole.keys() == model.weights.keys() and whole
+    for k, t in [*rows, (999, None), (998, "")]:
+        want = 1 / (1 + math.exp(-float(((np.array(inputs(t, whole)) - mean) / scale) @ beta)))
+        assert abs(got[k] - want) < 1e-4, (k, got[k], want)
