@@ -74,3 +74,43 @@ def content_hash(text: Column) -> Column:
 def letters_by_script(text: Column) -> Column:
     """Letters of each script that a title may be in."""
     return F.struct(*[F.regexp_count(text, F.lit(f"\\p{{Is{s}}}")).alias(s.lower()) for s in ("Latin", "Cyrillic", "Greek", "Han", "Arabic", "Hebrew")])
+
+
+def is_clean(values: Column) -> Column:
+    """An array without nulls, empty texts and repeats; null for no array."""
+    bad = F.exists(values, lambda x: x.isNull() | (x == ""))
+    return F.when(values.isNotNull(), ~F.coalesce(bad, F.lit(False)) & (F.size(F.array_distinct(values)) == F.size(values)))
+
+
+#: A word that the page cut off for display, one that brackets cut in two, and where phrases end.
+_TRUNCATED, _SPLIT_WORD = "[\\p{L}\\p{N}]+(?:…|\\.\\.\\.)", "([\\p{L}\\p{N}]+)[()\\[\\]{}]+[\\p{L}\\p{N}]+"
+_BREAK = "[.,!?;:…()\\[\\]{}\"“”«»|/\\\\]+(?:\\s|$)|[\\r\\n]+|\\s[-–—]\\s"
+
+
+def tokenize(text: Column) -> Column:
+    """Runs of tokens, as an array of arrays of struct(token, glued): a run ends where a sentence or clause
+    does; glued says that a token was written as one word with the one before it. Runs of weak tokens alone
+    are left out."""
+    clean = F.regexp_replace(F.regexp_replace(text, _TRUNCATED, " "), _SPLIT_WORD, "$1 ")
+
+    def tokens(word: Column) -> Column:
+        parts = F.filter(F.split(normalised(word), " "), lambda t: t != "")
+        joined = word.rlike("[\\p{L}\\p{N}][-/][\\p{L}\\p{N}]")
+        return F.transform(parts, lambda t, i: F.struct(t.alias("token"), (joined & (i > 0)).alias("glued")))
+
+    runs = F.transform(F.split(clean, _BREAK), lambda s: F.flatten(F.transform(F.filter(F.split(s, "\\s+"), lambda w: w != ""), tokens)))
+    return F.filter(runs, lambda r: F.exists(r, lambda t: ~is_weak_token(t["token"])))
+
+
+def strip_title_chrome(title: Column, site: Column, site_name: Column, chrome: Column) -> Column:
+    """The title without the parts at its end that name the brand or that most of the run repeats; the first
+    part always stays."""
+    brands = F.filter(F.array(normalised(F.substring_index(site, ".", 1)), normalised(F.coalesce(site_name, F.lit("")))), lambda b: b != "")
+    parts = title_segments(title)
+
+    def is_chrome(part: Column) -> Column:
+        tail = normalised(part)
+        return F.exists(brands, lambda b: F.contains(F.concat(F.lit(" "), tail, F.lit(" ")), F.concat(F.lit(" "), b, F.lit(" ")))) | F.coalesce(F.array_contains(chrome, tail), F.lit(False))
+
+    last = F.array_max(F.transform(parts, lambda x, i: F.when((i == 0) | ~is_chrome(x), i + 1).otherwise(0)))
+    return F.array_join(F.slice(parts, F.lit(1), F.coalesce(last, F.lit(0))), " - ")

@@ -119,7 +119,72 @@ def extension(url: Column) -> Column:
     return F.lower(F.regexp_extract(file_name(url), "[.]([A-Za-z0-9]+)$", 1))
 
 
+#: First path segments under which sites keep redirects to others, and segments and
+#: parameters of addresses that do something rather than show a page.
+REDIRECT_SECTIONS = ("refer", "go", "goto", "out", "recommends", "visit", "aff", "affiliate")
+ACTION_SEGMENTS = ("cart", "basket", "checkout", "login", "logout", "signin", "signout", "wp-login.php")
+ACTION_PARAMETERS = ("add-to-cart", "add_to_cart", "redirect_to")
+#: Networks that are not public, as (address, prefix length).
+PRIVATE_V4 = (
+    ("0.0.0.0", 8), ("10.0.0.0", 8), ("100.64.0.0", 10), ("127.0.0.0", 8), ("169.254.0.0", 16), ("172.16.0.0", 12), ("192.168.0.0", 16), ("224.0.0.0", 4), ("240.0.0.0", 4),
+)
+
+
+def segments(url: Column) -> Column:
+    """The lower-cased segments of the path that hold something."""
+    return F.filter(F.split(F.lower(path(url)), "/"), lambda s: s != "")
+
+
+def _one_of(values: tuple[str, ...]) -> Column:
+    return F.array(*map(F.lit, values))
+
+
+def is_outbound_redirect(url: Column) -> Column:
+    """A redirect to someone else's site, by the first segment of its path."""
+    return F.coalesce(F.get(segments(url), F.lit(0)).isin(*REDIRECT_SECTIONS), F.lit(False))
+
+
+def is_action_link(url: Column) -> Column:
+    """A cart, a checkout, signing in or out: by a segment of the path or a parameter."""
+    names = F.transform(F.split(F.substring(search(url), 2, 1 << 20), "&"), lambda p: F.substring_index(p, "=", 1))
+    return F.coalesce(F.arrays_overlap(segments(url), _one_of(ACTION_SEGMENTS)) | F.arrays_overlap(names, _one_of(ACTION_PARAMETERS)), F.lit(False))
+
+
+def logo_kind(url: Column, logos: Column, base: Column) -> Column:
+    """'declared' where the URL is that of a declared logo, 'named' where its file is named as one (of three
+    words at most), else null; host and path are compared."""
+
+    def place(u: Column) -> Column:
+        full = F.when(u.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), u).when(u.startswith("//"), F.concat(F.lit("https:"), u)).otherwise(F.concat(F.regexp_extract(base, "^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*", 0), F.when(u.startswith("/"), F.lit("")).otherwise(F.lit("/")), u))
+        return F.concat(host(full), path(full))
+
+    words = F.filter(F.split(F.lower(stem(url)), "[-_.\\s]+"), lambda w: w != "")
+    declared = F.exists(logos, lambda x: place(x) == place(url))
+    return F.when(F.coalesce(declared, F.lit(False)), "declared").when(F.array_contains(words, "logo") & (F.size(words) <= 3), "named")
+
+
+def is_public_address(address: Column) -> Column:
+    """Whether an IP address is one that a crawler may connect to; false for what is no address."""
+    mapped = F.regexp_replace(address, "(?i)^::ffff:(?=[0-9]{1,3}(\\.[0-9]{1,3}){3}$)", "")
+    parts = F.transform(F.split(mapped, "\\."), lambda p: F.expr("0").cast("long") + F.coalesce(F.try_to_number(p, F.lit("999")).cast("long"), F.lit(999)))
+    is_v4 = mapped.rlike("^[0-9]{1,3}(\\.[0-9]{1,3}){3}$") & ~F.exists(parts, lambda p: p > 255)
+    number = F.aggregate(parts, F.lit(0).cast("long"), lambda a, p: a * 256 + p)
+
+    def within(network: str, length: int) -> Column:
+        start = sum(int(x) << (24 - 8 * k) for k, x in enumerate(network.split(".")))
+        return number.between(start, start + (1 << (32 - length)) - 1)
+
+    private = F.lit(False)
+    for network, length in PRIVATE_V4:
+        private = private | within(network, length)
+    low = F.lower(mapped)
+    is_v6 = low.rlike("^[0-9a-f:]+$") & low.rlike(":.*:") & ~low.rlike(":::|::.*::|[0-9a-f]{5}")
+    whole = low.rlike("^([0-9a-f]{1,4}:){7}[0-9a-f]{1,4}$") | F.contains(low, F.lit("::"))
+    local = low.rlike("^(0*:)*:?0*[01]?$") | low.rlike("^f[cd][0-9a-f]{2}:") | low.rlike("^fe[89ab][0-9a-f]:")
+    return F.coalesce(F.when(is_v4, ~private).when(is_v6 & whole, ~local).otherwise(False), F.lit(False))
+
+
 def is_own_page(url: Column) -> Column:
-    """Not an action of the site such as a login or a cart."""
-    segments = F.split(F.lower(path(url)), "/")
-    return ~F.arrays_overlap(segments, F.array(*map(F.lit, ("login", "logout", "cart", "checkout", "wp-admin", "feed", "tag"))))
+    """A page that the site vouches for: no redirect to another site, no print version of a page."""
+    printed = F.exists(segments(url), lambda s: s.rlike("(^|[-_])print($|[-_])"))
+    return ~(is_outbound_redirect(url) | F.coalesce(printed, F.lit(False)))

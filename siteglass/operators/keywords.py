@@ -160,3 +160,61 @@ def keywords(fields: DataFrame, words: DataFrame) -> DataFrame:
     return select(ranked.join(words, "page_id"))
 
 
+#: Values that this share of a run's pages repeat are the site's and not the page's, and lines of
+#: that few tokens that a page repeats that often are no text.
+RUN_SHARE, SHORT_RUN, REPEATS = 0.5, 4, 3
+
+
+def repeated_values(pages: DataFrame, run: str, page: str, values: Column) -> DataFrame:
+    """run, value, pages of the values (normalised, each once a page) that at least two pages and RUN_SHARE of the
+    run's pages hold: title chrome if they are tail parts of titles, taxonomy if they are declared keywords."""
+    least = pages.groupBy(run).agg(F.greatest(F.lit(2), F.ceil(F.countDistinct(page) * RUN_SHARE)).alias("__least"))
+    own = F.array_distinct(F.transform(values, texts.normalised))
+    rows = pages.select(run, page, F.explode(own).alias("value")).where("value != ''")
+    counted = rows.groupBy(run, "value").agg(F.countDistinct(page).alias("pages"))
+    return counted.join(least, run).where("pages >= __least").drop("__least")
+
+
+def title_chrome(pages: DataFrame, run: str, page: str, title: Column) -> DataFrame:
+    """The tail parts of titles that most of a run repeats; the first part is the page's own."""
+    parts = texts.title_segments(title)
+    return repeated_values(pages, run, page, F.slice(parts, 2, F.greatest(F.lit(0), F.size(parts) - 1)))
+
+
+def repeated_runs(pages: DataFrame, page: str, text: Column) -> DataFrame:
+    """page, phrase, times: runs of at most SHORT_RUN tokens that a page's text holds REPEATS times or more."""
+    runs = pages.select(page, F.explode(texts.tokenize(text)).alias("r")).where(F.size("r") <= SHORT_RUN)
+    return runs.select(page, F.array_join(F.col("r")["token"], " ").alias("phrase")).groupBy(page, "phrase").agg(F.count(F.lit(1)).alias("times")).where(F.col("times") >= REPEATS)
+
+
+def proper_nouns(pages: DataFrame, page: str, blocks: Column) -> DataFrame:
+    """page, word: the words that a page's text capitalises within sentences, in 60 of 100 such uses or more."""
+    found = pages.select(page, F.explode(blocks).alias("block")).select(page, F.regexp_extract_all("block", F.lit("[^\\p{L}]*\\p{L}[\\p{L}\\p{N}'’-]*"), F.lit(0)).alias("found"))
+    # each with what stands before it; a block's first word and one after a sentence's end are capitalised anyway
+    words = F.transform(F.col("found"), lambda x, i: F.struct(F.regexp_replace(x, "^[^\\p{L}]+", "").alias("raw"), ((i == 0) | F.regexp_extract(x, "^[^\\p{L}]*", 0).rlike("[.!?…]")).alias("opens")))
+    rows = found.select(page, F.explode(F.filter(words, lambda w: ~w["opens"])["raw"]).alias("raw")).withColumn("word", texts.normalised(F.col("raw")))
+    rows = rows.where(~F.contains("word", F.lit(" ")) & (F.length("word") >= 2))
+    first = F.substring("raw", 1, 1)
+    counted = rows.groupBy(page, "word").agg(F.count(F.lit(1)).alias("seen"), F.count_if(first != F.lower(first)).alias("upper"))
+    return counted.where(F.col("upper") >= 0.6 * F.col("seen")).select(page, "word")
+
+
+def profile(spark: SparkSession) -> DataFrame:
+    """Of each language with a list: lang, most_words (of a term), stop_words; the row of null is what holds for
+    all other languages."""
+    known = stop_words(spark).groupBy("lang").agg(F.lit(MOST_WORDS).alias("most_words"), F.array_sort(F.collect_list("word")).alias("stop_words"))
+    other = spark.createDataFrame([(None, MOST_WORDS_UNKNOWN, [])], known.schema)
+    return known.unionByName(other)
+
+
+def evaluate(found: DataFrame, pages: DataFrame, marks: DataFrame) -> DataFrame:
+    """One row: good, junk, unlabelled, total, primary_good, pages, empty_pages and precision of the keywords found
+    (page, term, rank from 1) on pages (page), by marks (page, term, good)."""
+    met = found.join(marks, ["page", "term"], "left")
+    sums = met.agg(
+        F.count_if("good").alias("good"), F.count_if(~F.col("good")).alias("junk"), F.count_if(F.col("good").isNull()).alias("unlabelled"), F.count(F.lit(1)).alias("total"),
+        F.count_if(F.col("good") & (F.col("rank") == 1)).alias("primary_good"),
+    )
+    per_page = pages.select("page").distinct().join(found.groupBy("page").agg(F.count(F.lit(1)).alias("n")), "page", "left")
+    counted = per_page.agg(F.count(F.lit(1)).alias("pages"), F.count_if(F.col("n").isNull()).alias("empty_pages"))
+    return sums.crossJoin(counted).withColumn("precision", F.when(F.col("total") > 0, F.col("good") / F.col("total")).otherwise(0.0))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from siteglass.functions import texts, urls
@@ -75,19 +76,68 @@ def kw_idf_score(spark, sf_dir):
     return df.join(n, "p_brand").select("p_brand", "p_size", F.round(F.log(1 + F.col("n") / F.col("df")) / F.log(1 + F.col("n")), 9).alias("idf"))
 
 
-@query("kw_title_chrome", "SELECT p_brand AS run, word, count(DISTINCT p_partkey) AS pages FROM (SELECT p_brand, p_partkey, unnest(string_split(p_name, ' ')) AS word FROM part) JOIN (SELECT p_brand, greatest(2, ceil(count(*) * 0.2)) AS least FROM part GROUP BY p_brand) USING (p_brand) GROUP BY p_brand, word, least HAVING count(DISTINCT p_partkey) >= least", prelude=False)
+def _shared_sql(values: str) -> str:
+    """Values that at least two and half of a run's pages hold."""
+    return f"SELECT p_brand, value, count(DISTINCT p_partkey) AS pages FROM (SELECT p_brand, p_partkey, unnest({values}) AS value FROM part) JOIN (SELECT p_brand, greatest(2, ceil(count(*) * 0.5)) AS least FROM part GROUP BY p_brand) USING (p_brand) GROUP BY p_brand, value, least HAVING count(DISTINCT p_partkey) >= least"
+
+
+_PLAIN = "trim(regexp_replace(lower({}), '[^a-z0-9]+', ' ', 'g'))"
+
+
+@query("kw_title_chrome", _shared_sql(f"[{_PLAIN.format('p_type')}, {_PLAIN.format('p_brand')}]"), prelude=False)
 def kw_title_chrome(spark, sf_dir):
-    """Title parts that a large share of a run's pages repeat."""
-    p = m.table(spark, sf_dir, "part").select(F.col("p_brand").alias("run"), "p_partkey", "p_name")
-    least = p.groupBy("run").agg(F.greatest(F.lit(2), F.ceil(F.count(F.lit(1)) * 0.2)).alias("least"))
-    rows = p.select("run", "p_partkey", F.explode(F.split("p_name", " ")).alias("word")).groupBy("run", "word").agg(F.countDistinct("p_partkey").alias("pages"))
-    return rows.join(least, "run").where("pages >= least").drop("least")
+    """Tail parts of titles that half of a run's pages repeat."""
+    p = m.table(spark, sf_dir, "part")
+    return keywords.title_chrome(p, "p_brand", "p_partkey", F.concat("p_name", F.lit(" - "), "p_type", F.lit(" | "), "p_brand"))
 
 
-@query("kw_repeated_runs", "SELECT doc_id, line, count(*) AS times FROM (SELECT doc_id, trim(unnest(string_split(text, chr(10)))) AS line FROM documents) WHERE line <> '' GROUP BY ALL HAVING count(*) >= 3", prelude=False)
+@query("kw_taxonomy", _shared_sql("list_distinct(list_transform(string_split(p_type, ' '), lambda w: lower(w)))").replace("greatest(2, ceil(count(*) * 0.5))", "greatest(2, ceil(count(DISTINCT p_partkey) * 0.5))"), prelude=False)
+def kw_taxonomy(spark, sf_dir):
+    """Declared keywords that half of a run's pages repeat; the words of a part's type stand for them."""
+    return keywords.repeated_values(m.table(spark, sf_dir, "part"), "p_brand", "p_partkey", F.split("p_type", " "))
+
+
+@query("kw_repeated_runs")
 def kw_repeated_runs(spark, sf_dir):
-    d = m.table(spark, sf_dir, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("x")).select("doc_id", F.trim("x").alias("line"))
-    return d.where("line != ''").groupBy("doc_id", "line").agg(F.count(F.lit(1)).alias("times")).where("times >= 3")
+    """Short runs of words that a document repeats: no text of its own."""
+    return keywords.repeated_runs(m.table(spark, sf_dir, "documents"), "doc_id", F.col("text"))
+
+
+@query("kw_profile")
+def kw_profile(spark, sf_dir):
+    return keywords.profile(spark)
+
+
+@query("fn_tokenize")
+def fn_tokenize(spark, sf_dir):
+    runs = m.table(spark, sf_dir, "documents").select("doc_id", F.posexplode(texts.tokenize(F.col("text"))).alias("run", "r"))
+    return runs.select("doc_id", "run", F.array_join(F.col("r")["token"], " ").alias("tokens"), F.size(F.filter("r", lambda t: t["glued"])).alias("glued"))
+
+
+@query("fn_proper_nouns", """SELECT doc_id, word FROM (SELECT doc_id, lower(raw) AS word, raw FROM (SELECT doc_id, regexp_replace(x, '^[^\\p{L}]+', '') AS raw, i, x FROM (SELECT doc_id, unnest(found) AS x, unnest(range(len(found))) AS i
+FROM (SELECT doc_id, regexp_extract_all(text, '[^\\p{L}]*\\p{L}[\\p{L}\\p{N}''’-]*') AS found FROM documents))) WHERE i > 0 AND NOT regexp_matches(regexp_extract(x, '^[^\\p{L}]*'), '[.!?…]') AND NOT regexp_matches(raw, '[^\\p{L}\\p{N}]') AND length(raw) >= 2)
+GROUP BY doc_id, word HAVING sum(CASE WHEN left(raw, 1) <> lower(left(raw, 1)) THEN 1 ELSE 0 END) >= 0.6 * count(*)""", prelude=False)
+def fn_proper_nouns(spark, sf_dir):
+    """A document's text is one block here. Words joined by a mark are none, in both."""
+    d = m.table(spark, sf_dir, "documents").where("text is not null")
+    return keywords.proper_nouns(d, "doc_id", F.array("text"))
+
+
+@query("fn_strip_title_chrome", "SELECT p_partkey, p_name AS title FROM part", prelude=False)
+def fn_strip_title_chrome(spark, sf_dir):
+    """Titles without the brand, which the run's title chrome names, and the site's name."""
+    p = m.table(spark, sf_dir, "part")
+    title = F.concat("p_name", F.lit(" - "), "p_type", F.lit(" | "), "p_brand")
+    site = F.concat(F.regexp_replace("p_brand", "[^A-Za-z0-9]", ""), F.lit(".example"))
+    return p.select("p_partkey", texts.strip_title_chrome(title, site, F.col("p_brand"), F.array(texts.normalised(F.col("p_type")))).alias("title"))
+
+
+@query("fn_named_clause", "SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN p_type ELSE p_name END AS head, CASE WHEN p_partkey % 2 = 0 THEN p_name ELSE p_type END AS tail FROM part", prelude=False)
+def fn_named_clause(spark, sf_dir):
+    """The clause of a title that names the page: the slug is made of the second clause of every other part."""
+    p = m.table(spark, sf_dir, "part").withColumn("slug", F.when(F.col("p_partkey") % 2 == 0, F.replace("p_type", F.lit(" "), F.lit("-"))).otherwise("zzz"))
+    found = p.withColumn("x", keywords.clauses(F.concat("p_name", F.lit(": "), "p_type"), F.col("slug")))
+    return found.select("p_partkey", F.get("x", F.lit(0)).alias("head"), F.get("x", F.lit(1)).alias("tail"))
 
 
 @query("join_self_pairs")
@@ -99,11 +149,22 @@ def join_self_pairs(spark, sf_dir):
 
 @query("win_walk")
 def win_walk(spark, sf_dir):
-    p = m.table(spark, sf_dir, "pages").select("page_id", "url", F.lit("term").alias("term"), F.lit(0.7).alias("relevance"), F.lit(1).cast("long").alias("first_day"), F.lit(30).cast("long").alias("days"))
+    p = m.table(spark, sf_dir, "pages").select("page_id", "url", F.lit("term").alias("term"), F.lit(0.7).alias("relevance"), F.lit(1).cast("long").alias("first_day"), F.lit(30).cast("long").alias("days"), F.lit(None).cast("long").alias("last"))
     return ranks.simulate(p)
 
 
-@query("kw_eval", "SELECT quality, count(*) AS n, round(avg(n_chars), 6) AS mean_chars FROM documents JOIN labels USING (doc_id) GROUP BY quality", prelude=False)
+@query(
+    "kw_eval",
+    """SELECT CAST(count(*) FILTER (quality = 1) AS BIGINT) AS good, CAST(count(*) FILTER (quality = 0) AS BIGINT) AS junk, CAST(count(*) FILTER (quality IS NULL) AS BIGINT) AS unlabelled, count(*) AS total,
+    CAST(count(*) FILTER (quality = 1 AND rank = 1) AS BIGINT) AS primary_good, (SELECT count(*) FROM (SELECT DISTINCT source FROM documents)) + 1 AS pages, CAST(1 AS BIGINT) AS empty_pages, count(*) FILTER (quality = 1) / count(*) AS precision
+    FROM (SELECT doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rank FROM documents) LEFT JOIN labels USING (doc_id)""",
+    prelude=False,
+)
 def kw_eval(spark, sf_dir):
-    d = m.table(spark, sf_dir, "documents").join(m.table(spark, sf_dir, "labels"), "doc_id")
-    return d.groupBy("quality").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("n_chars"), 6).alias("mean_chars"))
+    """The scorer of keywords; a source stands for a page, its documents for terms, their labels for marks, and
+    one page has no terms."""
+    d = m.table(spark, sf_dir, "documents").select(F.col("source").alias("page"), F.col("doc_id").alias("term"))
+    ranked = d.withColumn("rank", F.row_number().over(W.partitionBy("page").orderBy("term")))
+    marks = m.table(spark, sf_dir, "labels").select(F.col("doc_id").alias("term"), (F.col("quality") == 1).alias("good")).join(d, "term")
+    pages = d.select("page").distinct().unionByName(spark.createDataFrame([("no terms",)], "page string"))
+    return keywords.evaluate(ranked, pages, marks)

@@ -124,8 +124,10 @@ def test_keywords_and_walk(spark):
     got = {r.page_id: r.term for r in keywords.keywords(df, words).collect() if r.relevance == 1.0}
     assert got[1] == "pruning apple trees" and got[2] == "baking bread" and 3 not in got
     assert ranks.seed("", "") == (ranks.FNV_OFFSET * ranks.FNV_PRIME) & 0xFFFFFFFF
-    whole = ranks.walk("u", "t", 0.5, 1, 60)
-    assert ranks.walk("u", "t", 0.5, 1, 25) + ranks.walk("u", "t", 0.5, 26, 35) == whole and all(1 <= x <= 100 for x in whole)
+    whole = ranks.walk("u", "t", 0.5, 20_000, 60)
+    first = ranks.walk("u", "t", 0.5, 20_000, 25)
+    assert first + ranks.walk("u", "t", 0.5, 20_025, 35, first[-1]) == whole and all(1 <= x <= 100 for x in whole)
+    assert all(3 <= ranks.home(1, k * 7919) <= 15 and 63 <= ranks.home(0.2, k * 7919) <= 77 for k in range(500))
 
 
 def test_stream_equals_batch(spark, tmp_path):
