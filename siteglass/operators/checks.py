@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from siteglass.functions import texts, urls
+from siteglass.functions import texts, times, urls
 from siteglass.sources.scratch import written
 
 #: Facts that a crawl adds to a page, by type.
@@ -49,6 +49,13 @@ def _rules(*names: str) -> Column:
     return F.arrays_overlap(F.concat(p("meta_robots"), p("meta_googlebot"), F.coalesce(c("x_robots"), F.array().cast("array<string>"))), F.array(*map(F.lit, names)))
 
 
+def _unavailable() -> Column:
+    """An unavailable_after rule whose date has passed when the page was fetched."""
+    said = F.filter(F.concat(p("meta_robots"), p("meta_googlebot")), lambda r: r.startswith("unavailable_after:"))
+    dates = F.transform(said, lambda r: times.instant_of(F.upper(F.trim(F.substring_index(r, "unavailable_after:", -1)))))
+    return F.coalesce(F.exists(dates, lambda d: d < F.unix_millis(c("fetched_at"))), F.lit(False))
+
+
 def _directive(prefix: str) -> Column:
     return F.exists(F.concat(p("meta_robots"), p("meta_googlebot")), lambda r: r.startswith(prefix))
 
@@ -129,9 +136,32 @@ def _title_year() -> Column:
     return F.regexp_extract(p("title"), "(?i)(?:\\b(?:in|for|of|en|pour|für|im|de)\\s+|^|[\\s(\\[])((?:19|20)\\d{2})(?:$|[)\\]:]|\\s+(?:guide|edition|update|review))", 1)
 
 
+#: Regions that are reserved and name no country, and country codes taken for languages.
+RESERVED_REGIONS = ("uk", "eu", "ez", "un", "ac", "cp", "dg", "ea", "ic", "ta")
+COUNTRIES_AS_LANGUAGES = ("ua", "kz", "jp", "cn", "gr", "dk", "cz", "vn")
+
+
+def hreflang_problem(lang: Column) -> Column:
+    """What is wrong with an hreflang value, else null: a language of two letters, a script and a country may
+    follow."""
+    parts = F.split(F.lower(lang), "-")
+    rest = F.filter(F.slice(parts, 2, F.greatest(F.lit(0), F.size(parts) - 1)), lambda x: ~x.rlike("^[a-z]{4}$"))
+    region, first = F.get(rest, F.lit(0)), F.get(parts, F.lit(0))
+    private = region.rlike("^(aa|zz|q[m-z]|x[a-z])$")
+    return (
+        F.when(F.lower(lang) == "x-default", F.lit(None).cast("string"))
+        .when(lang.isNull() | ~lang.rlike("^[A-Za-z0-9]+(-[A-Za-z0-9]+)*$"), "not a language code")
+        .when(first.rlike("^[a-z]{3}$"), "only two-letter language codes are supported")
+        .when(~first.rlike("^[a-z]{2}$") | first.isin(*COUNTRIES_AS_LANGUAGES), "not a language code")
+        .when(region.rlike("^[0-9]{3}$"), "only two-letter country codes are supported")
+        .when(region.isNotNull() & ~region.rlike("^[a-z]{2}$"), "neither a script nor a country code")
+        .when(region.isin(*RESERVED_REGIONS) | private, "not a country code")
+        .when(F.size(rest) > 1, "more than a language, a script and a country")
+    )
+
+
 def _hreflang_bad(a: Column) -> Column:
-    code = F.lower(a["lang"])
-    return ~(code.rlike("^([a-z]{2,3})(-[a-z]{4})?(-([a-z]{2}|[0-9]{3}))?$") | (code == "x-default")) | code.rlike("-(uk|eu|en)$") | a["href"].isNull()
+    return hreflang_problem(a["lang"]).isNotNull() | a["href"].isNull()
 
 
 def _crumb_bad(x: Column, last: Column) -> Column:
@@ -158,7 +188,7 @@ CATALOGUE: tuple[Check, ...] = (
     Check("CANONICAL_CONFLICT", WARNING, lambda: F.size(F.array_distinct(p("canonicals"))) > 1, lambda: some(p("canonicals"))),
     Check("DEVELOPMENT_HOST_REFERENCES", WARNING, lambda: F.exists(F.concat(p("canonicals"), p("links"), _resources(), F.transform(p("alternates"), lambda a: a["href"]), F.array(p("open_graph")["og:url"])), lambda u: urls.is_dev_host(u))),
     Check("CANONICAL_RELATIVE", NOTICE, lambda: some(p("relative_canonicals")), lambda: some(p("canonicals")) | some(p("relative_canonicals"))),
-    Check("NOINDEX", ERROR, lambda: _rules("noindex", "none")),
+    Check("NOINDEX", ERROR, lambda: _rules("noindex", "none") | _unavailable()),
     Check("SNIPPET_RESTRICTED", NOTICE, lambda: _rules("nosnippet", "max-snippet:0") | (p("nosnippet_share") > 0.5)),
     Check("IMAGE_PREVIEW_NOT_LARGE", NOTICE, lambda: _rules("max-image-preview:none", "max-image-preview:standard") | ~_directive("max-image-preview:large")),
     Check("ROBOTS_BLOCKS_GOOGLEBOT", ERROR, lambda: ~c("allows_googlebot"), lambda: c("allows_googlebot").isNotNull()),

@@ -138,6 +138,74 @@ def robots_allows(text: str | None, agent: str, url: str) -> bool:
     return best[1]
 
 
+def robots_rule(text: str | None, agent: str, url: str) -> tuple[bool, int | None]:
+    """Whether the agent may read the URL, and the line (from 1) of the rule that says so, None without one: of the
+    agent's own groups, or else of those for all, the longest pattern that fits; of equal ones one that allows."""
+    groups: list[tuple[set[str], list[tuple[int, bool, str]]]] = []
+    naming = False
+    for number, line in enumerate((text or "")[:ROBOTS_BYTES].lstrip("\ufeff").splitlines(), 1):
+        key, colon, value = line.split("#")[0].partition(":")
+        key, value = key.strip().lower(), value.strip()
+        if colon and key == "user-agent":
+            if not naming:
+                groups.append((set(), []))
+            groups[-1][0].add(value.lower())
+            naming = True
+        elif colon and key in ("allow", "disallow"):
+            naming = False
+            if groups and value:
+                groups[-1][1].append((number, key == "allow", value))
+    name = agent.lower()
+    own = [rules for agents, rules in groups if any(a != "*" and a in name for a in agents)] or [rules for agents, rules in groups if "*" in agents]
+    parts = urlsplit(url)
+    path = (parts.path or "/") + (f"?{parts.query}" if parts.query else "")
+    best: tuple[int, bool, int] | None = None
+    for number, allow, pattern in (x for rules in own for x in rules):
+        body = pattern.removesuffix("$")
+        regex = ".*".join(map(re.escape, body.split("*"))) + ("$" if pattern.endswith("$") else "")
+        if re.match(regex, path) and (best is None or (len(pattern), allow) > best[:2]):
+            best = (len(pattern), allow, number)
+    return (True, None) if best is None else (best[1], best[2])
+
+
+#: Where posts are looked for, the surest source first.
+BLOG_SOURCES = ("sitemap", "feed", "listing", "unconfirmed-sitemap")
+#: Segments of links to further listings.
+LISTING_SEGMENTS = ("page", "tag", "tags", "category", "categories", "author", "authors", "topic", "topics", "feed", "rss", "search", "tagged")
+
+
+def blog_sources(found: DataFrame, site: str) -> DataFrame:
+    """From found (site, source, confirmed, urls) the source of each site's posts: a confirmed sitemap, else the
+    feed, else a listing, else the least unlikely sitemap; sources without URLs don't count. Of a listing only pages
+    that are marked as articles are posts."""
+    named = F.when((F.col("source") == "sitemap") & ~F.col("confirmed"), "unconfirmed-sitemap").otherwise(F.col("source"))
+    rank = F.array_position(F.array(*map(F.lit, BLOG_SOURCES)), named)
+    best = found.where(F.size("urls") > 0).groupBy(site).agg(F.min_by(F.struct(named.alias("source"), "urls"), F.struct(rank, F.hash("urls"))).alias("best"))
+    return best.select(site, "best.source", "best.urls", (F.col("best.source") == "listing").alias("articles_only"))
+
+
+def group_winner(groups: DataFrame, site: str) -> DataFrame:
+    """From groups (site, name, score, urls, place) each site's best group: by score, then by URLs, then the first;
+    none if even the best scores below 0. confirmed from a score of 2."""
+    best = groups.groupBy(site).agg(F.max_by(F.struct("name", "score", "urls"), F.struct("score", "urls", -F.col("place"))).alias("best"))
+    return best.select(site, "best.name", "best.score", "best.urls", (F.col("best.score") >= 2).alias("confirmed")).where("score >= 0")
+
+
+def listing_links(pages: DataFrame, key: list[str], listing: str, links: str) -> DataFrame:
+    """key, place, link: the links of each listing page to pages below it, in its order, each page once; links to
+    further listings (pages, tags, authors) are left out."""
+    from siteglass.functions import urls
+
+    at, link = F.col(listing), F.col("link")
+    below = F.concat(F.regexp_replace(urls.path(at), "/*$", ""), F.lit("/"))
+    rows = pages.select(*key, listing, F.posexplode(links).alias("place", "link")).withColumn("link", F.regexp_replace("link", "[?#].*$", ""))
+    rows = rows.where(urls.is_same_site(link, at) & urls.path(link).startswith(below) & (F.length(F.regexp_replace(urls.path(link), "/*$", "")) >= F.length(below)))
+    rest = F.filter(F.split(F.lower(F.substring(urls.path(link), F.length(below) + 1, F.lit(1 << 20))), "/"), lambda s: s != "")
+    rows = rows.where(~F.arrays_overlap(rest, F.array(*map(F.lit, LISTING_SEGMENTS))))
+    first = rows.groupBy(*key, urls.page_key(link).alias("page_key")).agg(F.min(F.struct("place", "link")).alias("x"))
+    return first.select(*key, "x.place", "x.link")
+
+
 def group_score(name: str, urls: list[str], feed: set[str]) -> float:
     """How much a sitemap's group looks like the blog's: names, paths and overlap with the feed."""
     words = set(re.split("[^a-z]+", name.lower()))

@@ -45,7 +45,8 @@ breadcrumbs array<struct<position:int,name:string,item:string>>, website_names a
 headings array<struct<level:int,text:string>>, first_paragraph string, images array<struct<src:string,srcset:string,alt:string,loading:string,sized:boolean>>, embeds int,
 resource_urls array<string>, links array<string>, nofollow_links array<string>, uncrawlable_links array<string>, unnamed_links array<string>, render_blocking_scripts array<string>,
 font_preloads_without_crossorigin array<string>, client_rendered boolean, blocks array<string>, word_count int, content_hash string, charset_declaration_end int, element_count int,
-nosnippet_share double, csp_upgrades boolean, html_bytes int, featured_loading string"""
+nosnippet_share double, csp_upgrades boolean, html_bytes int, featured_loading string, feeds array<string>, share_image string, share_image_as_background boolean,
+declared_keywords array<string>, article_images array<string>, microdata_types array<string>"""
 
 
 class Node:
@@ -278,6 +279,34 @@ def _position(value: object) -> int | None:
     return value if isinstance(value, int) and not isinstance(value, bool) and abs(value) < 1 << 31 else None
 
 
+#: Types of alternates that are feeds.
+FEED_TYPES = ("application/rss+xml", "application/atom+xml", "application/feed+json", "application/json")
+_BACKGROUND = re.compile(r"background(?:-image)?\s*:[^;]*url\(\s*[\"']?([^\"')]+)")
+
+
+def images_of(value: object, by_id: dict) -> list[str]:
+    """The URLs of an image value: a text, a node with url or contentUrl, a reference to one, or a list of them."""
+    out = []
+    for v in value if isinstance(value, list) else [value]:
+        if isinstance(v, dict):
+            if isinstance(v.get("@id"), str) and not {"url", "contentUrl"} & v.keys():
+                v = by_id.get(v["@id"], v)
+            v = next((x for x in (v.get("url"), v.get("contentUrl"), v.get("@id")) if isinstance(x, str)), None)
+        if isinstance(v, str) and v.strip():
+            out.append(v.strip())
+    return out
+
+
+def _keywords(nodes: list[dict]) -> list[str]:
+    """Keywords that structured data declares: lists, or texts with commas."""
+    out = []
+    for x in nodes:
+        value = x.get("keywords")
+        for v in value if isinstance(value, list) else [value]:
+            out += [y.strip() for y in v.split(",") if y.strip()] if isinstance(v, str) else []
+    return out
+
+
 def srcset_urls(srcset: str | None) -> list[str]:
     """The URLs of a srcset: candidates are parted by commas that end a URL or follow its descriptors."""
     out, at, text = [], 0, srcset or ""
@@ -366,6 +395,7 @@ def parse(html: str | None, url: str | None) -> dict:
     authors += [clean(x) for x in named("author") if clean(x)]
     authors += [t for n in nodes if ("author" in rel(n) or n.get("itemprop") == "author" or re.search(r"(?:^|[\s_-])(?:byline|author)(?:$|[\s_-])", n.get("class") or "")) and (t := n.text(is_hidden)) and len(t) < 100]
     featured = next((n for n in content.walk() if n.tag == "img"), None)
+    share = absolute(next((x for x in (og.get("og:image"), og.get("og:image:url"), *named("twitter:image")) if x and x.strip()), None), base)
     return {
         "title": next((t for n in nodes if n.tag == "title" and not n.inside("svg") and (t := clean(n.text(lambda x: False)))), None),
         "meta_description": next((d for d in descriptions if d), None),
@@ -405,6 +435,11 @@ def parse(html: str | None, url: str | None) -> dict:
         "nosnippet_share": silent / body_words if body_words else 0.0,
         "csp_upgrades": any((n.get("http-equiv") or "").lower() == "content-security-policy" and "upgrade-insecure-requests" in (n.get("content") or "") for n in metas),
         "html_bytes": len(html.encode("utf-8", "surrogatepass")),
+        "feeds": list(dict.fromkeys(u for n in links if "alternate" in rel(n) and (n.get("type") or "").split(";")[0].strip().lower() in FEED_TYPES and (u := absolute(n.get("href"), base)))),
+        "share_image": share, "share_image_as_background": share is not None and any(absolute(u, base) == share for n in content.walk() for u in _BACKGROUND.findall(n.get("style") or "")),
+        "declared_keywords": list(dict.fromkeys([*_keywords(ld), *(clean(n.get("content")) for n in metas if n.get("property") == "article:tag" and clean(n.get("content")))])),
+        "article_images": list(dict.fromkeys(u for x in images_of(article.get("image"), by_id) if (u := absolute(x, base)))),
+        "microdata_types": list(dict.fromkeys(t for n in micro if (t := (n.get("itemtype") or "").rpartition("/")[2]))),
         "featured_loading": (featured.get("loading") or "eager") if featured is not None else None,
     }
 
