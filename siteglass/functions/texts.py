@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -49,10 +51,37 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when(F.size(a) + F.size(b) > 0, both / (F.size(a) + F.size(b) - both))
 
 
-def normalised(text: Column) -> Column:
-    """Lower case; elisions and contractions apart; everything but letters and digits one space. The
-    compatibility form is taken in Python where a text needs it; plain text is in that form already."""
-    t = F.lower(text)
+#: What stands for one plain character: the full-width forms, raised and lowered digits, odd spaces; and for several.
+_WIDE = "".join(map(chr, range(0xFF01, 0xFF5F)))
+_RAISED = "⁰¹²³⁴⁵⁶⁷⁸⁹₀₁₂₃₄₅₆₇₈₉\u3000\u00a0\u2009\u202f"
+_LIGATURES = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st", "…": "...", "™": "TM", "№": "No", "½": "1⁄2", "¼": "1⁄4", "¾": "3⁄4", "ª": "a", "º": "o"}
+#: Marks that join the letter before them: grave, acute, circumflex, tilde, diaeresis, ring, cedilla, caron, macron.
+_MARKS = "\u0300\u0301\u0302\u0303\u0308\u030a\u0327\u030c\u0304"
+
+
+def _composed() -> list[tuple[str, str]]:
+    """Each pair of a Latin letter and a mark that is one character, by Unicode's own rule."""
+    letters = [chr(c + k) for c in (65, 97) for k in range(26)]
+    pairs = ((a + mark, unicodedata.normalize("NFC", a + mark)) for a in letters for mark in _MARKS)
+    return [(a, b) for a, b in pairs if len(b) == 1]
+
+
+def compatible(text: Column) -> Column:
+    """The compatibility form of what pages write: full-width letters, ligatures, raised digits, and letters with
+    marks apart, as plain characters. Texts without any are left alone."""
+    plain = "".join(chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)) + "01234567890123456789    "
+    wide = F.translate(text, _WIDE + _RAISED, plain)
+    for a, b in _LIGATURES.items():
+        wide = F.replace(wide, F.lit(a), F.lit(b))
+    one = F.when(text.rlike(f"[{_WIDE[0]}-{_WIDE[-1]}{_RAISED}{''.join(_LIGATURES)}]"), wide).otherwise(text)
+    pairs = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in _composed()))
+    return F.when(text.rlike(f"[{_MARKS}]"), F.aggregate(pairs, one, lambda t, x: F.replace(t, x["a"], x["b"]))).otherwise(one)
+
+
+def normalised(text: Column, whole: bool = False) -> Column:
+    """Lower case; elisions and contractions apart; everything but letters and digits one space. whole takes the
+    compatibility form first, which plain text is in already."""
+    t = F.lower(compatible(text) if whole else text)
     t = F.regexp_replace(t, "\\b([ldjtmnsc]|qu)['’]", " ")
     t = F.regexp_replace(t, "['’](s|t|re|ve|ll|d|m)\\b", "")
     t = F.regexp_replace(t, "['’]", "")
@@ -64,7 +93,21 @@ def iso_language(lang: Column) -> Column:
 
 
 def clip(text: Column, width: int) -> Column:
-    return F.substring(text, 1, width)
+    """The first `width` units of UTF-16, as column widths count them; a character that they would cut goes."""
+    units = F.encode(text, "UTF-16BE")
+    last = F.hex(F.substring(units, 2 * width - 1, 1))
+    cut = F.when(last.between("D8", "DB"), F.substring(units, 1, 2 * width - 2)).otherwise(F.substring(units, 1, 2 * width))
+    return F.when(F.octet_length(units) <= 2 * width, text).otherwise(F.decode(cut, "UTF-16BE"))
+
+
+#: Verbs that end a clause and no subject.
+CLAUSE_VERBS = ("is", "are", "was", "were", "has", "have", "had", "can", "will", "do", "does", "did", "get", "make", "need", "use", "want", "work")
+
+
+def clause_shaped(term: Column, verbs: tuple[str, ...] = CLAUSE_VERBS) -> Column:
+    """A term of several words that ends in a verb: a piece of a clause, not a subject."""
+    tokens = F.split(term, " ")
+    return (F.size(tokens) >= 2) & F.element_at(tokens, -1).isin(*verbs)
 
 
 def content_hash(text: Column) -> Column:
@@ -91,7 +134,7 @@ def tokenize(text: Column) -> Column:
     """Runs of tokens, as an array of arrays of struct(token, glued): a run ends where a sentence or clause
     does; glued says that a token was written as one word with the one before it. Runs of weak tokens alone
     are left out."""
-    clean = F.regexp_replace(F.regexp_replace(text, _TRUNCATED, " "), _SPLIT_WORD, "$1 ")
+    clean = F.regexp_replace(F.regexp_replace(compatible(text), _TRUNCATED, " "), _SPLIT_WORD, "$1 ")
 
     def tokens(word: Column) -> Column:
         parts = F.filter(F.split(normalised(word), " "), lambda t: t != "")
@@ -114,3 +157,8 @@ def strip_title_chrome(title: Column, site: Column, site_name: Column, chrome: C
 
     last = F.array_max(F.transform(parts, lambda x, i: F.when((i == 0) | ~is_chrome(x), i + 1).otherwise(0)))
     return F.array_join(F.slice(parts, F.lit(1), F.coalesce(last, F.lit(0))), " - ")
+
+
+def slug(stem: Column) -> Column:
+    """The words of a URL's last part."""
+    return F.regexp_replace(stem, "[-_]", " ")

@@ -256,8 +256,8 @@ RUN_FACTS = {
     "NEAR_DUPLICATE_CONTENT": ("run_pages", "near_pages"),
 }
 VALUES = {
-    "title_pages": lambda: texts.normalised(p("title")),
-    "description_pages": lambda: texts.normalised(p("meta_description")),
+    "title_pages": lambda: texts.normalised(p("title"), whole=True),
+    "description_pages": lambda: texts.normalised(p("meta_description"), whole=True),
     "keyword_pages": lambda: c("top_keyword"),
 }
 

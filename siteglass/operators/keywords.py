@@ -80,7 +80,7 @@ def clauses(title: Column, slug: Column) -> Column:
 def candidates(fields: DataFrame, most: int = MOST_WORDS) -> DataFrame:
     """From (run, page_id, lang, field, text) the terms of each page: run, page_id, lang, term, n_words,
     fields (set), tf (in the body). A term neither begins nor ends in a stop word or weak token."""
-    tokens = F.filter(F.split(texts.normalised(F.col("text")), " "), lambda t: t != "")
+    tokens = F.filter(F.split(texts.normalised(F.col("text"), whole=True), " "), lambda t: t != "")
     cut = fields.select("run", "page_id", "lang", "field", tokens.alias("tokens"))
     grams = F.when(F.col("lang").isin(*LANGUAGES), texts.ngrams(F.col("tokens"), most)).otherwise(texts.ngrams(F.col("tokens"), min(most, MOST_WORDS_UNKNOWN)))
     rows = cut.select("run", "page_id", "lang", "field", F.explode(grams).alias("term"))
@@ -169,7 +169,7 @@ def repeated_values(pages: DataFrame, run: str, page: str, values: Column) -> Da
     """run, value, pages of the values (normalised, each once a page) that at least two pages and RUN_SHARE of the
     run's pages hold: title chrome if they are tail parts of titles, taxonomy if they are declared keywords."""
     least = pages.groupBy(run).agg(F.greatest(F.lit(2), F.ceil(F.countDistinct(page) * RUN_SHARE)).alias("__least"))
-    own = F.array_distinct(F.transform(values, texts.normalised))
+    own = F.array_distinct(F.transform(values, lambda v: texts.normalised(v)))
     rows = pages.select(run, page, F.explode(own).alias("value")).where("value != ''")
     counted = rows.groupBy(run, "value").agg(F.countDistinct(page).alias("pages"))
     return counted.join(least, run).where("pages >= __least").drop("__least")

@@ -10,7 +10,7 @@ from siteglass.functions import bands
 _METRIC = "struct<percentile:double,distributions:array<struct<min:double,max:double,proportion:double>>>"
 _FIELD = f"metrics:struct<LARGEST_CONTENTFUL_PAINT_MS:{_METRIC},INTERACTION_TO_NEXT_PAINT:{_METRIC},CUMULATIVE_LAYOUT_SHIFT_SCORE:{_METRIC},EXPERIMENTAL_TIME_TO_FIRST_BYTE:{_METRIC}>"
 SCHEMA = f"""struct<loadingExperience:struct<{_FIELD},origin_fallback:boolean>,originLoadingExperience:struct<{_FIELD}>,
-lighthouseResult:struct<audits:map<string,struct<score:double,scoreDisplayMode:string,numericValue:double,details:struct<overallSavingsBytes:double>>>,categories:struct<performance:struct<score:double>,seo:struct<score:double>,accessibility:struct<score:double>>,runtimeError:struct<code:string>>,
+lighthouseResult:struct<audits:map<string,struct<score:double,scoreDisplayMode:string,numericValue:double,details:struct<overallSavingsBytes:double,items:array<struct<url:string,totalBytes:double,wastedBytes:double,type:string,selector:string,snippet:string,items:array<struct<subpart:string,duration:double>>>>>>>,categories:struct<performance:struct<score:double>,seo:struct<score:double>,accessibility:struct<score:double>>,runtimeError:struct<code:string>>,
 error:struct<code:int,message:string,errors:array<struct<reason:string>>>>""".replace("\n", "")
 #: Metric: its name in field data and its audit in lab data; INP has no lab value.
 METRICS = {
@@ -84,3 +84,46 @@ def vital_issues(measured: DataFrame, key: str) -> DataFrame:
     """A row for each metric outside good: key, metric, band, value."""
     rows = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(f"{m}.band").alias("band"), F.col(f"{m}.value").alias("value")) for m in ("lcp", "inp", "cls")])
     return measured.select(key, F.explode(rows).alias("x")).where("x.band is not null and x.band != 'good'").select(key, "x.*")
+
+
+#: The phases of a largest paint in order, and the audits that hold them and the images.
+LCP_PHASES = ("timeToFirstByte", "resourceLoadDelay", "resourceLoadDuration", "elementRenderDelay")
+BREAKDOWN_AUDIT, IMAGES_AUDIT = "lcp-breakdown-insight", "image-delivery-insight"
+MOST_IMAGES = 10
+#: Audits that are told of beside the score, where they fail.
+DIAGNOSTICS = ("render-blocking-insight", "unused-javascript", "unused-css-rules", "font-display-insight", "dom-size-insight", "cache-insight", "legacy-javascript-insight")
+
+
+def _items(audit: str) -> Column:
+    return F.col("a.lighthouseResult.audits")[audit]["details"]["items"]
+
+
+def lcp_breakdown() -> Column:
+    """struct(selector, snippet, phases): the phases of the largest paint in the order they happen, none below 0;
+    null without any."""
+    items = F.coalesce(_items(BREAKDOWN_AUDIT), F.array().cast("array<struct<url:string,totalBytes:double,wastedBytes:double,type:string,selector:string,snippet:string,items:array<struct<subpart:string,duration:double>>>>"))
+    table = F.get(F.filter(items, lambda x: x["items"].isNotNull()), F.lit(0))["items"]
+    node = F.get(F.filter(items, lambda x: (x["type"] == "node") & x["selector"].isNotNull() & x["snippet"].isNotNull()), F.lit(0))
+    named = F.transform(F.array(*map(F.lit, LCP_PHASES)), lambda p: F.struct(p.alias("phase"), F.get(F.filter(table, lambda r: r["subpart"] == p), F.lit(0))["duration"].alias("ms")))
+    phases = F.transform(F.filter(named, lambda x: x["ms"].isNotNull()), lambda x: F.struct(x["phase"].alias("phase"), F.greatest(F.lit(0), F.floor(x["ms"] + 0.5)).cast("long").alias("ms")))
+    return F.when(F.size(phases) > 0, F.struct(node["selector"].alias("selector"), node["snippet"].alias("snippet"), phases.alias("phases")))
+
+
+def heaviest_images() -> Column:
+    """The images of an answer by the bytes they waste, MOST_IMAGES of them; ties by URL."""
+    rows = F.filter(_items(IMAGES_AUDIT), lambda x: x["url"].isNotNull() & (x["wastedBytes"] > 0))
+    ranked = F.array_sort(F.transform(rows, lambda x: F.struct((-x["wastedBytes"]).alias("less"), x["url"].alias("url"), x["totalBytes"].alias("total_bytes"), x["wastedBytes"].alias("wasted_bytes"))))
+    return F.transform(F.slice(ranked, 1, MOST_IMAGES), lambda x: F.struct(x["url"].alias("url"), x["total_bytes"].alias("total_bytes"), x["wasted_bytes"].alias("wasted_bytes")))
+
+
+def diagnostics() -> Column:
+    """The diagnostic audits that an answer fails, in the catalogue's order."""
+    audits = F.col("a.lighthouseResult.audits")
+    return F.filter(F.array(*map(F.lit, DIAGNOSTICS)), lambda k: F.coalesce(audits[k]["score"] < 0.9, F.lit(False)))
+
+
+def owners() -> list[tuple[str, str]]:
+    """(code, owner) of all findings: each code has one writer, which alone may replace its rows."""
+    from siteglass.operators import checks
+
+    return [*((x.code, "crawl") for x in checks.CATALOGUE), *((f"LIGHTHOUSE_{k.replace('-', '_').upper()}", "lighthouse") for k in SEO_AUDITS), *((f"{k.upper()}_NOT_GOOD", "vitals") for k in METRICS)]

@@ -27,8 +27,11 @@ def upsert_if(old: DataFrame, new: DataFrame, keys: list[str], condition: Column
 
 
 def insert_ignore(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows of new keys only; of several with one key an arbitrary one."""
-    return old.unionByName(new.dropDuplicates(keys).join(old.select(*keys), keys, "left_anti"))
+    """Rows of new keys only; of several with one key the smallest, column by column, so that a task that runs
+    again chooses alike."""
+    rest = [c for c in new.columns if c not in keys]
+    first = new.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("__row")).select(*keys, "__row.*") if rest else new.distinct()
+    return old.unionByName(first.select(*new.columns).join(old.select(*keys), keys, "left_anti"))
 
 
 def replace_partial(old: DataFrame, new: DataFrame, groups: list[str], owned: Column) -> DataFrame:

@@ -12,7 +12,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
 #: Modules that register queries when they are imported.
-_MODULES = ("relational", "scalars", "writes", "texts", "sites", "speed")
+_MODULES = ("relational", "scalars", "writes", "texts", "sites", "speed", "published")
 
 
 def query(name: str, sql: str | None = None, prelude: bool = True) -> Callable[[Query], Query]:

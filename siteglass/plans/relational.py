@@ -291,11 +291,14 @@ def join_scalar_count(spark, sf_dir):
     return p.select("page_id", "run_id").join(counts, "run_id").select("page_id", "run_pages", "kinds")
 
 
-@query("join_update_from", f"SELECT j.run_id, CASE WHEN {_DUE} THEN 'running' ELSE status END AS status, CASE WHEN {_DUE} THEN attempts + 1 ELSE attempts END AS attempts FROM {_JOBS} j")
+@query("join_update_from", f"SELECT j.run_id, CASE WHEN c.run_id IS NOT NULL THEN 'running' ELSE j.status END AS status, CASE WHEN c.run_id IS NOT NULL THEN attempts + 1 ELSE attempts END AS attempts FROM {_JOBS} j LEFT JOIN (SELECT client_id, max(run_id) AS run_id FROM {_JOBS} WHERE {_DUE} GROUP BY client_id) c ON c.run_id = j.run_id")
 def join_update_from(spark, sf_dir):
-    """Claimed rows take their new values, the others keep theirs."""
-    hit = due(NOW)
-    return jobs(spark, sf_dir).select("run_id", F.when(hit, "running").otherwise(F.col("status")).alias("status"), F.when(hit, F.col("attempts") + 1).otherwise(F.col("attempts")).alias("attempts"))
+    """Rows that a claim names (the latest due job of each client) take their new values, the others keep theirs."""
+    j = jobs(spark, sf_dir)
+    claimed = j.where(due(NOW)).groupBy("client_id").agg(F.max("run_id").alias("run_id")).select("run_id", F.lit(True).alias("mine"))
+    met = j.join(claimed, "run_id", "left")
+    hit = F.coalesce("mine", F.lit(False))
+    return met.select("run_id", F.when(hit, "running").otherwise(F.col("status")).alias("status"), F.when(hit, F.col("attempts") + 1).otherwise(F.col("attempts")).alias("attempts"))
 
 
 @query("join_previous_crawl", "SELECT a.run_id, max(b.finished_at) AS previous_at FROM runs a LEFT JOIN runs b ON a.client_id = b.client_id AND b.finished_at < a.finished_at GROUP BY a.run_id")
@@ -390,8 +393,9 @@ def agg_max_group(spark, sf_dir):
 
 @query("agg_array_distinct_count", "SELECT run_id, len(list_distinct(a)) = len(a) AS clean FROM (SELECT run_id, list(severity) AS a FROM crawled GROUP BY run_id)")
 def agg_array_distinct_count(spark, sf_dir):
-    a = m.pages(spark, sf_dir).groupBy("run_id").agg(F.collect_list("severity").alias("a"))
-    return a.select("run_id", (F.size(F.array_distinct("a")) == F.size("a")).alias("clean"))
+    """Whether no value repeats: counts, not a list of a run's rows."""
+    a = m.pages(spark, sf_dir).groupBy("run_id").agg(F.countDistinct("severity").alias("kinds"), F.count("severity").alias("n"))
+    return a.select("run_id", (F.col("kinds") == F.col("n")).alias("clean"))
 
 
 _LATEST_PAIRS = "(SELECT page_no, keyword, arg_max(position, (captured_at, snapshot_id)) AS position, max(captured_at) AS captured_at FROM snaps GROUP BY ALL)"
@@ -554,18 +558,18 @@ def claim_fifo(spark, sf_dir):
 
 @query(
     "claim_fair",
-    f"""SELECT j.run_id, c.user_id, j.client_id FROM {_JOBS} j JOIN clients c USING (client_id)
+    f"""SELECT j.run_id, c.user_id, j.client_id, j.run_id % 2 AS device FROM {_JOBS} j JOIN clients c USING (client_id)
     LEFT JOIN (SELECT client_id, max(finished_at) AS cs FROM runs WHERE status = 'succeeded' GROUP BY client_id) a USING (client_id)
     LEFT JOIN (SELECT user_id, max(finished_at) AS us FROM runs JOIN clients USING (client_id) WHERE status = 'succeeded' GROUP BY user_id) b USING (user_id)
-    WHERE {_DUE} ORDER BY us NULLS FIRST, cs NULLS FIRST, next_at, run_id LIMIT 10""",
+    WHERE {_DUE} ORDER BY us NULLS FIRST, cs NULLS FIRST, next_at, j.run_id % 2, j.run_id LIMIT 10""",
 )
 def claim_fair(spark, sf_dir):
-    """Due jobs of the least recently served user, then client, then by age."""
+    """Due jobs of the least recently served user, then client, then by age, then by device, the first one first."""
     c = m.clients(spark, sf_dir).select("client_id", "user_id")
     served = m.runs(spark, sf_dir).where("status = 'succeeded'").groupBy("client_id").agg(F.max("finished_at").alias("cs"))
     users = served.join(c, "client_id").groupBy("user_id").agg(F.max("cs").alias("us"))
-    j = jobs(spark, sf_dir).where(due(NOW)).join(c, "client_id").join(served, "client_id", "left").join(users, "user_id", "left")
-    return j.orderBy(F.asc_nulls_first("us"), F.asc_nulls_first("cs"), "next_at", "run_id").limit(10).select("run_id", "user_id", "client_id")
+    j = jobs(spark, sf_dir).where(due(NOW)).withColumn("device", F.col("run_id") % 2).join(c, "client_id").join(served, "client_id", "left").join(users, "user_id", "left")
+    return j.orderBy(F.asc_nulls_first("us"), F.asc_nulls_first("cs"), "next_at", "device", "run_id").limit(10).select("run_id", "user_id", "client_id", "device")
 
 
 @query("sort_catalogue", "SELECT page_id, severity, place FROM current_pages ORDER BY CASE severity WHEN 'error' THEN 0 WHEN 'warning' THEN 1 ELSE 2 END, page_id")
@@ -589,7 +593,9 @@ def limit_evidence(spark, sf_dir):
         text = x.cast("string")
         return F.when(F.length(text) > 3, F.concat(F.substring(text, 1, 3), F.lit("…"))).otherwise(text)
 
-    items = m.pages(spark, sf_dir).groupBy("run_id").agg(F.slice(F.array_sort(F.collect_list("code")), 1, 5).alias("items"))
+    # cut before it is gathered: at most five rows a run
+    first = m.pages(spark, sf_dir).withColumn("n", F.row_number().over(W.partitionBy("run_id").orderBy("code"))).where("n <= 5")
+    items = first.groupBy("run_id").agg(F.array_sort(F.collect_list("code")).alias("items"))
     return items.select("run_id", F.concat(F.lit("["), F.array_join(F.transform("items", cut), ", "), F.lit("]")).alias("evidence"))
 
 

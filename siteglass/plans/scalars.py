@@ -71,7 +71,7 @@ _TOKENS = f"string_split({_COLLAPSED}, ' ')"
 _register("fn_collapse", "documents", "doc_id", lambda: F.md5(texts.collapse(c("text"))), f"md5({_COLLAPSED})")
 _register("fn_word_count", "documents", "doc_id", lambda: texts.word_count(c("text")), f"len(list_filter({_TOKENS}, lambda w: regexp_matches(w, '[\\p{{L}}\\p{{N}}]')))")
 _register("fn_char_length", "documents", "doc_id", lambda: F.length("text"), "length(text)")
-_register("fn_clip", "documents", "doc_id", lambda: texts.clip(c("text"), 80), "substr(text, 1, 80)")
+_register("fn_clip", "documents", "doc_id", lambda: texts.clip(F.concat(F.lit("a🙂🙂"), F.coalesce(c("text"), F.lit("")), F.lit("x" * 9)), 4), "'a🙂'")
 _register("fn_content_hash", "documents", "doc_id", lambda: texts.content_hash(c("text")), "sha256(text)")
 _register("fn_iso_language", "documents", "doc_id", lambda: texts.iso_language(F.concat(c("lang"), F.lit("_XX"))), "lower(lang)")
 _register("fn_is_weak_token", "part", "p_partkey", lambda: texts.is_weak_token(F.get(F.split("p_name", " "), 0)), "length(string_split(p_name, ' ')[1]) < 2 OR regexp_matches(string_split(p_name, ' ')[1], '^[0-9]+$')")
@@ -87,8 +87,8 @@ def fn_shingles(spark, sf_dir):
 
 
 _register("fn_jaccard", "part", "p_partkey", lambda: F.round(texts.jaccard(F.array_distinct(F.split("p_name", " ")), F.array_distinct(F.split("p_type", " "))), 9), "round(len(list_intersect(string_split(p_name, ' '), string_split(p_type, ' '))) / len(list_distinct(list_concat(string_split(p_name, ' '), string_split(p_type, ' '))))::DOUBLE, 9)")
-_register("fn_normalize_text", "part", "p_partkey", lambda: texts.normalised(c("p_name")), "trim(regexp_replace(lower(p_name), '[^a-z0-9]+', ' ', 'g'))")
-_register("fn_clause_shaped", "part", "p_partkey", lambda: (F.size(F.split("p_name", " ")) >= 2) & F.element_at(F.split("p_name", " "), -1).isin("is", "are", "was", "has"), "len(string_split(p_name, ' ')) >= 2 AND string_split(p_name, ' ')[-1] IN ('is', 'are', 'was', 'has')")
+_register("fn_normalize_text", "part", "p_partkey", lambda: texts.normalised(F.concat("p_name", F.lit("’s ﬁne Ｆｕｌｌ x² e\u0301te\u0301 — l’été DON'T")), whole=True), "trim(regexp_replace(lower(p_name), '[^a-z0-9]+', ' ', 'g')) || ' fine full x2 été été don'")
+_register("fn_clause_shaped", "part", "p_partkey", lambda: texts.clause_shaped(F.concat(c("p_name"), F.when(c("p_partkey") % 2 == 0, " is").otherwise(""))), "p_partkey % 2 = 0")
 _register("fn_letters_by_script", "documents", "doc_id", lambda: texts.letters_by_script(c("text"))["latin"], "length(text) - length(regexp_replace(text, '\\p{Latin}', '', 'g'))")
 
 _register("fn_is_iso_day", "events", "event_id", lambda: times.is_iso_day(F.concat(F.date_format("ts", "yyyy-MM-"), F.lpad((c("event_id") % 40).cast("string"), 2, "0"))), "event_id % 40 BETWEEN 1 AND 31")
@@ -133,4 +133,4 @@ _register("fn_unscale_cls", "part", "p_partkey", lambda: bands.unscaled_cls(c("p
 _register("fn_round_digits", "part", "p_partkey", lambda: F.round(c("p_retailprice") / 7, 4), "round(p_retailprice / 7, 4)")
 _register("fn_array_is_clean", "part", "p_partkey", lambda: texts.is_clean(F.when(c("p_partkey") % 4 == 0, F.array_append(F.split("p_name", " "), F.lit(None).cast("string"))).when(c("p_partkey") % 4 == 1, F.array_append(F.split("p_name", " "), F.lit(""))).when(c("p_partkey") % 4 == 2, F.split("p_name", " "))), "CASE p_partkey % 4 WHEN 2 THEN len(list_distinct(string_split(p_name, ' '))) = len(string_split(p_name, ' ')) WHEN 3 THEN NULL ELSE false END")
 _register("fn_cardinality", "part", "p_partkey", lambda: F.size(F.split("p_type", " ")), "len(string_split(p_type, ' '))")
-_register("fn_jsonb_get_dyn", "events", "event_id", lambda: F.from_json("props", "map<string,int>")["k"], "CAST(json_extract(props, '$.k') AS INTEGER)")
+_register("fn_jsonb_get_dyn", "events", "event_id", lambda: F.from_json("props", "map<string,int>")[F.when(c("event_id") % 2 == 0, "k").otherwise("none")], "CASE WHEN event_id % 2 = 0 THEN CAST(json_extract(props, '$.k') AS INTEGER) END")

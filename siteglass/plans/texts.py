@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from siteglass.functions import texts, urls
+from siteglass.functions import bands, texts, urls
 from siteglass.operators import checks, keywords, ranks
 from siteglass.plans import model as m
 from siteglass.plans.registry import query
@@ -68,12 +68,13 @@ def kw_df(spark, sf_dir):
     return rows.groupBy("source", "word").agg(F.countDistinct("doc_id").alias("df")).where("df > 1")
 
 
-@query("kw_idf_score", "SELECT p_brand, p_size, round(ln(1 + n / df::DOUBLE) / ln(1 + n), 9) AS idf FROM (SELECT p_brand, p_size, count(*) AS df FROM part GROUP BY ALL) JOIN (SELECT p_brand, count(*) AS n FROM part GROUP BY ALL) USING (p_brand)", prelude=False)
+@query("kw_idf_score", "SELECT p_brand, p_size, round(CASE WHEN n <= 1 THEN 1.0 WHEN p_size % 2 = 0 AND df <= 0.15 * n THEN 1 - 0.5 * (1 - ln(1 + n / df::DOUBLE) / ln(1 + n)) ELSE ln(1 + n / df::DOUBLE) / ln(1 + n) END, 9) AS idf FROM (SELECT p_brand, p_size, count(*) AS df FROM part GROUP BY ALL) JOIN (SELECT p_brand, count(*) AS n FROM part GROUP BY ALL) USING (p_brand)", prelude=False)
 def kw_idf_score(spark, sf_dir):
+    """Sizes of a brand's parts as terms of its pages; those of even size stand in a title."""
     p = m.table(spark, sf_dir, "part")
     df = p.groupBy("p_brand", "p_size").agg(F.count(F.lit(1)).alias("df"))
     n = p.groupBy("p_brand").agg(F.count(F.lit(1)).alias("n"))
-    return df.join(n, "p_brand").select("p_brand", "p_size", F.round(F.log(1 + F.col("n") / F.col("df")) / F.log(1 + F.col("n")), 9).alias("idf"))
+    return df.join(n, "p_brand").select("p_brand", "p_size", F.round(bands.idf(F.col("n"), F.col("df"), F.col("p_size") % 2 == 0), 9).alias("idf"))
 
 
 def _shared_sql(values: str) -> str:
