@@ -1,7 +1,6 @@
 """Checks of a whole site, as columns over one row a site.
 
-Input columns, each nullable: robots (text), robots_bytes, sitemap (array<struct<url, status, final_url,
-noindex, blocked, lastmod>>), served_origin, probes (array<struct<url, status, hops, first_status,
+Input columns, each nullable: robots (text), robots_bytes, sitemap (the counts of `sitemap_counts`), served_origin, probes (array<struct<url, status, hops, first_status,
 origin>>), made_up_status, icon (struct<format, width, height, status, blocked>), site_names, og_site_name,
 client_rendered, pages, crawled_at.
 """
@@ -22,15 +21,30 @@ def _lines(text: Column) -> Column:
     return F.transform(F.split(F.lower(text), "\n"), lambda x: F.trim(x))
 
 
-def _lastmods() -> Column:
-    return F.array_compact(F.transform("sitemap", lambda s: F.coalesce(F.try_to_timestamp(s["lastmod"]), F.try_to_timestamp(s["lastmod"], F.lit("yyyy-MM-dd")))))
+#: Seconds around the crawl in which a lastmod says no more than when the sitemap was made.
+NEAR = 7200
+SITEMAP = "struct<urls:long,non_indexable:long,other_hosts:long,lastmods:long,distinct_lastmods:long,near_lastmods:long>"
 
 
-def _unreliable() -> Column:
-    near = F.size(F.filter(_lastmods(), lambda t: F.abs(F.unix_timestamp(t) - F.unix_timestamp("crawled_at")) <= 7200))
-    return (F.size(F.array_distinct(_lastmods())) == 1) | (near >= 0.8 * F.size(_lastmods()))
+def sitemap_counts(entries: DataFrame, sites: DataFrame, key: str) -> DataFrame:
+    """sites (key, served_origin, crawled_at, ...) with `sitemap`, counts over the entries (key, url, status,
+    final_url, noindex, blocked, lastmod) of each site's sitemaps: no list of a site's URLs is ever made."""
+    own = entries.join(sites.select(key, "served_origin", "crawled_at"), key)
+    at = F.coalesce(F.try_to_timestamp("lastmod"), F.try_to_timestamp("lastmod", F.lit("yyyy-MM-dd")))
+    own = own.withColumn("__at", at)
+    bad = (F.col("status") >= 300) | F.col("noindex") | F.col("blocked") | (F.col("final_url") != F.col("url"))
+    near = F.abs(F.unix_timestamp("__at") - F.unix_timestamp("crawled_at")) <= NEAR
+    counted = own.groupBy(key).agg(
+        F.struct(
+            F.count(F.lit(1)).alias("urls"), F.count_if(bad).alias("non_indexable"), F.count_if(_origin(F.col("url")) != F.col("served_origin")).alias("other_hosts"), F.count("__at").alias("lastmods"),
+            F.countDistinct("__at").alias("distinct_lastmods"), F.count_if(near).alias("near_lastmods"),
+        ).alias("sitemap")
+    )
+    return sites.join(counted, key, "left")
 
 
+def _unreliable() -> Column:
+    return (F.col("sitemap.distinct_lastmods") == 1) | (F.col("sitemap.near_lastmods") >= 0.8 * F.col("sitemap.lastmods"))
 
 
 def rules() -> dict[str, tuple[str, Column, Column]]:
@@ -40,9 +54,9 @@ def rules() -> dict[str, tuple[str, Column, Column]]:
         "ROBOTS_TXT_TRUNCATED": ("warning", F.col("robots_bytes").isNotNull(), F.col("robots_bytes") > 500 * 1024),
         "ROBOTS_TXT_UNSUPPORTED_RULES": ("notice", F.col("robots").isNotNull(), F.exists(_lines(F.col("robots")), lambda x: x.rlike("^(noindex|nofollow|host)\\s*:"))),
         "ROBOTS_GOOGLEBOT_GROUP_DROPS_RULES": ("warning", F.lower("robots").rlike("user-agent\\s*:\\s*googlebot"), F.lower("robots").rlike("(?s)user-agent\\s*:\\s*\\*[^u]*disallow\\s*:\\s*/") & ~F.lower("robots").rlike("(?s)user-agent\\s*:\\s*googlebot\\s*\\n(?:(?!user-agent).)*disallow\\s*:\\s*/")),
-        "SITEMAP_LISTS_NON_INDEXABLE": ("warning", some("sitemap"), F.exists("sitemap", lambda s: (s["status"] >= 300) | s["noindex"] | s["blocked"] | (s["final_url"] != s["url"]))),
-        "SITEMAP_LISTS_OTHER_HOST_VARIANTS": ("warning", some("sitemap") & F.col("served_origin").isNotNull(), F.exists("sitemap", lambda s: _origin(s["url"]) != F.col("served_origin"))),
-        "SITEMAP_LASTMOD_UNRELIABLE": ("notice", F.size(_lastmods()) >= 5, _unreliable()),
+        "SITEMAP_LISTS_NON_INDEXABLE": ("warning", F.col("sitemap.urls") > 0, F.col("sitemap.non_indexable") > 0),
+        "SITEMAP_LISTS_OTHER_HOST_VARIANTS": ("warning", (F.col("sitemap.urls") > 0) & F.col("served_origin").isNotNull(), F.col("sitemap.other_hosts") > 0),
+        "SITEMAP_LASTMOD_UNRELIABLE": ("notice", F.col("sitemap.lastmods") >= 5, _unreliable()),
         "HOST_VARIANT_SERVES_CONTENT": ("warning", some("probes"), F.exists(host_probes, lambda p: (p["status"].between(200, 299)) & (p["hops"] == 0))),
         "HOST_REDIRECT_CHAIN": ("notice", some("probes"), F.exists("probes", lambda p: (p["hops"] >= 3) | p["first_status"].isin(302, 303, 307))),
         "SOFT_404": ("warning", F.col("made_up_status").isNotNull(), F.col("made_up_status").between(200, 299)),

@@ -54,31 +54,62 @@ def lh_extract(spark, sf_dir):
     return speed.measure(answers(spark, sf_dir).where("status = 200")).select("s_suppkey", F.array_join("lighthouse_failed", ",").alias("failed"))
 
 
+#: Robots files of three kinds of sites; the third names rules that are not supported, and a group that drops one.
+_ROBOTS = (None, "User-agent: *\nDisallow: /admin", "User-agent: *\nDisallow: /admin\nUser-agent: Googlebot\nNoindex: /x")
+
+
 def sites(spark, sf_dir):
-    """Each site of the pages with what a crawl would know of it."""
+    """Each site of the pages with what a crawl would know of it, made from the length of its name so that every
+    answer of every check occurs."""
     p = m.table(spark, sf_dir, "pages").select("url", urls.site_key(F.col("url")).alias("site"))
-    entry = F.struct(
-        "url", F.when(F.length("url") % 7 == 0, 301).otherwise(200).alias("status"), F.col("url").alias("final_url"), F.lit(False).alias("noindex"), F.lit(False).alias("blocked"),
-        F.lit("2024-01-01").alias("lastmod"),
-    )
-    one = p.groupBy("site").agg(F.collect_list(entry).alias("sitemap"), F.count(F.lit(1)).alias("pages"))
-    none = lambda t: F.lit(None).cast(t)
-    return one.select(
-        "site", "sitemap", "pages", F.concat(F.lit("https://"), "site").alias("served_origin"), F.lit("User-agent: *\nDisallow: /admin\nNoindex: /x").alias("robots"), F.lit(60).alias("robots_bytes"),
-        none("array<struct<url:string,status:int,hops:int,first_status:int,origin:string>>").alias("probes"), F.lit(404).alias("made_up_status"),
-        none("struct<format:string,width:int,height:int,status:int,blocked:boolean>").alias("icon"), F.array().cast("array<string>").alias("site_names"), none("string").alias("og_site_name"),
-        F.lit(0).alias("client_rendered"), F.lit("2024-01-02").cast("timestamp").alias("crawled_at"),
+    n = F.length("site")
+    one = p.groupBy("site").agg(F.count(F.lit(1)).alias("pages")).withColumn("n", n)
+    origin = F.concat(F.lit("https://"), "site")
+    probe = F.struct(F.lit("http://other").alias("url"), F.when(n % 2 == 0, 200).otherwise(301).alias("status"), (n % 4).alias("hops"), F.when(n % 5 == 0, 302).otherwise(301).alias("first_status"), F.lit("http://other").alias("origin"))
+    icon = F.struct(F.lit("png").alias("format"), F.lit(16).alias("width"), F.when(n % 2 == 0, 16).otherwise(15).alias("height"), F.lit(200).alias("status"), F.lit(False).alias("blocked"))
+    known = one.select(
+        "site", "pages", "n", origin.alias("served_origin"), F.when(n % 3 == 1, _ROBOTS[1]).when(n % 3 == 2, _ROBOTS[2]).alias("robots"), F.when(n % 3 > 0, F.when(n % 4 == 0, 600_000).otherwise(60)).alias("robots_bytes"),
+        F.when(n % 3 > 0, F.array(probe)).alias("probes"), F.when(n % 3 > 0, F.when(n % 2 == 0, 200).otherwise(404)).alias("made_up_status"), F.when(n % 5 > 0, icon).alias("icon"),
+        F.when(n % 4 == 0, F.array().cast("array<string>")).when(n % 4 == 1, F.array(F.lit("The Site"))).when(n % 4 == 2, F.array(F.lit("Other"))).alias("site_names"), F.lit("the  site!").alias("og_site_name"),
+        (n % 2).cast("int").alias("client_rendered"), F.lit("2024-01-02").cast("timestamp").alias("crawled_at"),
     )
+    status = F.when(F.length("url") % 7 == 0, 301).otherwise(200)
+    lastmod = F.when(F.length("site") % 2 == 0, F.lit("2024-01-01")).otherwise(F.concat(F.lit("2023-0"), (F.length("url") % 9 + 1).cast("string"), F.lit("-01")))
+    entries = p.select("site", "url", status.alias("status"), F.col("url").alias("final_url"), F.lit(False).alias("noindex"), F.lit(False).alias("blocked"), lastmod.alias("lastmod"))
+    return site_checks.sitemap_counts(entries, known, "site")
+
+
+def _outcome(code: str, severity: str, applies: str, fails: str) -> str:
+    return f"SELECT site, '{code}' AS code, '{severity}' AS severity, CASE WHEN NOT ({applies}) THEN 'notApplicable' WHEN {fails} THEN 'failed' ELSE 'passed' END AS status FROM s"
 
 
-@query("site_checks")
+_SITE_SQL = f"""WITH p AS (SELECT url, regexp_replace(lower(regexp_extract(url, '://([^/?#:]*)', 1)), '^www\\.', '') AS site FROM pages),
+s AS (SELECT site, length(site) AS n, count(*) AS pages, count(*) FILTER (length(url) % 7 = 0) AS bad, count(*) FILTER (lower(regexp_extract(url, '^([A-Za-z]+://[^/?#]+)', 1)) <> 'https://' || site) AS others,
+ count(DISTINCT CASE WHEN length(site) % 2 = 0 THEN 0 ELSE length(url) % 9 + 1 END) AS kinds FROM p GROUP BY site)
+""" + " UNION ALL ".join(_outcome(*x) for x in (
+    ("ROBOTS_TXT_TRUNCATED", "warning", "n % 3 > 0", "n % 4 = 0"), ("ROBOTS_TXT_UNSUPPORTED_RULES", "notice", "n % 3 > 0", "n % 3 = 2"), ("ROBOTS_GOOGLEBOT_GROUP_DROPS_RULES", "warning", "n % 3 = 2", "true"),
+    ("SITEMAP_LISTS_NON_INDEXABLE", "warning", "true", "bad > 0"), ("SITEMAP_LISTS_OTHER_HOST_VARIANTS", "warning", "true", "others > 0"), ("SITEMAP_LASTMOD_UNRELIABLE", "notice", "pages >= 5", "kinds = 1"),
+    ("HOST_VARIANT_SERVES_CONTENT", "warning", "n % 3 > 0", "n % 2 = 0 AND n % 4 = 0"), ("HOST_REDIRECT_CHAIN", "notice", "n % 3 > 0", "n % 4 = 3 OR n % 5 = 0"), ("SOFT_404", "warning", "n % 3 > 0", "n % 2 = 0"),
+    ("FAVICON_INVALID", "warning", "n % 5 > 0", "n % 2 = 1"), ("SITE_NAME_NOT_DECLARED", "notice", "n % 4 < 3", "n % 4 = 0"), ("SITE_NAME_INCONSISTENT", "notice", "n % 4 IN (1, 2)", "n % 4 = 2"), ("CONTENT_NEEDS_JAVASCRIPT", "notice", "true", "n % 2 = 1"),
+))
+
+
+@query("site_checks", _SITE_SQL, prelude=False)
 def all_site_checks(spark, sf_dir):
     return site_checks.evaluate(sites(spark, sf_dir), "site")
 
 
-@query("site_sitemap_lists_non_indexable", "SELECT regexp_replace(lower(regexp_extract(url, '://([^/?#:]*)', 1)), '^www\\.', '') AS site, CASE WHEN bool_or(length(url) % 7 = 0) THEN 'failed' ELSE 'passed' END AS status FROM pages GROUP BY ALL", prelude=False)
-def site_sitemap_lists_non_indexable(spark, sf_dir):
-    return all_site_checks(spark, sf_dir).where("code = 'SITEMAP_LISTS_NON_INDEXABLE'").select("site", "status")
+def _site_query(code: str) -> None:
+    @query(f"site_{code.lower()}", f"SELECT site, status FROM ({_SITE_SQL}) WHERE code = '{code}'", prelude=False)
+    def run(spark, sf_dir):
+        return all_site_checks(spark, sf_dir).where(F.col("code") == code).select("site", "status")
+
+
+for _code in (
+    "ROBOTS_TXT_TRUNCATED", "ROBOTS_TXT_UNSUPPORTED_RULES", "ROBOTS_GOOGLEBOT_GROUP_DROPS_RULES", "SITEMAP_LISTS_NON_INDEXABLE", "SITEMAP_LISTS_OTHER_HOST_VARIANTS", "SITEMAP_LASTMOD_UNRELIABLE",
+    "HOST_VARIANT_SERVES_CONTENT", "HOST_REDIRECT_CHAIN", "SOFT_404", "FAVICON_INVALID", "SITE_NAME_NOT_DECLARED", "SITE_NAME_INCONSISTENT", "CONTENT_NEEDS_JAVASCRIPT",
+):
+    _site_query(_code)
 
 
 @query("src_sitemap_txt", "SELECT page_id, 1 AS urls FROM pages", prelude=False)

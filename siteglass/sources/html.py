@@ -363,7 +363,7 @@ def parse(html: str | None, url: str | None) -> dict:
     content = main_content(root)
     blocks = text_blocks(content)
     words = count_words(" ".join(blocks))
-    anchors = [n for n in nodes if n.tag == "a" and n.inside("body")]
+    anchors = [n for n in nodes if n.tag == "a" and not n.inside("head")]
     crawl, nofollow, dead, unnamed = [], [], [], []
     for a in anchors:
         href = a.get("href")

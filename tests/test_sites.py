@@ -63,13 +63,17 @@ def test_run_of_one_and_near_duplicates(spark):
 def test_site_checks(spark):
     from siteglass.plans import speed as plans
 
-    schema = "site string, sitemap array<struct<url:string,status:int,final_url:string,noindex:boolean,blocked:boolean,lastmod:string>>, pages long, served_origin string, robots string, robots_bytes int, probes array<struct<url:string,status:int,hops:int,first_status:int,origin:string>>, made_up_status int, icon struct<format:string,width:int,height:int,status:int,blocked:boolean>, site_names array<string>, og_site_name string, client_rendered int, crawled_at timestamp"
-    u = "https://s.test/1"
-    row = ("s", [(u, 200, u, False, False, "2024-01-01")] * 6, 3, "https://s.test", "user-agent: *\nnoindex: /", 700_000, [("http://s.test", 200, 0, 200, "http://s.test")], 200, ("png", 16, 15, 200, False), ["The S"], "Other", 1, dt.datetime(2024, 2, 1))
+    schema = "site string, sitemap struct<urls:long,non_indexable:long,other_hosts:long,lastmods:long,distinct_lastmods:long,near_lastmods:long>, pages long, served_origin string, robots string, robots_bytes int, probes array<struct<url:string,status:int,hops:int,first_status:int,origin:string>>, made_up_status int, icon struct<format:string,width:int,height:int,status:int,blocked:boolean>, site_names array<string>, og_site_name string, client_rendered int, crawled_at timestamp"
+    row = ("s", (6, 0, 0, 6, 1, 0), 3, "https://s.test", "user-agent: *\nnoindex: /", 700_000, [("http://s.test", 200, 0, 200, "http://s.test")], 200, ("png", 16, 15, 200, False), ["The S"], "Other", 1, dt.datetime(2024, 2, 1))
     bad = {r.code: r.status for r in site_checks.evaluate(spark.createDataFrame([row], schema), "site").collect()}
     assert len(bad) == 13 and {k for k, v in bad.items() if v == "failed"} == set(bad) - {"ROBOTS_GOOGLEBOT_GROUP_DROPS_RULES", "SITEMAP_LISTS_NON_INDEXABLE", "SITEMAP_LISTS_OTHER_HOST_VARIANTS", "HOST_REDIRECT_CHAIN", "SITE_NAME_NOT_DECLARED"}
     empty = spark.createDataFrame([("s", *[None] * 12)], schema)
     assert {r.status for r in site_checks.evaluate(empty, "site").collect()} == {"notApplicable"}
+    entries = [("s", f"https://{h}s.test/{k}", 200, f"https://{h}s.test/{k}", k == 2, False, "2024-02-01T00:30:00Z" if k else None) for k, h in enumerate(("", "", "", "www."))]
+    e = spark.createDataFrame(entries, "site string, url string, status int, final_url string, noindex boolean, blocked boolean, lastmod string")
+    both = spark.createDataFrame([("s", "https://s.test", dt.datetime(2024, 2, 1)), ("t", None, None)], "site string, served_origin string, crawled_at timestamp")
+    got = {r.site: r.sitemap for r in site_checks.sitemap_counts(e, both, "site").collect()}
+    assert tuple(got["s"]) == (4, 1, 1, 3, 1, 3) and got["t"] is None
     assert plans.sites is not None
 
 
