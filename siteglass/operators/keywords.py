@@ -7,11 +7,13 @@ the page's terms that are left.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable
 
 import pandas as pd
 from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from siteglass.functions import bands, texts
@@ -28,6 +30,9 @@ ANCHOR_FIELDS = ("title", "h1", "slug")
 STRONG_FIELDS = ("title", "titleTail", "h1", "slug", "meta", "subheading")
 #: The most words of a term, and of one in a language without a list of stop words.
 MOST_WORDS, MOST_WORDS_UNKNOWN = 5, 2
+#: Values that this share of a run's pages repeat are the site's and not the page's; lines of that few
+#: tokens that a page repeats that often are no text; terms that one sentence or heading may give.
+RUN_SHARE, SHORT_RUN, REPEATS, MOST_A_SOURCE = 0.5, 4, 3, 2
 
 
 def compose(*steps: Step) -> Step:
@@ -78,19 +83,33 @@ def clauses(title: Column, slug: Column) -> Column:
 
 
 def candidates(fields: DataFrame, most: int = MOST_WORDS) -> DataFrame:
-    """From (run, page_id, lang, field, text) the terms of each page: run, page_id, lang, term, n_words,
-    fields (set), tf (in the body). A term neither begins nor ends in a stop word or weak token."""
-    tokens = F.filter(F.split(texts.normalised(F.col("text"), whole=True), " "), lambda t: t != "")
-    cut = fields.select("run", "page_id", "lang", "field", tokens.alias("tokens"))
-    grams = F.when(F.col("lang").isin(*LANGUAGES), texts.ngrams(F.col("tokens"), most)).otherwise(texts.ngrams(F.col("tokens"), min(most, MOST_WORDS_UNKNOWN)))
-    rows = cut.select("run", "page_id", "lang", "field", F.explode(grams).alias("term"))
-    rows = rows.where(F.length("term") <= 200).withColumn("first", F.substring_index("term", " ", 1)).withColumn("last", F.substring_index("term", " ", -1))
-    rows = rows.where(~texts.is_weak_token(F.col("first")) & ~texts.is_weak_token(F.col("last")))
+    """From (run, page_id, lang, field, text) the terms of each page: run, page_id, lang, term, n_words, fields (set),
+    tf (in the body), sources (the distinct sentences and headings that it was read from), proper (the page
+    writes it as a name). No term crosses the end of a sentence or clause, and none begins or ends in a stop word
+    or weak token, but one may end in the second half of a compound. Short lines that a page's body repeats are
+    not read."""
+    rows = fields.select("run", "page_id", "lang", "field", F.explode(texts.tokenize(F.col("text"))).alias("r"))
+    rows = rows.withColumn("tokens", F.col("r")["token"]).withColumn("source", F.xxhash64(F.array_join("tokens", " ")))
+    own = W.partitionBy("run", "page_id", "field", "source")
+    rows = rows.withColumn("times", F.count(F.lit(1)).over(own)).where(~((F.col("field") == "body") & (F.size("tokens") <= SHORT_RUN) & (F.col("times") >= REPEATS)))
+
+    def of(n: int) -> Column:
+        def term(i: Column) -> Column:
+            last = F.get("r", i + n - 1)
+            return F.struct(F.array_join(F.slice("tokens", i + 1, n), " ").alias("term"), F.get("tokens", i).alias("first"), last["token"].alias("last"), last["glued"].alias("glued"))
+
+        return F.when(F.size("tokens") >= n, F.transform(F.sequence(F.lit(0), F.size("tokens") - n), term)).otherwise(F.array().cast("array<struct<term:string,first:string,last:string,glued:boolean>>"))
+
+    every = [of(n) for n in range(1, most + 1)]
+    grams = F.when(F.col("lang").isin(*LANGUAGES), F.concat(*every)).otherwise(F.concat(*every[:MOST_WORDS_UNKNOWN]))
+    rows = rows.select("run", "page_id", "lang", "field", "source", F.explode(grams).alias("g")).select("run", "page_id", "lang", "field", "source", "g.*")
+    rows = rows.where((F.length("term") <= 200) & ~texts.is_weak_token(F.col("first")) & (F.col("glued") | ~texts.is_weak_token(F.col("last"))))
     stops = F.broadcast(stop_words(fields.sparkSession))
-    for end in ("first", "last"):
-        rows = rows.join(stops.withColumnRenamed("word", end), ["lang", end], "left_anti")
-    terms = rows.groupBy("run", "page_id", "lang", "term").agg(F.collect_set("field").alias("fields"), F.count_if(F.col("field") == "body").alias("tf"))
-    return terms.withColumn("n_words", F.size(F.split("term", " ")))
+    rows = rows.join(stops.withColumnRenamed("word", "first"), ["lang", "first"], "left_anti")
+    rows = rows.join(stops.select("lang", F.col("word").alias("last"), F.lit(True).alias("stops")), ["lang", "last"], "left").where(F.col("glued") | F.col("stops").isNull())
+    terms = rows.groupBy("run", "page_id", "lang", "term").agg(F.collect_set("field").alias("fields"), F.count_if(F.col("field") == "body").alias("tf"), F.collect_set("source").alias("sources"))
+    names = proper_nouns(fields.where("field = 'body'"), "page_id", F.array("text")).select("page_id", F.col("word").alias("term"), F.lit(True).alias("proper"))
+    return terms.join(names, ["page_id", "term"], "left").withColumn("proper", F.coalesce("proper", F.lit(False))).withColumn("n_words", F.size(F.split("term", " ")))
 
 
 def document_frequency(terms: DataFrame) -> DataFrame:
@@ -130,17 +149,30 @@ def subsume(terms: DataFrame) -> DataFrame:
     return terms.join(gone, ["run", "page_id", "term"], "left_anti")
 
 
-def choose(rows: list[tuple[str, float]], budget: int) -> list[tuple[str, float]]:
-    """Terms by descending score until the budget is used: none below a fifth of the best, none that
-    shares half of its words or more with one already taken."""
-    taken: list[tuple[str, float, set[str]]] = []
-    for term, value in sorted(rows, key=lambda r: (-r[1], r[0])):
-        if len(taken) >= budget or taken and value < 0.2 * taken[0][1]:
+def choose(rows: list[tuple[str, float, bool, list[int]]], budget: int) -> list[tuple[str, float]]:
+    """Terms (term, score, proper, sources) by descending score until the budget is used: none below a fifth of the
+    best; of single words only names; none that shares half of its words that carry it with one already taken; of
+    one sentence or heading at most MOST_A_SOURCE, and no single word where it already gave a term."""
+    taken: list[tuple[str, float]] = []
+    words: list[set[str]] = []
+    given: Counter[int] = Counter()
+    best = None
+    for term, value, proper, sources in sorted(rows, key=lambda r: (-r[1], r[0])):
+        single = " " not in term
+        if value <= 0 or single and not proper:
+            continue
+        best = value if best is None else best
+        if len(taken) >= budget or value < 0.2 * best:
             break
-        words = set(term.split())
-        if all(2 * len(words & w) < min(len(words), len(w)) for _, _, w in taken):
-            taken.append((term, value, words))
-    return [(t, v / taken[0][1]) for t, v, _ in taken]
+        own = {w for w in term.split() if len(w) > 1 and not w.isdigit()}
+        if any(min(len(own), len(w)) and 2 * len(own & w) >= min(len(own), len(w)) for w in words):
+            continue
+        if any(given[x] >= MOST_A_SOURCE for x in sources) or single and any(given[x] for x in sources):
+            continue
+        given.update(set(sources))
+        taken.append((term, value / best))
+        words.append(own)
+    return taken
 
 
 def select(terms: DataFrame) -> DataFrame:
@@ -148,10 +180,12 @@ def select(terms: DataFrame) -> DataFrame:
 
     def one(frame: pd.DataFrame) -> pd.DataFrame:
         budget = max(1, min(6, 2 + int(frame["words"].iloc[0]) // 400))
-        found = choose(list(zip(frame["term"], frame["score"], strict=True)), budget)
+        rows = zip(frame["term"], frame["score"], frame["proper"], frame["sources"], strict=True)
+        found = choose([(t, s, bool(p), list(x)) for t, s, p, x in rows], budget)
         return pd.DataFrame({"run": frame["run"].iloc[0], "page_id": frame["page_id"].iloc[0], "term": [t for t, _ in found], "relevance": [r for _, r in found]})
 
-    return terms.groupBy("run", "page_id").applyInPandas(one, "run string, page_id long, term string, relevance double")
+    slim = terms.select("run", "page_id", "term", "score", "proper", "sources", "words")
+    return slim.groupBy("run", "page_id").applyInPandas(one, "run string, page_id long, term string, relevance double")
 
 
 def keywords(fields: DataFrame, words: DataFrame) -> DataFrame:
@@ -160,11 +194,6 @@ def keywords(fields: DataFrame, words: DataFrame) -> DataFrame:
     return select(ranked.join(words, "page_id"))
 
 
-#: Values that this share of a run's pages repeat are the site's and not the page's, and lines of
-#: that few tokens that a page repeats that often are no text.
-RUN_SHARE, SHORT_RUN, REPEATS = 0.5, 4, 3
-
-
 def repeated_values(pages: DataFrame, run: str, page: str, values: Column) -> DataFrame:
     """run, value, pages of the values (normalised, each once a page) that at least two pages and RUN_SHARE of the
     run's pages hold: title chrome if they are tail parts of titles, taxonomy if they are declared keywords."""

@@ -231,7 +231,7 @@ def fn_slug_of(spark, sf_dir):
 @query("win_greedy_select")
 def win_greedy_select(spark, sf_dir):
     """Terms of a brand by price until its budget is used; each term is a part's name."""
-    p = m.table(spark, sf_dir, "part").select(F.col("p_brand").alias("run"), (F.col("p_size") % 5).cast("long").alias("page_id"), F.col("p_name").alias("term"), F.col("p_retailprice").cast("double").alias("score"), F.lit(900).alias("words"))
+    p = m.table(spark, sf_dir, "part").select(F.col("p_brand").alias("run"), (F.col("p_size") % 5).cast("long").alias("page_id"), F.col("p_name").alias("term"), F.col("p_retailprice").cast("double").alias("score"), F.lit(900).alias("words"), (F.col("p_size") % 2 == 0).alias("proper"), F.array(F.col("p_size").cast("long")).alias("sources"))
     return keywords.select(p)
 
 

@@ -119,7 +119,8 @@ def test_writes(spark, tmp_path):
 
 
 def test_keywords_and_walk(spark):
-    assert keywords.choose([("apple tree", 10.0), ("apple", 9.0), ("saw", 5.0), ("noise", 1.0)], 3) == [("apple tree", 1.0), ("saw", 0.5)]
+    rows = [("apple tree", 10.0, False, [1]), ("apple", 9.0, True, [2]), ("pear", 8.0, False, [3]), ("saw", 5.0, True, [4]), ("Oslo", 4.0, True, [1]), ("long way", 3.5, False, [1]), ("old mill", 3.0, False, [1]), ("noise here", 1.0, False, [])]
+    assert keywords.choose(rows, 5) == [("apple tree", 1.0), ("saw", 0.5), ("long way", 0.35)] and len(keywords.choose(rows, 1)) == 1
     a, b, c = lambda d: d, lambda d: d, lambda d: d
     assert keywords.insert_after([a, b], a, c) == [a, c, b] and keywords.without([a, b], a) == [b] and keywords.replace_step([a, b], b, c) == [a, c] and keywords.insert_before([a], a, b) == [b, a]
     rows = [("r", 1, "en", "title", "Pruning apple trees"), ("r", 1, "en", "body", "Pruning apple trees is easy. Apple trees like it."), ("r", 2, "en", "title", "Baking bread"), ("r", 2, "en", "body", "Bread needs time."), ("r", 3, "en", "body", "")]
