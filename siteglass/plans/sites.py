@@ -135,16 +135,16 @@ def _ld_page(text):
     return html.parse(f'<html><head><script type="application/ld+json">{text}</script></head><body><div itemscope itemtype="https://schema.org/Article"><h1 itemprop="headline">h</h1></div></body></html>', "https://a.test/p")
 
 
-_reader_query("fn_srcset_urls", _SRCSET, html.srcset_urls, "array<string>", "SELECT page_id, [url, '/b,c.jpg', 'd' || page_id || '.jpg'] AS value FROM pages")
+_reader_query("fn_srcset_urls", _SRCSET, lambda t: " ".join(html.srcset_urls(t)), "string", "SELECT page_id, url || ' /b,c.jpg d' || page_id || '.jpg' AS value FROM pages")
 _reader_query("fn_absolute_url", lambda: F.regexp_replace("url", "^https?:", ""), lambda u: html.absolute(u, "https://a.test/p"), "string", "SELECT page_id, regexp_replace(url, '^https?:', 'https:') AS value FROM pages")
-_reader_query("fn_parse_json_ld", _LD, lambda t: sorted(html.read_json_ld(t)), "array<string>", "SELECT page_id, ['@graph'] AS value FROM pages")
+_reader_query("fn_parse_json_ld", _LD, lambda t: " ".join(sorted(html.read_json_ld(t))), "string", "SELECT page_id, '@graph' AS value FROM pages")
 _reader_query("fn_json_ld_graph", _LD, lambda t: sum(1 for _ in html.ld_nodes(html.read_json_ld(t))), "int", "SELECT page_id, CAST(7 AS INTEGER) AS value FROM pages")
-_reader_query("fn_authors_of", _LD, lambda t: _ld_page(t)["authors"], "array<string>", "SELECT page_id, ['Ann' || page_id, 'Bo'] AS value FROM pages")
-_reader_query("fn_images_of", _LD, lambda t: _ld_page(t)["article_images"], "array<string>", "SELECT page_id, ['https://a.test/i.png', 'https://a.test/b.png'] AS value FROM pages")
-_reader_query("fn_breadcrumb_items", _LD, lambda t: [x["item"] for x in _ld_page(t)["breadcrumbs"]], "array<string>", "SELECT page_id, ['https://a.test/', 'https://a.test/x'] AS value FROM pages")
-_reader_query("fn_website_name", _LD, lambda t: _ld_page(t)["website_names"], "array<string>", "SELECT page_id, ['Site' || page_id] AS value FROM pages")
-_reader_query("fn_logos_of", _LD, lambda t: _ld_page(t)["logos"], "array<string>", "SELECT page_id, ['https://a.test/l.png'] AS value FROM pages")
-_reader_query("fn_microdata", _LD, lambda t: _ld_page(t)["microdata_types"], "array<string>", "SELECT page_id, ['Article'] AS value FROM pages")
+_reader_query("fn_authors_of", _LD, lambda t: ", ".join(_ld_page(t)["authors"]), "string", "SELECT page_id, 'Ann' || page_id || ', Bo' AS value FROM pages")
+_reader_query("fn_images_of", _LD, lambda t: " ".join(_ld_page(t)["article_images"]), "string", "SELECT page_id, 'https://a.test/i.png https://a.test/b.png' AS value FROM pages")
+_reader_query("fn_breadcrumb_items", _LD, lambda t: " ".join(f"{x['position']}:{x['name']}:{x['item']}" for x in _ld_page(t)["breadcrumbs"]), "string", "SELECT page_id, '1:Home:https://a.test/ 2:X:https://a.test/x' AS value FROM pages")
+_reader_query("fn_website_name", _LD, lambda t: " ".join(_ld_page(t)["website_names"]), "string", "SELECT page_id, 'Site' || page_id AS value FROM pages")
+_reader_query("fn_logos_of", _LD, lambda t: " ".join(_ld_page(t)["logos"]), "string", "SELECT page_id, 'https://a.test/l.png' AS value FROM pages")
+_reader_query("fn_microdata", _LD, lambda t: " ".join(_ld_page(t)["microdata_types"]), "string", "SELECT page_id, 'Article' AS value FROM pages")
 
 
 def _check_query(code: str, sql: str | None = None) -> None:
