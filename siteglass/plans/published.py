@@ -99,7 +99,7 @@ def _score(text):
     return discovery.group_score(name, found, set(found[:1]))
 
 
-@query("score_sitemap_group", "SELECT page_id, CASE page_id % 3 WHEN 0 THEN 3 WHEN 1 THEN -3 ELSE 2 END + 3 * CASE WHEN page_id % 2 = 0 THEN 1.0 ELSE 0.5 END + 4 * 0.5 AS score FROM pages", prelude=False)
+@query("score_sitemap_group", "SELECT page_id, CAST(CASE page_id % 3 WHEN 0 THEN 3 WHEN 1 THEN -3 ELSE 2 END + 3 * CASE WHEN page_id % 2 = 0 THEN 1.0 ELSE 0.5 END + 4 * 0.5 AS DOUBLE) AS score FROM pages", prelude=False)
 def score_sitemap_group(spark, sf_dir):
     """Names, paths and overlap with the feed: of two URLs one is in the feed, one or both are below /blog/."""
     name = F.when(F.col("page_id") % 3 == 0, "blog-sitemap").when(F.col("page_id") % 3 == 1, "tag-sitemap").otherwise("news")
