@@ -182,7 +182,9 @@ def select(terms: DataFrame) -> DataFrame:
         budget = max(1, min(6, 2 + int(frame["words"].iloc[0]) // 400))
         rows = zip(frame["term"], frame["score"], frame["proper"], frame["sources"], strict=True)
         found = choose([(t, s, bool(p), list(x)) for t, s, p, x in rows], budget)
-        return pd.DataFrame({"run": frame["run"].iloc[0], "page_id": frame["page_id"].iloc[0], "term": [t for t, _ in found], "relevance": [r for _, r in found]})
+        # texts by name of their type: a page without terms has no value to tell it from
+        rows = pd.DataFrame({"run": frame["run"].iloc[0], "page_id": frame["page_id"].iloc[0], "term": pd.Series([t for t, _ in found], dtype=object), "relevance": pd.Series([float(r) for _, r in found], dtype=float)})
+        return rows.astype({"run": object, "page_id": "int64"})
 
     slim = terms.select("run", "page_id", "term", "score", "proper", "sources", "words")
     return slim.groupBy("run", "page_id").applyInPandas(one, "run string, page_id long, term string, relevance double")

@@ -128,6 +128,9 @@ def test_keywords_and_walk(spark):
     words = spark.createDataFrame([(1, 500), (2, 100), (3, 0)], "page_id long, words int")
     got = {r.page_id: r.term for r in keywords.keywords(df, words).collect() if r.relevance == 1.0}
     assert got[1] == "pruning apple trees" and got[2] == "baking bread" and 3 not in got
+    # a page of single words alone, which are no names, has no keyword
+    few = spark.createDataFrame([("r", 4, "en", "title", "Bread"), ("r", 4, "en", "body", "bread, bread")], "run string, page_id long, lang string, field string, text string")
+    assert keywords.keywords(few, spark.createDataFrame([(4, 10)], "page_id long, words int")).count() == 0
     assert ranks.seed("", "") == (ranks.FNV_OFFSET * ranks.FNV_PRIME) & 0xFFFFFFFF
     whole = ranks.walk("u", "t", 0.5, 20_000, 60)
     first = ranks.walk("u", "t", 0.5, 20_000, 25)
