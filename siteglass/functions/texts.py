@@ -125,7 +125,7 @@ def is_clean(values: Column) -> Column:
     return F.when(values.isNotNull(), ~F.coalesce(bad, F.lit(False)) & (F.size(F.array_distinct(values)) == F.size(values)))
 
 
-#: A word that the page cut off for display, one that brackets cut in two, and where phrases end.
+#: Fixed values, as patterns: a word that the page cut off for display, one that brackets cut in two, and where phrases end.
 _TRUNCATED, _SPLIT_WORD = "[\\p{L}\\p{N}]+(?:…|\\.\\.\\.)", "([\\p{L}\\p{N}]+)[()\\[\\]{}]+[\\p{L}\\p{N}]+"
 _BREAK = "[.,!?;:…()\\[\\]{}\"“”«»|/\\\\]+(?:\\s|$)|[\\r\\n]+|\\s[-–—]\\s"
 

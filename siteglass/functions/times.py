@@ -52,7 +52,7 @@ def today_in_zone(now: Column, zone: str) -> Column:
     return day_in_zone(now, zone)
 
 
-#: An ISO 8601 date, with a time of day or without, with a zone or without.
+#: Fixed value, as a pattern: an ISO 8601 date, with a time of day or without, with a zone or without.
 _ISO = "(?i)^(\\d{4})-(\\d{2})-(\\d{2})(?:T(\\d{2}):(\\d{2})(?::(\\d{2})(?:[.,](\\d+))?)?(Z|([+-])(\\d{2})(?::?(\\d{2}))?)?)?$"
 
 

@@ -15,7 +15,7 @@ LISTING_TYPES = ("CollectionPage", "ItemList")
 OTHER_FILES = (
     "pdf", "jpg", "jpeg", "png", "gif", "webp", "avif", "svg", "ico", "zip", "gz", "xml", "rss", "json", "csv", "txt", "mp4", "mp3", "mov", "avi", "webm", "doc", "docx", "xls", "xlsx", "ppt", "pptx",
 )
-#: Headings that announce a missing page.
+#: Fixed values, as patterns: headings that announce a missing page.
 _NOT_FOUND = "(?i)" + "|".join((
     "^(error\\s*)?404\\b", "^(oops[!.,]?\\s*)?(the\\s+)?page\\s+(was\\s+)?not\\s+found", "^nothing\\s+(was\\s+)?found", "(can['’]?t|cannot)\\s+be\\s+found", "^page\\s+(does\\s+not|doesn['’]?t)\\s+exist", "^not\\s+found$",
 ))
