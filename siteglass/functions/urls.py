@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Labels and platforms of hosts that only developers see.
-DEV_LABELS = ("staging", "stage", "dev", "test", "preview", "localhost", "beta", "uat", "qa", "sandbox")
-DEV_SUFFIXES = ("vercel.app", "netlify.app", "herokuapp.com", "github.io", "pages.dev", "ngrok.io", "local", "test", "localhost")
+#: First labels and platforms of hosts that only developers see.
+DEV_LABELS = ("staging", "stage", "stg", "dev", "develop", "development", "test", "testing", "qa", "uat", "preview", "sandbox")
+DEV_SUFFIXES = (".vercel.app", ".netlify.app", ".pages.dev", ".herokuapp.com", ".onrender.com", ".fly.dev", ".ngrok.io", ".ngrok-free.app")
 #: Second labels under which countries register organisations.
 SECOND_LEVELS = ("co", "com", "org", "net", "ac", "gov", "edu")
 TRACKING = "utm_[A-Za-z0-9_]*"
@@ -84,11 +84,16 @@ def link_variants(link: Column, page: Column) -> Column:
     )
 
 
-def is_dev_host(url: Column) -> Column:
+def is_dev_host(url: Column, page: Column | None = None) -> Column:
+    """A host that visitors should not be sent to: local names and bare addresses, an environment's label before a
+    site's name, a platform of previews. The host of the page itself is none."""
     h = host(url)
-    labels = "|".join(DEV_LABELS)
-    suffixes = "|".join(s.replace(".", "[.]") for s in DEV_SUFFIXES)
-    return F.coalesce(h.rlike(f"(^|[.-])({labels})[0-9]*[.-]") | h.rlike(f"(^|[.])({suffixes})$") | h.rlike("^[0-9]+([.][0-9]+){3}$"), F.lit(False))
+    labels = F.split(h, "[.]")
+    found = (h == "localhost") | h.rlike("[.](localhost|local)$") | h.rlike("^[0-9]+([.][0-9]+){3}$") | h.startswith("[")
+    found = found | ((F.size(labels) >= 3) & F.get(labels, F.lit(0)).isin(*DEV_LABELS))
+    for suffix in DEV_SUFFIXES:
+        found = found | h.endswith(suffix)
+    return F.coalesce(found if page is None else found & (h != host(page)), F.lit(False))
 
 
 def organisation(url: Column) -> Column:

@@ -184,9 +184,9 @@ CATALOGUE: tuple[Check, ...] = (
     Check("CANONICAL_MISSING", WARNING, lambda: F.size(p("canonicals")) == 0),
     Check("CANONICAL_MISMATCH", NOTICE, _elsewhere, lambda: some(p("canonicals")) & ~urls.is_http_twin(_canonical(), c("final_url")) & (F.coalesce(c("canonical_status"), F.lit(200)) < 400)),
     Check("CANONICAL_TO_HTTP", WARNING, lambda: urls.is_http(_canonical()), lambda: some(p("canonicals")) & c("final_url").startswith("https:") & (urls.is_http_twin(_canonical(), c("final_url")) | ~_elsewhere())),
-    Check("CANONICAL_TARGET_BROKEN", WARNING, lambda: (c("canonical_status") >= 300) | (c("canonical_status") == 0), lambda: _elsewhere() & c("canonical_status").isNotNull() & ~urls.is_dev_host(_canonical())),
+    Check("CANONICAL_TARGET_BROKEN", WARNING, lambda: (c("canonical_status") >= 300) | (c("canonical_status") == 0), lambda: _elsewhere() & c("canonical_status").isNotNull() & ~urls.is_dev_host(_canonical(), c("final_url"))),
     Check("CANONICAL_CONFLICT", WARNING, lambda: F.size(F.array_distinct(p("canonicals"))) > 1, lambda: some(p("canonicals"))),
-    Check("DEVELOPMENT_HOST_REFERENCES", WARNING, lambda: F.exists(F.concat(p("canonicals"), p("links"), _resources(), F.transform(p("alternates"), lambda a: a["href"]), F.array(p("open_graph")["og:url"])), lambda u: urls.is_dev_host(u))),
+    Check("DEVELOPMENT_HOST_REFERENCES", WARNING, lambda: F.exists(F.concat(p("canonicals"), p("links"), _resources(), F.transform(p("alternates"), lambda a: a["href"]), F.array(p("open_graph")["og:url"])), lambda u: urls.is_dev_host(u, c("final_url")))),
     Check("CANONICAL_RELATIVE", NOTICE, lambda: some(p("relative_canonicals")), lambda: some(p("canonicals")) | some(p("relative_canonicals"))),
     Check("NOINDEX", ERROR, lambda: _rules("noindex", "none") | _unavailable()),
     Check("SNIPPET_RESTRICTED", NOTICE, lambda: _rules("nosnippet", "max-snippet:0") | (p("nosnippet_share") > 0.5)),
@@ -216,7 +216,7 @@ CATALOGUE: tuple[Check, ...] = (
     Check("HREFLANG_NOT_RECIPROCAL", WARNING, lambda: F.exists(c("alternates_back"), lambda b: ~b), lambda: some(c("alternates_back"))),
     Check("VIEWPORT_MISSING", WARNING, lambda: p("viewport").isNull()),
     Check("OG_TAGS_MISSING", NOTICE, lambda: some(F.array_except(F.array(F.lit("og:title"), F.lit("og:description"), F.lit("og:image")), F.map_keys(p("open_graph")))) | ~F.coalesce(c("og_usable"), F.lit(True))),
-    Check("OG_URL_MISMATCH", NOTICE, lambda: ~urls.is_same_document(p("open_graph")["og:url"], c("final_url")), lambda: (urls.host(p("open_graph")["og:url"]) != "") & ~urls.is_dev_host(p("open_graph")["og:url"]) & ~_elsewhere()),
+    Check("OG_URL_MISMATCH", NOTICE, lambda: ~urls.is_same_document(p("open_graph")["og:url"], c("final_url")), lambda: (urls.host(p("open_graph")["og:url"]) != "") & ~urls.is_dev_host(p("open_graph")["og:url"], c("final_url")) & ~_elsewhere()),
     Check("PREVIEW_IMAGE_TOO_SMALL", NOTICE, lambda: c("preview_width") < 1200, lambda: c("preview_width").isNotNull() & ~F.coalesce(c("preview_is_logo"), F.lit(False))),
     Check("PREVIEW_IMAGE_IS_LOGO", NOTICE, lambda: F.coalesce(c("preview_is_logo"), F.lit(False)) | F.array_contains(p("logos"), p("open_graph")["og:image"]) | F.contains(F.lower(urls.file_name(p("open_graph")["og:image"])), F.lit("logo")), lambda: p("open_graph")["og:image"].isNotNull()),
     Check("CHARSET_MISSING_OR_LATE", WARNING, lambda: ~F.coalesce(F.contains(F.lower(c("content_type")), F.lit("charset=")), F.lit(False)) & (F.coalesce(p("charset_declaration_end"), F.lit(1 << 30)) > 1024)),

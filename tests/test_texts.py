@@ -81,3 +81,9 @@ def test_pacing(spark):
     assert [r.sent for r in pacing.paced(df, "key", "at", ["n"]).orderBy("n").collect()] == [0.0, 1.0, 2.0, 5.0, 6.0]
     seeds = spark.createDataFrame([(k * 7919,) for k in range(50)], "n long")
     assert all(abs(r.v - next(ranks.draws(r.n))) < 1e-12 for r in seeds.select("n", ranks.mulberry32(F.col("n")).alias("v")).collect())
+
+
+def test_dev_hosts(spark):
+    rows = ["https://staging.site.example/", "https://dev.example/", "https://x.vercel.app/a", "http://localhost:3000/", "http://a.local/", "http://10.0.0.1/", "http://[::1]/", "https://www.site.example/", "https://test.page.example/", None, "x"]
+    dev = lambda u: urls.is_dev_host(u, F.lit("https://test.page.example/p"))
+    assert values(spark, dev, rows) == [True, False, True, True, True, True, True, False, False, False, False]
