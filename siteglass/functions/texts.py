@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -145,6 +146,40 @@ def tokenize(text: Column) -> Column:
     return F.filter(runs, lambda r: F.exists(r, lambda t: ~is_weak_token(t["token"])))
 
 
+def _once(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then of value, which is worked out once though then names it often."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
+def lines_normalised(lines: Column) -> Column:
+    """`normalised` of each line of a text, but for spaces at the ends of lines: no rule reaches over white space."""
+
+    def apart(t: Column) -> Column:
+        marks = F.regexp_replace(F.regexp_replace(t, "\\b([ldjtmnsc]|qu)['’]", " "), "['’](s|t|re|ve|ll|d|m)\\b", "")
+        return F.when(F.contains(t, F.lit("'")) | F.contains(t, F.lit("’")), F.regexp_replace(marks, "['’]", "")).otherwise(t)
+
+    return F.regexp_replace(_once(F.lower(lines), apart), "[^\\p{L}\\p{N}\\n]+", " ")
+
+
+def token_lines(text: Column) -> Column:
+    """The runs of tokenize as lines, runs of weak tokens too: tokens apart by a space, a glued one by a hyphen. Lines may be
+    empty and have spaces at their ends."""
+    joined = "[\\p{L}\\p{N}][-/][\\p{L}\\p{N}]"
+
+    def word(w: Column) -> Column:
+        return F.when(w.rlike(joined), F.translate(normalised(w), " ", "-")).otherwise(normalised(w))
+
+    def run(s: Column) -> Column:
+        return F.array_join(F.filter(F.transform(F.split(s, "\\s+"), word), lambda w: w != ""), " ")
+
+    def lines(t: Column) -> Column:
+        glued = (F.contains(t, F.lit("-")) | F.contains(t, F.lit("/"))) & t.rlike(joined)
+        return F.when(glued, F.array_join(F.transform(F.split(t, _BREAK), run), "\n")).otherwise(lines_normalised(F.regexp_replace(t, _BREAK, "\n")))
+
+    whole = _once(compatible(text), lambda t: F.when(F.contains(t, F.lit("…")) | F.contains(t, F.lit("...")), F.regexp_replace(t, _TRUNCATED, " ")).otherwise(t))
+    return _once(_once(whole, lambda t: F.when(t.rlike("[()\\[\\]{}]"), F.regexp_replace(t, _SPLIT_WORD, "$1 ")).otherwise(t)), lines)
+
+
 def strip_title_chrome(title: Column, site: Column, site_name: Column, chrome: Column) -> Column:
     """The title without the parts at its end that name the brand or that most of the run repeats; the first
     part always stays."""

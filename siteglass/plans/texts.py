@@ -9,13 +9,17 @@ from siteglass.functions import bands, texts, urls
 from siteglass.operators import checks, keywords, ranks
 from siteglass.plans import model as m
 from siteglass.plans.registry import query
+from siteglass.sources import html
 
 
-def fields(spark, sf_dir):
-    """The fields of each page that keywords are read from."""
-    from siteglass.plans.sites import parsed
+#: The fields of a page's record that keywords are read from.
+_RECORD = ("title", "meta_description", "lang", "h1s", "headings", "first_paragraph", "blocks", "word_count")
+
 
-    p = parsed(spark, sf_dir).withColumn("slug", F.regexp_replace(urls.stem(F.col("url")), "[-_]", " "))
+def pages(spark, sf_dir):
+    """A row for each page: run, page_id, lang, words, and texts, its fields that keywords are read from."""
+    p = html.parse_pages(m.table(spark, sf_dir, "pages").select("page_id", "url", "html"), fields=_RECORD)
+    p = p.withColumn("site", urls.site_key(F.col("url"))).withColumn("slug", F.regexp_replace(urls.stem(F.col("url")), "[-_]", " "))
     main = F.get(F.transform(F.filter("page.headings", lambda h: h["level"] == 1), lambda h: h["text"]), F.lit(0))
     p = p.withColumn("title", keywords.clauses(F.col("page.title"), F.col("slug"))).withColumn("h1", keywords.clauses(F.coalesce(main, F.get("page.h1s", F.lit(0))), F.col("slug")))
     headings = F.transform(F.filter("page.headings", lambda h: h["level"].isin(2, 3)), lambda h: h["text"])
@@ -26,34 +30,37 @@ def fields(spark, sf_dir):
 
     # texts stay apart, so that no term runs from one into the next
     def of(field, found):
-        return F.transform(F.coalesce(found, F.array().cast("array<string>")), lambda t: F.struct(F.lit(field).alias("field"), t.alias("text")))
+        return F.transform(F.coalesce(found, F.array().cast("array<string>")), lambda t: F.struct(F.lit(field).alias("field"), F.coalesce(t, F.lit("")).alias("text")))
 
     parts = F.flatten(F.array(*[of(k, v) for k, v in texts_of.items()]))
-    long = p.select(F.col("site").alias("run"), "page_id", texts.iso_language(F.col("page.lang")).alias("lang"), F.explode(parts).alias("x"))
-    words = p.select("page_id", F.col("page.word_count").alias("words"))
-    return long.select("run", "page_id", "lang", F.col("x.field").alias("field"), F.coalesce("x.text", F.lit("")).alias("text")), words
+    return p.select(F.col("site").alias("run"), "page_id", texts.iso_language(F.col("page.lang")).alias("lang"), F.col("page.word_count").alias("words"), parts.alias("texts"))
+
+
+def fields(spark, sf_dir):
+    """The fields of each page that keywords are read from, a row for each text; and words, the pages' lengths."""
+    p = pages(spark, sf_dir)
+    return p.select("run", "page_id", "lang", F.explode("texts").alias("x")).select("run", "page_id", "lang", "x.*"), p.select("page_id", "words")
 
 
 @query("kw_collect")
 def kw_collect(spark, sf_dir):
-    return keywords.candidates(fields(spark, sf_dir)[0]).select("run", "page_id", "term", "n_words", "tf", F.array_sort("fields").alias("fields"))
+    return keywords.collected(pages(spark, sf_dir)).select("run", "page_id", "term", "n_words", "tf", F.array_sort("fields").alias("fields"))
 
 
 @query("kw_page_score")
 def kw_page_score(spark, sf_dir):
-    step = keywords.compose(keywords.candidates, keywords.document_frequency, keywords.score)
-    return step(fields(spark, sf_dir)[0]).select("run", "page_id", "term", F.round("score", 6).alias("score"), "df")
+    rows = keywords.scored(pages(spark, sf_dir), names=False).select("run", "page_id", F.explode("found").alias("t"))
+    return rows.select("run", "page_id", "t.term", F.round("t.score", 6).alias("score"), "t.df")
 
 
 @query("kw_subsume")
 def kw_subsume(spark, sf_dir):
-    step = keywords.compose(keywords.candidates, keywords.document_frequency, keywords.score, keywords.subsume)
-    return step(fields(spark, sf_dir)[0]).select("run", "page_id", "term")
+    return keywords.subsumed(keywords.scored(pages(spark, sf_dir), names=False))
 
 
 @query("kw_select")
 def kw_select(spark, sf_dir):
-    return keywords.keywords(*fields(spark, sf_dir))
+    return keywords.selected(keywords.scored(pages(spark, sf_dir)))
 
 
 _WORDS = "list_filter(string_split_regex(lower(text), '[^a-z0-9\\x{00c0}-\\x{024f}]+'), lambda w: w <> '')"
