@@ -14,6 +14,7 @@ from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from pathlib import Path
 
+from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -65,6 +66,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     if _SCOPES:
         _SCOPES[-1].append(path)
+    trim_native(df.sparkSession)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._scratch = path
     return out
@@ -112,6 +114,30 @@ def release(spark: SparkSession) -> None:
     driver's objects for them are collected, which else may take long."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+    trim_native(spark)
+
+
+def trim_native(spark: SparkSession) -> None:
+    """Gives the driver's free native memory back: hundreds of threads plan, compile and broadcast in its JVM, each
+    allocates in an arena of its own, and the C library keeps what they free."""
+    jvm = spark.sparkContext._jvm
+
+    def array(kind: str, *values: object) -> object:
+        out = spark.sparkContext._gateway.new_array(getattr(jvm.java.lang, kind), len(values))
+        for k, v in enumerate(values):
+            out[k] = v
+        return out
+
+    try:
+        named = jvm.java.lang.Class.forName
+        # by the interface's method: the server's own class is not open to reflection
+        kinds = array("Class", *map(named, ("javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;")))
+        invoke = named("javax.management.MBeanServer").getMethod("invoke", kinds)
+        command = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand")
+        server = jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer()
+        invoke.invoke(server, array("Object", command, "systemTrimNativeHeap", array("Object"), array("String")))
+    except Py4JError:
+        pass  # another JVM or C library: its free memory stays with the process
 
 
 def forget(spark: SparkSession) -> None:
